@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring
+from . import decontamination, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_vptree": simhash.op2_simhash_vptree,
     "op3_substring_superkmer": substring.op3_substring_superkmer,
+    "op9_decontamination_winnowing": decontamination.op9_decontamination_winnowing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_decontamination_winnowing": decontamination.SQL,
+}
