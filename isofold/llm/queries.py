@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, simhash, substring
+from . import decontamination, mixing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_vptree": simhash.op2_simhash_vptree,
     "op3_substring_superkmer": substring.op3_substring_superkmer,
+    "op7_mixing_blocks": mixing.op7_mixing_blocks,
     "op9_decontamination_winnowing": decontamination.op9_decontamination_winnowing,
 }
 
 SQL: dict[str, str] = {
+    "op7_mixing_blocks": mixing.oracle(),
     "op9_decontamination_winnowing": decontamination.SQL,
 }
