@@ -71,8 +71,6 @@ def _cells(points: np.ndarray, order: int, cells: int) -> np.ndarray:
     return out
 
 
-def _labels(column: pa.Array) -> list:
-    return column.to_pylist()
 
 
 def ngram_counts(labelled: DataFrame, cells: int = CELLS) -> DataFrame:
@@ -82,7 +80,7 @@ def ngram_counts(labelled: DataFrame, cells: int = CELLS) -> DataFrame:
         total: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
         for batch in batches:
-            labels = np.array(_labels(batch.column(1)), object)
+            labels = np.array(batch.column(1).to_pylist(), object)
             buf, offsets = text_buffer(batch.column(0))
             for label in labels:
                 docs[label] = docs.get(label, 0) + 1

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, simhash, substring
+from . import decontamination, language, mixing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_vptree": simhash.op2_simhash_vptree,
     "op3_substring_superkmer": substring.op3_substring_superkmer,
+    "op6_language_bayes": language.op6_language_bayes,
     "op7_mixing_blocks": mixing.op7_mixing_blocks,
     "op9_decontamination_winnowing": decontamination.op9_decontamination_winnowing,
 }
