@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, mixing, simhash, substring
+from . import decontamination, language, lattice, mixing, simhash, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_vptree": simhash.op2_simhash_vptree,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_bayes": language.op6_language_bayes,
     "op7_mixing_blocks": mixing.op7_mixing_blocks,
     "op9_decontamination_winnowing": decontamination.op9_decontamination_winnowing,
+    "op10_lattice_likelihood": lattice.op10_lattice_likelihood,
 }
 
 SQL: dict[str, str] = {
