@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lattice, mixing, simhash, substring
+from . import decontamination, language, lattice, mixing, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_zstd": warc.op1_warc_zstd,
     "op2_simhash_vptree": simhash.op2_simhash_vptree,
     "op3_substring_superkmer": substring.op3_substring_superkmer,
     "op6_language_bayes": language.op6_language_bayes,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_warc_zstd": warc.SQL,
     "op7_mixing_blocks": mixing.oracle(),
     "op9_decontamination_winnowing": decontamination.SQL,
 }

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh_path
@@ -215,6 +215,15 @@ def classified(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return out.select("page_id", "digest", "bytes", F.when(F.col("response") != F.col("page_id"), F.col("response")).alias("refers_to"))
 
 
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def _base32(hexadecimal: Column) -> Column:
+    """Base32 of a digest in hexadecimal: 5 digits are 20 bits are 4 letters."""
+    parts = [F.conv(F.substring(hexadecimal, 5 * k + 1, 5), 16, 10).cast("int") for k in range(8)]
+    return F.concat(*(F.substring(F.lit(_ALPHABET), F.shiftright(v, shift).bitwiseAND(31) + 1, F.lit(1)) for v in parts for shift in (15, 10, 5, 0)))
+
+
 def record_id(page_id: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
@@ -328,18 +337,17 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, least_bytes:
     folder = folder or fresh_path(spark, "warc")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").where("page_id is not null")
     kinds = classified(own, least_bytes)
-    # only revisits are looked up; distinct, as a page_id may come twice
+    # only revisits are looked up, by id and payload, as an id may come again with another
     revisits = kinds.where("refers_to is not null").select(F.col("page_id").alias("of_page"), "refers_to", F.col("digest").alias("of_digest")).distinct()
-    marked = own.withColumn("digest_hex", F.sha1(F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")))
-    revisits = revisits.select("of_page", "refers_to")
-    marked = marked.drop("digest_hex").join(revisits, F.col("page_id") == F.col("of_page"), "left").drop("of_page")
+    marked = own.withColumn("own_digest", _base32(F.sha1(F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8"))))
+    marked = marked.join(revisits, (F.col("page_id") == F.col("of_page")) & (F.col("own_digest") == F.col("of_digest")), "left")
     made = write_archives(marked, folder).agg(F.sum("records")).first()[0]
     if not made:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     read = read_archives(spark, folder)
     own = read.select("page_id", F.octet_length("payload").cast("long").alias("n"), "payload_digest", "record_type", "refers_to")
-    responses = own.where("record_type = 'response'").groupBy(F.col("page_id").alias("response")).agg(F.max("n").alias("full"))
-    out = own.join(responses, F.col("refers_to") == F.col("response"), "left")
+    responses = own.where("record_type = 'response'").groupBy(F.col("page_id").alias("response"), F.col("payload_digest").alias("full_digest")).agg(F.max("n").alias("full"))
+    out = own.join(responses, (F.col("refers_to") == F.col("response")) & (F.col("payload_digest") == F.col("full_digest")), "left")
     return out.select("page_id", F.coalesce("n", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
@@ -347,4 +355,10 @@ def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-SQL = ""
+SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS x FROM pages WHERE page_id IS NOT NULL),
+d AS (SELECT page_id, CAST(octet_length(x) AS BIGINT) AS payload_bytes, sha1(x) AS h FROM p),
+e AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('{_ALPHABET}', CAST((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS response FROM e)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN response <> page_id THEN response END AS refers_to FROM f
+"""
