@@ -93,8 +93,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, pivots
     centres = spark.sparkContext.broadcast(np.array([np.frombuffer(r[0]) for r in chosen]))
     n, n_queries = classes.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // QUERY_ROWS))
-    left = classes.select((F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(shards))).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), "vec", "ids")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).alias("block"), "vec_id", "vec")
+    left = classes.select((F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(shards))).alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), "vec", "ids")
+    right = queries.select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).alias("block"), "vec_id", "vec")
 
     def search(own, asked):
         out: list[np.ndarray] = []

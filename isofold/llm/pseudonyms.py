@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Callable
 
@@ -16,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_buffer
 
@@ -28,12 +30,10 @@ class Feistel:
 
     def __init__(self, key: bytes, tweak: str, n: int, rounds: int = ROUNDS):
         self.key, self.tweak, self.n, self.rounds = hashlib.blake2b(key, digest_size=32).digest(), tweak.encode(), n, rounds
-        self.side = 1
-        while self.side * self.side < n:
-            self.side = self.side * 2 if self.side * self.side * 4 < n else self.side + max(1, _root(n) - self.side)
+        self.side = math.isqrt(n - 1) + 1 if n > 1 else 1
 
     def _f(self, r: int, x: int) -> int:
-        raw = hashlib.blake2b(b"%d|%d|%d|" % (r, self.n, x) + self.tweak, key=self.key, digest_size=max(16, (self.side.bit_length() + 7) // 8 + 8) if self.side.bit_length() < 440 else 64).digest()
+        raw = hashlib.shake_256(self.key + b"%d|%d|%d|" % (r, self.n, x) + self.tweak).digest(self.side.bit_length() // 8 + 9)
         return int.from_bytes(raw, "big") % self.side
 
     def _once(self, x: int, back: bool) -> int:
@@ -55,12 +55,6 @@ class Feistel:
         return x
 
 
-def _root(n: int) -> int:
-    import math
-
-    return math.isqrt(n - 1) + 1
-
-
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -172,13 +166,13 @@ def _date(s: str, permute) -> str | None:
         return None
     if not _FIRST <= day <= _LAST:
         return None
-    for _ in range(400):
-        # a month-first date stays one: walk on to a day beyond 12, a day-first one to what can be read back as such
-        day = _FIRST + permute("date", day - _FIRST, _LAST - _FIRST + 1)
-        new = datetime.date.fromordinal(day)
-        if order == "mdy" and new.day <= 12 or order == "dmy" and "/" in s and False:
-            continue
-        break
+    day -= _FIRST
+    while True:
+        day = permute("date", day, _LAST - _FIRST + 1)
+        new = datetime.date.fromordinal(day + _FIRST)
+        # a month-first date is known by its day: walk on to one that is read so again
+        if order != "mdy" or new.day > 12:
+            break
     values = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
     seps = re.findall(r"[-/.]", s)
     return values[order[0]] + seps[0] + values[order[1]] + seps[1] + values[order[2]]
@@ -198,15 +192,14 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])", _secret),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", _iban),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
-    ("date", r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])", _date),
+    ("date", r"(?<![0-9./-])(?:[0-9]{4}(?P<sep1>[-/.])[0-9]{2}(?P=sep1)[0-9]{2}|[0-9]{2}(?P<sep2>[-/.])[0-9]{2}(?P=sep2)[0-9]{4})(?![0-9]|[./-][0-9])", _date),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])", _phone),
     ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])", _card),
 ]
-#: Every match holds a digit or an at sign at one of its first places; the lead finds where to look.
-_PATTERN = re.compile("|".join(f"(?P<{k}>{re.sub(r'\\([12])', lambda m, k=k: '(?P=' + k + m[1] + ')', re.sub(r'\(\[-/\.\]\)', lambda m, c=iter('12'), k=k: f'(?P<{k}{next(c)}>[-/.])', p))})" for k, p, _ in KINDS))
+_PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS))
 _BY_KIND = {k: f for k, _, f in KINDS}
-_RUN = re.compile(r"\S*[0-9@]\S*(?:[ ]\S*[0-9@]\S*)*")
+_RUN = re.compile(r"(?<!\S)\S*[0-9@]\S*(?: (?:\S*[0-9@]\S*|[A-Z]{4}(?!\S)))*")
 
 
 class Pseudonymizer:
@@ -269,8 +262,6 @@ def pseudonymized(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
             columns = [pa.array(texts, pa.string()) if i == place and texts else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int64()))], [*names, "pii_counts"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*own.schema.fields, T.StructField("pii_counts", T.MapType(T.StringType(), T.LongType()))])
     return own.mapInArrow(run, schema).toDF(*docs.columns, "pii_counts")
 

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lattice, mixing, simhash, substring, warc
+from . import decontamination, language, lattice, mixing, permutation, pseudonyms, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": warc.op1_warc_zstd,
     "op2_simhash_vptree": simhash.op2_simhash_vptree,
     "op3_substring_superkmer": substring.op3_substring_superkmer,
+    "op4_pii_feistel": pseudonyms.op4_pii_feistel,
+    "op5_permutation_index": permutation.op5_permutation_index,
     "op6_language_bayes": language.op6_language_bayes,
     "op7_mixing_blocks": mixing.op7_mixing_blocks,
     "op9_decontamination_winnowing": decontamination.op9_decontamination_winnowing,
