@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lattice, mixing, permutation, pseudonyms, simhash, substring, warc
+from . import decontamination, language, lattice, licenses, mixing, permutation, pseudonyms, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": warc.op1_warc_zstd,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_permutation_index": permutation.op5_permutation_index,
     "op6_language_bayes": language.op6_language_bayes,
     "op7_mixing_blocks": mixing.op7_mixing_blocks,
+    "op8_license_winnowing": licenses.op8_license_winnowing,
     "op9_decontamination_winnowing": decontamination.op9_decontamination_winnowing,
     "op10_lattice_likelihood": lattice.op10_lattice_likelihood,
 }
