@@ -211,3 +211,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     if label is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return label
+
+
+# ---------------------------------------------------------------- filters
+def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs without the rows whose doc_id is among ids (doc_id). Up to `broadcast_rows` ids are broadcast (8 MB), more are joined by a shuffle."""
+    ids = written(ids.select(F.col("doc_id").cast("long").alias("gone")).where("gone is not null").distinct(), "ids")
+    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == F.col("gone"), "left_anti")
