@@ -8,6 +8,8 @@ stay small however many rows a batch has; a longer single text makes a slice of
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -78,6 +80,14 @@ def forget(*tables: DataFrame) -> None:
             drop_path(t.sparkSession, path)
 
 
+# ---------------------------------------------------------------- memory
+def give_back() -> None:
+    """Returns what a batch used to the system: a worker that lives on would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # ---------------------------------------------------------------- Arrow buffers
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, and where each row begins (one more entry than rows); null is empty."""

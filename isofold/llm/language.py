@@ -12,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffer
+from .common import give_back, slices, text_buffer
 
 UNKNOWN = "und"
 #: Learning reads about this many labelled documents, chosen by a hash of doc_id; prediction reads all.
 FIT_ROWS = 20_000
 CELLS = 1 << 16
 ORDERS = (1, 2, 3)
+#: Bytes of text scored at once.
+SLICE = 500_000
 
 
 def _tables() -> np.ndarray:
@@ -84,17 +86,17 @@ def ngram_counts(labelled: DataFrame, cells: int = CELLS) -> DataFrame:
             buf, offsets = text_buffer(batch.column(0))
             for label in labels:
                 docs[label] = docs.get(label, 0) + 1
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 points, at = _points(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                own = np.repeat(labels[lo:hi], np.diff(at))
                 names = sorted(set(labels[lo:hi]))
-                code = np.searchsorted(np.array(names), own.astype(str)) if names else np.zeros(0, np.int64)
+                code = np.repeat([names.index(x) for x in labels[lo:hi]], np.diff(at))
                 for order in ORDERS:
-                    cell = _cells(points, order, cells)[: len(own)]
+                    cell = _cells(points, order, cells)[: len(code)]
                     mark = code[: len(cell)]
                     for i, name in enumerate(names):
                         mine = cell[(mark == i) & (cell >= 0)]
                         total[name] = total.get(name, 0) + np.bincount(mine, minlength=cells)
+            give_back()
         for name, n in docs.items():
             counts = total.get(name, np.zeros(cells, np.int64))
             used = np.flatnonzero(counts)
@@ -126,7 +128,7 @@ class NaiveBayes:
     def predict(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         """(label, posterior of it) of each row; texts without a letter, or a model without languages, give `und` and 0."""
         labels, scores = [], []
-        for lo, hi in slices(offsets, 1_000_000):
+        for lo, hi in slices(offsets, SLICE):
             points, at = _points(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             letters = np.diff(np.concatenate(([0], np.cumsum(points != 0x20)))[at])
             if not self.labels:
@@ -177,9 +179,13 @@ def identified(docs: DataFrame, model: NaiveBayes) -> DataFrame:
     own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)), F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
-            labels, scores = shared.value.predict(*text_buffer(batch.column(len(keep))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+        for whole in batches:
+            _, bytes_ = text_buffer(whole.column(len(keep)))
+            for lo, hi in slices(bytes_, 4_000_000):
+                batch = whole.slice(lo, hi - lo)
+                labels, scores = shared.value.predict(*text_buffer(batch.column(len(keep))))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+            give_back()
 
     schema = own.select(*names).schema.add("lang_pred", "string").add("score", "double")
     out = own.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_buffer
+from .common import give_back, slices, text_buffer
 
 ROUNDS = 10
 DEMO_KEY = b"isofold pseudonyms"
@@ -247,20 +247,24 @@ def pseudonymized(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
 
     def run(batches):
         worker = Pseudonymizer(key, back)
-        for batch in batches:
-            column = batch.column(place)
-            buf, offsets = text_buffer(column)
-            has = np.zeros(batch.num_rows, bool)
-            filled = np.flatnonzero(np.diff(offsets))
-            if len(filled):
-                has[filled] = np.add.reduceat(marks[buf], offsets[filled]) > 0
-            texts = column.to_pylist() if has.any() else None
-            counts: list = [{}] * batch.num_rows
-            if texts:
-                for i in np.flatnonzero(has).tolist():
-                    texts[i], counts[i] = worker(texts[i])
-            columns = [pa.array(texts, pa.string()) if i == place and texts else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int64()))], [*names, "pii_counts"])
+        for whole in batches:
+            _, bytes_ = text_buffer(whole.column(place))
+            for lo, hi in slices(bytes_, 4_000_000):
+                batch = whole.slice(lo, hi - lo)
+                column = batch.column(place)
+                buf, offsets = text_buffer(column)
+                has = np.zeros(batch.num_rows, bool)
+                filled = np.flatnonzero(np.diff(offsets))
+                if len(filled):
+                    has[filled] = np.add.reduceat(marks[buf], offsets[filled]) > 0
+                texts = column.to_pylist() if has.any() else None
+                counts: list = [{}] * batch.num_rows
+                if texts:
+                    for i in np.flatnonzero(has).tolist():
+                        texts[i], counts[i] = worker(texts[i])
+                columns = [pa.array(texts, pa.string()) if i == place and texts else c for i, c in enumerate(batch.columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int64()))], [*names, "pii_counts"])
+            give_back()
 
     schema = T.StructType([*own.schema.fields, T.StructField("pii_counts", T.MapType(T.StringType(), T.LongType()))])
     return own.mapInArrow(run, schema).toDF(*docs.columns, "pii_counts")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, components, lowered, slices, text_buffer, word_bounds, written
+from .common import WHITE, components, give_back, lowered, slices, text_buffer, word_bounds, written
 
 SHINGLE_SEED = 42
 
@@ -102,6 +102,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str
             for lo, hi in slices(offsets):
                 out[lo:hi] = _slice_fingerprints(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            give_back()
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
