@@ -91,7 +91,7 @@ class Field:
 def per_field(vertices: DataFrame, cells: DataFrame, kernel: Callable[[int, Field, pd.DataFrame], pd.DataFrame], schema: str, value: str = "value", offset: str | None = None) -> DataFrame:
     """kernel(ds, field, edges) for each ds; its result's columns are the schema's."""
     v = vertices.select("ds", "vid", cleaned(value).alias("value"), F.col(offset or "vid").cast("long").alias("offset"))
-    e = incidence.edges(cells)
+    e = _edges_apart(cells)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -99,7 +99,12 @@ def per_field(vertices: DataFrame, cells: DataFrame, kernel: Callable[[int, Fiel
             return pd.DataFrame({n: [] for n in names})
         return kernel(int(left["ds"].iloc[0]), Field(left, right), right)[names]
 
-    return v.groupBy("ds").cogroup(e.groupBy("ds")).applyInPandas(run, schema)
+    return v.groupBy("ds").cogroup(e.groupBy("e_ds")).applyInPandas(run, schema)
+
+
+def _edges_apart(cells: DataFrame) -> DataFrame:
+    """Edges with a key of another name than the vertices', from which the cells may come."""
+    return incidence.edges(cells).select(F.col("ds").alias("e_ds"), "a", "b")
 
 
 DIAGRAM = "ds long, birth_vid long, death_vid long, pair_type int, birth_type int, death_type int, birth double, death double, persistence double"
@@ -201,7 +206,7 @@ def simplified(vertices: DataFrame, cells: DataFrame, keep: DataFrame, value: st
     """(ds, vid, value, offset) in which only the extrema in keep (ds, vid) remain. offset is the vertex's place in the new order."""
     marked = vertices.join(keep.select("ds", "vid", F.lit(1).alias("_keep")), ["ds", "vid"], "left")
     v = marked.select("ds", "vid", cleaned(value).alias("value"), F.col(offset or "vid").cast("long").alias("offset"), F.coalesce("_keep", F.lit(0)).alias("keep"))
-    e = incidence.edges(cells)
+    e = _edges_apart(cells)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -211,7 +216,7 @@ def simplified(vertices: DataFrame, cells: DataFrame, keep: DataFrame, value: st
         values, order = kernels.simplify(f.values, f.order, f.starts, f.nbrs, wanted)
         return pd.DataFrame({"ds": int(left["ds"].iloc[0]), "vid": f.ids, "value": values, "offset": order})
 
-    return v.groupBy("ds").cogroup(e.groupBy("ds")).applyInPandas(run, "ds long, vid long, value double, offset long")
+    return v.groupBy("ds").cogroup(e.groupBy("e_ds")).applyInPandas(run, "ds long, vid long, value double, offset long")
 
 
 def discrete_gradient(vertices: DataFrame, cells: DataFrame, value: str = "value", offset: str | None = None) -> DataFrame:
@@ -350,7 +355,7 @@ def mandatory_minima(vertices: DataFrame, cells: DataFrame, lower: str = "lower"
     not been claimed by another; lo is that component's least lower value, hi the minimum's upper value.
     """
     v = vertices.select("ds", "vid", cleaned(lower).alias("value"), cleaned(upper).alias("top"), F.col("vid").alias("offset"))
-    e = incidence.edges(cells)
+    e = _edges_apart(cells)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["ds", "vid", "lo", "hi"]
@@ -384,7 +389,7 @@ def mandatory_minima(vertices: DataFrame, cells: DataFrame, lower: str = "lower"
                 out.append((int(left["ds"].iloc[0]), f.ids[m], least[r], top[m]))
         return pd.DataFrame(out, columns=names)
 
-    return v.groupBy("ds").cogroup(e.groupBy("ds")).applyInPandas(run, "ds long, vid long, lo double, hi double")
+    return v.groupBy("ds").cogroup(e.groupBy("e_ds")).applyInPandas(run, "ds long, vid long, lo double, hi double")
 
 
 def mandatory_critical_points(vertices: DataFrame, cells: DataFrame, lower: str = "lower", upper: str = "upper") -> DataFrame:
