@@ -132,7 +132,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, broadcast_sources: int
     blocks = placed(docs_.select("row", "doc_id", "s", "size")).where("size > 0")
     blocks = blocks.select("row", "s", "size", "begins", F.explode(F.expr(f"sequence(begins div {block_words}, (begins + size - 1) div {block_words})")).alias("block"))
     words = F.expr(f"least(begins + size, (block + 1) * {block_words}) - greatest(begins, block * {block_words})")
-    taken = blocks.select("row", "s", "block", words.alias("words")).join(counts, ["s", "block"]).groupBy(F.col("row").alias("of_row")).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # the planner takes the slots for as small as the targets that they are made from, and would broadcast them
+    taken = blocks.select("row", "s", "block", words.alias("words")).join(counts.hint("merge"), ["s", "block"]).groupBy(F.col("row").alias("of_row")).agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = docs_.join(taken, docs_["row"] == taken["of_row"], "left")
     return out.select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
