@@ -159,12 +159,14 @@ def _confirmed(words, index: Index, at, lo, hi, band: int, coverage: float):
     found = []
     for t, diagonals in seeds.items():
         template, done = index.words[t], None
+        # a short template has a narrow band, else its next copy would fall into it
+        own = max(1, min(band, len(template) // 4))
         for d in sorted(set(diagonals)):
-            if done is not None and d - done <= band:
+            if done is not None and d - done <= own:
                 continue
             done = d
-            near = sorted(x for x in diagonals if d <= x <= d + band)
-            matched, first, last = aligned(words, template, near[len(near) // 2], band)
+            near = sorted(x for x in diagonals if d <= x <= d + own)
+            matched, first, last = aligned(words, template, near[len(near) // 2], own)
             if matched >= coverage * len(template):
                 found.append((t, matched / len(template), matched, first, last))
     # of overlapping spans of one template the better stays
