@@ -7,9 +7,9 @@ the mix meets its targets to within a block. The k-th slot of a source takes blo
 pseudorandom permutation of the source's block indices that changes with each pass over the source; slots and documents meet in
 a join by block index.
 
-The permutations are swap-or-not shuffles: each round exchanges x and its mirror (K - x) mod n, or not, by a
-bit that both share, so any n is permuted exactly with no walk or sort. All arithmetic is on whole numbers below 2^62 and the
-same in any SQL engine.
+The permutations are swap-or-not shuffles with a multiplication: each round exchanges x and its mirror (K - x) mod n, or not,
+by a bit that both share, then multiplies by a prime above n, so any n is permuted exactly with no walk or sort. All arithmetic is
+on whole numbers below 2^62 and the same in any SQL engine; beyond 2^31 slots it would overflow, which Spark reports: take larger blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ SHARD_SLOTS = 16_384
 ROUNDS = 6
 WORD = r"[^\x20\x09-\x0D]+"
 _P = 2147483647
+#: The largest primes below 2^31. Larger than any number of slots, each is coprime to it.
+_PRIMES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549)
 
 
 def _key(seed: str, r: int) -> str:
@@ -44,7 +46,7 @@ def shuffle_rounds(x: str, n: str, seed: str, rounds: int = ROUNDS) -> list[list
         steps.append([("sh", f"({_square('sh')} + sk) % {_P}")])
         steps.append([("sh", f"({_square('sh')} * 48271 + sk) % {_P}")])
         steps.append([("sh", _square("sh"))])
-        steps.append([(x, f"CASE WHEN sh % 4096 < 2048 THEN {x} ELSE sm END")])
+        steps.append([(x, f"((CASE WHEN sh % 4096 < 2048 THEN {x} ELSE sm END) * {_PRIMES[r % len(_PRIMES)]} + sk) % {n}")])
     return steps
 
 
