@@ -24,14 +24,14 @@ def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     c = lines.where((F.col("n") >= first + n) & (F.col("n") < first + n + m))
     if v.count() != n or c.count() != m:
         raise ValueError(f"the file says {n} points and {m} cells and has fewer lines")
-    bad = c.where(~F.col("w")[0].cast("int").between(2, 4)).limit(1).collect()
+    bad = c.where(~F.coalesce(F.col("w")[0].try_cast("int").between(2, 4), F.lit(False))).limit(1).collect()
     if bad:
         raise ValueError(f"a cell of {bad[0]['w'][0]} vertices")
     extra_v = max(0, (v.where(F.col("n") == first).select(F.size("w")).first() or [3])[0] - 3)
-    top = c.where(F.col("n") == first + n).select(F.size("w") - 1 - F.col("w")[0].cast("int")).first()
+    top = c.where(F.col("n") == first + n).select(F.size("w") - 1 - F.col("w")[0].try_cast("int")).first()
     extra_c = max(0, top[0]) if top else 0
     vertices = v.select(F.lit(0).cast("long").alias("ds"), (F.col("n") - first).alias("vid"), *(F.col("w")[k].cast("double").alias(a) for k, a in enumerate("xyz")), *(F.col("w")[3 + k].cast("double").alias(f"VertScalarField_{k}") for k in range(extra_v)))
-    size = F.col("w")[0].cast("int")
+    size = F.col("w")[0].try_cast("int")
     cells = c.select(F.lit(0).cast("long").alias("ds"), (F.col("n") - first - n).alias("cid"), F.slice("w", F.lit(2), size).cast("array<bigint>").alias("verts"), *(F.element_at("w", size + 2 + k).cast("double").alias(f"CellScalarField_{k}") for k in range(extra_c)))
     return vertices, cells
 
