@@ -24,11 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def settled(df: DataFrame, name: str = "step") -> DataFrame:
-    """df written as Parquet to the shared folder and read back: a loop's next round starts from files, whatever executors are lost."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has; what is there at exit is deleted."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _OWN.append((spark, path))
+    return path
+
+
+def settled(df: DataFrame, name: str = "step") -> DataFrame:
+    """df written as Parquet to the shared folder and read back: a loop's next round starts from files, whatever executors are lost."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path

@@ -136,7 +136,7 @@ def texture_map(df: DataFrame, u: str, v: str, repeat: bool = False, only_u: boo
     return out.drop(*(f"{p}_{x}" for x in (u, v) for p in ("lo", "hi")))
 
 
-def identifiers(df: DataFrame, by: Sequence[str], name: str = "ttkVertexScalarField") -> DataFrame:
+def identifiers(df: DataFrame, by: Sequence[str], name: str = "VertexIdentifiers") -> DataFrame:
     """A dense global id, the place of each row in the order of `by`, numbered over ranges."""
     return dense_index(df, list(by), name)
 

@@ -84,11 +84,11 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 def write_products(products: DataFrame, path: str, keys: Sequence[str]) -> None:
     """Appends products, told apart by their keys, to a catalogue: rows with equal keys are replaced, with their data.
 
-    Columns whose names begin with _ttk and FILE aren't keys' values and are dropped. The data of a product is Parquet under data/, in a folder for its key.
+    FILE and internal columns, whose names begin with an underscore, are dropped. The data of a product is Parquet under data/, in a folder for its key.
     """
     path = _folder(path)
     spark = products.sparkSession
-    own = products.drop("FILE", *(c for c in products.columns if c.startswith("_ttk")))
+    own = products.drop("FILE", *(c for c in products.columns if c.startswith("_")))
     named = product_key(own, keys)
     rows = named.select(*keys, "FILE").distinct()
     fs, at = _file(spark, f"{path}/data.csv")
