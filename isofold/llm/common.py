@@ -1,4 +1,4 @@
-"""Helpers shared by the operators: shared storage, vectorised word splitting and hashing, components.
+"""Helpers shared by the operators: vectorised word splitting and hashing, memory, filters.
 
 Word splitting works on the UTF-8 buffer of an Arrow column without making a Python
 string per document. Text is taken in slices of a few MB, so that the arrays beside it
@@ -7,18 +7,18 @@ stay small however many rows a batch has; a longer single text makes a slice of
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import fresh_path  # noqa: F401  used with the helpers below
+from ..functions.storage import settled as written  # noqa: F401
+
 SLICE_BYTES = 2_000_000
 
 WHITE = np.zeros(256, dtype=bool)
@@ -27,59 +27,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
-# ---------------------------------------------------------------- storage
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    own = getattr(spark.sparkContext, "_isofold_dir", None)
-    if own is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        own = spark.sparkContext._isofold_dir = "file://" + tempfile.mkdtemp(prefix="isofold-")
-    return own
-
-
-_OWN: list[tuple[SparkSession, str]] = []
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _OWN.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _tidy() -> None:
-    for spark, path in _OWN:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the JVM may be gone at exit
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, and a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._isofold_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Deletes tables made by written() that no later step reads."""
-    for t in tables:
-        if path := getattr(t, "_isofold_path", None):
-            drop_path(t.sparkSession, path)
-
-
 # ---------------------------------------------------------------- memory
 def give_back() -> None:
     """Returns what a batch used to the system: a worker that lives on would keep the most it ever held."""
@@ -191,38 +138,6 @@ class SpanHash:
         return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-# ---------------------------------------------------------------- components
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component) for nodes of edges (a, b): component is the smallest node reachable.
-
-    Each round sends every node to its smallest neighbour, follows those pointers once more, and
-    contracts the edges; the map from nodes to what stands for them is kept as a written table. No
-    neighbour list is gathered: minima are combined before the shuffle, so a hub costs a row a task.
-    """
-    edges = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), name)
-    label, old = None, []
-    while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("m"))
-        step = written(step, name)
-        jump = step.alias("s").join(step.select(F.col("v").alias("m"), F.col("m").alias("mm")).alias("t"), "m").select("v", F.col("mm").alias("m"))
-        jump = written(jump, name)
-        left, right = jump.select(F.col("v").alias("a"), F.col("m").alias("ma")), jump.select(F.col("v").alias("b"), F.col("m").alias("mb"))
-        fewer = edges.join(left, "a").join(right, "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
-        if label is None:
-            now = jump.select(F.col("v").alias("node"), F.col("m").alias("component"))
-        else:
-            now = label.join(jump, label["component"] == jump["v"], "left").select("node", F.coalesce("m", "component").alias("component"))
-        now = written(now, name)
-        fewer = written(fewer, name)
-        forget(edges, step, *old)
-        old = [jump, now]
-        edges, label = fewer, now
-    if label is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return label
-
-
 # ---------------------------------------------------------------- filters
 def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs without the rows whose doc_id is among ids (doc_id). Up to `broadcast_rows` ids are broadcast (8 MB), more are joined by a shuffle."""

@@ -112,7 +112,10 @@ def placed(base: DataFrame) -> DataFrame:
 def mix_slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS, chunk: int = 4096) -> DataFrame:
     """(s, k, pass, block, place, shard): the mix, a row for each slot. Slots are made in even chunks from the targets alone."""
     df = targets.where("slots > 0").select("s", "blocks", "slots", "slot_from", "all_slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {chunk})")).alias("c"))
-    df = df.repartition(F.col("s"), F.col("c"))
+    # a number of its own keeps the chunks apart: they are small until each makes its slots
+    made = targets.agg(F.max("all_slots")).first()[0] or 0
+    parts = max(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), made // 500_000)
+    df = df.repartition(parts, F.col("s"), F.col("c"))
     df = df.select("s", "blocks", "slot_from", "all_slots", F.explode(F.expr(f"sequence(c * {chunk}, least(slots, (c + 1) * {chunk}) - 1)")).alias("k"))
     df = df.withColumns({"pass": F.expr("k div blocks"), "block": F.expr("k % blocks"), "place": F.expr("slot_from + k")})
     df = _shuffled(df, "block", "blocks", "s * 7919 + pass * 104729")

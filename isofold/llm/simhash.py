@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, components, give_back, lowered, slices, text_buffer, word_bounds, written
+from ..operators.graph import components
+from .common import WHITE, give_back, lowered, slices, text_buffer, word_bounds, written
 
 SHINGLE_SEED = 42
 
@@ -251,7 +252,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 3, **options)
     fps = written(fingerprints(docs, shingle), "simhash")
     classes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     edges = near_links(classes, bits, **options)
-    found = components(edges, "simhash-components")
+    found = components(edges)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 

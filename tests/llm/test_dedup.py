@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from isofold.llm import simhash, substring
-from isofold.llm.common import components
+from isofold.operators.graph import components
 
 from . import brute
 
