@@ -45,14 +45,16 @@ def hungarian(cost: np.ndarray) -> tuple[np.ndarray, float]:
 def diagonal_assignment(cost: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[list[tuple[int, int, float]], float]:
     """The cheapest matching in which any row and column may also go unmatched at its own cost: [(i or -1, j or -1, cost)], total."""
     n, m = len(rows), len(columns)
-    full = np.zeros((n + m, n + m))
-    full[:n, :m] = cost
-    full[:n, m:] = rows[:, None]
-    full[n:, :m] = columns[None, :]
-    to, total = hungarian(full) if n + m else (np.zeros(0, np.int64), 0.0)
+    if n > m:
+        flipped, total = diagonal_assignment(cost.T, columns, rows)
+        return [(j, i, c) for i, j, c in flipped], total
+    # against all columns unmatched, a match saves its column's cost; a row may also take a column of its own
+    full = np.concatenate((cost.reshape(n, m) - columns[None, :], np.repeat(np.asarray(rows, float)[:, None], n, 1)), 1)
+    to, gain = hungarian(full) if n else (np.zeros(0, np.int64), 0.0)
     out = [(i, int(to[i]), float(cost[i, to[i]])) if to[i] < m else (i, -1, float(rows[i])) for i in range(n)]
-    out += [(-1, int(to[n + k]), float(columns[to[n + k]])) for k in range(m) if to[n + k] < m]
-    return out, total
+    taken = set(to[to < m].tolist())
+    out += [(-1, j, float(columns[j])) for j in range(m) if j not in taken]
+    return out, float(np.sum(columns)) + gain
 
 
 def _augmenting(allowed: list[np.ndarray], n_columns: int) -> np.ndarray:

@@ -191,15 +191,10 @@ def tree_matching(a: Tree, b: Tree, o: Options) -> tuple[list[tuple[int, int]],
     same = ((ra[:, None, :] - rb[None, :, :]) ** 2).sum(2)
     if not o.min_max_pair:
         same[a.root, b.root] = 0.0
-    cost, how = {}, {}
-
-    def solve(i: int, j: int) -> None:
-        ca, cb = a.children[i], b.children[j]
-        inner = np.array([[cost[x, y] for y in cb] for x in ca]).reshape(len(ca), len(cb))
-        pairs, total = diagonal_assignment(inner, da[ca] if ca else np.zeros(0), db[cb] if cb else np.zeros(0))
-        cost[i, j] = same[i, j] + total
-        how[i, j] = [(ca[x], cb[y]) for x, y, _ in pairs if x >= 0 and y >= 0]
-
+    # without children on one side all children of the other go
+    below = [np.array([sum(d[c] for c in kids) for kids in t.children]) for t, d in ((a, da), (b, db))]
+    cost = same + below[0][:, None] + below[1][None, :]
+    how: dict[tuple[int, int], list[tuple[int, int]]] = {}
     depth = [np.zeros(len(t.birth), int) for t in (a, b)]
     for t, d in zip((a, b), depth):
         for i in t.preorder():
@@ -208,13 +203,20 @@ def tree_matching(a: Tree, b: Tree, o: Options) -> tuple[list[tuple[int, int]],
     # only branches of one depth can be partners; deepest first
     for level in range(min(depth[0].max(), depth[1].max()), -1, -1):
         for i in np.flatnonzero(depth[0] == level).tolist():
+            ca = a.children[i]
+            if not ca:
+                continue
             for j in np.flatnonzero(depth[1] == level).tolist():
-                solve(i, j)
+                cb = b.children[j]
+                if cb:
+                    pairs, total = diagonal_assignment(cost[np.ix_(ca, cb)], da[ca], db[cb])
+                    cost[i, j] = same[i, j] + total
+                    how[i, j] = [(ca[x], cb[y]) for x, y, _ in pairs if x >= 0 and y >= 0]
     out, stack = [], [(a.root, b.root)]
     while stack:
         pair = stack.pop()
         out.append(pair)
-        stack += how[pair]
+        stack += how.get(pair, [])
     return out, float(cost[a.root, b.root])
 
 
@@ -247,41 +249,100 @@ def matching_table(trees: DataFrame, i: int, j: int, o: Options = Options()) ->
     return spark.createDataFrame(rows, "branch1 long, branch2 long, MatchingType int, MeanMatchedPersistence double, Cost double")
 
 
+def _contribution(centre: Tree, member: Tree, o: Options) -> tuple[float, list[tuple[int, float, float]], list[tuple[bool, int, float, float]]]:
+    """(squared distance, matched (branch of the centre, birth, death), unmatched (hangs on a matched one, its parent's place, birth, death)) of one member.
+
+    An unmatched branch's parent is a branch of the centre, or by its place an unmatched one before it.
+    """
+    pairs, cost = tree_matching(centre, member, o)
+    rel = relative(member, o.normalized)
+    to = {y: (True, x) for x, y in pairs}
+    fresh: list[tuple[bool, int, float, float]] = []
+    for y in member.preorder():
+        if y not in to:
+            fresh.append((*to[int(member.parent[y])], *rel[y].tolist()))
+            to[y] = (False, len(fresh) - 1)
+    return cost, [(x, *rel[y].tolist()) for x, y in pairs], fresh
+
+
+def _moved(centre: Tree, total: np.ndarray, mass: np.ndarray, fresh: list[list[tuple[float, bool, int, float, float]]], o: Options) -> Tree:
+    """The centre's branches at the weighted mean of their partners, where what has none there pulls to the diagonal, with the unmatched branches added.
+
+    total and mass: weighted sums of partners and weights by branch; fresh: each member's unmatched (weight, on a matched one, parent, birth, death).
+    """
+    n = len(centre.birth)
+    rel = relative(centre, o.normalized)
+    mean = total / np.where(mass > 0, mass, 1)[:, None]
+    new = np.where(mass[:, None] > 0, mass[:, None] * mean + (1 - mass[:, None]) * mean.mean(1)[:, None], rel.mean(1)[:, None])
+    more, hang = [], []
+    for own in fresh:
+        base = n + len(more)
+        for w, matched, parent, b, d in own:
+            middle = (b + d) / 2
+            more.append((w * b + (1 - w) * middle, w * d + (1 - w) * middle))
+            hang.append(parent if matched else base + parent)
+    new = np.concatenate((new, np.array(more).reshape(-1, 2)))
+    tree = absolute(new, np.concatenate((centre.parent, np.array(hang, np.int64))), centre.root, o.normalized)
+    keep = np.abs(new[:, 1] - new[:, 0]) > 1e-6
+    keep[centre.root] = True
+    return tree.subset(keep)
+
+
 def _mean_step(centre: Tree, members: list[Tree], weights: np.ndarray, o: Options) -> tuple[Tree, float]:
     """The centre after one assignment and update, and the energy before it."""
-    rel = relative(centre, o.normalized)
     n = len(centre.birth)
-    total, mass = np.zeros((n, 2)), np.zeros(n)
-    fresh: list[tuple[int, np.ndarray, int]] = []
-    energy = 0.0
+    total, mass, fresh, energy = np.zeros((n, 2)), np.zeros(n), [], 0.0
     for m, w in zip(members, weights):
-        pairs, cost = tree_matching(centre, m, o)
+        cost, matched, own = _contribution(centre, m, o)
         energy += w * cost
-        rm = relative(m, o.normalized)
-        to = {}
-        for x, y in pairs:
-            total[x] += w * rm[y]
+        for x, b, d in matched:
+            total[x] += (w * b, w * d)
             mass[x] += w
-            to[y] = x
-        for y in m.preorder():
-            if y in to:
-                continue
-            middle = rm[y].mean()
-            fresh.append((to[int(m.parent[y])], w * rm[y] + (1 - w) * middle, n + len(fresh)))
-            to[y] = n + len(fresh) - 1
-    new = np.zeros((n, 2))
-    for x in range(n):
-        if mass[x] > 0:
-            mean = total[x] / mass[x]
-            new[x] = mass[x] * mean + (1 - mass[x]) * mean.mean()
-        else:
-            new[x] = rel[x].mean()
-    new = np.concatenate((new, np.array([f[1] for f in fresh]).reshape(-1, 2)))
-    parent = np.concatenate((centre.parent, np.array([f[0] for f in fresh], np.int64)))
-    tree = absolute(new, parent, centre.root, o.normalized)
-    keep = np.abs(new[:, 1] - new[:, 0]) > 1e-6
-    keep[centre.root] = True
-    return tree.subset(keep), energy
+        fresh.append([(w, *f) for f in own])
+    return _moved(centre, total, mass, fresh, o), energy
+
+
+def barycenter(trees: DataFrame, o: Options = Options(), rounds: int = 50) -> tuple[DataFrame, float]:
+    """(branches of the barycenter, energy) of all trees. The centre, one tree, lives on the driver; each round matches all members to it in
+    parallel, sums partners by branch in Spark, and brings back those sums and the branches that are to be added.
+    """
+    spark = trees.sparkSession
+    own = settled(trees.select("ds", "branch", "parent", "birth", "death"), "trees")
+    n = own.select("ds").distinct().count()
+    if not n:
+        return spark.createDataFrame([], BRANCHES), 0.0
+    if n <= 256:
+        sums = distance_matrix(own, o).groupBy("i").agg(F.sum(F.col("dist") * F.col("dist")).alias("s"))
+        start = sums.orderBy("s", "i").first()["i"]
+    else:  # as many distances as members, to the tree with the median number of branches
+        sizes = own.groupBy("ds").count().orderBy("count", "ds")
+        start = sizes.limit(n // 2 + 1).orderBy(F.desc("count"), F.desc("ds")).first()["ds"]
+    centre = preprocessed(Tree.of(own.where(F.col("ds") == start).toPandas()), o)
+    best, least, last = centre, np.inf, np.inf
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(centre)
+
+        def match(pdf: pd.DataFrame) -> pd.DataFrame:
+            cost, matched, fresh = _contribution(shared.value, preprocessed(Tree.of(pdf), o), o)
+            ds = int(pdf["ds"].iloc[0])
+            rows = [(ds, 0, 0, False, 0, cost, 0.0)] + [(ds, 1, x, True, 0, b, d) for x, b, d in matched]
+            rows += [(ds, 2, k, on, p, b, d) for k, (on, p, b, d) in enumerate(fresh)]
+            return pd.DataFrame(rows, columns=["ds", "kind", "x", "matched", "parent", "b", "d"])
+
+        parts = settled(own.groupBy("ds").applyInPandas(match, "ds long, kind int, x long, matched boolean, parent long, b double, d double"), "matched")
+        energy = parts.where("kind = 0").agg(F.sum("b")).first()[0] / n
+        if energy < least:
+            best, least = centre, energy
+        if np.isfinite(last) and abs(last - energy) <= energy / 125:
+            break
+        sums = parts.where("kind = 1").groupBy("x").agg(F.sum("b").alias("b"), F.sum("d").alias("d"), F.count("*").alias("k")).toPandas()
+        total, mass = np.zeros((len(centre.birth), 2)), np.zeros(len(centre.birth))
+        total[sums["x"]] = sums[["b", "d"]].to_numpy() / n
+        mass[sums["x"]] = sums["k"].to_numpy() / n
+        added = parts.where("kind = 2").orderBy("ds", "x").toPandas()
+        fresh = [[(1 / n, bool(on), int(p), b, d) for on, p, b, d in g[["matched", "parent", "b", "d"]].itertuples(index=False)] for _, g in added.groupby("ds")]
+        centre, last = _moved(centre, total, mass, fresh, o), energy
+    return spark.createDataFrame(best.rows(0), BRANCHES), float(least)
 
 
 def barycenter_of(trees: list[Tree], o: Options = Options(), weights: np.ndarray | None = None, rounds: int = 50) -> tuple[Tree, float]:

@@ -626,7 +626,8 @@ def _(spark, d):
 
 @_add("merge_tree_barycenter")
 def merge_tree_barycenter(spark, d):
-    return rounded(mergetrees.barycenters(mergetrees.branch_trees(*_daily(spark, d), kind="split")), "birth", "death", "energy")
+    centre, energy = mergetrees.barycenter(mergetrees.branch_trees(*_daily(spark, d), kind="split"))
+    return rounded(centre.withColumn("energy", F.lit(energy)), "birth", "death", "energy")
 
 
 @_add("merge_tree_matching")

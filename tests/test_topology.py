@@ -208,3 +208,13 @@ def test_tree_threshold_and_clusters(spark):
     assert len(removed) == 2 and 0 not in removed and 5 not in removed
     m = mergetrees.distance_matrix(trees)
     assert m.count() == 36 and m.where("i = j and dist <> 0").count() == 0
+
+
+def test_barycenters_in_parallel_and_in_one_task_agree(spark):
+    rng = np.random.default_rng(8)
+    v, c = path(spark, *[np.round(np.sin(np.arange(20)) + 0.2 * rng.normal(size=20), 3) for _ in range(5)])
+    trees = mergetrees.branch_trees(v, c)
+    far, energy = mergetrees.barycenter(trees)
+    near = mergetrees.barycenters(trees)
+    a, b = mergetrees.Tree.of(far.toPandas()), mergetrees.Tree.of(near.toPandas())
+    assert abs(energy - near.first()["energy"]) < 1e-9 and mergetrees.tree_distance(a, b) < 1e-6
