@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import settled
+
 
 def cleaned(value: str | Column) -> Column:
     """Null and NaN count as 0, as the tree operators take them."""
@@ -15,10 +17,11 @@ def cleaned(value: str | Column) -> Column:
 def dense_index(df: DataFrame, by: list[Column | str], name: str = "index", start: int = 0) -> DataFrame:
     """Adds the 0-based place of each row in a total order, with no single task that holds all rows.
 
-    Rows are dealt by range; each range is numbered by itself, and the ranges' sizes, a row for each partition, give what comes before.
+    Rows are dealt by range; each range is numbered by itself, and the ranges' sizes, a row for each partition, give what comes before. The
+    dealt rows are a written table, as ranges drawn twice, or again after a loss, need not be the same.
     """
     keys = [F.col(b) if isinstance(b, str) else b for b in by]
-    ranged = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    ranged = settled(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
     local = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
     numbered = ranged.withColumn("_local", local)
     sizes = ranged.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).select("_part", "_before")

@@ -38,7 +38,7 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 # ---------------------------------------------------------------- SQL over tables
 _STATEMENTS = {
-    "sql_join_aggregate": "SELECT n.n_name AS nation, o.o_orderpriority AS priority, count(*) AS n, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, o.o_orderpriority HAVING count(*) > 1",
+    "sql_join_aggregate": "SELECT n.n_name AS nation, o.o_orderpriority AS priority, count(*) AS n, CAST(sum(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, o.o_orderpriority HAVING count(*) > 1",
     "sql_semi_anti": "SELECT c_mktsegment AS segment, count(*) AS n FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F') AND NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000) GROUP BY c_mktsegment",
     "sql_rollup": "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, round(avg(l_quantity), 6) AS quantity FROM {lineitem} GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "sql_set_operations": "SELECT o_custkey AS k FROM {orders} WHERE o_orderstatus = 'O' INTERSECT SELECT c_custkey FROM {customer} WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderstatus = 'P'",
