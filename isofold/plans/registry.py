@@ -648,3 +648,65 @@ def _(spark, d):
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
     return persistence_curve(spark, d)
+
+
+# ---------------------------------------------------------------- the rest of the surface
+@_add("data_set_to_table", "SELECT c_custkey AS vid, c_mktsegment AS segment, c_acctbal AS balance FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("vid"), F.col("c_nationkey").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    return columns.as_table(c)
+
+
+@_add("cell_component_size", """WITH k AS (SELECT n_regionkey AS r, count(*) AS n FROM nation GROUP BY 1) SELECT CAST(n_nationkey + 100 AS BIGINT) AS vid, n + 1 AS vertices, n AS cells FROM nation JOIN k ON r = n_regionkey
+UNION ALL SELECT CAST(r AS BIGINT), n + 1, n FROM k""")
+def _(spark, d):
+    n = table(spark, d, "nation")
+    v = n.select((F.col("n_nationkey") + 100).cast("long").alias("vid")).union(n.select(F.col("n_regionkey").cast("long").alias("vid")).distinct())
+    c = n.select(F.col("n_nationkey").cast("long").alias("cid"), F.array(F.col("n_regionkey").cast("long"), (F.col("n_nationkey") + 100).cast("long")).alias("verts"))
+    return graph.cell_components(c, v)[0].select("vid", F.col("VertexNumber").alias("vertices"), F.col("CellNumber").alias("cells"))
+
+
+@_add("periodic_grid", "SELECT 0 AS dim, 744::BIGINT AS n UNION ALL SELECT 1, 3 * 744 UNION ALL SELECT 2, 2 * 744")
+def _(spark, d):
+    g = incidence.Grid(24, 31, periodic=True)
+    return incidence.counts(g.vertices(spark), g.cells(spark)).where("n > 0").select("dim", "n")
+
+
+@_add("uncertain_bounds_of_days", "WITH m AS (SELECT CAST(day(ts) - 1 AS BIGINT) AS ds, CAST(hour(ts) AS BIGINT) AS vid, round(avg(value), 6) AS value FROM events GROUP BY 1, 2), a AS (SELECT d.ds, h.i AS vid, coalesce(m.value, 0) AS value FROM (SELECT DISTINCT ds FROM m) d CROSS JOIN range(24) h(i) LEFT JOIN m ON m.ds = d.ds AND m.vid = h.i) SELECT vid, min(value) AS lower, max(value) AS upper FROM a GROUP BY vid")
+def _(spark, d):
+    return stats.uncertainty(_daily(spark, d)[0], 4).select("vid", "lower", "upper")
+
+
+@_add("camera_grid")
+def _(spark, d):
+    return generators.cameras(_cloud(spark, d), 8)
+
+
+@_add("nesting_edges", "WITH p AS (SELECT DISTINCT day(ts) % 3 AS level, CAST(hour(ts) AS BIGINT) AS t, user_id AS x, ascii(event_type) AS label FROM events) SELECT a.t, CAST(a.level AS BIGINT) AS level, CAST(a.label AS BIGINT) AS label, CAST(b.label AS BIGINT) AS next_label, count(*) AS overlap FROM p a JOIN p b ON b.level = a.level + 1 AND a.t = b.t AND a.x = b.x GROUP BY ALL")
+def _(spark, d):
+    p = table(spark, d, "events").select((F.dayofmonth("ts") % 3).cast("long").alias("level"), F.hour("ts").cast("long").alias("t"), F.col("user_id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), F.ascii("event_type").cast("long").alias("label")).distinct()
+    return tracking.nesting_edges(p).select("t", "level", "label", "next_label", F.col("Overlap").alias("overlap"))
+
+
+@_add("merged_cells", "SELECT l_orderkey AS cid, count(DISTINCT l_partkey // 4) AS n, count(DISTINCT l_partkey) AS was FROM lineitem GROUP BY l_orderkey HAVING CASE WHEN was = 2 THEN n = 2 WHEN was = 3 THEN n > 2 ELSE n IN (4, 8) END")
+def _(spark, d):
+    _, c = _orders_as_cells(spark, d)
+    to = table(spark, d, "part").select(F.col("p_partkey").alias("vid"), F.floor(F.col("p_partkey") / 4).alias("merged_to"))
+    to = to.unionByName(table(spark, d, "lineitem").select(F.col("l_partkey").alias("vid"), F.floor(F.col("l_partkey") / 4).alias("merged_to"))).distinct()
+    was = c.select("cid", F.size("verts").cast("long").alias("was"))
+    return graph.merged_cells(c, to).select("cid", F.size("verts").cast("long").alias("n")).join(was, "cid")
+
+
+@_add("persistence_thresholds")
+def _(spark, d):
+    p = topology.persistence_diagram(*_daily(spark, d))
+    out = None
+    for mode, k, t in (("top", 3, 0.0), ("absolute", 0, 20.0), ("relative", 0, 0.5), ("global", 0, 0.3)):
+        part = diagrams.constrained(p, mode, k, t).groupBy("ds").agg(F.count("*").alias("n")).select(F.lit(mode).alias("mode"), "ds", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_add("wide_distance_matrix")
+def _(spark, d):
+    return rounded(stats.wide_matrix(stats.distance_matrix(_daily(spark, d)[0], 1)), digits=6)
