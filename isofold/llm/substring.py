@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, SpanHash, slices, text_buffer, word_bounds, written
+from .common import WHITE, SpanHash, give_back, slices, text_buffer, word_bounds, written
 
 #: Text that one map step settles at once.
 STEP_BYTES = 16_000_000
@@ -127,6 +127,8 @@ def corpus_profile(docs: DataFrame, mer: int, window: int, share: float = 1 / 10
                 value, n = np.unique(mers[often], return_counts=True)
                 value, n = value[n >= least], n[n >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(value, 0).view(np.int64)), pa.array(np.append(n, 0).astype(np.int64)), pa.array(np.append(np.zeros(len(n), np.int64), total))], ["mer", "n", "words"])
+                del found, mers, bins, often
+            give_back()
 
     table = written(docs.select("text").mapInArrow(count, "mer long, n long, words long"), "mers")
     total = table.agg(F.sum("words")).first()[0] or 0
@@ -203,7 +205,10 @@ def repeated_spans(docs: DataFrame, window: int = 20, mer: int = 4, bucket_words
                     keys.append(turn % buckets)
                     blocks.append(_packed(np.ones(1, np.int64), *spans, b""))
                 turn += 1
+                del first, texts, table
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+                del blocks
+                give_back()
 
     def settle(key, table):
         doc, lo, hi = [], [], []
@@ -219,6 +224,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, mer: int = 4, bucket_words
             found = _repeats(group, window)
             doc.append(found[0]), lo.append(found[1]), hi.append(found[1] + window)
         spans = _merged(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (doc, lo, hi)))
+        give_back()
         return pa.table([pa.array(x, pa.int64()) for x in spans], ["doc_id", "lo", "hi"])
 
     sent = docs.mapInArrow(cut, "bucket long, block binary")
@@ -302,6 +308,7 @@ def _cleaned(docs: DataFrame, window: int, mer: int, bucket_words: int, schema:
                 kept = np.concatenate(([0], np.cumsum(np.where(gone, 0, np.diff(words.begin)))))[words.first]
                 texts = [raw[a : max(a, b - 1)] for a, b in zip(kept[:-1].tolist(), kept[1:].tolist())]
                 yield make(batch.column(0).slice(lo, hi - lo), size, np.diff(removed[words.first]), texts)
+            give_back()
 
     return joined.mapInArrow(run, schema)
 
