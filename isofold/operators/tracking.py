@@ -25,7 +25,7 @@ def overlap_edges(points: DataFrame) -> DataFrame:
 def nesting_edges(points: DataFrame) -> DataFrame:
     """(t, level, label, next_label, Overlap): identical coordinates in successive levels of a step."""
     levels = points.select("level").distinct().withColumn("level2", F.lead("level").over(Window.orderBy("level")))
-    a = points.select("level", "t", "x", "y", "z", "label").join(F.broadcast(levels), "level")
+    a = points.select("level", "t", "x", "y", "z", "label").join(levels, "level")
     b = points.select(F.col("level").alias("level2"), "t", "x", "y", "z", F.col("label").alias("next_label"))
     return a.join(b, ["level2", "t", "x", "y", "z"]).groupBy("t", "level", "level2", "label", "next_label").agg(F.count("*").alias("Overlap"))
 

@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.order import dense_index
 from ..functions.storage import settled
 from ..operators.columns import NUMERIC
 
 
+#: What the folder of a product's data is called, before its key.
+PRODUCT = "product="
+
+
 def _folder(path: str) -> str:
     path = path.rstrip("/")
     if not path.endswith(".cdb"):
@@ -39,11 +44,13 @@ def read_products(catalogue: DataFrame, file_column: str = "FILE", reader: Calla
     format, each with its path; a reader may take others (spark, paths) -> rows with a `_path` column. ds numbers the rows by path.
     """
     spark = catalogue.sparkSession
-    own = catalogue.withColumn("_name", F.element_at(F.split(F.col(file_column), "/"), -1)).withColumn("ds", F.dense_rank().over(Window.orderBy(file_column)).cast("long") - 1)
+    numbered = dense_index(catalogue.select(file_column).distinct(), [file_column], "ds")
+    own = catalogue.join(numbered, file_column).withColumn("_name", F.element_at(F.split(F.col(file_column), "/"), -1))
     paths = [r[0] for r in catalogue.select(file_column).distinct().collect()]
     parts: list[DataFrame] = []
-    for kind in sorted({p.rsplit(".", 1)[-1].lower() for p in paths}):
-        these = [p for p in paths if p.rsplit(".", 1)[-1].lower() == kind]
+    kinds = {p: "parquet" if p.rsplit("/", 1)[-1].startswith(PRODUCT) else p.rsplit(".", 1)[-1].lower() for p in paths}
+    for kind in sorted(set(kinds.values())):
+        these = [p for p in paths if kinds[p] == kind]
         if reader is not None:
             part = reader(spark, these)
         elif kind == "parquet":
@@ -59,15 +66,16 @@ def read_products(catalogue: DataFrame, file_column: str = "FILE", reader: Calla
     for p in parts[1:]:
         data = data.unionByName(p, allowMissingColumns=True)
     # a product may be a file or a folder of part files: the name is that of the last part of its path that the catalogue knows
-    data = data.withColumn("_name", F.regexp_extract("_path", r"([^/]+\.[A-Za-z0-9]+)(?:/part-[^/]*)?$", 1))
+    data = data.withColumn("_name", F.regexp_extract("_path", rf"({PRODUCT}[^/]+|[^/]+\.[A-Za-z0-9]+)(?:/part-[^/]*)?$", 1))
     carried = [c for c in own.columns if c not in data.columns]
     return data.drop("_path").join(own.select("_name", *carried), "_name").drop("_name")
 
 
 def product_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds FILE: data/<values joined by _>.parquet; the values of an array are joined by a bar."""
+    """Adds _key, the keys' values joined by _ (those of an array by a bar), and FILE, the folder of that key under data/."""
     parts = [F.concat_ws("|", F.col(k).cast("array<string>")) if isinstance(df.schema[k].dataType, T.ArrayType) else F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    return df.withColumn("FILE", F.concat(F.lit("data/"), F.regexp_replace(F.concat_ws("_", *parts), "[^A-Za-z0-9_.|+-]", "-"), F.lit(".parquet")))
+    key = F.regexp_replace(F.concat_ws("_", *parts), "[^A-Za-z0-9_.|+-]", "-")
+    return df.withColumn("_key", F.when(key == "", "-").otherwise(key)).withColumn("FILE", F.concat(F.lit(f"data/{PRODUCT}"), "_key"))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,8 +106,8 @@ def write_products(products: DataFrame, path: str, keys: Sequence[str]) -> None:
         if set(header) != set(rows.columns):
             raise ValueError(f"the catalogue has the columns {header}, the product {rows.columns}")
         rows = settled(upserted(old, rows, keys), "catalogue")
-    for (file,) in named.select("FILE").distinct().toLocalIterator():
-        named.where(F.col("FILE") == file).drop("FILE").write.mode("overwrite").parquet(f"{path}/{file}")
+    # one job for all products; those written replace their own folders and no other
+    named.drop("FILE").withColumnRenamed("_key", PRODUCT[:-1]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PRODUCT[:-1]).parquet(f"{path}/data")
     _write_csv(rows, f"{path}/data.csv")
 
 
