@@ -321,8 +321,9 @@ def _(spark, d):
 
 @_add("contour_around_point")
 def _(spark, d):
-    v, c, _ = day_hour_grid(spark, d)
-    return topology.contour_around_point(v, c, v.where("vid % 60 = 0").select(F.col("vid").alias("pid"), "vid", F.lit(25.0).alias("isovalue")))
+    v, c, g = day_hour_grid(spark, d)
+    tops = topology.extrema(v, g.neighbours(v)).where("CriticalType = 3")
+    return topology.contour_around_point(v, c, tops.select(F.col("vid").alias("pid"), "vid", F.lit(25.0).alias("isovalue")))
 
 
 # ---------------------------------------------------------------- the grid of days and hours
@@ -600,22 +601,22 @@ def _(spark, d):
 
 @_add("diagram_distance_matrix")
 def _(spark, d):
-    return rounded(diagrams.distance_matrix(diagrams.constrained(topology.persistence_diagram(*_daily(spark, d)), "top", 20)), "dist")
+    return rounded(diagrams.distance_matrix(diagrams.constrained(topology.persistence_diagram(*_daily(spark, d)))), "dist")
 
 
 @_add("bottleneck_distance")
 def _(spark, d):
-    return rounded(diagrams.distance_matrix(diagrams.constrained(topology.persistence_diagram(*_daily(spark, d)), "top", 20), kind="bottleneck"), "dist")
+    return rounded(diagrams.distance_matrix(diagrams.constrained(topology.persistence_diagram(*_daily(spark, d))), kind="bottleneck"), "dist")
 
 
 @_add("diagram_clusters")
 def _(spark, d):
-    return rounded(diagrams.cluster(diagrams.constrained(topology.persistence_diagram(*_daily(spark, d)), "top", 20), 3)[0], "distance")
+    return rounded(diagrams.cluster(diagrams.constrained(topology.persistence_diagram(*_daily(spark, d))), 3)[0], "distance")
 
 
 @_add("diagram_barycenter")
 def _(spark, d):
-    p = diagrams.constrained(topology.persistence_diagram(*_daily(spark, d)), "top", 20).withColumn("cluster", F.lit(0).cast("long"))
+    p = diagrams.constrained(topology.persistence_diagram(*_daily(spark, d))).withColumn("cluster", F.lit(0).cast("long"))
     return rounded(diagrams.barycenters(p), "birth", "death", "energy")
 
 
