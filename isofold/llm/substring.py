@@ -78,9 +78,9 @@ def _super_kmers(words: _Words, window: int, mer: int, frequent: np.ndarray) ->
     return row[first], start[first], np.diff(np.append(first, len(own))), own[first]
 
 
-def _packed(*parts: np.ndarray | bytes) -> bytes:
+def _packed(*parts: np.ndarray | bytes, level: int = 1) -> bytes:
     parts = [p if isinstance(p, bytes) else p.tobytes() for p in parts]
-    return zstandard.compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts), 1)
+    return zstandard.compress(np.array([len(p) for p in parts], np.int64).tobytes() + b"".join(parts), level)
 
 
 def _unpacked(data: bytes, parts: int) -> list[bytes]:
@@ -198,12 +198,14 @@ def repeated_spans(docs: DataFrame, window: int = 20, mer: int = 4, bucket_words
                 keys, blocks = [], []
                 for a, b in zip(edges[:-1], edges[1:]):
                     keys.append(table[a, 3])
-                    blocks.append(_packed(np.zeros(0, np.int64), table[a:b, 0], table[a:b, 1], table[a:b, 2], b"\n".join(texts[i] for i in order[a:b])))
+                    # ids as steps from one to the next: documents come in order
+                    numbers = (np.diff(table[a:b, 0], prepend=0), table[a:b, 1].astype(np.int32), table[a:b, 2].astype(np.int32))
+                    blocks.append(_packed(np.zeros(0, np.int64), *numbers, b"\n".join(texts[i] for i in order[a:b]), level=3))
                 if lost:
                     gone = np.array(lost, np.int64)
                     spans = _merged(gone[:, 0], gone[:, 1], gone[:, 1] + gone[:, 2] + window - 1)
                     keys.append(turn % buckets)
-                    blocks.append(_packed(np.ones(1, np.int64), *spans, b""))
+                    blocks.append(_packed(np.ones(1, np.int64), np.diff(spans[0], prepend=0), spans[1].astype(np.int32), spans[2].astype(np.int32), b""))
                 turn += 1
                 del first, texts, table
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
@@ -215,7 +217,7 @@ def repeated_spans(docs: DataFrame, window: int = 20, mer: int = 4, bucket_words
         group = []
         for block in table.column("block"):
             kind, *numbers, text = _unpacked(block.as_py(), 5)
-            numbers = [np.frombuffer(x, np.int64) for x in numbers]
+            numbers = [np.cumsum(np.frombuffer(numbers[0], np.int64)), *(np.frombuffer(x, np.int32).astype(np.int64) for x in numbers[1:])]
             if kind:
                 doc.append(numbers[0]), lo.append(numbers[1]), hi.append(numbers[2])
             else:
@@ -283,12 +285,22 @@ def _repeats(group: list[tuple], window: int) -> tuple[np.ndarray, np.ndarray]:
 def _cleaned(docs: DataFrame, window: int, mer: int, bucket_words: int, schema: str, make) -> DataFrame:
     spans = repeated_spans(docs, window, mer, bucket_words)
     gathered = spans.groupBy(F.col("doc_id").alias("span_doc")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if t is None else squeeze(t) for t in texts.to_pylist()], pa.binary())], ["doc_id", "text"])
+            give_back()
+
+    # texts travel to their spans compressed
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, "doc_id long, text binary")
     joined = own.join(gathered, own["doc_id"] == gathered["span_doc"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            buf, offsets = text_buffer(batch.column(1))
+            texts = [b"" if t is None else unpack(t) for t in batch.column(1).to_pylist()]
+            buf, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts], dtype=np.int64)))
             spans = batch.column(2)
             listed = np.diff(spans.offsets.to_numpy()) if len(spans) else np.zeros(0, np.int64)
             listed[~spans.is_valid().to_numpy(zero_copy_only=False)] = 0
