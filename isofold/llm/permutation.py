@@ -19,11 +19,11 @@ from .common import written
 
 PIVOTS = 256
 #: Pivots in a vector's list.
-LENGTH = 128
+LENGTH = 192
 SHARD_ROWS = 4096
 QUERY_ROWS = 4096
 #: What is reranked of a shard: this share of it, and this many at least.
-SHARE, LEAST = 0.2, 256
+SHARE, LEAST = 0.25, 256
 
 
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
