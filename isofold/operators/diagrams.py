@@ -107,12 +107,12 @@ def matchings(diagrams: DataFrame, pairs: DataFrame, p: float = 2.0) -> DataFram
     """(i, j, pair_type, birth1, death1, birth2, death2, cost) of the pairs (i, j) of diagrams; null where the diagonal is the partner."""
     d = diagrams.select("ds", "birth", "death", "pair_type")
     left = pairs.join(d.withColumnRenamed("ds", "i"), "i")
-    right = pairs.join(d.withColumnRenamed("ds", "j"), "j").select(F.col("i").alias("i2"), F.col("j").alias("j2"), "birth", "death", "pair_type")
+    right = pairs.join(d.withColumnRenamed("ds", "j"), "j").select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("birth").alias("birth2"), F.col("death").alias("death2"), F.col("pair_type").alias("type2"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         i, j = (a[["i", "j"]] if len(a) else b[["i2", "j2"]]).iloc[0]
-        x, y = as_diagram(a) if len(a) else {}, as_diagram(b) if len(b) else {}
+        x, y = as_diagram(a) if len(a) else {}, as_diagram(b.rename(columns={"birth2": "birth", "death2": "death", "type2": "pair_type"})) if len(b) else {}
         none = np.zeros((0, 2))
         for t in sorted(set(x) | set(y)):
             u, v = x.get(t, none), y.get(t, none)
