@@ -80,11 +80,12 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, pivots
     """(query_id, rank, vec_id, score): the k nearest by Euclidean distance found for rows whose vec_id divides by `every`.
 
     Nearest first, ties to the smaller vec_id; all candidates if there are fewer. Pivots, at most `pivots`, are the vectors that come first
-    by a hash. Null, zero, non-finite and odd-sized vectors and null ids take no part; rows that repeat a
-    vec_id are candidates each, but never of a query with that id. An empty table gives an empty result; other columns are ignored.
+    by a hash. Null, zero, non-finite and odd-sized vectors and null ids take no part. The k are different vec_ids, never the query's own:
+    rows that repeat a vec_id and its vector count once, and of ids with several vectors the nearest two are compared. An empty
+    table gives an empty result; other columns are ignored.
     """
     spark: SparkSession = vectors.sparkSession
-    rows = written(usable(vectors, dim), "vectors")
+    rows = written(usable(vectors, dim).distinct(), "vectors")
     first = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     kept = rows.withColumn("n", first).where(F.col("n") <= k + 1)
     classes = written(kept.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
@@ -94,7 +95,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, pivots
     n, n_queries = classes.count(), queries.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n_queries // QUERY_ROWS))
     left = classes.select((F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(shards))).alias("shard"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"), "vec", "ids")
-    right = queries.select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).alias("block"), "vec_id", "vec")
+    right = queries.select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.pmod(F.xxhash64("vec_id", "vec", F.lit(5)), F.lit(blocks)).alias("block"), "vec_id", "vec")
 
     def search(own, asked):
         out: list[np.ndarray] = []
@@ -109,21 +110,25 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, pivots
             for name, v, order in zip(names.tolist(), q, _orders(q, p, length)):
                 near = files.nearest(order, max(least, int(share * len(x))))
                 d = np.sqrt(((x[near] - v) ** 2).sum(1))
-                # one more than k, as the query's own class may give nothing else
-                if len(near) > k + 1:
-                    cut = d <= np.partition(d, k)[k]
-                    near, d = near[cut], d[cut]
-                size = at[near + 1] - at[near]
-                found = np.concatenate([ids[a:b] for a, b in zip(at[near], at[near + 1])])
-                d = np.repeat(d, size)
-                other = found != name
-                found, d = found[other], d[other]
-                best = np.lexsort((found, d))[:k]
-                out.append((np.full(len(best), name), found[best], d[best]))
+                # one more than k, as the query's own class may give nothing else; more where classes share ids
+                most = k + 1
+                while True:
+                    cut = d <= np.partition(d, most - 1)[most - 1] if len(near) > most else np.ones(len(near), dtype=bool)
+                    own_at = near[cut]
+                    found = np.concatenate([ids[a:b] for a, b in zip(at[own_at], at[own_at + 1])])
+                    far = np.repeat(d[cut], at[own_at + 1] - at[own_at])
+                    best = np.lexsort((found, far))
+                    best = best[found[best] != name]
+                    best = best[np.sort(np.unique(found[best], return_index=True)[1])][:k]
+                    if len(best) == k or most >= len(near):
+                        break
+                    most *= 2
+                out.append((np.full(len(best), name), found[best], far[best]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(search, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

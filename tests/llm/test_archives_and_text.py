@@ -218,6 +218,26 @@ def test_few_and_no_vectors(spark):
     assert out == [(0, 1, 100), (0, 2, 1), (100, 1, 0), (100, 2, 1)]
 
 
+def test_neighbours_of_repeated_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))]
+    rows += [rows[100]] * 30  # a query that stands there often
+    rows += [(200, (np.array(rows[200][1]) + e).tolist()) for e in (0.5, 1.0)]  # a query with three vectors
+    rows += [(100 + k, rows[0][1]) for k in range(0, 30)] + [(0, rows[0][1])] * 30  # a class of equal vectors
+    rows += [(7, (np.array(rows[100][1]) + e).tolist()) for e in np.linspace(1e-4, 2e-4, 40)]  # a neighbour with many vectors
+    out: dict[int, list] = {}
+    for r in permutation.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), share=1.0, shard_rows=150).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    for q in (0, 100, 200):
+        best: dict[int, float] = {}
+        for v in [np.array(v) for i, v in rows if i == q]:
+            for i, w in rows:
+                if i != q:
+                    best[i] = min(best.get(i, np.inf), float(np.sqrt(((np.array(w) - v) ** 2).sum())))
+        want = sorted((d, i) for i, d in best.items())[:10]
+        assert [i for _, i in out[q]] == [i for _, i in want] and np.allclose([d for d, _ in out[q]], [d for d, _ in want])
+
+
 def test_footrule_from_inverted_files():
     rng = np.random.default_rng(0)
     orders = np.array([rng.permutation(12)[:7] for _ in range(50)])
