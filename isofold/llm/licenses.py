@@ -1,12 +1,16 @@
 """License scans: winnowed fingerprints in an inverted index, then banded alignment.
 
-Texts and templates are words of letters and digits in lower case. Every template's winnowed runs of words stand in an inverted
-index, which is as large as the templates are. A text's runs are looked up in it; hits of one template near one diagonal are a
-candidate, and an alignment within a band about that diagonal gives the words matched, the coverage and the span in the text.
+Texts and templates are words of letters and digits in lower case. Every longer template's winnowed runs of words stand in an
+inverted index, which is as large as the templates are. A text's runs are looked up in it; hits of one template near one diagonal are
+a candidate, and an alignment within a band about that diagonal gives the words matched, the coverage and the span in the text.
+
+The coverage leaves no long run in a short template, so short ones are found by their single words: where enough of them stand within the
+template's length and the band, all spans from there that reach the coverage are measured, and the best that don't overlap stay.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +22,8 @@ from .common import SpanHash, lowered, slices, text_buffer
 
 #: Words of a run, and runs of which the least is kept: a shared span of GRAM + KEEP - 1 words has a fingerprint.
 GRAM, KEEP = 3, 2
+#: Templates of up to so many words are found by single words: in longer ones a fifth of the words changed leaves GRAM + KEEP - 1 in a run.
+SHORT = 15
 BAND = 8
 COVERAGE = 0.8
 
@@ -79,31 +85,37 @@ def _grams(words: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Templates as word hashes, and their fingerprints: sorted hashes with template and place."""
+    """Templates as word hashes; fingerprints of the longer ones: sorted hashes with template and place; sorted words of the short ones."""
 
     names: list[str]
     words: list[np.ndarray]
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     template: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    vocabulary: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    short: list[int] = field(default_factory=list)
 
     @classmethod
     def of(cls, templates: dict[str, str]) -> Index:
         out = cls([], [])
-        keys, template, place = [], [], []
+        keys, template, place = [out.keys], [out.template], [out.place]
         for name, text in templates.items():
             buf = np.frombuffer(text.encode(), np.uint8)
             words = _words(buf, np.array([0, len(buf)]))[0]
             if len(words) < GRAM:
                 raise ValueError(f"the template {name} has fewer than {GRAM} words")
+            out.names.append(name)
+            out.words.append(words)
+            if len(words) <= SHORT:
+                out.short.append(len(out.names) - 1)
+                continue
             grams = _grams(words)
             # both sides keep the least of each KEEP runs; a text's runs are all looked up, which finds the same and more
             kept = sorted({i + int(np.argmin(grams[i : i + KEEP])) for i in range(max(1, len(grams) - KEEP + 1))})
-            keys.append(grams[kept]), place.append(np.array(kept)), template.append(np.full(len(kept), len(out.names)))
-            out.names.append(name)
-            out.words.append(words)
+            keys.append(grams[kept]), place.append(np.array(kept)), template.append(np.full(len(kept), len(out.names) - 1))
         order = np.argsort(np.concatenate(keys), kind="stable")
         out.keys, out.template, out.place = (np.concatenate(x)[order] for x in (keys, template, place))
+        out.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(out.words[t] for t in out.short)]))
         return out
 
 
@@ -148,10 +160,55 @@ def matches(words: np.ndarray, index: Index, band: int = BAND, coverage: float =
     grams = _grams(words)
     lo, hi = np.searchsorted(index.keys, grams), np.searchsorted(index.keys, grams, "right")
     at = np.flatnonzero(hi > lo)
-    return _confirmed(words, index, at, lo[at], hi[at], band, coverage) if len(at) else []
-
-
-def _confirmed(words, index: Index, at, lo, hi, band: int, coverage: float):
+    short = short_starts(words, np.array([0, len(words)]), index, band, coverage)
+    return _best(_aligned(words, index, at, lo[at], hi[at], band, coverage) + _spans(words, index, *short, band, coverage))
+
+
+def short_starts(words: np.ndarray, first: np.ndarray, index: Index, band: int, coverage: float) -> tuple[np.ndarray, np.ndarray]:
+    """(template, word) where a short template's words begin to stand close enough for the coverage, in rows that begin at `first`."""
+    at = np.minimum(np.searchsorted(index.vocabulary, words), max(0, len(index.vocabulary) - 1))
+    hits = np.flatnonzero(index.vocabulary[at] == words) if len(index.vocabulary) else np.zeros(0, np.int64)
+    ends = first[np.searchsorted(first, hits, "right")]
+    found_t, found_w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for t in index.short:
+        template = index.words[t]
+        own = np.isin(index.vocabulary, template)[at[hits]]
+        place, end = hits[own], ends[own]
+        need = _needed(template, coverage)
+        if need > len(place):
+            continue
+        begin, last = place[: len(place) - need + 1], place[need - 1 :]
+        close = begin[(last < end[: len(begin)]) & (last - begin < len(template) + band)]
+        found_t.append(np.full(len(close), t)), found_w.append(close)
+    return np.concatenate(found_t), np.concatenate(found_w)
+
+
+def _needed(template: np.ndarray, coverage: float) -> int:
+    return max(1, int(np.ceil(coverage * len(template) - 1e-9)))
+
+
+def _spans(words: np.ndarray, index: Index, templates: np.ndarray, starts: np.ndarray, band: int, coverage: float):
+    """From each start the shortest span for every number of matched words that reaches the coverage, with up to `band` words put in between."""
+    found = []
+    for t, x in zip(templates.tolist(), starts.tolist()):
+        template = index.words[t].tolist()
+        need, here = _needed(index.words[t], coverage), words[x : x + len(template) + band].tolist()
+        if len(set(template) & set(here)) < len(set(template)) - (len(template) - need):
+            continue
+        row, most = [0] * (len(template) + 1), need - 1
+        for j, word in enumerate(here):
+            before = 0
+            for i, other in enumerate(template, 1):
+                now = row[i]
+                row[i] = before + 1 if word == other else max(now, row[i - 1])
+                before = now
+            if row[-1] > most:
+                most = row[-1]
+                found.append((t, most / len(template), most, x, x + j + 1))
+    return found
+
+
+def _aligned(words, index: Index, at, lo, hi, band: int, coverage: float):
     seeds: dict[int, list[int]] = {}
     for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
         for k in range(a, b):
@@ -159,8 +216,8 @@ def _confirmed(words, index: Index, at, lo, hi, band: int, coverage: float):
     found = []
     for t, diagonals in seeds.items():
         template, done = index.words[t], None
-        # a short template has a narrow band, else its next copy would fall into it
-        own = max(1, min(band, len(template) // 4))
+        # no wider than the template: else its next copy would fall into it
+        own = min(band, len(template) - 1)
         for d in sorted(set(diagonals)):
             if done is not None and d - done <= own:
                 continue
@@ -169,11 +226,18 @@ def _confirmed(words, index: Index, at, lo, hi, band: int, coverage: float):
             matched, first, last = aligned(words, template, near[len(near) // 2], own)
             if matched >= coverage * len(template):
                 found.append((t, matched / len(template), matched, first, last))
-    # of overlapping spans of one template the better stays
-    found.sort(key=lambda m: (m[0], -m[2], m[4] - m[3], m[3]))
+    return found
+
+
+def _best(found):
+    """Of overlapping spans of one template the better stays."""
     out: list[tuple[int, float, int, int, int]] = []
-    for m in found:
-        if not any(o[0] == m[0] and m[3] < o[4] and o[3] < m[4] for o in out):
+    kept: dict[int, list[tuple[int, int]]] = {}
+    for m in sorted(found, key=lambda m: (m[0], -m[2], m[4] - m[3], m[3])):
+        spans = kept.setdefault(m[0], [])
+        k = bisect_left(spans, (m[3], m[4]))
+        if (k == 0 or spans[k - 1][1] <= m[3]) and (k == len(spans) or m[4] <= spans[k][0]):
+            spans.insert(k, (m[3], m[4]))
             out.append(m)
     return sorted(out, key=lambda m: (m[3], m[0]))
 
@@ -204,13 +268,15 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, ba
                 keep = hi > lo
                 maybe, lo, hi = maybe[keep], lo[keep], hi[keep]
                 row = np.searchsorted(first, maybe, "right") - 1
-                for r in np.unique(row).tolist():
-                    mine = row == r
+                inside = maybe + GRAM <= first[row + 1]
+                maybe, lo, hi, row = maybe[inside], lo[inside], hi[inside], row[inside]
+                short, begin = short_starts(words, first, index, band, coverage)
+                begin_row = np.searchsorted(first, begin, "right") - 1
+                for r in np.union1d(row, begin_row).tolist():
+                    mine, ours = row == r, begin_row == r
                     own = slice(first[r], first[r + 1])
-                    inside = maybe[mine] + GRAM <= first[r + 1]
-                    if not inside.any():
-                        continue
-                    found = _confirmed(words[own], index, maybe[mine][inside] - first[r], lo[mine][inside], hi[mine][inside], band, coverage)
+                    found = _aligned(words[own], index, maybe[mine] - first[r], lo[mine], hi[mine], band, coverage)
+                    found = _best(found + _spans(words[own], index, short[ours], begin[ours] - first[r], band, coverage))
                     if found:
                         raw = part[at[r] : at[r + 1]].tobytes()
                         for t, share, n, x, y in found:

@@ -168,6 +168,18 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.license_matches(no_docs).count() == 0 and licenses.license_matches(odd_docs).count() == 0
 
 
+def test_short_licenses_by_coverage(spark):
+    """Changed, missing and added words down to the coverage; copies one after another stay apart."""
+    texts = ["x y Released under a MIT License z", "see Licensed under CC DE NC 4.0 here", "Released under and with the MIT License", "Released q under q the q MIT q License", "Released under MIT License. Released under the MIT License.", "Released under MIT", "released the the the the under", "the mit"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = sorted((r["doc_id"], r["license"], r["n_matched"], r["first_word"], r["end_word"]) for r in licenses.license_matches(docs.coalesce(1)).collect())
+    assert out == [(0, "MIT", 4, 2, 7), (1, "CC-BY-NC-4.0", 6, 1, 8), (2, "MIT", 5, 0, 7), (3, "MIT", 5, 0, 9), (4, "MIT", 4, 0, 4), (4, "MIT", 5, 4, 9)]
+    for text, rows in ((t, [r for r in out if r[0] == i]) for i, t in enumerate(texts)):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        words, index = licenses._words(buf, np.array([0, len(buf)]))[0], licenses.Index.of(licenses.TEMPLATES)
+        assert [(index.names[t], n, x, y) for t, _, n, x, y in licenses.matches(words, index)] == [r[1:] for r in rows]
+
+
 def plain_lcs(a, b):
     t = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
