@@ -36,16 +36,40 @@ TEMPLATES: dict[str, str] = {
         KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "MIT": "Released under the MIT License.",
     "MIT-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+        (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+        the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+        the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+        OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+        CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "MIT-grant": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
         (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
         distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
         the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of
         the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
         OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
     "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+        disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+        in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+        CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+        FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+        INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS
+        OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+        TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+        DAMAGE.""",
+    "BSD-2-Clause-grant": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
         conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
         disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
         in the documentation and/or other materials provided with the distribution.""",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+        DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE
+        AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+        PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE
+        OF THIS SOFTWARE.""",
+    "ISC-grant": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
         the above copyright notice and this permission notice appear in all copies.""",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
@@ -59,6 +83,9 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
+#: First parts of whole texts: reported where the whole text isn't.
+PARTS = {"MIT-grant": "MIT-text", "BSD-2-Clause-grant": "BSD-2-Clause", "ISC-grant": "ISC"}
+
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -161,7 +188,7 @@ def matches(words: np.ndarray, index: Index, band: int = BAND, coverage: float =
     lo, hi = np.searchsorted(index.keys, grams), np.searchsorted(index.keys, grams, "right")
     at = np.flatnonzero(hi > lo)
     short = short_starts(words, np.array([0, len(words)]), index, band, coverage)
-    return _best(_aligned(words, index, at, lo[at], hi[at], band, coverage) + _spans(words, index, *short, band, coverage))
+    return _best(_aligned(words, index, at, lo[at], hi[at], band, coverage) + _spans(words, index, *short, band, coverage), index.names)
 
 
 def short_starts(words: np.ndarray, first: np.ndarray, index: Index, band: int, coverage: float) -> tuple[np.ndarray, np.ndarray]:
@@ -229,8 +256,8 @@ def _aligned(words, index: Index, at, lo, hi, band: int, coverage: float):
     return found
 
 
-def _best(found):
-    """Of overlapping spans of one template the better stays."""
+def _best(found, names: list[str]):
+    """Of overlapping spans of one template the better stays; a part of a text goes where it overlaps a span of the whole."""
     out: list[tuple[int, float, int, int, int]] = []
     kept: dict[int, list[tuple[int, int]]] = {}
     for m in sorted(found, key=lambda m: (m[0], -m[2], m[4] - m[3], m[3])):
@@ -239,7 +266,14 @@ def _best(found):
         if (k == 0 or spans[k - 1][1] <= m[3]) and (k == len(spans) or m[4] <= spans[k][0]):
             spans.insert(k, (m[3], m[4]))
             out.append(m)
-    return sorted(out, key=lambda m: (m[3], m[0]))
+    whole = {names[t]: spans for t, spans in kept.items()}
+
+    def covered(m) -> bool:
+        spans = whole.get(PARTS.get(names[m[0]], ""), [])
+        k = bisect_left(spans, (m[4], 0))
+        return k > 0 and spans[k - 1][1] > m[3]
+
+    return sorted((m for m in out if not covered(m)), key=lambda m: (m[3], m[0]))
 
 
 SCHEMA = "doc_id long, license string, coverage double, n_matched long, first_word long, end_word long, first_char long, end_char long"
@@ -276,7 +310,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, ba
                     mine, ours = row == r, begin_row == r
                     own = slice(first[r], first[r + 1])
                     found = _aligned(words[own], index, maybe[mine] - first[r], lo[mine], hi[mine], band, coverage)
-                    found = _best(found + _spans(words[own], index, short[ours], begin[ours] - first[r], band, coverage))
+                    found = _best(found + _spans(words[own], index, short[ours], begin[ours] - first[r], band, coverage), index.names)
                     if found:
                         raw = part[at[r] : at[r + 1]].tobytes()
                         for t, share, n, x, y in found:

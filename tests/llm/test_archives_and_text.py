@@ -180,6 +180,23 @@ def test_short_licenses_by_coverage(spark):
         assert [(index.names[t], n, x, y) for t, _, n, x, y in licenses.matches(words, index)] == [r[1:] for r in rows]
 
 
+def test_whole_license_texts(spark):
+    """A whole text is spanned to its end; its first part with another ending is named so."""
+    ends = {"MIT-text": ("MIT-grant", "other dealings in the software"), "BSD-2-Clause": ("BSD-2-Clause-grant", "possibility of such damage"), "ISC": ("ISC-grant", "performance of this software")}
+    rows, want = [], []
+    for i, (name, (part, end)) in enumerate(ends.items()):
+        whole, first = licenses.TEMPLATES[name], licenses.TEMPLATES[part]
+        assert " ".join(whole.split()).lower().rstrip(".").endswith(end) and whole.startswith(first.rstrip("."))
+        rows += [(2 * i, whole), (2 * i + 1, first + " all else is up to you " * 20), (10 + i, whole + " and " + first)]
+        want += [(2 * i, name, 1.0), (2 * i + 1, part, 1.0), (10 + i, name, 1.0), (10 + i, part, 1.0)]
+    out = licenses.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["license"], r["coverage"]) for r in out) == sorted(want)
+    for r in out:
+        text = dict(rows)[r["doc_id"]]
+        if r["doc_id"] % 2 == 0 and r["doc_id"] < 6:
+            assert text[r["end_char"] :] == "."
+
+
 def plain_lcs(a, b):
     t = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
