@@ -123,6 +123,20 @@ def mix_slots(targets: DataFrame, shard_slots: int = SHARD_SLOTS, chunk: int = 4
     return df.select("s", "k", "pass", "block", "place", F.expr(f"place div {shard_slots}").alias("shard"))
 
 
+def shard_blocks(targets: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, s, block, times): the mix itself, how often each output shard takes a block of a source."""
+    return mix_slots(targets, shard_slots).groupBy("shard", "s", "block").agg(F.count("*").alias("times"))
+
+
+def mix_by_shard(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(shard, source, block, times) of documents, whose words fill a source's blocks in the order of `placed`."""
+    sizes = measured(docs).groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = written(source_targets(sizes, block_words), "targets")
+    names = targets.select("source", F.col("s").alias("of_s"))
+    counts = shard_blocks(targets, shard_slots).hint("merge")
+    return counts.join(names, counts["s"] == names["of_s"]).select("shard", "source", "block", "times")
+
+
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, broadcast_sources: int = 10_000) -> DataFrame:
     """(row, doc_id, size, source_size, target, taken): how many words of each document the mix takes, repeats counted.
 
@@ -133,7 +147,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, broadcast_sources: int
     base = written(measured(docs), "mixing")
     targets = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), block_words), "targets")
     docs_ = _with_targets(base, targets, broadcast_sources)
-    counts = mix_slots(targets).groupBy("s", "block").agg(F.count("*").alias("times"))
+    # what the shards take, summed
+    counts = shard_blocks(targets).groupBy("s", "block").agg(F.sum("times").alias("times"))
     blocks = placed(docs_.select("row", "doc_id", "s", "size")).where("size > 0")
     blocks = blocks.select("row", "s", "size", "begins", F.explode(F.expr(f"sequence(begins div {block_words}, (begins + size - 1) div {block_words})")).alias("block"))
     words = F.expr(f"least(begins + size, (block + 1) * {block_words}) - greatest(begins, block * {block_words})")

@@ -122,6 +122,21 @@ def test_shards_draw_by_weight(spark):
         assert (abs(first[1:] - first[:-1]) == 1).mean() < 0.01
 
 
+def test_what_documents_give_is_what_shards_take(docs, monkeypatch):
+    """The words of each source that the shards take are those taken of its documents; a mix that loses a shard shows it."""
+    shards = mixing.mix_by_shard(docs, block_words=8, shard_slots=100).toPandas()
+    assert (shards.groupby("shard")["times"].sum().sort_index().iloc[:-1] == 100).all() and shards["shard"].nunique() > 3
+    taken = mixing.mix(docs, block_words=8).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg({"taken": "sum", "size": "sum"}).collect()
+    for r in taken:
+        of = shards[shards["source"].isna() if r["source"] is None else shards["source"] == r["source"]]
+        short = -r["sum(size)"] % 8
+        last = of.loc[of["block"] == (r["sum(size)"] - 1) // 8, "times"].sum()
+        assert of["times"].sum() * 8 - short * last == r["sum(taken)"]
+    whole = mixing.shard_blocks
+    monkeypatch.setattr(mixing, "shard_blocks", lambda targets: whole(targets).where("shard <> 0"))
+    assert mixing.mix(docs, block_words=8).agg({"taken": "sum"}).first()[0] == 0
+
+
 def test_mix_odd_rows(odd_docs, no_docs, spark):
     out = mixing.mix(odd_docs)
     assert out.count() == odd_docs.count() and out.where("taken > 2 * size").count() == 0
