@@ -11,7 +11,7 @@ blocks that list every word of a batch of documents once, with its documents and
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,6 @@ from .substring import _packed, _steps, _unpacked
 
 #: A mark before each word, as the vocabulary has it.
 MARK = "▁".encode()
-LONGEST = 16
 _TABLE_BITS = 21
 
 
@@ -36,6 +35,11 @@ class Pieces:
     logp: np.ndarray
     hashes: np.ndarray
     slots: np.ndarray
+    #: The lengths that pieces have.
+    steps: list[int] = field(init=False)
+
+    def __post_init__(self):
+        self.steps = sorted({len(t) for t in self.texts})
 
     @classmethod
     def of(cls, texts: list[bytes], logp: np.ndarray) -> Pieces:
@@ -71,7 +75,7 @@ def load_pieces(path: str) -> Pieces:
     ranked = []
     for i in range(model.get_piece_size()):
         text = model.id_to_piece(i).encode()
-        if model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or len(text) > LONGEST or MARK in text[1:]:
+        if model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or MARK in text[1:]:
             continue
         ranked.append((-model.get_score(i), text))
     ranked.sort()
@@ -99,7 +103,9 @@ class _Lattice:
         for j in range(1, self.most + 1):
             row = np.flatnonzero(self.length >= j)
             self.arcs[j] = []
-            for step in range(1, min(j, LONGEST) + 1):
+            for step in pieces.steps:
+                if step > j:
+                    break
                 lo = starts[row] + j - step
                 piece = pieces.find(hashes(lo, lo + step))
                 hit = piece >= 0

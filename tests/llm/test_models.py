@@ -77,6 +77,25 @@ def test_lattice_sums_all_segmentations():
     assert lattice.word_logps([b"xyz"], pieces)[0] == -np.inf
 
 
+def test_long_pieces_count():
+    """Every piece of the file that may stand in a word is there, and segmentations through long ones are summed."""
+    import sentencepiece
+
+    path = lattice.default_vocabulary()
+    pieces, model = lattice.load_pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    long_ = [t for t in (model.id_to_piece(i).encode() for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_unknown(i) and not model.is_byte(i)) if len(t) > 16 and lattice.MARK not in t[1:]]
+    assert len(long_) > 50 and set(long_) <= set(pieces.texts)
+    p = dict(zip(pieces.texts, np.exp(pieces.logp).tolist()))
+    words = [t[len(lattice.MARK) :] for t in long_ if t.startswith(lattice.MARK)]
+    for word, got in zip(words, lattice.word_logps(words, pieces)):
+        raw, alpha = lattice.MARK + word, [1.0]
+        for j in range(1, len(raw) + 1):
+            alpha.append(sum(alpha[i] * p.get(raw[i:j], 0.0) for i in range(j)))
+        assert math.isclose(got, math.log(alpha[-1]), rel_tol=1e-9)
+    longest = b"a" * 40
+    assert math.isclose(lattice.word_logps([longest], lattice.Pieces.of([lattice.MARK, longest], np.log(np.array([0.5, 0.3, 0.2]))))[0], math.log(0.15))
+
+
 def test_expected_counts():
     texts = [b"a", b"b", b"ab", lattice.MARK]
     pieces = lattice.Pieces.of(texts, np.log(np.array([0.3, 0.2, 0.1, 0.3, 0.1])))
