@@ -303,7 +303,7 @@ def _mean_step(centre: Tree, members: list[Tree], weights: np.ndarray, o: Option
 
 
 def barycenter(trees: DataFrame, o: Options = Options(), rounds: int = 50) -> tuple[DataFrame, float]:
-    """(branches of the barycenter, energy) of all trees. The centre, one tree, lives on the driver; each round matches all members to it in
+    """(branches of the barycenter, energy) of all trees. It starts at the tree with the least sum of squared distances to the others. The centre, one tree, lives on the driver; each round matches all members to it in
     parallel, sums partners by branch in Spark, and brings back those sums and the branches that are to be added.
     """
     spark = trees.sparkSession
@@ -311,12 +311,8 @@ def barycenter(trees: DataFrame, o: Options = Options(), rounds: int = 50) -> tu
     n = own.select("ds").distinct().count()
     if not n:
         return spark.createDataFrame([], BRANCHES), 0.0
-    if n <= 256:
-        sums = distance_matrix(own, o).groupBy("i").agg(F.sum(F.col("dist") * F.col("dist")).alias("s"))
-        start = sums.orderBy("s", "i").first()["i"]
-    else:  # as many distances as members, to the tree with the median number of branches
-        sizes = own.groupBy("ds").count().orderBy("count", "ds")
-        start = sizes.limit(n // 2 + 1).orderBy(F.desc("count"), F.desc("ds")).first()["ds"]
+    sums = distance_matrix(own, o).groupBy("i").agg(F.sum(F.col("dist") * F.col("dist")).alias("s"))
+    start = sums.orderBy("s", "i").first()["i"]
     centre = preprocessed(Tree.of(own.where(F.col("ds") == start).toPandas()), o)
     best, least, last = centre, np.inf, np.inf
     for _ in range(rounds):

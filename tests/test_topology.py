@@ -210,6 +210,15 @@ def test_tree_threshold_and_clusters(spark):
     assert m.count() == 36 and m.where("i = j and dist <> 0").count() == 0
 
 
+def test_barycenter_of_many_starts_at_the_least_sum(spark):
+    one, other = [0.0, 5.0, 2.0, 6.0, 1.0, 4.0], [0.0, 90.0, 20.0, 60.0, 10.0, 40.0]
+    trees = mergetrees.branch_trees(*path(spark, *[other if ds == 128 else one for ds in range(257)]))
+    centre, energy = mergetrees.barycenter(trees, rounds=1)
+    first = mergetrees.Tree.of(trees.where("ds = 0").toPandas())
+    assert mergetrees.tree_distance(mergetrees.Tree.of(centre.toPandas()), mergetrees.preprocessed(first, mergetrees.Options())) < 1e-6
+    assert abs(energy - mergetrees.tree_distance(first, mergetrees.Tree.of(trees.where("ds = 128").toPandas())) ** 2 / 257) < 1e-9
+
+
 def test_barycenters_in_parallel_and_in_one_task_agree(spark):
     rng = np.random.default_rng(8)
     v, c = path(spark, *[np.round(np.sin(np.arange(20)) + 0.2 * rng.normal(size=20), 3) for _ in range(5)])
