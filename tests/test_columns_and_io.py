@@ -67,6 +67,18 @@ def test_harmonic_ways_agree(spark):
     assert all(abs(one[i] - 2 * i) < 1e-3 and abs(one[i] - two[i]) < 1e-6 for i in range(5))
 
 
+def test_harmonic_reaches_far_or_says_so(spark):
+    n = 2501
+    v = spark.range(n).selectExpr("0L AS ds", "id AS vid")
+    lap = fields.graph_laplacian(incidence.path_cells(v, "vid"))
+    fixed = spark.createDataFrame([(0, 0, 1.0), (0, n - 1, 6.0)], "ds long, vid long, value double")
+    out = {r["vid"]: r["value"] for r in fields.harmonic(v, lap, fixed).collect()}
+    assert all(abs(out[i] - (1 + 5 * i / (n - 1))) < 1e-3 for i in range(n))
+    for rows in (10_000, 0):
+        with pytest.raises(Exception, match="no convergence"):
+            fields.harmonic(v, lap, fixed, rounds=2, kernel_rows=rows).collect()
+
+
 def test_bivariate(spark):
     g = incidence.Grid(4, 4, 4)
     v = g.vertices(spark).withColumns({"u": F.col("x") + 0.01 * F.col("y"), "v": F.col("y") + 0.02 * F.col("z")})
