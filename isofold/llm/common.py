@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import fresh_path  # noqa: F401  used with the helpers below
@@ -138,9 +138,35 @@ class SpanHash:
         return mixed(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-# ---------------------------------------------------------------- filters
-def without_ids(docs: DataFrame, ids: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """docs without the rows whose doc_id is among ids (doc_id). Up to `broadcast_rows` ids are broadcast (8 MB), more are joined by a shuffle."""
-    ids = written(ids.select(F.col("doc_id").cast("long").alias("gone")).where("gone is not null").distinct(), "ids")
-    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == F.col("gone"), "left_anti")
+# ---------------------------------------------------------------- columns and filters
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df as they are, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null counts as empty."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def without_keys(docs: DataFrame, gone: DataFrame, keys: dict[str, Column], broadcast_rows: int = 1_000_000) -> DataFrame:
+    """docs without the rows whose `keys`, expressions over docs, are a row of gone, which has columns of these names.
+
+    Nulls are equal. Up to `broadcast_rows` rows of gone are broadcast (keys are ids and digests: 64 MB), more are joined by a shuffle.
+    """
+    gone = written(gone.select(*keys).distinct(), "gone")
+    few = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
+    own = {k: unused(docs, f"own_{k}") for k in keys}
+    theirs = gone.select(*(F.col(k).alias(unused(docs, f"gone_{k}")) for k in keys))
+    marked = docs.select("*", *(c.alias(own[k]) for k, c in keys.items()))
+    on = [marked[f"`{own[k]}`"].eqNullSafe(theirs[f"`{c}`"]) for k, c in zip(keys, theirs.columns)]
+    left = marked.join(F.broadcast(theirs) if few else theirs, on, "left_anti")
+    return left.select(*columns_of(docs))

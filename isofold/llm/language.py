@@ -171,10 +171,10 @@ def fit_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, cells: int = CELLS)
     return NaiveBayes.fit(sampled(known.where(~held_out(F.col("doc_id"))), fit_rows).select("text", "label"), cells)
 
 
-def identified(docs: DataFrame, model: NaiveBayes) -> DataFrame:
-    """docs with lang_pred and score; one pass, no shuffle. Columns of docs with those names are replaced."""
+def identified(docs: DataFrame, model: NaiveBayes, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the language and its posterior in columns of the given names; one pass, no shuffle. Columns of docs with those names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in (label, score)]
     names = [f"c{i}" for i in range(len(keep))]
     own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)), F.col("text").cast("string").alias("text"))
 
@@ -184,12 +184,11 @@ def identified(docs: DataFrame, model: NaiveBayes) -> DataFrame:
             for lo, hi in slices(bytes_, 4_000_000):
                 batch = whole.slice(lo, hi - lo)
                 labels, scores = shared.value.predict(*text_buffer(batch.column(len(keep))))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*names, "label", "posterior"])
             give_back()
 
-    schema = own.select(*names).schema.add("lang_pred", "string").add("score", "double")
-    out = own.mapInArrow(run, schema)
-    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names)), "lang_pred", "score")
+    schema = own.select(*names).schema.add("label", "string").add("posterior", "double")
+    return own.mapInArrow(run, schema).toDF(*keep, label, score)
 
 
 def predict_languages(docs: DataFrame, fit_rows: int = FIT_ROWS, cells: int = CELLS) -> DataFrame:

@@ -16,11 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import WHITE, give_back, lowered, slices, text_buffer, word_bounds, written
+from .common import WHITE, give_back, lowered, slices, text_buffer, text_key, word_bounds, written
 
 SHINGLE_SEED = 42
 
@@ -93,19 +93,22 @@ def _slice_fingerprints(buf: np.ndarray, offsets: np.ndarray, size: int) -> np.n
 _SPREAD = [np.array([sum(((b >> (4 * half + i)) & 1) << (16 * i) for i in range(4)) for b in range(256)], np.uint64) for half in range(2)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp long): the 64-bit SimHash of each whole text; null, empty and blank texts get 0. One pass, no shuffle."""
+def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str = "doc_id", also: dict[str, Column] | None = None) -> DataFrame:
+    """(key, fp long): the 64-bit SimHash of each whole text; null, empty and blank texts get 0. One pass, no shuffle. `also`: further columns."""
+    also = also or {}
+    own = docs.select(F.col(text).cast("string").alias("text"), F.col(key).cast("long").alias("doc_id"), *(c.alias(n) for n, c in also.items()))
+    names = [*own.columns[1:], "fp"]
 
     def run(batches):
         for batch in batches:
-            buf, offsets = text_buffer(batch.column(1))
+            buf, offsets = text_buffer(batch.column(0))
             out = np.zeros(batch.num_rows, np.uint64)
             for lo, hi in slices(offsets):
                 out[lo:hi] = _slice_fingerprints(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shingle)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(out.view(np.int64))], names)
             give_back()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return own.mapInArrow(run, own.drop("text").schema.add("fp", "long"))
 
 
 # ---------------------------------------------------------------- trees
@@ -220,7 +223,7 @@ def near_links(classes: DataFrame, bits: int = 3, shard_rows: int = 1024, sample
     shards = max(1, min(most_shards, n // shard_rows))
     share = min(1.0, shards * sample_per_shard / max(1, n))
     picked = classes.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))) if shards > 1 else classes.limit(0)
-    sample = np.array([r[0] for r in picked.select("fp").limit(2 * most_shards * sample_per_shard).collect()], np.int64).view(np.uint64)
+    sample = picked.select("fp").limit(2 * most_shards * sample_per_shard).toArrow().column("fp").to_numpy().astype(np.int64).view(np.uint64)
     trees = [VantageTree(x, bits // 2, 2 * sample_per_shard, 11 + k) for k, x in enumerate(halves(sample))]
     shared = spark.sparkContext.broadcast(trees)
     first = trees[0].shards
@@ -241,20 +244,43 @@ def near_links(classes: DataFrame, bits: int = 3, shard_rows: int = 1024, sample
     return routed.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 3, **options) -> DataFrame:
+def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 3, also: dict[str, Column] | None = None, **options) -> DataFrame:
     """(doc_id, fp long, component_id): documents whose fingerprints are linked, directly or through others.
 
     component_id is the smallest doc_id reachable. Equal fingerprints are one class from the start, so
     copies cost one row. A row whose doc_id is null links nothing; it gets its fingerprint's component if
     another document has that fingerprint, else null. Rows that repeat a doc_id are each returned, judged by their own
-    text. An empty table gives an empty result; columns beside doc_id and text are ignored.
+    text: an id doesn't link the texts that stand under it. An empty table gives an empty result; columns beside doc_id and text are ignored.
     """
-    fps = written(fingerprints(docs, shingle), "simhash")
-    classes = written(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    edges = near_links(classes, bits, **options)
-    found = components(edges)
-    named = classes.join(found, classes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    fps = written(fingerprints(docs, shingle, also=also), "simhash")
+    named = grouped(fps.where("doc_id is not null"), bits, **options).select("fp", F.col("rep").alias("component_id"))
+    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id", *(also or ()))
+
+
+def grouped(fps: DataFrame, bits: int = 3, **options) -> DataFrame:
+    """(fp, group, rep): the distinct fingerprints of (doc_id, fp), each with its group of linked ones and the smallest doc_id in the group."""
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    found = components(near_links(classes.select("fp", F.col("fp").alias("rep")), bits, **options))
+    linked = written(classes.join(found, classes["fp"] == found["node"]).select("fp", F.col("component").alias("group"), "rep"), "linked")
+    least = linked.groupBy(F.col("group").alias("of")).agg(F.min("rep").alias("least"))
+    linked = linked.join(least, F.col("group") == F.col("of")).select("fp", "group", "least")
+    return classes.join(linked, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), F.coalesce("least", "rep").alias("rep"))
+
+
+def copies(docs: DataFrame, shingle: int = 3, bits: int = 3, **options) -> tuple[DataFrame, DataFrame]:
+    """(gone, repeated), both (doc_id, text_key): rows that aren't their group's one, and those that are but stand there more than once.
+
+    Rows are documents, whatever their ids: a group keeps the row with the smallest doc_id, null ids last, and of several under that id
+    the one whose text_key sorts first.
+    """
+    fps = written(fingerprints(docs, shingle, also={"text_key": text_key(F.col("text"))}), "simhash")
+    group = written(grouped(fps, bits, **options).select("fp", "group"), "group")
+    rank = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")
+    first = fps.groupBy("fp").agg(F.min(rank).alias("first")).join(group, "fp").groupBy("group").agg(F.min("first").alias("first"))
+    judged = fps.join(group.join(first, "group").select("fp", "first"), "fp")
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    judged = written(judged.groupBy("doc_id", "text_key", chosen.alias("chosen")).agg(F.count("*").alias("n")), "judged")
+    return judged.where("not chosen").select("doc_id", "text_key"), judged.where("chosen and n > 1").select("doc_id", "text_key")
 
 
 def op2_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:

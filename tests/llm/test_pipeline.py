@@ -44,6 +44,50 @@ def test_repeated_rows_leave_one(spark, sf):
     assert sorted(r["doc_id"] for r in out if r["doc_id"] is not None) == [5, 9] and len(out) == 3
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, gone int, pii_counts string, row string, fp string, key string, words string, text_key string, own_text_key string, `a.b` string, own_row int"
+
+
+def test_clashing_columns_come_out_as_they_went_in(spark, sf):
+    rest = (7.5, "mine", 3, "none", "r", "f", "k", "w", "t", "o", "dot", 9)
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    texts = ["some words of a text", "some words of a text", "call +1 (521) 555-2373 now", item, "an entirely different text here"]
+    rows = [(i, t, "en", "s", len(t), rest[0] + i, *rest[1:]) for i, t in enumerate(texts)]
+    now = spark.createDataFrame(rows, ODD)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, now, sf)
+        assert out.columns == now.columns
+        got = {r["doc_id"]: tuple(r) for r in out.collect()}
+        assert all(v[5:] == rows[d][5:] for d, v in got.items())
+        now = spark.createDataFrame(list(got.values()), ODD)
+    assert set(got) == {0, 2, 4} and got[2][1] != texts[2] and got[0][:5] == rows[0][:5]
+    assert corpus_pipeline.STAGES[-1][1](spark, now, sf).count() == 3
+
+
+def test_empty_table(spark, sf):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], ODD), sf).count() == 0
+
+
+def test_rows_are_judged_by_their_own_text(spark, sf):
+    """A repeated id neither drops the other text under it nor links what stands under it."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    other, third = "another unique text stands under this id", "quite something else is said in here"
+    rows = [(1, "a copied text of words"), (9, "a copied text of words"), (9, other), (9, third), (None, third), (3, other + " and more words follow"), (None, None), (None, "")]
+    schema = "doc_id long, text string"
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), sf).collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, [rows[0], rows[2], rows[3], rows[5], next(tuple(r) for r in out if not r["text"])]))
+    rows = [(1, item), (1, "a clean text under that id"), (None, item), (None, "clean as well")]
+    out = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, schema), sf).collect()
+    assert sorted(r["text"] for r in out) == ["a clean text under that id", "clean as well"]
+
+
+def test_repeated_rows_choice_is_fixed(spark, sf):
+    rows = [(1, "same text here now", x) for x in ("b", "a", None, "c")] + [(2, "same text here now", "0")]
+    for order in (rows, rows[::-1]):
+        out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3), sf).collect()
+        assert [tuple(r) for r in out] == [(1, "same text here now", "a")]
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "size", "source_size", "target", "taken"] and out.count() > 100
