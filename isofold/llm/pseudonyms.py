@@ -3,14 +3,19 @@
 A value that passes its kind's validation is read as a number below the count of the format's values, permuted there by a
 Feistel network under a key, and written back in the same shape: separators stay, check digits are made anew. It is a
 permutation, so equal values stay equal across documents and different ones stay different, and with the key it can be undone.
+
+There is no key in this file. A session has the one in its setting `spark.isofold.pseudonyms.secret`, or else one drawn at random that
+nothing keeps: values are then linked within that session alone.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
+import secrets
 from collections.abc import Callable
 
 import numpy as np
@@ -22,7 +27,18 @@ from pyspark.sql import types as T
 from .common import give_back, slices, text_buffer
 
 ROUNDS = 10
-DEMO_KEY = b"isofold pseudonyms"
+SETTING = "spark.isofold.pseudonyms.secret"
+_DRAWN: list[bytes] = []
+
+
+def session_key(spark: SparkSession | None = None) -> bytes:
+    """The key in the session's setting; where none is set, one drawn at random for this process."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is not None and (found := spark.conf.get(SETTING, None)):
+        return found.encode()
+    if not _DRAWN:
+        _DRAWN.append(secrets.token_bytes(32))
+    return _DRAWN[0]
 
 
 class Feistel:
@@ -83,13 +99,33 @@ def _card(s: str, permute) -> str | None:
     return _refilled(s, body + luhn_digit(body))
 
 
+#: Digits of a whole national number, by country code.
+NATIONAL = {
+    "1": (10,), "7": (10,), "20": (9, 10), "27": (9,), "30": (10,), "31": (9,), "32": (8, 9), "33": (9,), "34": (9,), "39": (9, 10, 11), "40": (9,), "41": (9,),
+    "44": (9, 10), "45": (8,), "46": (7, 8, 9), "47": (8,), "48": (9,), "52": (10,), "55": (10, 11), "61": (9,), "64": (8, 9, 10), "65": (8,), "81": (9, 10), "82": (8, 9, 10),
+    "86": (10, 11), "90": (10,), "91": (10,), "351": (9,), "353": (7, 8, 9), "358": (6, 7, 8, 9, 10), "420": (9,), "852": (8,),
+}
+
+
 def _phone(s: str, permute) -> str | None:
     d = _digits(s)
-    if s.startswith("+") and not 8 <= len(d) <= 15:
+    keep = 0
+    if s.startswith("+"):
+        code = next((d[:n] for n in (1, 2, 3) if d[:n] in NATIONAL), None)
+        if code is None and not 8 <= len(d) <= 15 or code is not None and len(d) - len(code) not in NATIONAL[code]:
+            return None
+        keep = len(code or "0")
+    elif len(d) != 10:
         return None
-    keep = len(d) - 10 if len(d) > 10 else (1 if s.startswith("+") else 0)
+    keep = max(keep, len(d) - 10)
     n = len(d) - keep
-    return _refilled(s, d[:keep] + str(permute("phone", int(d[keep:]), 10**n)).zfill(n))
+    # a code that is known stays known, and one that isn't stays so: walk on until the number reads as it did
+    shape, x = d[:keep], int(d[keep:])
+    while True:
+        x = permute("phone", x, 10**n)
+        new = shape + str(x).zfill(n)
+        if not s.startswith("+") or next((new[:k] for k in (1, 2, 3) if new[:k] in NATIONAL), None) == code:
+            return _refilled(s, new)
 
 
 def _ip(s: str, permute) -> str | None:
@@ -100,6 +136,25 @@ def _ip(s: str, permute) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _long_form(address: str) -> bool:
+    """Three groups and a digit at least: what has fewer is no one's own, or isn't an address."""
+    return "." not in address and sum(map(bool, address.split(":"))) >= 3 and any(c in "0123456789" for c in address)
+
+
+def _ipv6(s: str, permute) -> str | None:
+    """An address is its number, however it is written; its pseudonym is in the shortest form."""
+    try:
+        x = int(ipaddress.IPv6Address(s))
+    except ValueError:
+        return None
+    if not _long_form(s) or not _long_form(str(ipaddress.IPv6Address(x))):
+        return None
+    while True:
+        x = permute("ipv6", x, 2**128)
+        if _long_form(new := str(ipaddress.IPv6Address(x))):
+            return new
+
+
 def _ssn(s: str, permute) -> str | None:
     a, b, c = int(s[:3]), int(s[4:6]), int(s[7:])
     if a in (0, 666) or a >= 900 or not b or not c:
@@ -111,6 +166,14 @@ def _ssn(s: str, permute) -> str | None:
     return f"{a:03d}{s[3]}{b + 1:02d}{s[6]}{c + 1:04d}"
 
 
+#: The length of a country's account numbers.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SA": 24, "SE": 24, "SI": 19,
+    "SK": 24, "SM": 27, "TR": 26,
+}
+
+
 def _iban_check(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
@@ -118,7 +181,7 @@ def _iban_check(country: str, body: str) -> str:
 def _iban(s: str, permute) -> str | None:
     flat = s.replace(" ", "")
     country, body = flat[:2], flat[4:]
-    if not 15 <= len(flat) <= 34 or _iban_check(country, body) != flat[2:4]:
+    if len(flat) != IBAN_LENGTHS.get(country, len(flat)) or not 15 <= len(flat) <= 34 or _iban_check(country, body) != flat[2:4]:
         return None
     body = _by_class("iban", body, permute)
     it = iter(country + _iban_check(country, body) + body)
@@ -145,9 +208,31 @@ def _by_class(tweak: str, s: str, permute) -> str:
     return "".join(reversed(out))
 
 
+#: Mail domains of the public, which say nothing of their users. They stay; others are pseudonymised up to their last part.
+PUBLIC_DOMAINS = frozenset(
+    """aol.com example.com example.net example.org free.fr gmail.com gmx.at gmx.ch gmx.de gmx.net googlemail.com hotmail.com hotmail.co.uk hotmail.de hotmail.es hotmail.fr icloud.com
+    laposte.net libero.it live.com mail.com mail.ru me.com msn.com orange.fr outlook.com outlook.de outlook.es outlook.fr proton.me protonmail.com qq.com t-online.de terra.es wanadoo.fr
+    web.de yahoo.co.jp yahoo.co.uk yahoo.com yahoo.de yahoo.es yahoo.fr yandex.ru zoho.com 126.com 163.com""".split()
+)
+
+
+def _public(domain: str) -> bool:
+    parts = domain.split(".")
+    return any(".".join(parts[i:]) in PUBLIC_DOMAINS for i in range(len(parts)))
+
+
 def _email(s: str, permute) -> str | None:
-    local, _, domain = s.rpartition("@")
-    return f"{_by_class('email', local, permute)}@{domain}"
+    """Capital and small forms of an address are one value: the small one is permuted, and capitals stand where they stood."""
+    local, _, domain = s.lower().rpartition("@")
+    new = _by_class("email", local, permute)
+    if not _public(domain):
+        name, _, last = domain.rpartition(".")
+        while True:
+            name = _by_class("domain", name, permute)
+            if not _public(f"{name}.{last}"):
+                break
+        domain = f"{name}.{last}"
+    return "".join(c.upper() if was != was.lower() else c for c, was in zip(f"{new}@{domain}", s))
 
 
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -191,22 +276,27 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])", _email),
     ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])", _secret),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", _iban),
+    ("ipv6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9])", _ipv6),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}(?P<sep1>[-/.])[0-9]{2}(?P=sep1)[0-9]{2}|[0-9]{2}(?P<sep2>[-/.])[0-9]{2}(?P=sep2)[0-9]{4})(?![0-9]|[./-][0-9])", _date),
-    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])", _ssn),
+    ("ssn", r"(?<![0-9-])[0-9]{3}(?P<sep3>[- ])[0-9]{2}(?P=sep3)[0-9]{4}(?![0-9]|-[0-9])", _ssn),
     ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])", _phone),
     ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])", _card),
 ]
-_PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS))
-_BY_KIND = {k: f for k, _, f in KINDS}
+_KINDS = [(k, re.compile(p), f) for k, p, f in KINDS]
+#: Where a value of any kind may begin.
+_BEGIN = re.compile(r"(?<![0-9A-Za-z])[0-9A-Za-z+(]|(?<=[A-Za-z])[0-9]|(?<![0-9A-Za-z:.])::")
+#: Where a value of groups may end earlier than its pattern took it.
+_GROUP = re.compile(r"[ .-]+(?=[0-9A-Z])")
+_GROUPED = {"card", "phone", "iban"}
 _RUN = re.compile(r"(?<!\S)\S*[0-9@]\S*(?: (?:\S*[0-9@]\S*|[A-Z]{4}(?!\S)))*")
 
 
 class Pseudonymizer:
-    """Replaces validated values in texts. The same key gives the same pseudonyms anywhere."""
+    """Replaces validated values in texts. The same key gives the same pseudonyms anywhere; without one, the session's."""
 
-    def __init__(self, key: bytes = DEMO_KEY, back: bool = False):
-        self.key, self.back = key, back
+    def __init__(self, key: bytes | None = None, back: bool = False):
+        self.key, self.back = session_key() if key is None else key, back
         self.networks: dict[tuple[str, int], Feistel] = {}
 
     def permute(self, tweak: str, x: int, n: int) -> int:
@@ -217,33 +307,58 @@ class Pseudonymizer:
                 self.networks[tweak, n] = network
         return network(x, self.back)
 
+    def _at(self, run: str, at: int) -> tuple[str, int, str] | None:
+        """(kind, end, pseudonym) of the value that begins at `at`: of the kinds in order, the first with a valid form, the longest."""
+        for kind, pattern, become in _KINDS:
+            m = pattern.match(run, at)
+            if m is None:
+                continue
+            ends = [m.end()]
+            if kind in _GROUPED:
+                ends += [at + g.start() for g in reversed(list(_GROUP.finditer(m[0])))]
+            for end in ends:
+                if (kind != "phone" or end == m.end() or run[at] == "+") and (new := become(run[at:end], self.permute)) is not None:
+                    return kind, end, new
+        return None
+
     def __call__(self, text: str) -> tuple[str, dict[str, int]]:
         counts: dict[str, int] = {}
 
-        def value(m: re.Match) -> str:
-            kind = next(k for k in _BY_KIND if m[k] is not None)
-            new = _BY_KIND[kind](m[kind], self.permute)
-            if new is None:
-                return m[0]
-            counts[kind] = counts.get(kind, 0) + 1
-            return new
+        def values(m: re.Match) -> str:
+            run, out, done, at = m[0], [], 0, 0
+            while (begin := _BEGIN.search(run, at)) is not None:
+                at = begin.start()
+                found = self._at(run, at)
+                if found is None:
+                    at += 1
+                    continue
+                kind, end, new = found
+                counts[kind] = counts.get(kind, 0) + 1
+                out += [run[done:at], new]
+                done = at = end
+            return "".join([*out, run[done:]]) if out else run
 
         # words with a digit or at sign, and such words in a row, are all that can hold a value
-        return _RUN.sub(lambda run: _PATTERN.sub(value, run[0]), text), counts
+        return _RUN.sub(values, text), counts
 
 
-def pseudonymized(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) -> DataFrame:
-    """docs with its text pseudonymised, and pii_counts, a map from kind to the number of values replaced.
+def pseudonymized(docs: DataFrame, key: bytes | None = None, back: bool = False, counts: str | None = "pii_counts") -> DataFrame:
+    """docs with its text pseudonymised, and in a column of the name `counts`, if any, a map from kind to the number of values replaced.
 
-    Emails, hexadecimal secrets, IBANs, IPv4 addresses, dates, social security, phone and card numbers that are valid in their kind; what
-    fails validation stays as it is. Null texts stay null; other columns, ids and repeated rows are as they were. One pass, no shuffle.
+    Emails, hexadecimal secrets, IBANs, IPv4 and IPv6 addresses, dates, social security, phone and card numbers that are valid in their kind. Of
+    what a place may hold the first kind with a valid form wins, by its longest form; what fails validation stays as it is, and so do
+    social security numbers without separators, which any nine digits look like. Mail domains of the public stay. Null texts stay null; other
+    columns, ids and repeated rows are as they were, but a column of docs of the name `counts` is replaced. One pass, no shuffle.
     """
+    key = session_key(docs.sparkSession) if key is None else key
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != counts))
     place = docs.columns.index("text")
     names = [f"c{i}" for i in range(len(docs.columns))]
     own = docs.toDF(*names).withColumn(names[place], F.col(names[place]).cast("string"))
     marks = np.zeros(256, np.int32)
     marks[0x30:0x3A] = 1
     marks[0x40] = 1
+    last = [] if counts is None else [T.StructField("counts", T.MapType(T.StringType(), T.LongType()))]
 
     def run(batches):
         worker = Pseudonymizer(key, back)
@@ -258,21 +373,21 @@ def pseudonymized(docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False) ->
                 if len(filled):
                     has[filled] = np.add.reduceat(marks[buf], offsets[filled]) > 0
                 texts = column.to_pylist() if has.any() else None
-                counts: list = [{}] * batch.num_rows
+                found: list = [{}] * batch.num_rows
                 if texts:
                     for i in np.flatnonzero(has).tolist():
-                        texts[i], counts[i] = worker(texts[i])
+                        texts[i], found[i] = worker(texts[i])
                 columns = [pa.array(texts, pa.string()) if i == place and texts else c for i, c in enumerate(batch.columns)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int64()))], [*names, "pii_counts"])
+                tail = [pa.array([list(c.items()) for c in found], pa.map_(pa.string(), pa.int64()))] if last else []
+                yield pa.RecordBatch.from_arrays([*columns, *tail], [*names, *(f.name for f in last)])
             give_back()
 
-    schema = T.StructType([*own.schema.fields, T.StructField("pii_counts", T.MapType(T.StringType(), T.LongType()))])
-    return own.mapInArrow(run, schema).toDF(*docs.columns, "pii_counts")
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, *last])).toDF(*docs.columns, *([counts] if last else []))
 
 
 def op4_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the whole text with pseudonyms, how many values were replaced, and how many of each kind."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = pseudonymized(docs)
+    out = pseudonymized(docs, session_key(spark))
     total = F.aggregate(F.map_values("pii_counts"), F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select("doc_id", "text", total.alias("n_values"), *(F.coalesce(F.try_element_at("pii_counts", F.lit(k)), F.lit(0)).alias(f"n_{k}") for k, _, _ in KINDS))

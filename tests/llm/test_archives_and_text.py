@@ -10,6 +10,8 @@ import zstandard
 
 from isofold.llm import licenses, permutation, pseudonyms, warc
 
+from . import brute
+
 PAGES = "page_id long, url string, html string, digest string, refers_to string"
 
 
@@ -148,6 +150,68 @@ def test_pseudonyms_table(odd_docs, no_docs, spark):
     assert got[2]["text"] is None and got[4]["text"] == "" and got[1]["pii_counts"] == {"phone": 1}
 
 
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("card 4111 1111 1111 1111 123 with its code", {"card": 1}),
+        ("+1 555 123 4567 2020", {"phone": 1}),
+        ("tel +44 20 7946 0958 2020-01-02", {"phone": 1, "date": 1}),
+        ("ids 1234-5678-9012-3456 and 4111-1111-1111-1111-99", {"card": 1}),
+        ("GB82 WEST 1234 5698 7654 32 1234", {"iban": 1}),
+        ("host 2001:db8:85a3::8a2e:370:7334, at 12:34:56 in a::b", {"ipv6": 1}),
+        ("ssn 078 05 1120 but 000 05 1120", {"ssn": 1}),
+        ("192.168.100.1.", {"ip": 1}),
+        ("mail <jo@own-domain.fr>; JO@OWN-DOMAIN.FR", {"email": 2}),
+    ],
+)
+def test_longest_valid_forms(text, kinds):
+    new, counts = pseudonyms.Pseudonymizer(b"key")(text)
+    assert counts == kinds and (new, counts) == brute.pseudonymized(text, b"key", pseudonyms.KINDS)
+    assert pseudonyms.Pseudonymizer(b"key", back=True)(new)[0] == text
+
+
+def test_equal_values_stay_linked():
+    worker = pseudonyms.Pseudonymizer(b"key")
+    new = lambda t: worker(t)[0]
+    assert new("+1 555 123 4567 2020") == new("+1 555 123 4567") + " 2020"
+    assert new("4111 1111 1111 1111 123") == new("4111 1111 1111 1111") + " 123"
+    assert new("Jo.Doe@Firm.org").lower() == new("jo.doe@firm.org") and "firm" not in new("jo.doe@firm.org")
+    assert new("jo@gmail.com").endswith("@gmail.com")
+    assert new("2001:DB8:0:0:1:0:0:1") == new("2001:db8::1:0:0:1")
+    assert new("(555) 123-4567")[1:4] == new("+1 555 123 4567")[3:6]
+
+
+def test_keys(spark):
+    """Without a key a session has its own, which no source file knows; the setting's key is taken where there is one."""
+    assert pseudonyms.session_key(spark) == pseudonyms.Pseudonymizer().key and len(pseudonyms.session_key(spark)) == 32
+    spark.conf.set(pseudonyms.SETTING, "one")
+    try:
+        assert pseudonyms.session_key(spark) == b"one" == pseudonyms.Pseudonymizer().key
+    finally:
+        spark.conf.unset(pseudonyms.SETTING)
+    assert pseudonyms.session_key(spark) != b"one"
+
+
+def test_pseudonyms_query_equals_plain(spark, sf):
+    """The whole query against a plain version that tries every place of every text."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = {r["doc_id"]: r for r in pseudonyms.op4_pii_feistel(spark, sf).collect()}
+    assert set(out) == set(texts)
+    some = 0
+    for d, text in texts.items():
+        want, counts = brute.pseudonymized(text, pseudonyms.session_key(spark), pseudonyms.KINDS) if len(text) < 5000 else pseudonyms.Pseudonymizer()(text)
+        r = out[d].asDict()
+        assert r["text"] == want and r["n_values"] == sum(counts.values()) and all(r[f"n_{k}"] == counts.get(k, 0) for k, _, _ in pseudonyms.KINDS)
+        some += bool(counts)
+    assert some > 3
+
+
+def test_pseudonyms_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.fr", 5, "x")], "doc_id long, text string, pii_counts int, `c1.d` string")
+    assert pseudonyms.pseudonymized(docs, b"k").columns == ["doc_id", "text", "c1.d", "pii_counts"]
+    assert [tuple(r)[2:] for r in pseudonyms.pseudonymized(docs, b"k", counts=None).collect()] == [(5, "x")]
+
+
 # ---------------------------------------------------------------- licenses
 def test_licenses(spark, odd_docs, no_docs):
     filler = "word " * 50
