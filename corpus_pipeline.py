@@ -1,6 +1,7 @@
 """A training corpus from raw documents: language, near duplicates, benchmark passages, personal data, mixture.
 
-Each stage takes (spark, docs, sf_dir) and returns a table; it is written as Parquet and read again as the next one's docs.
+Each stage takes (spark, docs, sf_dir) and returns a table; it is written as Parquet and read again as the next one's docs. A row is a
+document: ids may be null or repeated, each row is judged by its own text, and columns of any name come out as they went in.
 """
 
 from __future__ import annotations
@@ -9,39 +10,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isofold.llm import decontamination, language, mixing, pseudonyms, simhash
-from isofold.llm.common import without_ids, written
+from isofold.llm.common import columns_of, text_key, unused, without_keys, written
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go (null texts and those without a letter); a missing lang is filled in."""
-    model = language.fit_languages(docs)
-    found = language.identified(docs.withColumnRenamed("score", "score_") if "score" in docs.columns else docs, model)
-    kept = found.where(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred"))
-    return kept.select(*docs.columns)
+    label, score = unused(docs, "lang_pred"), unused(docs, "score")
+    found = language.identified(docs, language.fit_languages(docs), label, score).where(F.col(label) != language.UNKNOWN)
+    return found.withColumn("lang", F.coalesce("lang", label)).select(*columns_of(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays; of rows that repeat an id, one."""
-    groups = written(simhash.simhash_groups(docs, shingle=3, bits=3), "groups")
-    kept = without_ids(docs, groups.where(F.col("doc_id") != F.col("component_id")))
-    again = written(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    """Of each group of linked fingerprints one row stays, that with the smallest id: null ids come last, and of several texts under an id the one whose digest sorts first.
+
+    Of rows that repeat both id and text one stays, that whose columns come first as JSON. Different texts under one id are different documents.
+    """
+    keys = {"doc_id": F.col("doc_id").cast("long"), "text_key": text_key(F.col("text"))}
+    gone, again = simhash.copies(docs, shingle=3, bits=3)
+    kept = without_keys(docs, gone, keys)
+    again = written(again, "again")
     if again.isEmpty():
         return kept
-    return without_ids(kept, again).unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    id_, key, own = unused(docs, "own_id"), unused(docs, "own_key"), unused(docs, "own_row")
+    few = again.limit(1_000_001).count() <= 1_000_000
+    theirs = again.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
+    rows = docs.select(F.struct(*columns_of(docs)).alias(own), keys["doc_id"].alias(unused(docs, "the_id")), keys["text_key"].alias(unused(docs, "the_key")))
+    same = rows[rows.columns[1]].eqNullSafe(theirs[id_]) & (rows[rows.columns[2]] == theirs[key])
+    rows = rows.join(F.broadcast(theirs) if few else theirs, same, "left_semi").groupBy(*rows.columns[1:]).agg(F.min_by(own, F.to_json(own, {"ignoreNullFields": "false"})).alias(own))
+    return without_keys(kept, again, keys).unionByName(rows.select(f"{own}.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages cover a twentieth or more go."""
-    judged = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without_ids(docs, judged.where("contaminated"))
+    keys = {"text_key": text_key(F.col("text"))}
+    marked = docs.select(F.col("doc_id"), F.col("text"), keys["text_key"].alias("text_key"))
+    judged = decontamination.contamination(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), also=("text_key",))
+    return without_keys(docs, judged.where("contaminated").select("text_key"), keys)
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Valid personal values in texts become pseudonyms of the same format."""
-    out = pseudonyms.pseudonymized(docs)
+    out = pseudonyms.pseudonymized(docs, pseudonyms.session_key(spark), counts=None)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*columns_of(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
