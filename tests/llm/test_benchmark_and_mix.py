@@ -122,6 +122,79 @@ def test_shards_draw_by_weight(spark):
         assert (abs(first[1:] - first[:-1]) == 1).mean() < 0.01
 
 
+def test_counts_are_drawn_and_adjusted(spark):
+    """The shards' counts are free draws but for what the targets take back, which is spread along the shards."""
+    t = spark.createDataFrame([(chr(97 + i), 64 * (900 + 400 * i)) for i in range(7)] + [("z", 5), ("y", 0)], "source string, source_size long")
+    targets = mixing.source_targets(t)
+    H = 250
+    counts = mixing.drawn_counts(targets, H).toPandas()
+    due = {r["s"]: (r["slots"], r["slot_from"]) for r in targets.collect() if r["slots"]}
+    n = sum(v[0] for v in due.values())
+
+    def drawn(x):
+        p, sq = 2147483647, lambda v: v % 2147483647 * (v % 2147483647) % 2147483647
+        a = ((x % p + (x >> 31) * 69621) % p + 918273) % p
+        a = (sq(a) * 48271 + 12345) % p
+        a = (sq(a) * 69621 + x % p) % p
+        b = (sq(a) * 48271 + 777) % p
+        return (b * 2147483648 + (sq(b) * 69621 + a) % p) % n
+
+    free = {}
+    for x in range(n):
+        v = drawn(x)
+        s = next(s for s, (k, lo) in due.items() if lo <= v < lo + k)
+        free[x // H, s] = free.get((x // H, s), 0) + 1
+    totals = {s: sum(v for (_, o), v in free.items() if o == s) for s in due}
+    got = {(r["shard"], r["s"]): r["n"] for r in counts.to_dict("records")}
+    assert any(totals[s] != due[s][0] for s in due)
+    for s in due:
+        assert sum(v for (_, o), v in got.items() if o == s) == due[s][0]
+        if totals[s] > due[s][0]:
+            e, done = totals[s] - due[s][0], 0
+            for h in range(-(-n // H)):
+                was, done = done, done + free.get((h, s), 0)
+                assert got.get((h, s), 0) == done - was - (done * e // totals[s] - was * e // totals[s])
+    assert all(got.get(k, 0) >= v for k, v in free.items() if totals[k[1]] <= due[k[1]][0])
+    sizes = counts.groupby("shard")["n"].sum()
+    assert (sizes.iloc[:-1] == H).all() and sizes.sum() == n
+    for s, own in counts.groupby("s"):
+        own = own.sort_values("shard")
+        assert list(own["k_from"]) == [0, *own["n"].cumsum()[:-1]]
+    chi = [(v - H * due[s][0] / n) ** 2 / (H * due[s][0] / n) for (h, s), v in free.items() if h < n // H and due[s][0] > n / 20]
+    assert 0.5 < sum(chi) / len(chi) < 1.2
+
+
+def test_running_sums(spark):
+    df = spark.createDataFrame([(k, i, (i * 7) % 5) for k in "ab" for i in range(0, 100, 3)], "k string, i long, v long")
+    for r in mixing.running(df, ["k"], "i", "v", "before", chunk=8).collect():
+        assert r["before"] == sum((i * 7) % 5 for i in range(0, r["i"], 3))
+    assert {r["before"] for r in mixing.running(df.where("k = 'a'"), [], "i", "v", "before", chunk=1000).collect()} > {0}
+
+
+@pytest.mark.parametrize("n", [2**31 + 11, 848143 * 648007, 2**43 - 7])
+def test_permutations_beyond_32_bits(spark, n):
+    """Steps are one to one and stay within n, on numbers at both ends and in between; nothing overflows."""
+    from pyspark.sql import functions as F
+
+    some = sorted({*range(2000), *range(n - 2000, n), *(n * k // 999 for k in range(999))})
+    df = spark.createDataFrame([(x,) for x in some], "x long").withColumn("was", F.col("x"))
+    out = mixing._stepped(df, "x", mixing.shuffle_rounds("x", f"{n}L", "CAST(77 AS BIGINT)")).collect()
+    images = [r["x"] for r in out]
+    assert len(set(images)) == len(some) and all(0 <= x < n for x in images)
+    assert sum(x > n // 2 for x in images) > len(images) * 0.45
+    drawn = [r["drawn"] for r in mixing._stepped(df, "drawn", mixing.draw_steps("x", f"{n}L")).collect()]
+    assert all(0 <= x < n for x in drawn) and abs(sum(drawn) / len(drawn) / n - 0.5) < 0.03
+
+
+def test_hot_ids_are_spread(spark):
+    """Null ids, one id for many texts and ids with a stride don't make a chunk of their own."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i * 1024, "s", f"w{i} " * (i % 5 + 1)) for i in range(9000)]
+    base = mixing.measured(spark.createDataFrame(rows, "doc_id long, source string, text string")).selectExpr("*", "1L AS s")
+    n = 9000 // 256
+    chunks = base.selectExpr(f"{mixing._chunk(str(n))} AS c").groupBy("c").count().toPandas()["count"]
+    assert len(chunks) == n and chunks.max() < 2 * 9000 / n
+
+
 def test_what_documents_give_is_what_shards_take(docs, monkeypatch):
     """The words of each source that the shards take are those taken of its documents; a mix that loses a shard shows it."""
     shards = mixing.mix_by_shard(docs, block_words=8, shard_slots=100).toPandas()
