@@ -85,8 +85,7 @@ def _stepped(df: DataFrame, x: str, steps: list[list[tuple[str, str]]]) -> DataF
 def running(df: DataFrame, keys: list[str], at: str, value: str, name: str, chunk: int = 4096) -> DataFrame:
     """Adds the sum of value over rows of the same keys with a smaller `at`, a number, in two steps: within chunks, and over the chunks' sums."""
     df = df.withColumn("chunk_", F.expr(f"{at} div {chunk}"))
-    over = f"PARTITION BY {', '.join([*keys, ''])}"
-    within = F.expr(f"sum({value}) OVER ({over} chunk_ ORDER BY {at}) - {value}")
+    within = F.expr(f"sum({value}) OVER (PARTITION BY {', '.join([*keys, 'chunk_'])} ORDER BY {at}) - {value}")
     sums = df.groupBy(*keys, "chunk_").agg(F.sum(value).alias("sum_"))
     by = f"PARTITION BY {', '.join(keys)} " if keys else ""
     sums = sums.select(*(F.col(k).alias(f"{k}_") for k in keys), F.col("chunk_").alias("of_"), F.expr(f"sum(sum_) OVER ({by}ORDER BY chunk_) - sum_").alias("before_"))
@@ -159,11 +158,10 @@ _GIVEN = "CASE WHEN {c} = all_drawn THEN e ELSE CAST(floor(CAST({c} AS DOUBLE) *
 CELLS = 65_536
 
 
-def _by_source(df: DataFrame, x: str, ranges: DataFrame, n: int, broadcast_sources: int) -> DataFrame:
+def _by_source(df: DataFrame, x: str, ranges: DataFrame, n: int, few: bool) -> DataFrame:
     """Adds s, the source whose range (s, lo, hi) of 0 to n - 1 holds x: ranges are listed by cell, and joined by that. Cells and sources bound a broadcast."""
     width = n // CELLS + 1
     cells = ranges.select(F.col("s"), "lo", "hi", F.explode(F.expr(f"sequence(lo div {width}, (hi - 1) div {width})")).alias("cell"))
-    few = ranges.limit(broadcast_sources + 1).count() <= broadcast_sources
     df = df.withColumn("at_cell", F.expr(f"{x} div {width}"))
     on = (F.col("at_cell") == F.col("cell")) & (F.col(x) >= F.col("lo")) & (F.col(x) < F.col("hi"))
     return df.join(F.broadcast(cells) if few else cells, on).drop("at_cell", "cell", "lo", "hi")
@@ -176,28 +174,29 @@ def drawn_counts(targets: DataFrame, shard_slots: int = SHARD_SLOTS, broadcast_s
     """
     spark = targets.sparkSession
     due = targets.where("slots > 0").select("s", "slots", F.col("slot_from").alias("lo"), F.expr("slot_from + slots").alias("hi"))
-    n = int(targets.agg(F.max("all_slots")).first()[0] or 0)
+    n, sources = targets.agg(F.coalesce(F.max("all_slots"), F.lit(0)).cast("long"), F.count("*")).first()
+    few = sources <= broadcast_sources
     if n > MOST_SLOTS:
         raise ValueError(f"{n} slots are more than {MOST_SLOTS}: take larger blocks")
     shards = -(-n // shard_slots)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 500_000)
     places = spark.range(0, shards, 1, max(1, min(shards, parts))).select(F.col("id").alias("shard"), F.explode(F.expr(f"sequence(id * {shard_slots}, least({n}, (id + 1) * {shard_slots}) - 1)")).alias("place"))
     draws = _stepped(places, "drawn", draw_steps("place", f"{n}"))
-    counts = _by_source(draws, "drawn", due, n, broadcast_sources).groupBy("shard", "s").agg(F.count("*").alias("n"))
-    counts = written(running(counts, ["s"], "shard", "n", "before"), "draws")
-    totals = due.join(counts.groupBy(F.col("s").alias("of_s")).agg(F.sum("n").alias("all_drawn")), F.col("s") == F.col("of_s"), "left").select("s", "slots", F.coalesce("all_drawn", F.lit(0)).alias("all_drawn"))
+    # from here on there is a row for each shard and source
+    counts = written(_by_source(draws, "drawn", due, n, few).groupBy("shard", "s").agg(F.count("*").alias("n")), "draws")
+    drawn = counts.groupBy(F.col("s").alias("of_s")).agg(F.sum("n").alias("all_drawn"))
+    totals = due.join(drawn, F.col("s") == F.col("of_s"), "left").select("s", "slots", F.coalesce("all_drawn", F.lit(0)).alias("all_drawn"))
     totals = written(totals.withColumn("e", F.expr("greatest(all_drawn - slots, 0)")).withColumn("lacks", F.expr("greatest(slots - all_drawn, 0)")), "totals")
+    free = int(totals.agg(F.sum("lacks")).first()[0] or 0)
     over = totals.select(F.col("s").alias("of_s"), "all_drawn", "e")
-    few = totals.limit(broadcast_sources + 1).count() <= broadcast_sources
-    given = counts.join(F.broadcast(over) if few else over, F.col("s") == F.col("of_s")).select("shard", "s", "n", F.expr(f"({_GIVEN.format(c='(before + n)')}) - ({_GIVEN.format(c='before')})").alias("gives"))
-    given = written(given, "given")
+    given = running(counts, ["s"], "shard", "n", "before").join(F.broadcast(over) if few else over, F.col("s") == F.col("of_s"))
+    given = given.select("shard", "s", "n", F.expr(f"({_GIVEN.format(c='(before + n)')}) - ({_GIVEN.format(c='before')})").alias("gives"))
     # the places given up, in the order of shards, are dealt to the sources that lack some
-    free = int(totals.agg(F.sum("lacks")).first()[0] or 0)
     freed = running(given.where("gives > 0").groupBy("shard").agg(F.sum("gives").alias("gives")), [], "shard", "gives", "from_free")
     freed = freed.select("shard", F.explode(F.expr("sequence(from_free, from_free + gives - 1)")).alias("free"))
     lacking = totals.where("lacks > 0").selectExpr("s", "sum(lacks) OVER (ORDER BY s) - lacks AS lo", "sum(lacks) OVER (ORDER BY s) AS hi")
     if free:
-        taken = _by_source(_stepped(freed, "free", shuffle_rounds("free", f"{free}", "CAST(31 AS BIGINT)")), "free", lacking, free, broadcast_sources)
+        taken = _by_source(_stepped(freed, "free", shuffle_rounds("free", f"{free}", "CAST(31 AS BIGINT)")), "free", lacking, free, few)
         given = given.selectExpr("shard", "s", "n - gives AS n").unionByName(taken.groupBy("shard", "s").agg(F.count("*").alias("n")))
     else:
         given = given.select("shard", "s", "n")
