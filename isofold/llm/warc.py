@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, written
 
 DICTIONARY_MAGIC = 0x184D2A5D
 _SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -36,6 +36,8 @@ DICTIONARY_BYTES = 64 << 10
 #: Payload that a dictionary is trained on, from the head of its archive.
 TRAIN_BYTES = 2_000_000
 LEVEL = 3
+#: What a reader asks a stream for at a time.
+CHUNK_BYTES = 1 << 20
 
 
 class WarcError(ValueError):
@@ -97,54 +99,89 @@ class Writer:
 
 
 # ---------------------------------------------------------------- reading
-def _frame_end(data: memoryview, at: int) -> int:
-    """Where the Zstandard frame at `at` ends, from its block headers."""
-    size = zstandard.frame_header_size(bytes(data[at : at + 18]))
-    checksum = data[at + 4] >> 2 & 1
-    at += size
+class _Source:
+    """A stream read in chunks: what was taken is let go of, so that one frame is held at a time."""
+
+    def __init__(self, stream, chunk: int = CHUNK_BYTES):
+        self.stream, self.chunk, self.held, self.at, self.offset = stream, chunk, bytearray(), 0, 0
+
+    def has(self, n: int) -> bool:
+        """Whether n more bytes are there; they are then held."""
+        while len(self.held) - self.at < n:
+            more = self.stream.read(max(self.chunk, n - len(self.held) + self.at))
+            if not more:
+                return False
+            if self.at:
+                del self.held[: self.at]
+                self.at = 0
+            self.held += more
+        return True
+
+    def look(self, start: int, size: int) -> bytes:
+        return bytes(self.held[self.at + start : self.at + start + size])
+
+    def take(self, n: int) -> bytes:
+        out = self.look(0, n)
+        self.at += n
+        self.offset += n
+        return out
+
+
+def _frame_size(source: _Source) -> int:
+    """The size of the Zstandard frame that comes next, from its block headers."""
+    source.has(18)
+    try:
+        at = zstandard.frame_header_size(source.look(0, 18))
+    except zstandard.ZstdError as e:
+        raise WarcError(f"no frame at {source.offset}: {e}") from e
+    checksum = source.look(4, 1)[0] >> 2 & 1
     while True:
-        if at + 3 > len(data):
+        if not source.has(at + 3):
             raise WarcError("a frame is cut off")
-        head = int.from_bytes(data[at : at + 3], "little")
+        head = int.from_bytes(source.look(at, 3), "little")
         at += 3 + (1 if head >> 1 & 3 == 1 else head >> 3)
         if head & 1:
             break
     at += 4 * checksum
-    if at > len(data):
+    if not source.has(at):
         raise WarcError("a frame is cut off")
     return at
 
 
-def read_frames(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of each frame of an archive; the leading skippable frame gives the dictionary."""
-    view, at, dictionary = memoryview(data), 0, None
+def read_frames(data) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each frame of an archive, bytes or a stream; the leading skippable frame gives the dictionary."""
+    source = _Source(io.BytesIO(data) if isinstance(data, (bytes, bytearray, memoryview)) else data)
     unpack = zstandard.ZstdDecompressor()
-    while at < len(view):
-        if at + 8 > len(view):
-            raise WarcError(f"{len(view) - at} stray bytes at {at}")
-        magic, size = struct.unpack_from("<II", view, at)
+    while source.has(1):
+        at = source.offset
+        if not source.has(8):
+            raise WarcError(f"stray bytes at {at}")
+        magic, size = struct.unpack("<II", source.look(0, 8))
         if magic in _SKIPPABLE:
-            if at + 8 + size > len(view):
+            if not source.has(8 + size):
                 raise WarcError("the skippable frame is cut off")
+            content = source.take(8 + size)[8:]
             if magic == DICTIONARY_MAGIC:
                 if at:
                     raise WarcError(f"a dictionary at {at}; only the leading frame may hold it")
-                content = bytes(view[8 : 8 + size])
-                if content[:4] == struct.pack("<I", _FRAME):
-                    content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
-                dictionary = zstandard.ZstdCompressionDict(content)
-                unpack = zstandard.ZstdDecompressor(dict_data=dictionary)
-            at += 8 + size
+                try:
+                    if content[:4] == struct.pack("<I", _FRAME):
+                        packed = zstandard.ZstdDecompressor().decompressobj()
+                        content = packed.decompress(content)
+                        if not packed.eof:
+                            raise WarcError("the dictionary is cut off")
+                    unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content))
+                except zstandard.ZstdError as e:
+                    raise WarcError(f"the dictionary can't be decoded: {e}") from e
             continue
         if magic != _FRAME:
             raise WarcError(f"no frame at {at}")
-        end = _frame_end(view, at)
+        frame = source.take(_frame_size(source))
         try:
-            content = unpack.decompressobj().decompress(view[at:end])
+            content = unpack.decompressobj().decompress(frame)
         except zstandard.ZstdError as e:
             raise WarcError(f"the frame at {at} can't be decoded: {e}") from e
         yield at, content
-        at = end
 
 
 def parsed(content: bytes, offset: int = 0) -> Record:
@@ -152,6 +189,10 @@ def parsed(content: bytes, offset: int = 0) -> Record:
     head, blank, rest = content.partition(b"\r\n\r\n")
     if not blank:
         raise WarcError(f"the record at {offset} has no end of headers")
+    try:
+        head.decode("utf-8")
+    except UnicodeDecodeError as e:
+        raise WarcError(f"the record at {offset} has headers that aren't UTF-8: {e}") from e
     version, *lines = head.split(b"\r\n")
     if version not in VERSIONS:
         raise WarcError(f"the record at {offset} begins with {version[:20]!r}")
@@ -184,7 +225,8 @@ def parsed(content: bytes, offset: int = 0) -> Record:
     return Record(version.decode(), headers, block, offset)
 
 
-def read_archive(data: bytes) -> Iterator[Record]:
+def read_archive(data) -> Iterator[Record]:
+    """The records of an archive, bytes or a stream."""
     for offset, content in read_frames(data):
         yield parsed(content, offset)
 
@@ -231,8 +273,9 @@ def record_id(page_id: int) -> str:
 def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html, refers_to) and returns (path, records) of the archives.
 
-    A task's archives have fixed names and are put in place by a rename, so a task that runs again replaces them by the same.
-    A revisit has no block; its payload's digest and the response's id are in its headers. Call an action on the result once.
+    Every attempt of a task writes under names of its own: the archives are those that the result lists, and what a lost attempt left is none
+    of them. Call an action on the result once. A dictionary is trained on the first TRAIN_BYTES of an archive's blocks, of each its first
+    128 KiB; it changes sizes, not contents. A revisit has no block; its payload's digest and the response's id are in its headers.
     """
 
     def write(batches):
@@ -241,7 +284,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
 
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
-        task, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
+        task, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
         waiting: list[tuple[list[tuple[str, str]], bytes]] = []
         size, turn = 0, 0
 
@@ -256,11 +299,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
             writer = Writer(out, trained(samples))
             for headers, block in waiting:
                 writer.add(headers, block)
-            name = f"{root}/part-{task:06d}-{turn:04d}.warc.zst"
-            with system.open_output_stream(f"{root}/_{attempt}-{turn}.tmp") as f:
+            name = f"part-{task:06d}-{turn:04d}-{attempt}.warc.zst"
+            with system.open_output_stream(f"{root}/{name}", compression=None) as f:
                 f.write(out.getvalue())
-            system.move(f"{root}/_{attempt}-{turn}.tmp", name)
-            made = (name, len(waiting))
+            made = (f"{folder.rstrip('/')}/{name}", len(waiting))
             waiting, size, turn = [], 0, turn + 1
             return pa.RecordBatch.from_arrays([pa.array([made[0]]), pa.array([made[1]], pa.int64())], ["path", "records"])
 
@@ -289,42 +331,73 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
     return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), "refers_to").mapInArrow(write, "path string, records long")
 
 
-def read_archives(spark: SparkSession, folder: str, what: str = "*.warc.zst") -> DataFrame:
-    """(page_id, record_type, refers_to, payload_digest, payload binary) of the records of all archives in a folder.
+def read_archives(spark: SparkSession, folder: str, what: str = "*.warc.zst", paths: DataFrame | None = None) -> DataFrame:
+    """(page_id, record_type, refers_to, payload_digest, payload binary, record_id, target_uri, date) of the records of all archives in a folder, or of `paths` (path).
 
-    Archives are read whole, one a row; a record that breaks the format fails the read. A revisit has the digest that its header
-    gives and a null payload.
+    Archives of any origin: page_id and refers_to are those that `write_archives` puts into headers of its own, null in other
+    archives, whose records are named by record_id and target_uri. Records of all types are rows. Archives are streamed, a frame at a time, one task for each;
+    where only Spark can open the store, they are read whole. A record that breaks the format fails the read. A revisit has the digest that its header
+    gives and a null payload; a digest that isn't SHA-1 is returned as it stands, with its label.
     """
 
-    def read(batches):
+    def rows(stream):
+        out: list[tuple] = []
+        size = 0
+        for r in read_archive(stream):
+            label, _, value = r.headers.get("warc-payload-digest", "").partition(":")
+            payload = None if r.type == "revisit" else payload_of(r)
+            if label.lower() != "sha1":
+                value = r.headers.get("warc-payload-digest") or (digest(payload) if payload is not None else None)
+            elif payload is not None and "warc-segment-number" not in r.headers and "warc-truncated" not in r.headers and digest(payload) != value.upper():
+                raise WarcError(f"the record at {r.offset} has another payload digest than its header")
+            own = [r.headers.get(k, "") for k in ("x-page-id", "x-refers-to-page-id")]
+            page, refers = (int(x) if x.removeprefix("-").isdecimal() else None for x in own)
+            out.append((page, r.type, refers, value, payload, r.headers["warc-record-id"], r.headers.get("warc-target-uri"), r.headers["warc-date"]))
+            size += len(payload or b"") + 500
+            if size > 8_000_000:
+                yield _rows(out)
+                out, size = [], 0
+        if out:
+            yield _rows(out)
+
+    def read_whole(batches):
         for batch in batches:
             for content in batch.column(0):
-                out: list[tuple] = []
-                size = 0
-                for r in read_archive(content.as_py()):
-                    label, _, value = r.headers.get("warc-payload-digest", "").partition(":")
-                    payload = None if r.type == "revisit" else payload_of(r)
-                    if payload is not None and label == "sha1" and digest(payload) != value:
-                        raise WarcError(f"the record at {r.offset} has another payload digest than its header")
-                    refers = r.headers.get("x-refers-to-page-id")
-                    out.append((int(r.headers["x-page-id"]), r.type, int(refers) if refers else None, value, payload))
-                    size += len(payload or b"")
-                    if size > 8_000_000:
-                        yield _rows(out)
-                        out, size = [], 0
-                if out:
-                    yield _rows(out)
+                yield from rows(content.as_py())
+
+    def read_streams(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(path)
+                with system.open_input_stream(at, compression=None) as f:
+                    yield from rows(f)
+
+    if paths is None:
+        archives = spark.read.format("binaryFile").option("pathGlobFilter", what).load(folder)
+        if not _opens(folder):
+            return archives.select("content").mapInArrow(read_whole, _SCHEMA)
+        # file:/x is how Hadoop writes file:///x
+        paths = archives.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    return paths.select("path").mapInArrow(read_streams, _SCHEMA)
+
 
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", what).load(folder).select("content")
-    return archives.mapInArrow(read, _SCHEMA)
+def _opens(folder: str) -> bool:
+    """Whether Arrow knows the folder's kind of store; the file itself isn't touched."""
+    return folder.partition("://")[0] in ("file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
 
 
-_SCHEMA = "page_id long, record_type string, refers_to long, payload_digest string, payload binary"
+_SCHEMA = "page_id long, record_type string, refers_to long, payload_digest string, payload binary, record_id string, target_uri string, date string"
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["page_id", "record_type", "refers_to", "payload_digest", "payload"])
+    types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], ["page_id", "record_type", "refers_to", "payload_digest", "payload", "record_id", "target_uri", "date"])
+
+
+#: Up to so many revisits are broadcast when pages are marked: 80 bytes each.
+BROADCAST_ROWS = 300_000
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
@@ -338,14 +411,13 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, least_bytes:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").where("page_id is not null")
     kinds = classified(own, least_bytes)
     # only revisits are looked up, by id and payload, as an id may come again with another
-    revisits = kinds.where("refers_to is not null").select(F.col("page_id").alias("of_page"), "refers_to", F.col("digest").alias("of_digest")).distinct()
+    revisits = written(kinds.where("refers_to is not null").select(F.col("page_id").alias("of_page"), "refers_to", F.col("digest").alias("of_digest")).distinct(), "revisits")
+    few = revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     marked = own.withColumn("own_digest", _base32(F.sha1(F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8"))))
-    marked = marked.join(revisits, (F.col("page_id") == F.col("of_page")) & (F.col("own_digest") == F.col("of_digest")), "left")
-    made = write_archives(marked, folder).agg(F.sum("records")).first()[0]
-    if not made:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    read = read_archives(spark, folder)
-    own = read.select("page_id", F.octet_length("payload").cast("long").alias("n"), "payload_digest", "record_type", "refers_to")
+    marked = marked.join(F.broadcast(revisits) if few else revisits, (F.col("page_id") == F.col("of_page")) & (F.col("own_digest") == F.col("of_digest")), "left")
+    made = written(write_archives(marked, folder), "archives")
+    read = read_archives(spark, folder, paths=made.repartition(max(1, made.count()), "path"))
+    own = written(read.select("page_id", F.octet_length("payload").cast("long").alias("n"), "payload_digest", "record_type", "refers_to"), "records")
     responses = own.where("record_type = 'response'").groupBy(F.col("page_id").alias("response"), F.col("payload_digest").alias("full_digest")).agg(F.max("n").alias("full"))
     out = own.join(responses, (F.col("refers_to") == F.col("response")) & (F.col("payload_digest") == F.col("full_digest")), "left")
     return out.select("page_id", F.coalesce("n", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

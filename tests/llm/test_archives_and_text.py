@@ -102,6 +102,66 @@ def test_broken_archives(data):
         list(warc.read_archive(data))
 
 
+def foreign() -> tuple[bytes, list[tuple[str, str, bytes]]]:
+    """An archive as other tools write it: a plain frame for each record, HTTP messages, no headers of ours, digests of several kinds."""
+    page = b"<html>" + bytes(range(32, 127)) * 400 + b"</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(page).digest()).decode()
+    records = [("warcinfo", "<i>", b"software: x\r\n", []), ("request", "<q>", b"GET / HTTP/1.1\r\n\r\n", [("Content-Type", "application/http;msgtype=request")])]
+    records += [("response", f"<r{k}>", http + page, [("Content-Type", "application/http; msgtype=response"), ("WARC-Target-URI", f"http://h/{k}"), ("WARC-Payload-Digest", d)]) for k, d in enumerate([sha1, sha1.lower().replace("sha1:", "SHA1:"), "sha256:00ff", ""])]
+    records += [("revisit", "<v>", b"", [("WARC-Payload-Digest", sha1)]), ("metadata", "<m>", b"a: b\r\n", [("X-Page-ID", "not a number")])]
+    out, want = b"", []
+    for kind, name, block, more in records:
+        head = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Date", "2024-01-01T00:00:00Z"), *((k, v) for k, v in more if v)]
+        out += frame(warc.serialized(head, block))
+        want.append((kind, name, page if kind == "response" else b"" if kind == "request" else block))
+    return out, want
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_foreign_archive(spark, tmp_path, monkeypatch, whole):
+    data, want = foreign()
+    (tmp_path / "a.warc.zst").write_bytes(data)
+    if whole:
+        monkeypatch.setattr(warc, "_opens", lambda folder: False)
+    out = {r["record_id"]: r for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
+    assert {k: (r["record_type"], bytes(r["payload"]) if r["payload"] is not None else None) for k, r in out.items()} == {n: (k, None if k == "revisit" else p) for k, n, p in want}
+    assert all(r["page_id"] is None and r["refers_to"] is None and r["date"] for r in out.values())
+    assert out["<r2>"]["payload_digest"] == "sha256:00ff" and out["<r3>"]["payload_digest"] == warc.digest(bytes(out["<r3>"]["payload"]))
+    assert out["<r1>"]["target_uri"] == "http://h/1" and out["<i>"]["target_uri"] is None
+
+
+class Slow(io.BytesIO):
+    """Gives a few bytes at a time, and knows how many it was asked to hold back."""
+
+    def read(self, n=-1):
+        return super().read(min(n, 700) if n > 0 else 700)
+
+
+def test_streams_hold_a_frame_at_a_time(monkeypatch):
+    data, blocks = archive()
+    assert [r.block for r in warc.read_archive(Slow(data))] == blocks
+    source = warc._Source(Slow(data), chunk=500)
+    most = 0
+    real = warc._Source.has
+    monkeypatch.setattr(warc, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(warc._Source, "has", lambda self, n: (real(self, n), globals().__setitem__("held", max(globals().get("held", 0), len(self.held))))[0])
+    assert len(list(warc.read_frames(Slow(data)))) == 60 and source.has(1) and most == 0
+    assert globals()["held"] < len(data) // 2
+
+
+@pytest.mark.parametrize("data", [frame(b"WARC/1.1\r\nWARC-Type: r\xff\r\n\r\n"), b"\x28\xb5\x2f\xfd", b"abc", b"12345678junk", struct.pack("<II", warc.DICTIONARY_MAGIC, 8) + struct.pack("<I", warc._FRAME) + b"ruin"])
+def test_more_broken_archives(data):
+    with pytest.raises(warc.WarcError):
+        list(warc.read_archive(data))
+
+
+def test_lost_attempts_leave_no_records(spark, pages, tmp_path):
+    """A file that no finished task lists is none of the archives that are read back."""
+    (tmp_path / "part-000000-0000-lost.warc.zst").write_bytes(b"half an arch")
+    assert warc.archive_round_trip(pages, f"file://{tmp_path}").count() == 204
+
+
 # ---------------------------------------------------------------- pseudonyms
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 73049, 10**14])
 def test_feistel_is_a_permutation(n):
