@@ -3,13 +3,17 @@
 The pieces come from an existing vocabulary file, whose scores rank them and give the first weights; the words of
 the corpus re-estimate those in one pass of expectation-maximisation. A word's probability is the sum over all its
 segmentations, by the forward recursion in log space, and so a document's marginal is the product over its words (a
-piece never holds a word's border). A word that occurs in training is also an arc of the lattice by itself: its count, less
-a discount D, over all tokens; what the discounts set free goes to the segmentations, so all sums to one. Each distinct word is worked out once: words are dealt to buckets by hash, in packed
-blocks that list every word of a batch of documents once, with its documents and counts; a bucket returns its part of each document's sums.
+piece never holds a word's border): that is `lattice_score`. For `score` a word that occurs in training is also an arc of the lattice by itself: its count, less
+a discount D, over all tokens; what the discounts set free goes to the segmentations, so all sums to one.
+
+Texts are taken in steps of some MB. A step lists its words once, with its documents' counts of them, packed, beside. The steps' words are
+summed to the corpus's vocabulary, where each word is worked out once; the results are joined to the steps' lists and
+meet their step's documents. A frequent word has one row for each step, an end is counted with its document, and nothing gathers more than a step.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass, field
 
@@ -129,11 +133,96 @@ class _Lattice:
                 beta[j - step, row] = np.logaddexp(beta[j - step, row], part)
 
 
+class _LongWord:
+    """The lattice of one long word, a stretch of it at a time: numbers for each byte are kept, arcs aren't.
+
+    Probabilities are plain numbers that are scaled up together whenever they become small.
+    """
+
+    STRETCH, SMALL, SCALE = 1 << 15, 1e-100, 1e100
+
+    def __init__(self, word: bytes, pieces: Pieces):
+        self.raw, self.pieces, self.p = np.frombuffer(MARK + word, np.uint8), pieces, np.exp(pieces.logp)
+        self.reach = pieces.steps[-1] if pieces.steps else 1
+
+    def arcs(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(end, step, piece) of the arcs that end within lo + 1 to hi, by end."""
+        base = max(0, lo + 1 - self.reach)
+        hashes = SpanHash(self.raw[base:hi])
+        ends, steps, found = [], [], []
+        for step in self.pieces.steps:
+            end = np.arange(max(lo + 1, step), hi + 1)
+            piece = self.pieces.find(hashes(end - step - base, end - base))
+            hit = np.flatnonzero(piece >= 0)
+            ends.append(end[hit]), steps.append(np.full(len(hit), step)), found.append(piece[hit])
+        if not ends:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        end = np.concatenate(ends)
+        order = np.argsort(end, kind="stable")
+        return end[order], np.concatenate(steps)[order], np.concatenate(found)[order]
+
+    def _swept(self, stretches, forward: bool, keep: np.ndarray | None) -> float:
+        """The log of the sum over all segmentations; `keep` gets the log of the part before each place (after it, if not forward)."""
+        n = len(self.raw)
+        window, shift = {0 if forward else n: 1.0}, 0.0
+        last = 0 if forward else n
+        if keep is not None:
+            keep[last] = 0.0
+        for lo, hi in stretches:
+            end, step, piece = self.arcs(lo, hi) if forward else self.arcs(lo, min(n, hi + self.reach))
+            if forward:
+                to, from_ = end, end - step
+            else:
+                mine = (end - step >= lo) & (end - step < hi)
+                to, from_, piece = (end - step)[mine], end[mine], piece[mine]
+                order = np.argsort(-to, kind="stable")
+                to, from_, piece = to[order], from_[order], piece[order]
+            stop = np.flatnonzero(np.diff(to, append=-1))
+            source, share, k = from_.tolist(), self.p[piece].tolist(), 0
+            for place, until in zip(to[stop].tolist(), (stop + 1).tolist()):
+                total = 0.0
+                for i in range(k, until):
+                    total += window.get(source[i], 0.0) * share[i]
+                k = until
+                if total and total < self.SMALL:
+                    window = {a: v * self.SCALE for a, v in window.items() if abs(a - place) <= self.reach}
+                    total *= self.SCALE
+                    shift -= math.log(self.SCALE)
+                window[place] = total
+                if len(window) > 4 * self.reach + 64:
+                    window = {a: v for a, v in window.items() if abs(a - place) <= self.reach}
+                if keep is not None:
+                    keep[place] = math.log(total) + shift if total else -math.inf
+        got = window.get(n if forward else 0, 0.0)
+        return math.log(got) + shift if got else -math.inf
+
+    def _stretches(self) -> list[tuple[int, int]]:
+        return [(lo, min(len(self.raw), lo + self.STRETCH)) for lo in range(0, len(self.raw), self.STRETCH)]
+
+    def total(self) -> float:
+        return self._swept(self._stretches(), True, None)
+
+    def expected(self, count: float, out: np.ndarray) -> None:
+        n = len(self.raw)
+        before, after = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        total = self._swept(self._stretches(), True, before)
+        if total == -math.inf:
+            return
+        self._swept(self._stretches()[::-1], False, after)
+        for lo, hi in self._stretches():
+            end, step, piece = self.arcs(lo, hi)
+            np.add.at(out, piece, count * np.exp(before[end - step] + self.pieces.logp[piece] + after[end] - total))
+
+
+#: Words of more bytes are taken one by one.
+LONG_WORD = 128
+
+
 def _lattices(words: list[bytes], pieces: Pieces, rows: int = 20_000):
-    """(indices, lattice) for words, by length; none for the empty word, which stands for a document's end."""
+    """(indices, lattice) for words of up to LONG_WORD bytes, by length; none for the empty word, which stands for a document's end."""
     size = np.array([len(w) for w in words], np.int64)
     order = np.argsort(size, kind="stable")
-    order = order[size[order] > 0]
+    order = order[(size[order] > 0) & (size[order] <= LONG_WORD)]
     lo = 0
     while lo < len(order):
         hi = lo + 1
@@ -153,21 +242,38 @@ def word_logps(words: list[bytes], pieces: Pieces) -> np.ndarray:
     out = np.full(len(words), pieces.logp[-1])
     for part, lattice in _lattices(words, pieces):
         out[part] = lattice.total
+    for i, w in enumerate(words):
+        if len(w) > LONG_WORD:
+            out[i] = _LongWord(w, pieces).total()
+    return out
+
+
+def expected_counts(words: list[bytes], pieces: Pieces) -> np.ndarray:
+    """How often each piece is expected in a segmentation of one of each of these words, and last the documents' end."""
+    out = np.zeros(len(pieces.texts) + 1)
+    for part, lattice in _lattices(words, pieces):
+        lattice.expected(np.ones(len(part)), out[:-1])
+    for w in words:
+        if len(w) > LONG_WORD:
+            _LongWord(w, pieces).expected(1.0, out[:-1])
     return out
 
 
 # ---------------------------------------------------------------- corpus
-def _counted(docs: DataFrame, buckets: int, mod: int, fold: int) -> DataFrame:
-    """(bucket, block): every word once for each step of a map task, with its documents and its counts in them."""
+def _listed(docs: DataFrame, mod: int, fold: int) -> DataFrame:
+    """(step, words, train, learned, pairs): of each step its different words with their counts in training documents, the number of those, and,
+    packed, which words its documents have how often, and their ids."""
 
     def count(batches):
+        from pyspark import TaskContext
+
+        step_id = TaskContext.get().partitionId() << 32
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            ids = batch.column(1)
+            ids = batch.column(0)
             learn = np.array([i is not None and zlib.crc32(str(i).encode()) % mod != fold for i in ids.to_pylist()], bool)
             key = ids.fill_null(0).to_numpy()
             present = ids.is_valid().to_numpy(zero_copy_only=False)
-            buf, offsets = text_buffer(batch.column(2))
+            buf, offsets = text_buffer(batch.column(1))
             for step in _steps(offsets):
                 base, end = step[0][0], step[-1][1]
                 texts: dict[int, bytes] = {}
@@ -185,153 +291,99 @@ def _counted(docs: DataFrame, buckets: int, mod: int, fold: int) -> DataFrame:
                     pair, n = np.unique(code * np.int64(hi - lo) + (doc - lo), return_counts=True)
                     pair_word.append(value[pair // (hi - lo)]), pair_doc.append(lo + pair % (hi - lo)), pair_n.append(n)
                 word, doc, n = (np.concatenate(x) for x in (pair_word, pair_doc, pair_n))
-                bucket = (word % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((doc, word, bucket))
-                word, doc, n, bucket = word[order], doc[order], n[order], bucket[order]
-                edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-                keys, blocks = [], []
-                for a, b in zip(edges[:-1], edges[1:]):
-                    new = np.diff(word[a:b], prepend=word[a : a + 1] ^ np.uint64(1)) != 0
-                    own = [texts[h] for h in word[a:b][new].tolist()]
-                    keys.append(bucket[a])
-                    blocks.append(_block(own, np.cumsum(new) - 1, rows[doc[a:b]], n[a:b], learn[doc[a:b]]))
-                # the end of each document is a token, the empty word; it brings the ids along
-                every = np.arange(base, end)
-                keys.append(0)
-                blocks.append(_block([b""], np.zeros(len(every)), rows[every], np.ones(len(every)), learn[every], key[every], present[every]))
-                del texts, word, doc, n, bucket
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "block"])
-                del blocks
+                names, code = np.unique(word, return_inverse=True)
+                train = np.bincount(code, weights=n * learn[doc], minlength=len(names)).astype(np.int64)
+                pairs = _packed(code.astype(np.int32), (doc - base).astype(np.int32), n.astype(np.int32), key[base:end], present[base:end].astype(np.uint8))
+                words = pa.array([texts[h] for h in names.tolist()], pa.binary())
+                whole = pa.array([0, len(names)], pa.int32())
+                columns = [pa.array([step_id]), pa.ListArray.from_arrays(whole, words), pa.ListArray.from_arrays(whole, pa.array(train)), pa.array([int(learn[base:end].sum())]), pa.array([pairs], pa.binary())]
+                step_id += 1
+                del texts, word, doc, n, code, words
+                yield pa.RecordBatch.from_arrays(columns, ["step", "words", "train", "learned", "pairs"])
+                del columns
                 give_back()
 
-    return docs.mapInArrow(count, "bucket long, block binary")
-
+    return docs.mapInArrow(count, "step long, words array<binary>, train array<long>, learned long, pairs binary")
 
-def _block(words, code, row, n, learn, ids=(), present=()) -> bytes:
-    return _packed(b"\n".join(words), code.astype(np.int32), np.asarray(row, np.int64), n.astype(np.int32), learn.astype(np.uint8), np.asarray(ids, np.int64), np.asarray(present, np.uint8))
 
-
-def _gathered(table: pa.Table):
-    """One bucket as (words, training counts, code, row, n, ids, present); ids are of the rows whose word is empty."""
-    seen: dict[bytes, int] = {}
-    codes, rows, counts, learns, ids, present = [], [], [], [], [], []
-    for block in table.column("block"):
-        text, code, row, n, learn, own, valid = _unpacked(block.as_py(), 7)
-        local = np.array([seen.setdefault(w, len(seen)) for w in text.split(b"\n")], np.int32)
-        codes.append(local[np.frombuffer(code, np.int32)])
-        rows.append(np.frombuffer(row, np.int64)), counts.append(np.frombuffer(n, np.int32)), learns.append(np.frombuffer(learn, np.uint8))
-        ids.append(np.frombuffer(own, np.int64)), present.append(np.frombuffer(valid, np.uint8))
-    code, row, n, learn, ids, present = (np.concatenate(x) for x in (codes, rows, counts, learns, ids, present))
-    total = np.bincount(code, weights=n * learn.astype(np.int64), minlength=len(seen)).astype(np.int64)
-    return list(seen), total, code, row, n, ids, present
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
 
 
 def lattice_scores(docs: DataFrame, vocabulary: str | None = None, mod: int = 7, fold: int = 2, rounds: int = 1) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score), a row for each row of docs.
 
     Tokens are words in lower case A-Z, and one end. Learns from rows whose id's crc32 doesn't leave `fold`. base_score is the
-    smoothed unigram of whole words; score the lattice's log10 marginal, ends included. Null, empty and blank texts
+    smoothed unigram of whole words. lattice_score is the lattice's log10 marginal over all segmentations into pieces, ends included; score also has the
+    training words as arcs, and is what the model says of a text. Null, empty and blank texts
     have the end alone. Rows with a null doc_id are scored, never learned from, and not held out; rows that repeat an id count and are
-    scored each for themselves. Without a row to learn from the vocabulary's own weights hold. Other columns are ignored.
+    scored each for themselves. Without a row to learn from the vocabulary's own weights hold. A word may be as long as a text: its cost is in proportion. Other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_docs = docs.select("row").count()
-    if not n_docs:
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(partitions, n_docs // 8000)
-
-    def settle(key, table):
-        words, total, code, row, n, ids, present = _gathered(table)
-        vocabulary = _packed(b"\n".join(words), total)
-        pairs = _packed(code.astype(np.int32), row, n, ids, present)
-        stats = {k: pa.array([int(v)], pa.int64()) for k, v in (("tokens", total.sum()), ("words", (total > 0).sum()), ("once", (total == 1).sum()), ("twice", (total == 2).sum()))}
-        return pa.table({**stats, "vocabulary": pa.array([vocabulary], pa.binary()), "pairs": pa.array([pairs], pa.binary())})
-
-    sent = _counted(docs, buckets, mod, fold)
-    corpus = written(sent.groupBy("bucket").applyInArrow(settle, "tokens long, words long, once long, twice long, vocabulary binary, pairs binary"), "lattice")
-    tokens, distinct, once, twice = corpus.agg(*(F.sum(c) for c in ("tokens", "words", "once", "twice"))).first()
+    steps = written(_listed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), mod, fold), "steps")
+    ends = steps.agg(F.coalesce(F.sum("learned"), F.lit(0))).first()[0]
+    counts = written(steps.select(F.inline(F.arrays_zip("words", "train")).alias("word", "n")).groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    sums = counts.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in (F.col("n"), (F.col("n") > 0).cast("long"), (F.col("n") == 1).cast("long"), (F.col("n") == 2).cast("long")))).first()
+    tokens, distinct, once, twice = (x + y for x, y in zip(sums, (ends, ends > 0, ends == 1, ends == 2)))
     discount = (once + 0.5) / (once + 2 * twice + 1)
     pieces = load_pieces(vocabulary or default_vocabulary())
     for _ in range(rounds if tokens else 0):
-        pieces = Pieces(pieces.texts, reestimated(corpus, pieces), pieces.hashes, pieces.slots)
+        pieces = Pieces(pieces.texts, reestimated(counts.where("n > 0").select("word"), pieces, ends > 0), pieces.hashes, pieces.slots)
     shared = spark.sparkContext.broadcast(pieces)
-    groups = partitions
-    log_all = float(np.log10(tokens + distinct + 1))
+
+    def values(words: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of (the smoothed count, the model's probability, the lattice's) of words with these training counts."""
+        lattice = word_logps(words, shared.value)
+        whole = lattice
+        if tokens:
+            own = np.where(n > 0, np.log(np.maximum(n - discount, 1e-300) / tokens), -np.inf)
+            whole = np.logaddexp(own, np.log(discount * distinct / tokens) + lattice)
+        return np.log10(n + 1), whole / np.log(10), lattice / np.log(10)
 
     def score(batches):
         for batch in batches:
-            for vocabulary, pairs in zip(batch.column(0), batch.column(1)):
-                text, total = _unpacked(vocabulary.as_py(), 2)
-                words, total = text.split(b"\n"), np.frombuffer(total, np.int64)
-                logp = word_logps(words, shared.value)
-                if tokens:
-                    whole = np.where(total > 0, np.log(np.maximum(total - discount, 1e-300) / tokens), -np.inf)
-                    logp = np.logaddexp(whole, np.log(discount * distinct / tokens) + logp)
-                logp /= np.log(10)
-                base = np.log10(total + 1)
-                code, row, n, ids, present = (np.frombuffer(x, t) for x, t in zip(_unpacked(pairs.as_py(), 5), (np.int32, np.int64, np.int32, np.int64, np.uint8)))
-                order = np.argsort(row, kind="stable")
-                first = np.flatnonzero(np.diff(row[order], prepend=row[order[:1]] - 1))
-                own = row[order][first]
-                sums = [np.add.reduceat((n * x[code])[order], first) for x in (np.ones(len(words), np.int64), (total > 0).astype(np.int64), base, logp)]
-                if len(ids):
-                    # in this bucket the empty word's pairs stand in the order of ids
-                    at = np.flatnonzero(code == words.index(b""))
-                    named = np.argsort(row[at])
-                    doc = {int(r): (int(i) if p else None) for r, i, p in zip(row[at][named], ids[named], present[named])}
-                group = own % groups
-                for g in np.unique(group):
-                    mine = group == g
-                    if len(ids):
-                        has = np.array([int(r) in doc for r in own[mine]], np.uint8)
-                        values = [doc.get(int(r)) for r in own[mine]]
-                        extra = (has, np.array([v is not None for v in values], np.uint8), np.array([v or 0 for v in values], np.int64))
-                    else:
-                        extra = (b"", b"", b"")
-                    yield pa.RecordBatch.from_arrays([pa.array([int(g)]), pa.array([_packed(own[mine], *(s[mine] for s in sums), *extra)], pa.binary())], ["g", "block"])
+            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            base, whole, lattice = values(words, n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n > 0), pa.array(base), pa.array(whole), pa.array(lattice)], ["word", "known", "base", "whole", "lattice"])
             give_back()
 
-    def finish(key, table):
-        parts = [[np.frombuffer(x, t) for x, t in zip(_unpacked(b.as_py(), 8), (np.int64, np.int64, np.int64, float, float, np.uint8, np.uint8, np.int64))] for b in table.column("block")]
-        row = np.concatenate([p[0] for p in parts])
-        rows, code = np.unique(row, return_inverse=True)
-        n, known, base, logp = (np.bincount(code, weights=np.concatenate([p[k] for p in parts]), minlength=len(rows)) for k in (1, 2, 3, 4))
-        named = [p for p in parts if len(p[5])]
-        at = np.searchsorted(rows, np.concatenate([p[0][p[5] > 0] for p in named]))
-        valid = np.zeros(len(rows), bool)
-        ids = np.zeros(len(rows), np.int64)
-        valid[at] = np.concatenate([p[6][p[5] > 0] for p in named]) > 0
-        ids[at] = np.concatenate([p[7][p[5] > 0] for p in named])
-        held = np.array([ok and zlib.crc32(str(i).encode()) % mod == fold for ok, i in zip(valid, ids.tolist())], bool)
-        n = n.astype(np.int64)
-        return pa.table({"doc_id": pa.array(ids, mask=~valid), "held_out": held, "n_tokens": n, "n_known": known.astype(np.int64), "train_tokens": np.full(len(rows), tokens, np.int64), "base_score": base - n * log_all, "score": logp})
-
-    parts = corpus.select("vocabulary", "pairs").mapInArrow(score, "g long, block binary")
-    return parts.groupBy("g").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def reestimated(corpus: DataFrame, pieces: Pieces, floor: float = 0.1) -> np.ndarray:
+    scored = written(counts.select("word", "n").mapInArrow(score, "word binary, known boolean, base double, whole double, lattice double"), "scored")
+    end = [float(x[0]) for x in values([b""], np.array([ends]))]
+    log_all = float(np.log10(tokens + distinct + 1))
+
+    def finish(found, table):
+        code, doc, n, ids, present = (np.frombuffer(x, t) for x, t in zip(_unpacked(table.column("pairs")[0].as_py(), 5), (np.int32, np.int32, np.int32, np.int64, np.uint8)))
+        at = found.column("pos").to_numpy()
+        known, *sums = (np.empty(len(at)) for _ in range(4))
+        for out, name in zip((known, *sums), ("known", "base", "whole", "lattice")):
+            out[at] = found.column(name).to_numpy()
+        known, *sums = (np.bincount(doc, weights=n * x[code], minlength=len(ids)) for x in (known, *sums))
+        size = np.bincount(doc, weights=n, minlength=len(ids)).astype(np.int64) + 1
+        base, whole, lattice = (x + e for x, e in zip(sums, end))
+        valid = present > 0
+        held = np.array([ok and zlib.crc32(str(i).encode()) % mod == fold for ok, i in zip(valid.tolist(), ids.tolist())], bool)
+        columns = [pa.array(ids, mask=~valid), held, size, known.astype(np.int64) + (ends > 0), np.full(len(ids), tokens, np.int64), base - size * log_all, whole, lattice]
+        return pa.table(dict(zip((f.split()[0] for f in _SCORES.split(", ")), columns)))
+
+    lists = steps.select(F.col("step").alias("of"), F.posexplode("words").alias("pos", "word")).join(scored, "word").select("of", "pos", "known", "base", "whole", "lattice")
+    return lists.groupBy("of").cogroup(steps.select("step", "pairs").groupBy("step")).applyInArrow(finish, _SCORES)
+
+
+def reestimated(words: DataFrame, pieces: Pieces, ends: bool, floor: float = 0.1) -> np.ndarray:
     """Log-probabilities of the pieces from their expected counts in the distinct training words; as many numbers as the vocabulary has come back."""
-    shared = corpus.sparkSession.sparkContext.broadcast(pieces)
+    shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def expect(batches):
         out = np.zeros(len(pieces.texts) + 1)
         for batch in batches:
-            for vocabulary in batch.column(0):
-                text, total = _unpacked(vocabulary.as_py(), 2)
-                words, total = text.split(b"\n"), np.frombuffer(total, np.int64)
-                words = [words[i] for i in np.flatnonzero(total > 0)]
-                out[-1] += sum(not w for w in words)
-                for part, lattice in _lattices(words, shared.value):
-                    lattice.expected(np.ones(len(part)), out[:-1])
+            out += expected_counts(batch.column(0).to_pylist(), shared.value)
+            give_back()
         used = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(out[used])], ["piece", "n"])
 
-    found = corpus.select("vocabulary").mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+    found = words.mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full(len(pieces.texts) + 1, floor)
     counts[found.column("piece").to_numpy()] += found.column("n").to_numpy()
+    counts[-1] += ends
     return np.log(counts / counts.sum())
 
 
