@@ -28,6 +28,8 @@ from .substring import _packed, _steps, _unpacked
 #: A mark before each word, as the vocabulary has it.
 MARK = "▁".encode()
 _TABLE_BITS = 21
+#: Text of a step, and words of a row of its list.
+LIST_BYTES, LISTED = 4_000_000, 20_000
 
 
 # ---------------------------------------------------------------- vocabulary
@@ -261,8 +263,8 @@ def expected_counts(words: list[bytes], pieces: Pieces) -> np.ndarray:
 
 # ---------------------------------------------------------------- corpus
 def _listed(docs: DataFrame, mod: int, fold: int) -> DataFrame:
-    """(step, words, train, learned, pairs): of each step its different words with their counts in training documents, the number of those, and,
-    packed, which words its documents have how often, and their ids."""
+    """(step, first, words, train, learned, pairs): of each step its different words with their counts in training documents, LISTED of them to a row, and in its
+    first row the number of those documents, and, packed, which words the step's documents have how often, and their ids."""
 
     def count(batches):
         from pyspark import TaskContext
@@ -274,7 +276,7 @@ def _listed(docs: DataFrame, mod: int, fold: int) -> DataFrame:
             key = ids.fill_null(0).to_numpy()
             present = ids.is_valid().to_numpy(zero_copy_only=False)
             buf, offsets = text_buffer(batch.column(1))
-            for step in _steps(offsets):
+            for step in _steps(offsets, LIST_BYTES):
                 base, end = step[0][0], step[-1][1]
                 texts: dict[int, bytes] = {}
                 pair_word, pair_doc, pair_n = [], [], []
@@ -294,16 +296,19 @@ def _listed(docs: DataFrame, mod: int, fold: int) -> DataFrame:
                 names, code = np.unique(word, return_inverse=True)
                 train = np.bincount(code, weights=n * learn[doc], minlength=len(names)).astype(np.int64)
                 pairs = _packed(code.astype(np.int32), (doc - base).astype(np.int32), n.astype(np.int32), key[base:end], present[base:end].astype(np.uint8))
-                words = pa.array([texts[h] for h in names.tolist()], pa.binary())
-                whole = pa.array([0, len(names)], pa.int32())
-                columns = [pa.array([step_id]), pa.ListArray.from_arrays(whole, words), pa.ListArray.from_arrays(whole, pa.array(train)), pa.array([int(learn[base:end].sum())]), pa.array([pairs], pa.binary())]
+                learned = int(learn[base:end].sum())
+                del word, doc, n, code, pair_word, pair_doc, pair_n
+                for lo in range(0, max(len(names), 1), LISTED):
+                    own = [texts[h] for h in names[lo : lo + LISTED].tolist()]
+                    whole = pa.array([0, len(own)], pa.int32())
+                    lists = [pa.ListArray.from_arrays(whole, pa.array(own, pa.binary())), pa.ListArray.from_arrays(whole, pa.array(train[lo : lo + LISTED]))]
+                    head = [pa.array([0 if lo else learned]), pa.array([None if lo else pairs], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array([step_id]), pa.array([lo]), *lists, *head], ["step", "first", "words", "train", "learned", "pairs"])
                 step_id += 1
-                del texts, word, doc, n, code, words
-                yield pa.RecordBatch.from_arrays(columns, ["step", "words", "train", "learned", "pairs"])
-                del columns
+                del texts, pairs
                 give_back()
 
-    return docs.mapInArrow(count, "step long, words array<binary>, train array<long>, learned long, pairs binary")
+    return docs.mapInArrow(count, "step long, first long, words array<binary>, train array<long>, learned long, pairs binary")
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double"
@@ -364,8 +369,8 @@ def lattice_scores(docs: DataFrame, vocabulary: str | None = None, mod: int = 7,
         columns = [pa.array(ids, mask=~valid), held, size, known.astype(np.int64) + (ends > 0), np.full(len(ids), tokens, np.int64), base - size * log_all, whole, lattice]
         return pa.table(dict(zip((f.split()[0] for f in _SCORES.split(", ")), columns)))
 
-    lists = steps.select(F.col("step").alias("of"), F.posexplode("words").alias("pos", "word")).join(scored, "word").select("of", "pos", "known", "base", "whole", "lattice")
-    return lists.groupBy("of").cogroup(steps.select("step", "pairs").groupBy("step")).applyInArrow(finish, _SCORES)
+    lists = steps.select(F.col("step").alias("of"), "first", F.posexplode("words").alias("at", "word")).join(scored, "word").select("of", (F.col("first") + F.col("at")).alias("pos"), "known", "base", "whole", "lattice")
+    return lists.groupBy("of").cogroup(steps.where("pairs is not null").select("step", "pairs").groupBy("step")).applyInArrow(finish, _SCORES)
 
 
 def reestimated(words: DataFrame, pieces: Pieces, ends: bool, floor: float = 0.1) -> np.ndarray:

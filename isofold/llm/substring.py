@@ -89,13 +89,14 @@ def _unpacked(data: bytes, parts: int) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def _steps(offsets: np.ndarray):
-    """Slices, in steps of about STEP_BYTES."""
+def _steps(offsets: np.ndarray, most: int = 0):
+    """Slices, in steps of about `most` bytes, or STEP_BYTES."""
+    most = most or STEP_BYTES
     step, size = [], 0
     for lo, hi in slices(offsets):
         step.append((lo, hi))
         size += int(offsets[hi] - offsets[lo])
-        if size >= STEP_BYTES:
+        if size >= most:
             yield step
             step, size = [], 0
     if step:
