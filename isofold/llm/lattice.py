@@ -29,7 +29,7 @@ from .substring import _packed, _steps, _unpacked
 MARK = "▁".encode()
 _TABLE_BITS = 21
 #: Text of a step, and words of a row of its list.
-LIST_BYTES, LISTED = 4_000_000, 20_000
+LIST_BYTES, LISTED = 8_000_000, 20_000
 
 
 # ---------------------------------------------------------------- vocabulary
@@ -291,13 +291,16 @@ def _listed(docs: DataFrame, mod: int, fold: int) -> DataFrame:
                         if h not in texts:
                             texts[h] = raw[a:b]
                     pair, n = np.unique(code * np.int64(hi - lo) + (doc - lo), return_counts=True)
-                    pair_word.append(value[pair // (hi - lo)]), pair_doc.append(lo + pair % (hi - lo)), pair_n.append(n)
+                    pair_word.append(value[pair // (hi - lo)]), pair_doc.append((lo + pair % (hi - lo)).astype(np.int32)), pair_n.append(n.astype(np.int32))
+                    del part, raw, starts, ends, hashes, doc, value, at, code, pair, n
                 word, doc, n = (np.concatenate(x) for x in (pair_word, pair_doc, pair_n))
+                del pair_word, pair_doc, pair_n
                 names, code = np.unique(word, return_inverse=True)
+                del word
                 train = np.bincount(code, weights=n * learn[doc], minlength=len(names)).astype(np.int64)
                 pairs = _packed(code.astype(np.int32), (doc - base).astype(np.int32), n.astype(np.int32), key[base:end], present[base:end].astype(np.uint8))
                 learned = int(learn[base:end].sum())
-                del word, doc, n, code, pair_word, pair_doc, pair_n
+                del doc, n, code
                 for lo in range(0, max(len(names), 1), LISTED):
                     own = [texts[h] for h in names[lo : lo + LISTED].tolist()]
                     whole = pa.array([0, len(own)], pa.int32())
@@ -335,9 +338,8 @@ def lattice_scores(docs: DataFrame, vocabulary: str | None = None, mod: int = 7,
         pieces = Pieces(pieces.texts, reestimated(counts.where("n > 0").select("word"), pieces, ends > 0), pieces.hashes, pieces.slots)
     shared = spark.sparkContext.broadcast(pieces)
 
-    def values(words: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def values(n: np.ndarray, lattice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 of (the smoothed count, the model's probability, the lattice's) of words with these training counts."""
-        lattice = word_logps(words, shared.value)
         whole = lattice
         if tokens:
             own = np.where(n > 0, np.log(np.maximum(n - discount, 1e-300) / tokens), -np.inf)
@@ -346,22 +348,20 @@ def lattice_scores(docs: DataFrame, vocabulary: str | None = None, mod: int = 7,
 
     def score(batches):
         for batch in batches:
-            words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-            base, whole, lattice = values(words, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n > 0), pa.array(base), pa.array(whole), pa.array(lattice)], ["word", "known", "base", "whole", "lattice"])
+            lattice = word_logps(batch.column(0).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice)], ["word", "n", "lattice"])
             give_back()
 
-    scored = written(counts.select("word", "n").mapInArrow(score, "word binary, known boolean, base double, whole double, lattice double"), "scored")
-    end = [float(x[0]) for x in values([b""], np.array([ends]))]
+    scored = written(counts.select("word", "n").mapInArrow(score, "word binary, n long, lattice double"), "scored")
+    end = [float(x[0]) for x in values(np.array([ends]), word_logps([b""], pieces))]
     log_all = float(np.log10(tokens + distinct + 1))
 
     def finish(found, table):
         code, doc, n, ids, present = (np.frombuffer(x, t) for x, t in zip(_unpacked(table.column("pairs")[0].as_py(), 5), (np.int32, np.int32, np.int32, np.int64, np.uint8)))
         at = found.column("pos").to_numpy()
-        known, *sums = (np.empty(len(at)) for _ in range(4))
-        for out, name in zip((known, *sums), ("known", "base", "whole", "lattice")):
-            out[at] = found.column(name).to_numpy()
-        known, *sums = (np.bincount(doc, weights=n * x[code], minlength=len(ids)) for x in (known, *sums))
+        total, lattice = np.empty(len(at), np.int64), np.empty(len(at))
+        total[at], lattice[at] = found.column("n").to_numpy(), found.column("lattice").to_numpy()
+        known, *sums = (np.bincount(doc, weights=n * x[code], minlength=len(ids)) for x in (total > 0, *values(total, lattice)))
         size = np.bincount(doc, weights=n, minlength=len(ids)).astype(np.int64) + 1
         base, whole, lattice = (x + e for x, e in zip(sums, end))
         valid = present > 0
@@ -369,7 +369,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str | None = None, mod: int = 7,
         columns = [pa.array(ids, mask=~valid), held, size, known.astype(np.int64) + (ends > 0), np.full(len(ids), tokens, np.int64), base - size * log_all, whole, lattice]
         return pa.table(dict(zip((f.split()[0] for f in _SCORES.split(", ")), columns)))
 
-    lists = steps.select(F.col("step").alias("of"), "first", F.posexplode("words").alias("at", "word")).join(scored, "word").select("of", (F.col("first") + F.col("at")).alias("pos"), "known", "base", "whole", "lattice")
+    lists = steps.select(F.col("step").alias("of"), "first", F.posexplode("words").alias("at", "word")).join(scored, "word").select("of", (F.col("first") + F.col("at")).alias("pos"), "n", "lattice")
     return lists.groupBy("of").cogroup(steps.where("pairs is not null").select("step", "pairs").groupBy("step")).applyInArrow(finish, _SCORES)
 
 
