@@ -1,8 +1,9 @@
 """Nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order. Each pivot has an inverted file of the vectors that have it among
-their nearest, with its rank there; from the files of a query's own pivots Spearman's footrule between the two orders
-follows, where a pivot that a list lacks counts as just past its end. The nearest by footrule are reranked by exact distance.
+their nearest, with its rank there; from the files of a query's own pivots, and no others, Spearman's footrule between the two orders
+follows, where a pivot that a list lacks counts as just past its end. The nearest by footrule are reranked by exact distance. A query reads about
+length^2 / pivots entries for each vector indexed; vectors in none of its files are not looked at.
 
 All vectors are indexed. The index is dealt by hash to shards of bounded size, each with its inverted files; queries come in
 blocks, and every block meets every shard. Equal vectors are one entry with its smallest ids, as many as an answer can hold.
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-PIVOTS = 256
-#: Pivots in a vector's list.
-LENGTH = 192
-SHARD_ROWS = 4096
+PIVOTS = 1024
+#: Pivots in a vector's list, and so the files that it is posted in and that a query reads.
+LENGTH = 32
+SHARD_ROWS = 16_384
 QUERY_ROWS = 4096
 #: What is reranked of a shard: this share of it, and this many at least.
-SHARE, LEAST = 0.25, 256
+SHARE, LEAST = 0.15, 256
 
 
 def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
@@ -49,8 +50,16 @@ def usable(vectors: DataFrame, dim: int | None = None) -> DataFrame:
 
 def _orders(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The nearest `length` pivots of each row, nearest first, ties to the first pivot."""
-    d = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T
-    return np.argsort(d, axis=1, kind="stable")[:, :length]
+    length = min(length, len(pivots))
+    out = np.empty((len(x), length), np.int32)
+    for lo in range(0, len(x), 2048):
+        part = x[lo : lo + 2048]
+        d = (part**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * part @ pivots.T
+        # all as near as the last are looked at, so that ties go to the first pivot
+        cut = np.partition(d, length - 1, axis=1)[:, length - 1 : length]
+        d[d > cut] = np.inf
+        out[lo : lo + 2048] = np.argsort(d, axis=1, kind="stable")[:, :length]
+    return out
 
 
 class InvertedFiles:
@@ -62,18 +71,26 @@ class InvertedFiles:
         self.row, self.rank = (by // self.length).astype(np.int32), (by % self.length).astype(np.int32)
         self.at = np.searchsorted(flat[by], np.arange(pivots + 1))
 
-    def nearest(self, order: np.ndarray, most: int) -> np.ndarray:
-        """Rows with the least footrule distance to a query's order.
-
-        The distance is a constant less 2 * (length - the larger rank) for each pivot in both lists. All rows as near as the last are in.
-        """
-        shared = np.zeros(self.n, np.int64)
+    def shared(self, order: np.ndarray) -> np.ndarray:
+        """For each row twice the same constant less its footrule distance to a query's order, halved: length - the larger rank, summed over pivots in both lists. 0 is untouched."""
+        out = np.zeros(self.n, np.int64)
         for a, pivot in enumerate(order.tolist()):
             file = slice(self.at[pivot], self.at[pivot + 1])
-            shared[self.row[file]] += self.length - np.maximum(self.rank[file], a)
+            out[self.row[file]] += self.length - np.maximum(self.rank[file], a)
+        return out
+
+    def nearest(self, order: np.ndarray, most: int, least: int = 1) -> np.ndarray:
+        """Rows with the least footrule distance to a query's order, all as near as the last included.
+
+        Only rows in the query's files, if there are `least` of them; else all rows.
+        """
         if most >= self.n:
             return np.arange(self.n)
-        return np.flatnonzero(shared >= np.partition(shared, self.n - most)[self.n - most])
+        shared = self.shared(order)
+        cut = np.partition(shared, self.n - most)[self.n - most]
+        if cut <= 0 and (shared > 0).sum() >= least:
+            cut = 1
+        return np.flatnonzero(shared >= cut)
 
 
 def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, pivots: int = PIVOTS, length: int = LENGTH, shard_rows: int = SHARD_ROWS, share: float = SHARE, least: int = LEAST, dim: int | None = None) -> DataFrame:
@@ -108,7 +125,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, pivots
             p = centres.value
             files = InvertedFiles(_orders(x, p, length), len(p))
             for name, v, order in zip(names.tolist(), q, _orders(q, p, length)):
-                near = files.nearest(order, max(least, int(share * len(x))))
+                near = files.nearest(order, max(least, int(share * len(x))), least)
                 d = np.sqrt(((x[near] - v) ** 2).sum(1))
                 # one more than k, as the query's own class may give nothing else; more where classes share ids
                 most = k + 1

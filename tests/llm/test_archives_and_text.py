@@ -391,6 +391,36 @@ def test_neighbours_of_repeated_rows(spark):
         assert [i for _, i in out[q]] == [i for _, i in want] and np.allclose([d for d, _ in out[q]], [d for d, _ in want])
 
 
+def test_index_prunes_and_finds(spark):
+    """Production parameters on a whole table: recall by brute force, and how much of the index a query reads and reranks."""
+    rows = permutation.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).toPandas()
+    x, ids = np.stack([np.frombuffer(v) for v in rows["vec"]]), rows["vec_id"].to_numpy()
+    out = permutation.op5_permutation_index(spark, "/root/testdata/sf0.1").toPandas()
+    recall = []
+    for q, g in out.groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        recall.append(len(set(ids[np.lexsort((ids, d))[:10]]) & set(g["vec_id"])) / 10)
+    assert np.mean(recall) >= 0.9
+    pivots = x[np.random.default_rng(0).permutation(len(x))[: permutation.PIVOTS]]
+    orders = permutation._orders(x, pivots, permutation.LENGTH)
+    files = permutation.InvertedFiles(orders, len(pivots))
+    touched = [(files.shared(o) > 0).mean() for o in orders[::100]]
+    read = [sum(files.at[p + 1] - files.at[p] for p in o) / len(x) for o in orders[::100]]
+    assert np.mean(touched) < 0.65 and np.mean(read) < 2 * permutation.LENGTH**2 / permutation.PIVOTS
+
+
+def test_few_in_files_means_all():
+    orders = np.array([[0, 1], [0, 1], [2, 3], [2, 3], [2, 3]])
+    files = permutation.InvertedFiles(orders, 4)
+    assert files.nearest(np.array([0, 1]), 3, 2).tolist() == [0, 1] and files.nearest(np.array([0, 1]), 3, 3).tolist() == [0, 1, 2, 3, 4]
+
+
+def test_orders_break_ties_by_pivot():
+    x = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 0.0]])
+    assert permutation._orders(x[:1], x, 2).tolist() == [[0, 2]]
+
+
 def test_footrule_from_inverted_files():
     rng = np.random.default_rng(0)
     orders = np.array([rng.permutation(12)[:7] for _ in range(50)])
