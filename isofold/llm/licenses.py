@@ -4,6 +4,9 @@ Texts and templates are words of letters and digits in lower case. Every longer
 inverted index, which is as large as the templates are. A text's runs are looked up in it; hits of one template near one diagonal are
 a candidate, and an alignment within a band about that diagonal gives the words matched, the coverage and the span in the text.
 
+Where templates resemble each other, as licenses of one family do, each place is given to the one that explains it best: words put in between
+count against a template as words that lack do.
+
 The coverage leaves no long run in a short template, so short ones are found by their single words: where enough of them stand within the
 template's length and the band, all spans from there that reach the coverage are measured, and the best that don't overlap stay.
 """
@@ -83,6 +86,42 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"].replace(
+    "THIS SOFTWARE IS PROVIDED",
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED",
+    1,
+)
+TEMPLATES["Unlicense"] = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+        means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the
+        software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and
+        successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software
+        under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM,
+        DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR
+        THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+TEMPLATES["CC0-1.0"] = """To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under the
+        Creative Commons CC0 1.0 Universal public domain dedication."""
+
+#: Licenses of one wording. Each has the two notices of its family.
+CREATIVE_COMMONS = {
+    "BY": "Attribution",
+    "BY-SA": "Attribution-ShareAlike",
+    "BY-NC": "Attribution-NonCommercial",
+    "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+    "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+}
+GNU = {"GPL-2.0": ("General", "2"), "GPL-3.0": ("General", "3"), "LGPL-2.1": ("Lesser General", "2.1"), "LGPL-3.0": ("Lesser General", "3"), "AGPL-3.0": ("Affero General", "3")}
+for _code, _long in CREATIVE_COMMONS.items():
+    for _text in (f"This work is licensed under a Creative Commons {_long} 4.0 International License.", f"Licensed under CC {_code} 4.0."):
+        if _text not in TEMPLATES.values():
+            _name = f"CC-{_code}-4.0"
+            TEMPLATES[_name if _name not in TEMPLATES else f"{_name}-notice"] = _text
+for _name, (_kind, _version) in GNU.items():
+    TEMPLATES.setdefault(_name, f"This work is licensed under the GNU {_kind} Public License, version {_version}.")
+    TEMPLATES.setdefault(f"{_name}-header", TEMPLATES["GPL-3.0-header"].replace("General", _kind).replace("version 3 ", f"version {_version} "))
+
 #: First parts of whole texts: reported where the whole text isn't.
 PARTS = {"MIT-grant": "MIT-text", "BSD-2-Clause-grant": "BSD-2-Clause", "ISC-grant": "ISC"}
 
@@ -188,7 +227,7 @@ def matches(words: np.ndarray, index: Index, band: int = BAND, coverage: float =
     lo, hi = np.searchsorted(index.keys, grams), np.searchsorted(index.keys, grams, "right")
     at = np.flatnonzero(hi > lo)
     short = short_starts(words, np.array([0, len(words)]), index, band, coverage)
-    return _best(_aligned(words, index, at, lo[at], hi[at], band, coverage) + _spans(words, index, *short, band, coverage), index.names)
+    return _best(_aligned(words, index, at, lo[at], hi[at], band, coverage) + _spans(words, index, *short, band, coverage), index)
 
 
 def short_starts(words: np.ndarray, first: np.ndarray, index: Index, band: int, coverage: float) -> tuple[np.ndarray, np.ndarray]:
@@ -256,8 +295,9 @@ def _aligned(words, index: Index, at, lo, hi, band: int, coverage: float):
     return found
 
 
-def _best(found, names: list[str]):
-    """Of overlapping spans of one template the better stays; a part of a text goes where it overlaps a span of the whole."""
+def _best(found, index: Index):
+    """Of overlapping spans of one template the better stays; a part of a text goes where it overlaps a span of the whole; then the templates are told apart."""
+    names, sizes = index.names, [len(w) for w in index.words]
     out: list[tuple[int, float, int, int, int]] = []
     kept: dict[int, list[tuple[int, int]]] = {}
     for m in sorted(found, key=lambda m: (m[0], -m[2], m[4] - m[3], m[3])):
@@ -273,7 +313,16 @@ def _best(found, names: list[str]):
         k = bisect_left(spans, (m[4], 0))
         return k > 0 and spans[k - 1][1] > m[3]
 
-    return sorted((m for m in out if not covered(m)), key=lambda m: (m[3], m[0]))
+    return _settled([m for m in out if not covered(m)], sizes)
+
+
+def _settled(found, sizes: list[int]):
+    """Between templates: of spans that share over half of the shorter one's words, the one with the most words matched, less those that lack or are put in, stays; then the earlier, then the template that is listed first."""
+    rest: list[tuple[int, float, int, int, int]] = []
+    for m in sorted(found, key=lambda m: (m[4] - m[3] + sizes[m[0]] - 3 * m[2], m[3], m[0])):
+        if all(2 * (min(m[4], o[4]) - max(m[3], o[3])) <= min(m[4] - m[3], o[4] - o[3]) for o in rest):
+            rest.append(m)
+    return sorted(rest, key=lambda m: (m[3], m[0]))
 
 
 SCHEMA = "doc_id long, license string, coverage double, n_matched long, first_word long, end_word long, first_char long, end_char long"
@@ -310,7 +359,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, ba
                     mine, ours = row == r, begin_row == r
                     own = slice(first[r], first[r + 1])
                     found = _aligned(words[own], index, maybe[mine] - first[r], lo[mine], hi[mine], band, coverage)
-                    found = _best(found + _spans(words[own], index, short[ours], begin[ours] - first[r], band, coverage), index.names)
+                    found = _best(found + _spans(words[own], index, short[ours], begin[ours] - first[r], band, coverage), index)
                     if found:
                         raw = part[at[r] : at[r + 1]].tobytes()
                         for t, share, n, x, y in found:

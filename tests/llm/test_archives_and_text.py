@@ -321,6 +321,68 @@ def test_whole_license_texts(spark):
             assert text[r["end_char"] :] == "."
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_each_template_is_named(spark, name):
+    """Licenses of one family are told apart; a whole text is given to one template."""
+    index = licenses.Index.of(licenses.TEMPLATES)
+    text = "some words before " + licenses.TEMPLATES[name] + " and some words after"
+    buf = np.frombuffer(text.lower().encode(), np.uint8)
+    out = licenses.matches(licenses._words(buf, np.array([0, len(buf)]))[0], index)
+    assert [(index.names[t], share) for t, share, *_ in out] == [(name, 1.0)]
+
+
+def test_families_are_told_apart(spark):
+    texts = {
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0-notice",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0",
+        "this work is licensed under a creative commons attribution sharealike 4.0 license": "CC-BY-SA-4.0",
+        "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0-notice",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sorted((r["doc_id"], r["license"]) for r in licenses.license_matches(docs).collect())
+    assert out == list(enumerate(texts.values()))
+
+
+def test_ties_go_to_the_first():
+    index = licenses.Index.of({"one": "alpha beta gamma delta", "two": "alpha beta gamma epsilon"})
+    buf = np.frombuffer(b"alpha beta gamma zeta", np.uint8)
+    assert [index.names[t] for t, *_ in licenses.matches(licenses._words(buf, np.array([0, 21]))[0], index, coverage=0.75)] == ["one"]
+
+
+def test_license_query_finds_what_plain_windows_find(spark, sf):
+    """Every window of every text against every template by a full table of common subsequences, without fingerprints or bands."""
+    index = licenses.Index.of(licenses.TEMPLATES)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out: dict[int, list] = {}
+    for r in licenses.op8_license_winnowing(spark, sf).collect():
+        out.setdefault(r["doc_id"], []).append(r)
+    checked = 0
+    for d, text in texts.items():
+        buf = np.frombuffer(text.encode().lower(), np.uint8)
+        words = licenses._words(buf, np.array([0, len(buf)]))[0] if len(buf) else np.zeros(0, np.uint64)
+        best = {}
+        for t, template in enumerate(index.words):
+            need = licenses._needed(template, licenses.COVERAGE)
+            ours = np.concatenate(([0], np.cumsum(np.isin(words, template))))
+            for i in range(len(words)):
+                end = min(len(words), i + len(template))
+                if words[i] in template and ours[end] - ours[i] >= need and (n := plain_lcs(template.tolist(), words[i:end].tolist())) >= need:
+                    best[t] = max(best.get(t, 0), n / len(template))
+        spans = out.get(d, [])
+        assert bool(best) <= bool(spans)
+        if best:
+            checked += 1
+            top = max(best.values())
+            assert any(r["coverage"] >= top - 1e-9 for r in spans) or top < 1
+        for r in spans:
+            t = index.names.index(r["license"])
+            assert plain_lcs(index.words[t].tolist(), words[r["first_word"] : r["end_word"]].tolist()) >= r["n_matched"] == round(r["coverage"] * len(index.words[t]))
+            assert r["coverage"] >= licenses.COVERAGE and text[r["first_char"] : r["end_char"]].strip() == text[r["first_char"] : r["end_char"]]
+    assert checked >= 3
+
+
 def plain_lcs(a, b):
     t = np.zeros((len(a) + 1, len(b) + 1), int)
     for i in range(len(a)):
