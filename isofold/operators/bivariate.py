@@ -183,20 +183,21 @@ def reeb_space(vertices: DataFrame, cells: DataFrame, u: str = "u", v: str = "v"
     Relational at any size; finer bins come nearer the continuous sheets.
     """
     jacobi = jacobi_set(vertices, cells, u, v)
-    lines = graph.components(jacobi.select("a", "b"))
-    one = jacobi.join(lines, F.col("a") == F.col("node")).select("ds", "a", "b", "type", F.col("component").alias("sheet1"))
+    ends = jacobi.select("ds", F.explode(F.array("a", "b")).alias("node")).distinct()
+    lines = graph.components_within(jacobi.select("ds", "a", "b"), ends).withColumnRenamed("node", "a")
+    one = jacobi.join(lines, ["ds", "a"]).select("ds", "a", "b", "type", F.col("component").alias("sheet1"))
     field = vertices.select("ds", "vid", "x", "y", "z", F.col(u).cast("double").alias("u"), F.col(v).cast("double").alias("v"))
-    span = field.agg(*(f(c).alias(f"{n}_{c}") for c in "uv" for n, f in (("min", F.min), ("max", F.max))))
+    span = field.groupBy("ds").agg(*(f(c).alias(f"{n}_{c}") for c in "uv" for n, f in (("min", F.min), ("max", F.max))))
     tet = cells.where(F.size("verts") == 4).select("ds", "cid", F.posexplode("verts").alias("p", "vid")).join(field, ["ds", "vid"])
     mean = tet.groupBy("ds", "cid").agg(F.avg("u").alias("u"), F.avg("v").alias("v"), F.array_sort(F.collect_list(F.struct("p", "x", "y", "z", "u", "v"))).alias("c"))
     d = {(n, k): F.col("c")[k][n] - F.col("c")[0][n] for n in "xyz" for k in (1, 2, 3)}
     volume = F.abs(d["x", 1] * (d["y", 2] * d["z", 3] - d["z", 2] * d["y", 3]) - d["y", 1] * (d["x", 2] * d["z", 3] - d["z", 2] * d["x", 3]) + d["z", 1] * (d["x", 2] * d["y", 3] - d["y", 2] * d["x", 3])) / 6
-    binned = mean.crossJoin(F.broadcast(span))  # one row
+    binned = mean.join(span, "ds")
     place = {c: F.coalesce(F.least(F.floor(F.try_divide((F.col(c) - F.col(f"min_{c}")) * bins, F.col(f"max_{c}") - F.col(f"min_{c}"))), F.lit(bins - 1)), F.lit(0)) for c in "uv"}
     binned = binned.select("ds", "cid", (place["u"] * bins + place["v"]).alias("bin"), volume.alias("volume"), ((F.col("max_u") - F.col("min_u")) * (F.col("max_v") - F.col("min_v")) / bins**2).alias("area"))
     near = incidence.cell_neighbours(cells)
     same = near.join(binned.select("ds", F.col("cid").alias("a"), F.col("bin").alias("ba")), ["ds", "a"]).join(binned.select("ds", F.col("cid").alias("b"), F.col("bin").alias("bb")), ["ds", "b"]).where("ba = bb")
-    label = graph.components(same.select("a", "b"), binned.select("cid"))
-    three = binned.join(label, F.col("cid") == F.col("node")).select("ds", "cid", "bin", F.col("component").alias("sheet3"), "volume", "area")
+    label = graph.components_within(same.select("ds", "a", "b"), binned.select("ds", F.col("cid").alias("node"))).withColumnRenamed("node", "cid")
+    three = binned.join(label, ["ds", "cid"]).select("ds", "cid", "bin", F.col("component").alias("sheet3"), "volume", "area")
     sheets = three.groupBy("ds", "sheet3").agg(F.first("bin").alias("bin"), F.count("*").alias("cells"), F.sum("volume").alias("domain_volume"), F.first("area").alias("range_area"))
     return {"sheets1": one, "cells": three, "sheets3": sheets.withColumn("hyper_volume", F.col("domain_volume") * F.col("range_area"))}

@@ -35,11 +35,29 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return own.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def components_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ds, node, component): components of each ds by itself, over edges (ds, a, b) and nodes (ds, node); ids count anew in every ds and aren't negative."""
+    stride = (nodes.agg(F.max("node")).first()[0] or 0) + 1
+    key = lambda c: F.col("ds") * stride + F.col(c)
+    found = components(edges.select(key("a").alias("a"), key("b").alias("b")), nodes.select(key("node").alias("node")))
+    return found.select(F.expr(f"(node - pmod(node, {stride})) div {stride}").alias("ds"), F.expr(f"pmod(node, {stride})").alias("node"), F.expr(f"pmod(component, {stride})").alias("component"))
+
+
 def cell_components(cells: DataFrame, vertices: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Vertices and cells of a mesh with RegionId, VertexNumber and CellNumber of their connected component.
+    """Vertices and cells of a mesh with RegionId, VertexNumber and CellNumber of their connected component, in each ds by itself if both have one.
 
     Edges run from a cell's least vertex to its others: a star for each cell, not its pairs.
     """
+    if "ds" in cells.columns and "ds" in vertices.columns:
+        edges = cells.select("ds", F.array_min("verts").alias("a"), F.explode("verts").alias("b"))
+        label = settled(components_within(edges, vertices.select("ds", F.col("vid").alias("node"))), "regions")
+        sizes = label.groupBy("ds", "component").agg(F.count("*").alias("VertexNumber"))
+        own = cells.select("ds", "cid", F.array_min("verts").alias("node")).join(label, ["ds", "node"]).select("ds", "cid", "component")
+        counts = own.groupBy("ds", "component").agg(F.count("*").alias("CellNumber"))
+        numbers = sizes.join(counts, ["ds", "component"], "left").select("ds", "component", "VertexNumber", F.coalesce("CellNumber", F.lit(0)).alias("CellNumber"))
+        of_vertex = label.join(numbers, ["ds", "component"]).select("ds", F.col("node").alias("vid"), F.col("component").alias("RegionId"), "VertexNumber", "CellNumber")
+        of_cell = own.join(numbers, ["ds", "component"]).select("ds", "cid", F.col("component").alias("RegionId"), "VertexNumber", "CellNumber")
+        return vertices.join(of_vertex, ["ds", "vid"]), cells.join(of_cell, ["ds", "cid"])
     edges = cells.select(F.array_min("verts").alias("a"), F.explode("verts").alias("b"))
     label = settled(components(edges, vertices.select("vid")), "regions")
     sizes = label.groupBy("component").agg(F.count("*").alias("VertexNumber"))
@@ -69,23 +87,38 @@ def roots(pointers: DataFrame, weight: str | None = None) -> DataFrame:
             return now.select("v", F.col("p").alias("root"), "steps", "length")
 
 
-def distance_field(edges: DataFrame, sources: DataFrame, vertices: DataFrame, weight: str | None = "w", rounds: int = 10_000) -> DataFrame:
+def distance_field(edges: DataFrame, sources: DataFrame, vertices: DataFrame, weight: str | None = "w", bound: float | None = None) -> DataFrame:
     """(vid, distance, source, source_index): graph distance to the nearest of sources (vid, index), ties to the smallest index.
 
-    edges: (a, b, w) in both directions or one. Relaxation from the frontier only: a round joins what changed in the last.
+    edges: (a, b, w) in both directions or one, w not negative. Relaxation from the frontier only: a round joins what changed in the last, until nothing does;
+    vertices farther than `bound`, if any, stay null. What is known is the rounds' own offers, put together every 16 rounds.
     """
     both = edges.select("a", "b", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
     both = settled(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
-    best = settled(sources.groupBy(F.col("vid").alias("v")).agg(F.min(F.struct(F.lit(0.0).alias("d"), F.col("index").cast("long").alias("i"), F.col("vid").cast("long").alias("s"))).alias("k")), "best")
-    front = best
-    for _ in range(rounds):
+    front = settled(sources.groupBy(F.col("vid").alias("v")).agg(F.min(F.struct(F.lit(0.0).alias("d"), F.col("index").cast("long").alias("i"), F.col("vid").cast("long").alias("s"))).alias("k")), "front")
+    known, fronts = None, [front]
+    while not front.isEmpty():
         offers = front.join(both, front["v"] == both["a"]).select(F.col("b").alias("v"), F.struct((F.col("k.d") + F.col("w")).alias("d"), F.col("k.i").alias("i"), F.col("k.s").alias("s")).alias("k"))
+        if bound is not None:
+            offers = offers.where(F.col("k.d") <= bound)
         offers = offers.groupBy("v").agg(F.min("k").alias("n"))
+        best = fronts[0]
+        for t in fronts[1:]:
+            best = best.unionByName(t)
+        best = best.groupBy("v").agg(F.min("k").alias("k"))
+        if known is not None:
+            best = known.unionByName(best).groupBy("v").agg(F.min("k").alias("k"))
         better = settled(offers.join(best, "v", "left").where("k is null or n < k").select("v", F.col("n").alias("k")), "front")
-        if better.isEmpty():
-            break
-        best = settled(best.join(better.select("v"), "v", "left_anti").unionByName(better), "best")
+        if len(fronts) >= 16:
+            was, known = known, settled(best, "known")
+            dropped(*fronts, *([was] if was is not None else []))
+            fronts = []
+        fronts.append(better)
         front = better
+    best = fronts[0]
+    for t in fronts[1:]:
+        best = best.unionByName(t)
+    best = (best if known is None else best.unionByName(known)).groupBy("v").agg(F.min("k").alias("k"))
     out = vertices.select("vid").join(best.select(F.col("v").alias("vid"), "k"), "vid", "left")
     return out.select("vid", F.col("k.d").alias("distance"), F.col("k.s").alias("source"), F.col("k.i").alias("source_index"))
 

@@ -262,15 +262,16 @@ def lower_star_gradient(order: np.ndarray, cells: list[list[tuple[int, ...]]]) -
     return pair, critical
 
 
-def simplify(values: np.ndarray, order: np.ndarray, starts: np.ndarray, nbrs: np.ndarray, keep: set[int], rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
+def simplify(values: np.ndarray, order: np.ndarray, starts: np.ndarray, nbrs: np.ndarray, keep: set[int], rounds: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(values, order) changed as little as flooding needs for only the extrema in `keep` to remain.
 
     Upward: vertices are reached from the kept minima, lowest first, and raised to what they are reached over; downward the same from the
-    kept maxima; again, until no other extremum is left.
+    kept maxima; again, until no other extremum is left, or nothing changes (then a component has none to keep). A ValueError says that `rounds`, by
+    default one for each vertex, didn't do.
     """
     n = len(order)
-    values, order = values.astype(float).copy(), order.copy()
-    for _ in range(rounds):
+    values, order, extrema = values.astype(float).copy(), order.copy(), []
+    for _ in range(n + 1 if rounds is None else rounds):
         before = order.copy()
         for sign in (1, -1):
             rank = order if sign > 0 else n - 1 - order
@@ -295,5 +296,5 @@ def simplify(values: np.ndarray, order: np.ndarray, starts: np.ndarray, nbrs: np
             values = new
         extrema = [v for v in range(n) if len({bool(order[u] > order[v]) for u in nbrs[starts[v] : starts[v + 1]]}) <= 1]
         if all(v in keep for v in extrema) or (order == before).all():
-            break
-    return values, order
+            return values, order
+    raise ValueError(f"extrema that aren't to be kept are left after as many rounds as were allowed: {len(set(extrema) - keep) or 'not counted'}")

@@ -71,11 +71,14 @@ class Tree:
 
 @dataclass(frozen=True)
 class Options:
-    """Percentages: eps1 merges saddles, eps2 and eps3 unnest branches, threshold drops the least persistent."""
+    """Percentages: eps1 merges saddles closer than that part of the widest gap (of the range, if farthest); a branch with more than 1 - eps2 of its parent's persistence and
+    less than eps3 of the root's goes up a level; threshold drops the least persistent. By default nothing is merged.
+    """
 
-    eps1: float = 5.0
-    eps2: float = 95.0
-    eps3: float = 90.0
+    eps1: float = 0.0
+    eps2: float = 0.0
+    eps3: float = 100.0
+    farthest: bool = False
     threshold: float = 0.0
     normalized: bool = True
     min_max_pair: bool = True
@@ -120,32 +123,35 @@ def branch_trees(vertices: DataFrame, cells: DataFrame, kind: str = "join", valu
 
 
 def preprocessed(tree: Tree, o: Options) -> Tree:
-    """Drops branches below the persistence threshold, hangs branches whose saddle is close to their parent's on the grandparent, and unnests short-lived nests."""
+    """Drops branches up to the persistence threshold (with a tolerance of 1e-6, and those of no persistence), hangs branches whose saddle is close to their parent's on
+    the grandparent, and then those that are nearly as persistent as their parent one level up.
+    """
     if not len(tree.birth):
         return tree
     pers = tree.persistence
     most = pers[tree.root]
-    if o.threshold > 0 and len(pers) > 1:
+    if len(pers) > 1:
         bound = o.threshold / 100 * most
         second = np.sort(np.delete(pers, tree.root))[-1]
         if bound >= second:
             bound = 0.99 * second
-        keep = pers >= bound
+        keep = pers > bound + 1e-6
         keep[tree.root] = True
         tree = tree.subset(keep)
         pers = tree.persistence
     parent = tree.parent.copy()
     gaps = [abs(tree.death[i] - tree.death[p]) for i, p in enumerate(parent) if i != p and p != tree.root]
-    widest = max(gaps, default=0.0)
+    near = o.eps1 / 100 * (most if o.farthest else max(gaps, default=0.0))
     for i in tree.preorder():
         p = int(parent[i])
-        while p != tree.root and i != p:
-            near = widest > 0 and abs(tree.death[i] - tree.death[p]) < o.eps1 / 100 * widest
-            like = o.eps2 < 100 and pers[p] > 0 and pers[i] / pers[p] > o.eps2 / 100 and most > 0 and pers[i] / most < o.eps3 / 100
-            if not (near or like):
-                break
+        while p != tree.root and i != p and abs(tree.death[i] - tree.death[p]) < near:
             p = int(parent[p])
         parent[i] = p
+    # one level up, from the root on: a parent that went up itself takes its children's grandparent along
+    for i in Tree(tree.birth, tree.death, parent, tree.ids).preorder():
+        p = int(parent[i])
+        if p != tree.root and i != p and pers[p] > 0 and pers[i] / pers[p] > 1 - o.eps2 / 100 and most > 0 and pers[i] / most < o.eps3 / 100:
+            parent[i] = parent[p]
     return Tree(tree.birth, tree.death, parent, tree.ids)
 
 

@@ -6,6 +6,7 @@ are a kernel for each ds.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -185,20 +186,20 @@ def merge_tree(vertices: DataFrame, cells: DataFrame, kind: str = "join", value:
 
 
 def reeb_graph(vertices: DataFrame, cells: DataFrame, slabs: int = 64, value: str = "value") -> dict[str, DataFrame]:
-    """An approximate Reeb graph, relational at any size: components of the mesh within equal slabs of the range, joined where they touch.
+    """An approximate Reeb graph of each ds, relational at any size: components of its mesh within equal slabs of its range, joined where they touch.
 
     nodes (slab, component, n), arcs (from, to) between components of neighbouring slabs.
     """
     v = vertices.select("ds", "vid", cleaned(value).alias("value"))
-    span = v.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    v = v.crossJoin(F.broadcast(span))  # one row
+    span = v.groupBy("ds").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    v = v.join(span, "ds")
     v = v.select("ds", "vid", F.coalesce(F.least(F.floor(F.try_divide((F.col("value") - F.col("lo")) * slabs, F.col("hi") - F.col("lo"))), F.lit(slabs - 1)), F.lit(0)).alias("slab"))
     e = incidence.edges(cells)
     met = e.join(v.select("ds", F.col("vid").alias("a"), F.col("slab").alias("sa")), ["ds", "a"]).join(v.select("ds", F.col("vid").alias("b"), F.col("slab").alias("sb")), ["ds", "b"])
-    label = graph.components(met.where("sa = sb").select("a", "b"), v.select("vid")).withColumnRenamed("node", "vid")
-    nodes = v.join(label, "vid").groupBy("ds", "slab", "component").agg(F.count("*").alias("n"))
-    la, lb = label.select(F.col("vid").alias("a"), F.col("component").alias("ca")), label.select(F.col("vid").alias("b"), F.col("component").alias("cb"))
-    arcs = met.where("sa <> sb").join(la, "a").join(lb, "b").select("ds", F.when(F.col("sa") < F.col("sb"), F.col("ca")).otherwise(F.col("cb")).alias("from"), F.when(F.col("sa") < F.col("sb"), F.col("cb")).otherwise(F.col("ca")).alias("to")).distinct()
+    label = graph.components_within(met.where("sa = sb").select("ds", "a", "b"), v.select("ds", F.col("vid").alias("node"))).withColumnRenamed("node", "vid")
+    nodes = v.join(label, ["ds", "vid"]).groupBy("ds", "slab", "component").agg(F.count("*").alias("n"))
+    la, lb = label.select("ds", F.col("vid").alias("a"), F.col("component").alias("ca")), label.select("ds", F.col("vid").alias("b"), F.col("component").alias("cb"))
+    arcs = met.where("sa <> sb").join(la, ["ds", "a"]).join(lb, ["ds", "b"]).select("ds", F.when(F.col("sa") < F.col("sb"), F.col("ca")).otherwise(F.col("cb")).alias("from"), F.when(F.col("sa") < F.col("sb"), F.col("cb")).otherwise(F.col("ca")).alias("to")).distinct()
     return {"nodes": nodes, "arcs": arcs}
 
 
@@ -287,7 +288,7 @@ def segmentation(vertices: DataFrame, neighbours: DataFrame, value: str = "value
     return both.join(ids, ["ds", "AscendingManifold", "DescendingManifold"]).select("ds", "vid", "DescendingManifold", "AscendingManifold", "MorseSmaleManifold")
 
 
-def separatrices(gradient: DataFrame, critical: DataFrame | None = None, rounds: int = 100_000) -> DataFrame:
+def separatrices(gradient: DataFrame, critical: DataFrame | None = None) -> DataFrame:
     """(ds, saddle, side, step, vid): the two descending paths from each critical edge along vertex-edge pairs down to minima."""
     pairs = gradient.where("dim = 0 and paired is not null").select("ds", F.col("cell")[0].alias("v"), F.when(F.col("paired")[0] == F.col("cell")[0], F.col("paired")[1]).otherwise(F.col("paired")[0]).alias("nxt"))
     saddles = gradient.where("dim = 1 and paired is null").select("ds", F.col("cell").alias("saddle"), F.posexplode("cell").alias("side", "v"))
@@ -295,7 +296,8 @@ def separatrices(gradient: DataFrame, critical: DataFrame | None = None, rounds:
 
     front = settled(saddles.select("ds", "saddle", "side", F.lit(0).alias("step"), F.col("v").alias("vid")), "separatrix")
     out = front
-    for step in range(1, rounds):
+    # paths go down, so they end
+    for step in itertools.count(1):
         nxt = settled(front.join(pairs, (front["ds"] == pairs["ds"]) & (front["vid"] == pairs["v"])).select(front["ds"], "saddle", "side", F.lit(step).alias("step"), F.col("nxt").alias("vid")), "separatrix")
         if nxt.isEmpty():
             break
@@ -303,7 +305,7 @@ def separatrices(gradient: DataFrame, critical: DataFrame | None = None, rounds:
     return out
 
 
-def integral_lines(vertices: DataFrame, neighbours: DataFrame, seeds: DataFrame, backward: bool = True, value: str = "value", offset: str | None = None, rounds: int = 100_000) -> DataFrame:
+def integral_lines(vertices: DataFrame, neighbours: DataFrame, seeds: DataFrame, backward: bool = True, value: str = "value", offset: str | None = None) -> DataFrame:
     """(ds, seed, step, vid, DistanceFromSeed): from each distinct seed along the steepest edge, |df| / length, to an extremum.
 
     All lines advance together, a join a step; backward goes down. vertices need x, y, z.
@@ -322,7 +324,7 @@ def integral_lines(vertices: DataFrame, neighbours: DataFrame, seeds: DataFrame,
     step_of = settled(best.select("ds", "v", F.col("n.b").alias("nxt"), F.col("n.w").alias("w")), "steepest")
     front = settled(seeds.select("ds", "vid").distinct().select("ds", F.col("vid").alias("seed"), F.lit(0).alias("step"), "vid", F.lit(0.0).alias("DistanceFromSeed")), "line")
     out = front
-    for step in range(1, rounds):
+    for step in itertools.count(1):
         nxt = settled(front.join(step_of, (front["ds"] == step_of["ds"]) & (front["vid"] == step_of["v"])).select(front["ds"], "seed", F.lit(step).alias("step"), F.col("nxt").alias("vid"), (F.col("DistanceFromSeed") + F.col("w")).alias("DistanceFromSeed")), "line")
         if nxt.isEmpty():
             break
@@ -401,24 +403,26 @@ def mandatory_critical_points(vertices: DataFrame, cells: DataFrame, lower: str
 
 
 def contour_around_point(vertices: DataFrame, cells: DataFrame, points: DataFrame, value: str = "value") -> DataFrame:
-    """(pid, cid): for points (pid, vid, isovalue), the connected cells that straddle the isovalue and hold the one nearest the point.
+    """(ds, pid, cid): for points (ds, pid, vid, isovalue), the connected cells of the ds that straddle the isovalue and hold the one nearest the point.
 
-    vertices need x, y, z. Cells straddle if they have values on both sides.
+    vertices need x, y, z. Cells straddle if they have values on both sides. Points without a ds are points of every ds that has their vertex.
     """
-    v = vertices.select("vid", F.col(value).cast("double").alias("f"), "x", "y", "z")
-    corner = cells.select("cid", F.explode("verts").alias("vid")).join(v, "vid")
-    span = corner.groupBy("cid").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), *(F.avg(c).alias(f"c{c}") for c in "xyz"))
-    wanted = points.select("pid", "vid", F.col("isovalue").cast("double").alias("iso")).join(v.select("vid", "x", "y", "z"), "vid")
-    levels = wanted.select("iso").distinct()
-    crossing = span.join(levels, (F.col("lo") <= F.col("iso")) & (F.col("hi") > F.col("iso")))
-    stride = (cells.agg(F.max("cid")).first()[0] or 0) + 1
+    v = vertices.select("ds", "vid", F.col(value).cast("double").alias("f"), "x", "y", "z")
+    corner = cells.select("ds", "cid", F.explode("verts").alias("vid")).join(v, ["ds", "vid"])
+    span = corner.groupBy("ds", "cid").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), *(F.avg(c).alias(f"c{c}") for c in "xyz"))
+    on = ["ds", "vid"] if "ds" in points.columns else ["vid"]
+    wanted = points.select(*on, "pid", F.col("isovalue").cast("double").alias("iso")).join(v.select("ds", "vid", "x", "y", "z"), on)
     from ..functions.order import dense_index
 
-    numbered = dense_index(levels, ["iso"], "level")
-    crossing = crossing.join(numbered, "iso").withColumn("g", F.col("level") * stride + F.col("cid"))
-    meet = crossing.join(cells.select("cid", F.explode("verts").alias("vid")), "cid").groupBy("level", "vid").agg(F.min("g").alias("a"), F.collect_list("g").alias("all"))
-    label = graph.components(meet.select("a", F.explode("all").alias("b")), crossing.select("g"))
-    marked = crossing.join(label, crossing["g"] == label["node"]).select("cid", "iso", "component", "cx", "cy", "cz")
+    levels = dense_index(wanted.select("ds", "iso").distinct(), ["ds", "iso"], "level")
+    crossing = span.join(levels.withColumnRenamed("ds", "l_ds"), (F.col("ds") == F.col("l_ds")) & (F.col("lo") <= F.col("iso")) & (F.col("hi") > F.col("iso"))).drop("l_ds")
+    of = crossing.select("ds", "level", "cid")
+    meet = of.join(cells.select("ds", "cid", F.explode("verts").alias("vid")), ["ds", "cid"]).groupBy("level", "vid").agg(F.min("cid").alias("a"), F.collect_list("cid").alias("all"))
+    # a level belongs to one ds: components within levels are components within both
+    label = graph.components_within(meet.select(F.col("level").alias("ds"), "a", F.explode("all").alias("b")), of.select(F.col("level").alias("ds"), F.col("cid").alias("node")))
+    label = label.select(F.col("ds").alias("level"), F.col("node").alias("cid"), "component")
+    marked = crossing.join(label, ["level", "cid"]).select("ds", "level", "cid", "component", "cx", "cy", "cz")
     near = F.struct(F.expr("(x - cx) * (x - cx) + (y - cy) * (y - cy) + (z - cz) * (z - cz)").alias("d"), F.col("component"))
-    chosen = wanted.join(marked, "iso").groupBy("pid", "iso").agg(F.min(near).alias("n")).select("pid", "iso", F.col("n.component").alias("component"))
-    return chosen.join(marked, ["iso", "component"]).select("pid", "cid")
+    asked = wanted.join(levels, ["ds", "iso"])
+    chosen = asked.join(marked.drop("ds"), "level").groupBy("pid", "level").agg(F.min(near).alias("n")).select("pid", "level", F.col("n.component").alias("component"))
+    return chosen.join(marked, ["level", "component"]).select("ds", "pid", "cid")

@@ -101,10 +101,11 @@ def write_products(products: DataFrame, path: str, keys: Sequence[str]) -> None:
     rows = named.select(*keys, "FILE").distinct()
     fs, at = _file(spark, f"{path}/data.csv")
     if fs.exists(at):
-        old = spark.read.csv(f"{path}/data.csv", header=True, schema=", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields))
-        header = spark.read.text(f"{path}/data.csv").first()[0].split(",")
-        if set(header) != set(rows.columns):
-            raise ValueError(f"the catalogue has the columns {header}, the product {rows.columns}")
+        # by name: the file's columns may stand in another order
+        old = spark.read.csv(f"{path}/data.csv", header=True, inferSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        if set(old.columns) != set(rows.columns):
+            raise ValueError(f"the catalogue has the columns {old.columns}, the product {rows.columns}")
+        old = old.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in rows.schema.fields))
         rows = settled(upserted(old, rows, keys), "catalogue")
     # one job for all products; those written replace their own folders and no other
     named.drop("FILE").withColumnRenamed("_key", PRODUCT[:-1]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PRODUCT[:-1]).parquet(f"{path}/data")
