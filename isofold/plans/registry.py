@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bivariate, columns, diagrams, fields, graph, incidence, mergetrees, meshing, sql, stats, topology, tracking
 from ..sources import catalogue, generators, meshes
+from . import oracles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -487,7 +488,7 @@ def _polygon(spark: SparkSession, v: DataFrame) -> DataFrame:
 
 @_add("range_polygon")
 def _(spark, d):
-    return _polygon(spark, order_volume(spark, d)[0])
+    return rounded(_polygon(spark, order_volume(spark, d)[0]), "u0", "v0", "u1", "v1", digits=3)
 
 
 @_add("fiber_surface")
@@ -583,7 +584,7 @@ def _(spark, d):
 
 @_add("tracking_overlap_branches")
 def _(spark, d):
-    return tracking.track_overlap(_labelled(spark, d))[0]
+    return rounded(tracking.track_overlap(_labelled(spark, d))[0], "cx")
 
 
 def _daily(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -680,7 +681,7 @@ def _(spark, d):
 
 @_add("camera_grid")
 def _(spark, d):
-    return generators.cameras(_cloud(spark, d), 8)
+    return rounded(generators.cameras(_cloud(spark, d), 8), "px", "py", "pz", "fx", "fy", "fz", "near", "far")
 
 
 @_add("nesting_edges", "WITH p AS (SELECT DISTINCT day(ts) % 3 AS level, CAST(hour(ts) AS BIGINT) AS t, user_id AS x, ascii(event_type) AS label FROM events) SELECT a.t, CAST(a.level AS BIGINT) AS level, CAST(a.label AS BIGINT) AS label, CAST(b.label AS BIGINT) AS next_label, count(*) AS overlap FROM p a JOIN p b ON b.level = a.level + 1 AND a.t = b.t AND a.x = b.x GROUP BY ALL")
@@ -710,4 +711,8 @@ def _(spark, d):
 
 @_add("wide_distance_matrix")
 def _(spark, d):
-    return rounded(stats.wide_matrix(stats.distance_matrix(_daily(spark, d)[0], 1)), digits=6)
+    wide = stats.wide_matrix(stats.distance_matrix(_daily(spark, d)[0], 1))
+    return rounded(wide, *wide.columns[1:])
+
+
+SQL.update(oracles.SQL)
