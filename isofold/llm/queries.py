@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_warc_zstd": warc.SQL,
+    "op3_substring_superkmer": substring.SQL,
     "op7_mixing_blocks": mixing.oracle(),
     "op9_decontamination_winnowing": decontamination.SQL,
 }

@@ -231,7 +231,9 @@ def repeated_spans(docs: DataFrame, window: int = 20, mer: int = 4, bucket_words
         return pa.table([pa.array(x, pa.int64()) for x in spans], ["doc_id", "lo", "hi"])
 
     sent = docs.mapInArrow(cut, "bucket long, block binary")
-    return sent.groupBy("bucket").applyInArrow(settle, "doc_id long, lo long, hi long")
+    # a task has a few buckets whatever the corpus's size
+    tasks = max(partitions, buckets // 4)
+    return sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(settle, "doc_id long, lo long, hi long")
 
 
 def _repeats(group: list[tuple], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -350,3 +352,14 @@ def op3_substring_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return _cleaned(docs, 20, 4, 1_000_000, "doc_id long, n_words long, n_removed long, kept_sha256 string", make)
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, s, array_to_string(w[s:s + 19], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+e AS (SELECT r, s FROM (SELECT r, s, row_number() OVER (PARTITION BY g ORDER BY r, s) AS k FROM g) WHERE k > 1),
+x AS (SELECT DISTINCT r, unnest(range(s, s + 20)) AS p FROM e),
+n AS (SELECT r, count(*) AS n_removed FROM x GROUP BY r),
+k AS (SELECT t.r, string_agg(t.x, ' ' ORDER BY t.p) AS kept FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) t LEFT JOIN x ON x.r = t.r AND x.p = t.p WHERE x.p IS NULL GROUP BY t.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+"""

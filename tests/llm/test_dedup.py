@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -96,6 +97,15 @@ def test_substring_equals_brute_force(docs, rows):
     assert sum(r["n_removed"] for r in out) > 4000
 
 
+def test_substring_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    names = "doc_id, n_words, n_removed, kept_sha256"
+    want = con.sql(f"SELECT {names} FROM ({substring.SQL})").fetchall()
+    out = substring.op3_substring_superkmer(spark, sf)
+    assert sorted(tuple(r) for r in out.select(*names.split(", ")).collect()) == sorted(want) and sum(r[2] for r in want) > 100
+
+
 @pytest.mark.parametrize("window,mer", [(1, 1), (3, 2), (8, 8), (20, 1)])
 def test_substring_parameters(docs, rows, window, mer):
     out = substring.without_repeats(docs, window, mer, bucket_words=50).collect()
