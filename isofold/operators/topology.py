@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import cleaned
+from ..functions.storage import settled
 from . import graph, incidence, kernels
 
 
@@ -111,12 +112,15 @@ def _edges_apart(cells: DataFrame) -> DataFrame:
 DIAGRAM = "ds long, birth_vid long, death_vid long, pair_type int, birth_type int, death_type int, birth double, death double, persistence double"
 
 
-def persistence_diagram(vertices: DataFrame, cells: DataFrame, value: str = "value", offset: str | None = None, dim: int | None = None, keep_global_twice: bool = False) -> DataFrame:
+def persistence_diagram(vertices: DataFrame, cells: DataFrame, value: str = "value", offset: str | None = None, dim: int | None = None, keep_global_twice: bool = False, kernel_rows: int = 1_000_000) -> DataFrame:
     """A row for each pair: extremum-saddle pairs of both sweeps and the global pair, by default once.
 
-    pair_type 0 is of a minimum, dim - 1 of a maximum.
+    pair_type 0 is of a minimum, dim - 1 of a maximum. A ds of up to kernel_rows vertices is swept in one task; where one has more, basins and the
+    saddles between them are found by joins, and the same pairs come from contracting those.
     """
     d = dim if dim is not None else (cells.agg(F.max(F.size("verts"))).first()[0] or 2) - 1
+    if vertices.limit(kernel_rows + 1).count() > kernel_rows and vertices.groupBy("ds").count().agg(F.max("count")).first()[0] > kernel_rows:
+        return _diagram_at_large(vertices, cells, d, keep_global_twice, value, offset, kernel_rows)
 
     def kernel(ds, f, _):
         rows = kernels.diagram(f.order, f.starts, f.nbrs, d)
@@ -128,6 +132,89 @@ def persistence_diagram(vertices: DataFrame, cells: DataFrame, value: str = "val
     return per_field(vertices, cells, kernel, DIAGRAM, value, offset)
 
 
+def saddle_pairs(vertices: DataFrame, neighbours: DataFrame, descending: bool = True, value: str = "value", offset: str | None = None, kernel_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(pairs (ds, extremum, saddle), owners (ds, vid, extremum, last)) of minima, or of maxima if not descending, of fields of any size.
+
+    Every vertex falls to its extremum by steepest descent; of the edges between two basins the lowest, by its upper end, is kept. A basin whose lowest edge
+    leads to one with a lower extremum ends there, whatever else happens: each round contracts all such basins. What is left is swept in a task for each ds
+    once it has kernel_rows edges or fewer. owners has each vertex's own extremum and the one that its part of the field ends with.
+    """
+    sense = 1 if descending else -1
+    keyed = ordered(vertices, value, offset).select("ds", "vid", F.struct((sense * F.col("key.v")).alias("v"), (sense * F.col("key.o")).alias("o")).alias("key"))
+    keyed = settled(keyed, "keys")
+    stride = (keyed.agg(F.max("vid")).first()[0] or 0) + 1
+    name = lambda ds, vid: F.col(ds) * stride + F.col(vid)
+    met = settled(_with_keys(neighbours, keyed).where("kb < ka").select(name("ds", "a").alias("a"), name("ds", "b").alias("b"), "ka", "kb"), "down")
+    falls = met.groupBy(F.col("a").alias("v")).agg(F.min(F.struct("kb", "b")).alias("n"))
+    nodes = keyed.select(name("ds", "vid").alias("v"), "key")
+    own = settled(graph.roots(nodes.select("v").join(falls.select("v", F.col("n.b").alias("nxt")), "v", "left")).select("v", "root"), "basins")
+    of = lambda side: own.select(F.col("v").alias(side), F.col("root").alias(f"r{side}"))
+    across = met.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("c"), F.greatest("ra", "rb").alias("d"), F.struct("ka", "a").alias("s"))
+    across = settled(across.groupBy("c", "d").agg(F.min("s").alias("s")), "across")
+    tops = settled(own.where("v = root").select("v").join(nodes, "v"), "tops")
+    ended: list[DataFrame] = []
+    while True:
+        n = across.count()
+        if n <= kernel_rows:
+            break
+        both = across.union(across.select(F.col("d").alias("c"), F.col("c").alias("d"), "s"))
+        key = lambda side, out: tops.select(F.col("v").alias(side), F.col("key").alias(out))  # noqa: B023, E731
+        low = both.join(key("d", "kd"), "d").groupBy("c").agg(F.min(F.struct("s", "kd", "d")).alias("m")).join(key("c", "kc"), "c")
+        dead = settled(low.where(F.col("m.kd") < F.col("kc")).select("c", F.col("m.d").alias("into"), F.col("m.s.a").alias("saddle")), "ended")
+        ended.append(dead)
+        to = settled(graph.roots(dead.select(F.col("c").alias("v"), F.col("into").alias("nxt")).unionByName(dead.select(F.col("into").alias("v")).distinct().join(dead.select(F.col("c").alias("v")), "v", "left_anti").withColumn("nxt", F.lit(None).cast("long")))).select("v", "root"), "to")
+        ends = lambda side: to.select(F.col("v").alias(side), F.col("root").alias(f"t{side}"))  # noqa: B023, E731
+        moved = across.join(ends("c"), "c", "left").join(ends("d"), "d", "left").select(F.coalesce("tc", "c").alias("c"), F.coalesce("td", "d").alias("d"), "s").where("c <> d")
+        across = settled(moved.groupBy(F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")).agg(F.min("s").alias("s")), "across")
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(pdf[["c", "d"]].to_numpy())
+        c, d = np.searchsorted(ids, pdf["c"]), np.searchsorted(ids, pdf["d"])
+        rank = np.empty(len(ids), np.int64)
+        by_id = {**dict(zip(pdf["c"], zip(pdf["cv"], pdf["co"]))), **dict(zip(pdf["d"], zip(pdf["dv"], pdf["do"])))}
+        rank[sorted(range(len(ids)), key=lambda i: by_id[ids[i]])] = np.arange(len(ids))
+        uf, out = kernels.UnionFind(len(ids)), []
+        for e in np.lexsort((pdf["so"], pdf["sv"])).tolist():
+            x, y = uf.find(int(c[e])), uf.find(int(d[e]))
+            if x != y:
+                old, young = (x, y) if rank[x] < rank[y] else (y, x)
+                out.append((ids[young], ids[old], pdf["sa"].iloc[e]))
+                uf.union(old, young)
+        return pd.DataFrame(out, columns=["c", "into", "saddle"])
+
+    flat = across.join(tops.select(F.col("v").alias("c"), F.col("key").alias("kc")), "c").join(tops.select(F.col("v").alias("d"), F.col("key").alias("kd")), "d")
+    flat = flat.select(F.expr(f"c div {stride}").alias("ds"), "c", "d", F.col("kc.v").alias("cv"), F.col("kc.o").alias("co"), F.col("kd.v").alias("dv"), F.col("kd.o").alias("do"), F.col("s.ka.v").alias("sv"), F.col("s.ka.o").alias("so"), F.col("s.a").alias("sa"))
+    rest = settled(flat.groupBy("ds").applyInPandas(sweep, "c long, into long, saddle long"), "ended")
+    for part in ended:
+        rest = rest.unionByName(part)
+    pointers = tops.select("v").join(rest.select(F.col("c").alias("v"), F.col("into").alias("nxt")), "v", "left")
+    last = settled(graph.roots(pointers).select(F.col("v").alias("root"), F.col("root").alias("last")), "last")
+    back = lambda c: F.expr(f"pmod({c}, {stride})")
+    pairs = rest.select(F.expr(f"(c - pmod(c, {stride})) div {stride}").alias("ds"), back("c").alias("extremum"), back("saddle").alias("saddle"))
+    owners = own.join(last, "root").select(F.expr(f"(v - pmod(v, {stride})) div {stride}").alias("ds"), back("v").alias("vid"), back("root").alias("extremum"), back("last").alias("last"))
+    return pairs, owners
+
+
+def _diagram_at_large(vertices: DataFrame, cells: DataFrame, d: int, keep_global_twice: bool, value: str, offset: str | None, kernel_rows: int) -> DataFrame:
+    near = incidence.neighbours(cells)
+    low, below = saddle_pairs(vertices, near, True, value, offset, kernel_rows)
+    high, above = saddle_pairs(vertices, near, False, value, offset, kernel_rows)
+    last = max(d - 1, 0)
+    kind = lambda t, b, e: (F.lit(t).alias("pair_type"), F.lit(b).alias("birth_type"), F.lit(e).alias("death_type"))
+    rows = low.select("ds", F.col("extremum").alias("birth_vid"), F.col("saddle").alias("death_vid"), *kind(0, kernels.MINIMUM, kernels.SADDLE1 if d > 1 else kernels.MAXIMUM))
+    rows = rows.unionByName(high.select("ds", F.col("saddle").alias("birth_vid"), F.col("extremum").alias("death_vid"), *kind(last, kernels.SADDLE2 if d > 2 else kernels.SADDLE1 if d > 1 else kernels.MINIMUM, kernels.MAXIMUM)))
+    # the global pair of each part of a field: the maximum that ends it, and the minimum that the maximum's vertex ends with
+    tops = above.select("ds", F.col("last").alias("vid")).distinct()
+    whole = tops.join(below.select("ds", "vid", F.col("last").alias("birth_vid")), ["ds", "vid"]).select("ds", "birth_vid", F.col("vid").alias("death_vid"), *kind(0, kernels.MINIMUM, kernels.MAXIMUM))
+    rows = rows.unionByName(whole)
+    if keep_global_twice and d > 1:
+        rows = rows.unionByName(whole.withColumn("pair_type", F.lit(last)))
+    at = ordered(vertices, value, offset)
+    for side in ("birth", "death"):
+        rows = rows.join(at.select("ds", F.col("vid").alias(f"{side}_vid"), F.col("value").alias(side)), ["ds", f"{side}_vid"])
+    return rows.select("ds", "birth_vid", "death_vid", "pair_type", "birth_type", "death_type", "birth", "death", (F.col("death") - F.col("birth")).alias("persistence"))
+
+
 def persistence_curve(pairs: DataFrame, digits: int = 6) -> DataFrame:
     """(ds, curve, Persistence, NumberOfPairs): for each value how many pairs of the ds are at least as persistent; curves are all and each pair type."""
     kind = F.explode(F.array(F.lit("all"), F.concat(F.lit("type"), F.col("pair_type").cast("string"))))
@@ -292,8 +379,6 @@ def separatrices(gradient: DataFrame, critical: DataFrame | None = None) -> Data
     """(ds, saddle, side, step, vid): the two descending paths from each critical edge along vertex-edge pairs down to minima."""
     pairs = gradient.where("dim = 0 and paired is not null").select("ds", F.col("cell")[0].alias("v"), F.when(F.col("paired")[0] == F.col("cell")[0], F.col("paired")[1]).otherwise(F.col("paired")[0]).alias("nxt"))
     saddles = gradient.where("dim = 1 and paired is null").select("ds", F.col("cell").alias("saddle"), F.posexplode("cell").alias("side", "v"))
-    from ..functions.storage import settled
-
     front = settled(saddles.select("ds", "saddle", "side", F.lit(0).alias("step"), F.col("v").alias("vid")), "separatrix")
     out = front
     # paths go down, so they end
@@ -310,8 +395,6 @@ def integral_lines(vertices: DataFrame, neighbours: DataFrame, seeds: DataFrame,
 
     All lines advance together, a join a step; backward goes down. vertices need x, y, z.
     """
-    from ..functions.storage import settled
-
     keyed = ordered(vertices, value, offset)
     at = vertices.select("ds", "vid", "x", "y", "z")
     a, b = at.select("ds", *(F.col(c).alias(f"{c}1") for c in ("vid", "x", "y", "z"))), at.select("ds", *(F.col(c).alias(f"{c}2") for c in ("vid", "x", "y", "z")))

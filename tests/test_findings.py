@@ -100,3 +100,31 @@ def test_threshold_has_a_tolerance():
     tree = mergetrees.Tree(np.array([0.0, 1.0, 1.0, 3.0]), np.array([10.0, 2.0 + 5e-7, 3.0, 3.0]), np.array([0, 0, 0, 0]))
     assert mergetrees.preprocessed(tree, mergetrees.Options(threshold=10.0)).birth.tolist() == [0.0, 1.0]
     assert len(mergetrees.preprocessed(tree, mergetrees.Options()).birth) == 3
+
+
+@pytest.mark.parametrize("shape,rows", [((9, 7, 1), 0), ((9, 7, 1), 12), ((4, 4, 4), 3)])
+def test_diagram_of_a_large_field_equals_the_sweep(spark, shape, rows):
+    """Fields of three ds, one with ties and one in two parts, by joins alone or with a sweep of the last edges, against the sweep of each whole ds."""
+    from isofold.operators import incidence
+
+    rng = np.random.default_rng(sum(shape))
+    g = incidence.Grid(*shape)
+    n = shape[0] * shape[1] * shape[2]
+    cells = [tuple(r["verts"]) for r in g.cells(spark).collect()]
+    values = [rng.random(n), rng.integers(0, 4, n).astype(float), rng.random(n)]
+    v = spark.createDataFrame([(ds, i, float(x)) for ds, f in enumerate(values) for i, x in enumerate(f)], "ds long, vid long, value double")
+    half = lambda verts: all(x % shape[0] < 3 for x in verts) or all(x % shape[0] >= 3 for x in verts)
+    c = spark.createDataFrame([(ds, k, list(map(int, verts))) for ds in range(3) for k, verts in enumerate(cells) if ds < 2 or half(verts)], "ds long, cid long, verts array<long>")
+    want = sorted(map(tuple, topology.persistence_diagram(v, c).collect()))
+    got = sorted(map(tuple, topology._diagram_at_large(v, c, 3 if shape[2] > 1 else 2, False, "value", None, rows).collect()))
+    assert got == want
+    # the last ds has parts, each with its own global pair; lone vertices are such parts
+    assert sum(r[0] == 2 and r[4:6] == (0, 3) for r in want) == (17 if shape[2] > 1 else 2)
+
+
+def test_large_fields_take_the_joins(spark, monkeypatch):
+    v = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate([0, 3, 1, 4, 2])], "ds long, vid long, value double")
+    c = spark.createDataFrame([(0, i, [i, i + 1]) for i in range(4)], "ds long, cid long, verts array<long>")
+    swept = sorted(map(tuple, topology.persistence_diagram(v, c).collect()))
+    monkeypatch.setattr(topology, "per_field", None)
+    assert sorted(map(tuple, topology.persistence_diagram(v, c, kernel_rows=4).collect())) == swept
