@@ -87,6 +87,28 @@ def roots(pointers: DataFrame, weight: str | None = None) -> DataFrame:
             return now.select("v", F.col("p").alias("root"), "steps", "length")
 
 
+def walked(pointers: DataFrame, starts: DataFrame, weight: str | None = None) -> DataFrame:
+    """(start, step, at, length): every node on the way from starts (start, distinct) along pointers (v, nxt) to where it ends, the start as step 0.
+
+    A node at step k is reached by the jumps of 2^i steps that k is made of: rounds are the logarithm of the longest way.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    jump = settled(pointers.where("nxt is not null and nxt <> v").select(F.col("v").alias("from"), F.col("nxt").alias("to"), w.alias("w")), "jump")
+    # what is only pointed to is an end
+    lone = jump.select(F.col("to").alias("v")).distinct().join(pointers.select("v"), "v", "left_anti").select("v", F.lit(None).cast("long").alias("nxt"))
+    ends = roots(pointers.select("v", "nxt").unionByName(lone)).select(F.col("v").alias("start"), "steps")
+    way = settled(starts.select("start").join(ends, "start", "left").select("start", F.explode(F.expr("sequence(0L, coalesce(steps, 0L))")).alias("step"), F.col("start").alias("at"), F.lit(0.0).alias("length")), "way")
+    longest = way.agg(F.max("step")).first()[0] or 0
+    for k in range(int(longest).bit_length()):
+        takes = F.col("step").bitwiseAND(F.lit(1 << k)) != 0
+        way = way.join(jump, takes & (F.col("at") == F.col("from")), "left").select("start", "step", F.coalesce("to", "at").alias("at"), (F.col("length") + F.coalesce("w", F.lit(0.0))).alias("length"))
+        if k % 4 == 3:
+            way = settled(way, "way")
+        far = jump.select(F.col("from").alias("to"), F.col("to").alias("end"), F.col("w").alias("w2"))
+        jump = settled(jump.join(far, "to").select("from", F.col("end").alias("to"), (F.col("w") + F.col("w2")).alias("w")), "jump")
+    return way
+
+
 def distance_field(edges: DataFrame, sources: DataFrame, vertices: DataFrame, weight: str | None = "w", bound: float | None = None) -> DataFrame:
     """(vid, distance, source, source_index): graph distance to the nearest of sources (vid, index), ties to the smallest index.
 

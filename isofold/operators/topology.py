@@ -6,7 +6,6 @@ are a kernel for each ds.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -378,22 +377,18 @@ def segmentation(vertices: DataFrame, neighbours: DataFrame, value: str = "value
 def separatrices(gradient: DataFrame, critical: DataFrame | None = None) -> DataFrame:
     """(ds, saddle, side, step, vid): the two descending paths from each critical edge along vertex-edge pairs down to minima."""
     pairs = gradient.where("dim = 0 and paired is not null").select("ds", F.col("cell")[0].alias("v"), F.when(F.col("paired")[0] == F.col("cell")[0], F.col("paired")[1]).otherwise(F.col("paired")[0]).alias("nxt"))
-    saddles = gradient.where("dim = 1 and paired is null").select("ds", F.col("cell").alias("saddle"), F.posexplode("cell").alias("side", "v"))
-    front = settled(saddles.select("ds", "saddle", "side", F.lit(0).alias("step"), F.col("v").alias("vid")), "separatrix")
-    out = front
-    # paths go down, so they end
-    for step in itertools.count(1):
-        nxt = settled(front.join(pairs, (front["ds"] == pairs["ds"]) & (front["vid"] == pairs["v"])).select(front["ds"], "saddle", "side", F.lit(step).alias("step"), F.col("nxt").alias("vid")), "separatrix")
-        if nxt.isEmpty():
-            break
-        out, front = out.unionByName(nxt), nxt
-    return out
+    saddles = settled(gradient.where("dim = 1 and paired is null").select("ds", F.col("cell").alias("saddle"), F.posexplode("cell").alias("side", "vid")), "saddles")
+    stride = (gradient.where("dim = 0").agg(F.max(F.col("cell")[0])).first()[0] or 0) + 1
+    key = lambda c: F.col("ds") * stride + F.col(c)
+    ways = graph.walked(pairs.select(key("v").alias("v"), key("nxt").alias("nxt")), saddles.select(key("vid").alias("start")).distinct())
+    met = saddles.withColumn("start", key("vid")).drop("vid").join(ways, "start")
+    return met.select("ds", "saddle", "side", F.col("step").cast("int").alias("step"), F.expr(f"pmod(at, {stride})").alias("vid"))
 
 
 def integral_lines(vertices: DataFrame, neighbours: DataFrame, seeds: DataFrame, backward: bool = True, value: str = "value", offset: str | None = None) -> DataFrame:
     """(ds, seed, step, vid, DistanceFromSeed): from each distinct seed along the steepest edge, |df| / length, to an extremum.
 
-    All lines advance together, a join a step; backward goes down. vertices need x, y, z.
+    All lines are walked at once, by jumps of doubled length; backward goes down. vertices need x, y, z.
     """
     keyed = ordered(vertices, value, offset)
     at = vertices.select("ds", "vid", "x", "y", "z")
@@ -404,15 +399,13 @@ def integral_lines(vertices: DataFrame, neighbours: DataFrame, seeds: DataFrame,
     slope = F.try_divide(F.abs(F.col("kb.v") - F.col("ka.v")), F.col("w"))
     tie = F.struct((-slope).alias("s"), F.col("kb"), F.col("b"), F.col("w")) if backward else F.struct(slope.alias("s"), F.col("kb"), F.col("b"), F.col("w"))
     best = met.groupBy("ds", F.col("a").alias("v")).agg((F.min(tie) if backward else F.max(tie)).alias("n"))
-    step_of = settled(best.select("ds", "v", F.col("n.b").alias("nxt"), F.col("n.w").alias("w")), "steepest")
-    front = settled(seeds.select("ds", "vid").distinct().select("ds", F.col("vid").alias("seed"), F.lit(0).alias("step"), "vid", F.lit(0.0).alias("DistanceFromSeed")), "line")
-    out = front
-    for step in itertools.count(1):
-        nxt = settled(front.join(step_of, (front["ds"] == step_of["ds"]) & (front["vid"] == step_of["v"])).select(front["ds"], "seed", F.lit(step).alias("step"), F.col("nxt").alias("vid"), (F.col("DistanceFromSeed") + F.col("w")).alias("DistanceFromSeed")), "line")
-        if nxt.isEmpty():
-            break
-        out, front = out.unionByName(nxt), nxt
-    return out
+    stride = (vertices.agg(F.max("vid")).first()[0] or 0) + 1
+    key = lambda c: F.col("ds") * stride + F.col(c)
+    # a vertex without a step is a pointer's end as well
+    steps = vertices.select(key("vid").alias("v")).join(best.select(key("v").alias("v"), (F.col("ds") * stride + F.col("n.b")).alias("nxt"), F.col("n.w").alias("w")), "v", "left")
+    ways = graph.walked(settled(steps, "steepest"), seeds.select(key("vid").alias("start")).distinct(), "w")
+    back = lambda c: F.expr(f"pmod({c}, {stride})")
+    return ways.select(F.expr(f"(start - pmod(start, {stride})) div {stride}").alias("ds"), back("start").alias("seed"), F.col("step").cast("int").alias("step"), back("at").alias("vid"), F.col("length").alias("DistanceFromSeed"))
 
 
 def manifold_check(cells: DataFrame, dim: int = 0) -> DataFrame:

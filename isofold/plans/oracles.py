@@ -108,3 +108,24 @@ h(v, root) AS (SELECT v, v FROM z WHERE v NOT IN (SELECT v2 FROM g WHERE f = 1 A
 SELECT 0::BIGINT AS level, CAST(t AS BIGINT) AS t, CAST(label AS BIGINT) AS label, size AS "Size", cx, 0.0::DOUBLE AS cy, 0.0::DOUBLE AS cz, root AS "BranchId" FROM z JOIN h ON z.v = h.v""",
     "wide_distance_matrix": f"WITH {_DAYS}, x AS (SELECT a.ds AS i, b.ds AS j, round(sum(abs(a.value - b.value)), 6) AS d FROM p a JOIN p b ON a.vid = b.vid GROUP BY 1, 2) SELECT i, " + ", ".join(f'max(d) FILTER (j = {k}) AS "Dataset{k:02d}"' for k in range(30)) + " FROM x GROUP BY i",
 }
+
+
+# ---------------------------------------------------------------- meshes, spheres and files, row by row
+_MESH = """v AS (SELECT i AS vid, (i % 24)::DOUBLE AS x, (i // 24)::DOUBLE AS y FROM range(744) t(i)),
+e AS (SELECT a.vid AS a, a.vid + d AS b, a.x + (d IN (1, 25))::INT / 2 AS x, a.y + (d IN (24, 25))::INT / 2 AS y FROM v a, (VALUES (1), (24), (25)) s(d) WHERE (d = 24 OR a.x < 23) AND (d = 1 OR a.y < 30)),
+t AS (SELECT vid AS a, vid + k AS b, vid + 25 AS c, x + CASE k WHEN 1 THEN 2 ELSE 1 END / 3 AS x, y + CASE k WHEN 1 THEN 1 ELSE 2 END / 3 AS y FROM v, (VALUES (1), (24)) s(k) WHERE x < 23 AND y < 30)"""
+
+SQL |= {
+    "barycentric_points": f"WITH {_MESH} SELECT 0 AS parent_dim, x, y FROM v UNION ALL SELECT 1, x, y FROM e UNION ALL SELECT 2, round(x, 6), round(y, 6) FROM t",
+    "mesh_subdivision_points": f"WITH {_MESH} SELECT [vid] AS key, x, y FROM v UNION ALL SELECT [a, b], x, y FROM e UNION ALL SELECT [a, b, c], round(x, 6), round(y, 6) FROM t",
+    "quad_subdivision_points": f"WITH {_MESH} SELECT x, y FROM v UNION ALL SELECT x, y FROM e WHERE b - a <> 25 UNION ALL SELECT x + 0.5, y + 0.5 FROM v WHERE x < 23 AND y < 30",
+    "periodic_neighbours": "SELECT i AS a, (i % 24 + x + 24) % 24 + 24 * ((i // 24 + y + 31) % 31) AS b FROM range(744) t(i), (VALUES (0, 1), (1, 0), (1, 1), (0, -1), (-1, 0), (-1, -1)) s(x, y)",
+    "sphere_vertices": f"WITH {_POINTS} SELECT vid * 64 + k AS vid, vid AS point, round(x + 0.01::DOUBLE * sin(p) * cos(t), 6) + 0.0 AS x, round(y + 0.01::DOUBLE * sin(p) * sin(t), 6) + 0.0 AS y, round(z + 0.01::DOUBLE * cos(p), 6) + 0.0 AS z FROM c, (SELECT k, k % 8 * pi() / 4 AS t, (k // 8 + 0.5::DOUBLE) * pi() / 8 AS p FROM range(64) r(k)) g",
+    "mesh_graph_points": """WITH e AS (SELECT n_regionkey AS a, n_nationkey AS b, row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1 AS id FROM nation WHERE n_regionkey <> n_nationkey),
+n AS (SELECT n_nationkey AS vid, n_nationkey::DOUBLE AS x, n_regionkey::DOUBLE AS y FROM nation)
+SELECT id * 8 + 2 * k + s AS pid, round(p.x + k / 3 * (q.x - p.x), 6) AS x, round(p.y + k / 3 * (q.y - p.y) + CASE s WHEN 0 THEN 0.5 ELSE -0.5 END, 6) AS y, 0.0::DOUBLE AS z FROM e JOIN n p ON p.vid = a JOIN n q ON q.vid = b, range(4) r(k), range(2) w(s)""",
+    "catalogue_upsert_old_and_new": """WITH r AS (SELECT p_brand, p_size, p_name, p_retailprice, p_partkey % 2 AS side, row_number() OVER (PARTITION BY p_brand, p_size, p_partkey % 2 ORDER BY p_partkey DESC) AS n FROM part), l AS (SELECT * FROM r WHERE n = 1)
+SELECT p_brand, p_size, p_name, p_retailprice FROM l WHERE side = 1 UNION ALL SELECT p_brand, p_size, p_name, p_retailprice FROM l o WHERE side = 0 AND NOT EXISTS (SELECT 1 FROM l x WHERE x.side = 1 AND x.p_brand = o.p_brand AND x.p_size = o.p_size)""",
+    "off_round_trip": f"WITH {_MESH} SELECT 'vertex' AS kind, vid AS id, [x, y, 0.0::DOUBLE] AS parts FROM v UNION ALL SELECT 'cell', 2 * (a % 24 + 23 * (a // 24)) + CASE b - a WHEN 1 THEN 0 ELSE 1 END, [a::DOUBLE, b::DOUBLE, c::DOUBLE] FROM t",
+    "catalogue_round_trip": "SELECT n_regionkey AS region, n_nationkey AS nation, n_name AS name FROM nation",
+}

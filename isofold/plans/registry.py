@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import storage
 from ..operators import bivariate, columns, diagrams, fields, graph, incidence, mergetrees, meshing, sql, stats, topology, tracking
 from ..sources import catalogue, generators, meshes
 from . import oracles
@@ -715,4 +716,67 @@ def _(spark, d):
     return rounded(wide, *wide.columns[1:])
 
 
+# ---------------------------------------------------------------- meshes, spheres and files, row by row
+@_add("barycentric_points")
+def _(spark, d):
+    v, c, _ = day_hour_grid(spark, d)
+    return rounded(meshing.barycentric_subdivision(v, c)[0].select("parent_dim", "x", "y"), "x", "y")
+
+
+@_add("mesh_subdivision_points")
+def _(spark, d):
+    v, c, _ = day_hour_grid(spark, d)
+    return rounded(meshing.subdivide(v, c)[0].select("key", "x", "y"), "x", "y")
+
+
+@_add("quad_subdivision_points")
+def _(spark, d):
+    v, _, _ = day_hour_grid(spark, d)
+    q = v.where("vid % 24 < 23 and vid < 720").select("ds", F.col("vid").alias("cid"), F.array(F.col("vid"), F.col("vid") + 1, F.col("vid") + 25, F.col("vid") + 24).alias("verts"))
+    return rounded(meshing.quad_subdivision(v, q, 1)[0].select("x", "y"), "x", "y")
+
+
+@_add("periodic_neighbours")
+def _(spark, d):
+    g = incidence.Grid(24, 31, periodic=True)
+    return g.neighbours(g.vertices(spark)).select("a", "b")
+
+
+@_add("sphere_vertices")
+def _(spark, d):
+    out = rounded(generators.spheres_at(_cloud(spark, d), 8, 8, 0.01)[0], "x", "y", "z")
+    return out.select("vid", "point", *((F.col(c) + 0.0).alias(c) for c in "xyz"))
+
+
+@_add("mesh_graph_points")
+def _(spark, d):
+    return rounded(meshing.mesh_graph(*_nation_graph(spark, d), subdivisions=2)[0], "x", "y", "z")
+
+
+@_add("catalogue_upsert_old_and_new")
+def _(spark, d):
+    p = table(spark, d, "part").select("p_brand", "p_size", "p_name", "p_retailprice", F.col("p_partkey").alias("_order"))
+    keys, even = ["p_brand", "p_size"], F.col("_order") % 2 == 0
+    old = catalogue.upserted(p.drop("_order").limit(0), p.where(even), keys)
+    return catalogue.upserted(old, p.where(~even), keys)
+
+
+@_add("off_round_trip")
+def _(spark, d):
+    v, c, _ = day_hour_grid(spark, d)
+    path = storage.fresh_path(spark, "mesh")
+    meshes.write_off(v.select("vid", "x", "y", "z"), c.select("cid", "verts"), path)
+    v, c = meshes.read_off(spark, path)
+    corners = F.array(*(F.col(k).cast("double") for k in "xyz"))
+    return v.select(F.lit("vertex").alias("kind"), F.col("vid").alias("id"), corners.alias("parts")).unionByName(c.select(F.lit("cell").alias("kind"), F.col("cid").alias("id"), F.col("verts").cast("array<double>").alias("parts")))
+
+
+@_add("catalogue_round_trip")
+def _(spark, d):
+    path = storage.fresh_path(spark, "products") + "/nations.cdb"
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"))
+    catalogue.write_products(n, path, ["region"])
+    return catalogue.read_products(catalogue.read_catalogue(spark, path)).select("region", "nation", "name")
+
+
 SQL.update(oracles.SQL)

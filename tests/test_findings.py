@@ -128,3 +128,144 @@ def test_large_fields_take_the_joins(spark, monkeypatch):
     swept = sorted(map(tuple, topology.persistence_diagram(v, c).collect()))
     monkeypatch.setattr(topology, "per_field", None)
     assert sorted(map(tuple, topology.persistence_diagram(v, c, kernel_rows=4).collect())) == swept
+
+
+def test_ways_by_doubled_jumps(spark):
+    pointers = spark.createDataFrame([(i, i - 1 if i % 50 else None, 0.5) for i in range(200)], "v long, nxt long, w double")
+    starts = spark.createDataFrame([(49,), (50,), (137,), (999,)], "start long")
+    out = sorted((r["start"], r["step"], r["at"], r["length"]) for r in graph.walked(pointers, starts, "w").collect())
+    want = [(s, k, s - k, 0.5 * k) for s in (49, 50, 137) for k in range(s % 50 + 1)] + [(999, 0, 999, 0.0)]
+    assert out == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def grid(spark, sf):
+    from isofold.plans import registry
+
+    v, c, _ = registry.day_hour_grid(spark, sf)
+    return {r["vid"]: r["value"] for r in v.collect()}, [tuple(sorted(r["verts"])) for r in c.collect()]
+
+
+def test_gradient_query_is_a_discrete_morse_function(spark, sf, grid):
+    """Each simplex is in one pair or critical; paths don't close; critical vertices are the minima; their counts give the Euler characteristic."""
+    from isofold.plans.registry import QUERIES
+
+    values, tris = grid
+    edges = {(t[i], t[j]) for t in tris for i, j in ((0, 1), (0, 2), (1, 2))}
+    rows = QUERIES["discrete_gradient"](spark, sf).collect()
+    seen = [tuple(sorted(r["cell"])) for r in rows] + [tuple(sorted(r["paired"])) for r in rows if r["paired"]]
+    assert sorted(seen) == sorted([(v,) for v in values] + list(edges) + tris)
+    assert all(set(r["cell"]) < set(r["paired"]) and len(r["paired"]) == len(r["cell"]) + 1 for r in rows if r["paired"])
+    critical = [sorted(r["cell"]) for r in rows if not r["paired"]]
+    assert sum((-1) ** (len(c) - 1) for c in critical) == len(values) - len(edges) + len(tris) == 1
+    key = lambda v: (values[v], v)
+    near = {v: set() for v in values}
+    for a, b in edges:
+        near[a].add(b), near[b].add(a)
+    assert {c[0] for c in critical if len(c) == 1} == {v for v in values if all(key(u) > key(v) for u in near[v])}
+    for dim in (1, 2):
+        pair = {tuple(sorted(r["cell"])): tuple(sorted(r["paired"])) for r in rows if r["paired"] and len(r["cell"]) == dim}
+        state = {}
+
+        def follow(cell):
+            stack = [(cell, iter(()))]
+            while stack:
+                at, rest = stack[-1]
+                if at not in state:
+                    state[at] = 1
+                    co = pair.get(at)
+                    faces = [tuple(x for x in co if x != y) for y in co] if co else []
+                    stack[-1] = (at, iter([f for f in faces if f != at]))
+                    continue
+                nxt = next(rest, None)
+                if nxt is None:
+                    state[at] = 2
+                    stack.pop()
+                else:
+                    assert state.get(nxt) != 1
+                    if nxt not in state:
+                        stack.append((nxt, iter(())))
+
+        for cell in pair:
+            if cell not in state:
+                follow(cell)
+
+
+def test_separatrix_query_equals_plain_walks(spark, sf):
+    from isofold.plans.registry import QUERIES
+
+    rows = QUERIES["discrete_gradient"](spark, sf).collect()
+    down = {r["cell"][0]: next(x for x in r["paired"] if x != r["cell"][0]) for r in rows if r["dim"] == 0 and r["paired"]}
+    want = set()
+    for r in rows:
+        if r["dim"] == 1 and not r["paired"]:
+            for side, v in enumerate(r["cell"]):
+                step = 0
+                while True:
+                    want.add((tuple(r["cell"]), side, step, v))
+                    if v not in down:
+                        break
+                    v, step = down[v], step + 1
+    out = [(tuple(r["saddle"]), r["side"], r["step"], r["vid"]) for r in QUERIES["morse_smale_separatrices"](spark, sf).collect()]
+    assert len(out) == len(want) and set(out) == want
+
+
+def test_harmonic_query_equals_a_dense_solve(spark, sf, grid):
+    from isofold.plans.registry import QUERIES
+
+    values, tris = grid
+    n = len(values)
+    m = np.zeros((n, n))
+    for a, b in {(t[i], t[j]) for t in tris for i, j in ((0, 1), (0, 2), (1, 2))}:
+        m[a, b] = m[b, a] = -1
+    m -= np.diag(m.sum(1))
+    right = np.zeros(n)
+    for v in (0, 743):
+        m[v, v] += 1e5
+        right[v] = 1e5 * values[v]
+    want = np.linalg.solve(m, right)
+    out = {r["vid"]: r["value"] for r in QUERIES["harmonic_field"](spark, sf).collect()}
+    assert len(out) == n and all(abs(out[v] - want[v]) < 2e-4 for v in out)
+
+
+def test_contour_query_equals_a_plain_search(spark, sf, grid):
+    from isofold.plans.registry import QUERIES
+
+    values, tris = grid
+    near = {v: set() for v in values}
+    for t in tris:
+        for v in t:
+            near[v] |= set(t) - {v}
+    key = lambda v: (values[v], v)
+    tops = [v for v in values if all(key(u) < key(v) for u in near[v])]
+    cross = [k for k, t in enumerate(tris) if min(values[v] for v in t) <= 25.0 < max(values[v] for v in t)]
+    of = {}
+    for k in cross:
+        for v in tris[k]:
+            of.setdefault(v, []).append(k)
+    part = {}
+    for k in cross:
+        if k not in part:
+            todo = [k]
+            while todo:
+                x = todo.pop()
+                if x not in part:
+                    part[x] = k
+                    todo += [y for v in tris[x] for y in of[v] if y not in part]
+    out = {}
+    for r in QUERIES["contour_around_point"](spark, sf).collect():
+        out.setdefault(r["pid"], set()).add(r["cid"])
+    assert set(out) == set(tops)
+    for v in tops:
+        d = {k: sum((v % 24 - sum(u % 24 for u in tris[k]) / 3) ** 2 for _ in (0,)) + (v // 24 - sum(u // 24 for u in tris[k]) / 3) ** 2 for k in cross}
+        best = min(d.values())
+        assert out[v] in [{x for x in cross if part[x] == part[k]} for k in cross if d[k] <= best + 1e-9]
+
+
+def test_randomized_identifiers_are_a_bijection(spark, sf):
+    from isofold.plans.registry import QUERIES
+
+    own = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey").collect()}
+    new = {r["o_orderkey"]: r["o_custkey"] for r in QUERIES["randomize_identifiers"](spark, sf).collect()}
+    to = {own[k]: new[k] for k in own}
+    assert set(new) == set(own) and all(new[k] == to[own[k]] for k in own) and sorted(to.values()) == list(range(len(to))) and to != {c: i for i, c in enumerate(sorted(to))}
