@@ -236,11 +236,28 @@ def short_starts(words: np.ndarray, first: np.ndarray, index: Index, band: int,
     hits = np.flatnonzero(index.vocabulary[at] == words) if len(index.vocabulary) else np.zeros(0, np.int64)
     ends = first[np.searchsorted(first, hits, "right")]
     found_t, found_w = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    which = at[hits]
+    counts = np.bincount(which, minlength=len(index.vocabulary))
     for t in index.short:
         template = index.words[t]
-        own = np.isin(index.vocabulary, template)[at[hits]]
-        place, end = hits[own], ends[own]
         need = _needed(template, coverage)
+        # a match lacks so few words that it has one of the template's rarest here: most places are passed over for want of those
+        names, often = np.unique(np.searchsorted(index.vocabulary, template), return_counts=True)
+        rare = names[np.argsort(counts[names], kind="stable")]
+        often = often[np.argsort(counts[names], kind="stable")]
+        rare = rare[: int(np.searchsorted(np.cumsum(often), len(template) - need, "right")) + 1]
+        if not counts[rare].any():
+            continue
+        marks = np.zeros(len(index.vocabulary), np.int8)
+        marks[names] = 1
+        marks[rare] = 2
+        kind = marks[which]
+        anchors = hits[kind == 2]
+        own = np.flatnonzero(kind)
+        after = np.searchsorted(anchors, hits[own])
+        gap = np.minimum(np.abs(anchors[np.minimum(after, len(anchors) - 1)] - hits[own]), np.abs(hits[own] - anchors[np.maximum(after - 1, 0)]))
+        own = own[gap < len(template) + band]
+        place, end = hits[own], ends[own]
         if need > len(place):
             continue
         begin, last = place[: len(place) - need + 1], place[need - 1 :]
@@ -289,7 +306,11 @@ def _aligned(words, index: Index, at, lo, hi, band: int, coverage: float):
                 continue
             done = d
             near = sorted(x for x in diagonals if d <= x <= d + own)
-            matched, first, last = aligned(words, template, near[len(near) // 2], own)
+            middle = near[len(near) // 2]
+            # no more can match than have their word there at all
+            if np.isin(template, words[max(0, middle - own) : max(0, middle + len(template) + own)]).sum() < coverage * len(template):
+                continue
+            matched, first, last = aligned(words, template, middle, own)
             if matched >= coverage * len(template):
                 found.append((t, matched / len(template), matched, first, last))
     return found

@@ -345,6 +345,24 @@ def test_families_are_told_apart(spark):
     assert out == list(enumerate(texts.values()))
 
 
+def test_rare_words_pass_over_nothing():
+    """Texts made of template words in any order, with gaps: every place that spans enough of a short template is found."""
+    index = licenses.Index.of({"one": "released under the mit license", "two": "under the under the sun now", "three": "alpha beta gamma"})
+    r = random.Random(3)
+    for _ in range(200):
+        text = " ".join(r.choice("released under the mit license sun now alpha beta gamma x y".split()) for _ in range(r.randint(1, 40)))
+        buf = np.frombuffer(text.encode(), np.uint8)
+        words = licenses._words(buf, np.array([0, len(buf)]))[0]
+        t, w = licenses.short_starts(words, np.array([0, len(words)]), index, 8, 0.8)
+        found = set(zip(t.tolist(), w.tolist()))
+        for k in index.short:
+            template = index.words[k].tolist()
+            for i in range(len(words)):
+                if words[i] in template and plain_lcs(template, words[i : i + len(template) + 8].tolist()) >= licenses._needed(index.words[k], 0.8):
+                    spans = licenses._spans(words, index, np.array([k]), np.array([i]), 8, 0.8)
+                    assert (k, i) in found or not spans
+
+
 def test_ties_go_to_the_first():
     index = licenses.Index.of({"one": "alpha beta gamma delta", "two": "alpha beta gamma epsilon"})
     buf = np.frombuffer(b"alpha beta gamma zeta", np.uint8)
