@@ -115,24 +115,32 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", key: str
 class VantageTree:
     """Nodes in arrays: vantage point and radius of the ball; children below zero are shards (~shard)."""
 
-    def __init__(self, sample: np.ndarray, radius: int, most: int, seed: int):
-        """sample: 32-bit fingerprints; a node with at most `most` of them is a shard."""
+    def __init__(self, sample: np.ndarray, radius: int, most: int, seed: int, other: np.ndarray | None = None, wide: int = 0):
+        """sample: 32-bit halves of fingerprints; a node with at most `most` of them is a shard.
+
+        Where many have halves so alike that no vantage point parts them, a tree over their `other` halves, searched with radius `wide`, does.
+        """
         self.radius, rng = radius, np.random.default_rng(seed)
         points, cuts, inner, outer = [], [], [], []
-        self.shards = 0
-        todo = [(sample, -1, False)]
+        self.shards, self.nested = 0, {}
+        todo = [(np.arange(len(sample)), -1, False)]
         while todo:
-            part, parent, is_outer = todo.pop()
+            rows, parent, is_outer = todo.pop()
+            part = sample[rows]
             best = self.split(part, radius, rng) if len(part) > most else None
             if best is None:
-                node = ~self.shards
-                self.shards += 1
+                node, below = ~self.shards, 1
+                if len(part) > most and other is not None:
+                    nested = VantageTree(other[rows], wide, most, seed + 1)
+                    if nested.shards > 1:
+                        self.nested[self.shards], below = nested, nested.shards
+                self.shards += below
             else:
                 node = len(points)
                 vantage, cut, d = best
                 points.append(vantage), cuts.append(cut), inner.append(0), outer.append(0)
-                todo.append((part[d > cut], node, True))
-                todo.append((part[d <= cut + radius], node, False))
+                todo.append((rows[d > cut], node, True))
+                todo.append((rows[d <= cut + radius], node, False))
             if parent >= 0:
                 (outer if is_outer else inner)[parent] = node
         self.points, self.cuts = np.array(points, np.uint32), np.array(cuts, np.int64)
@@ -151,12 +159,12 @@ class VantageTree:
                     best, least = (vantage, cut, d), larger
         return best
 
-    def route(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(index, shard) of every shard that each value belongs to, boundary copies included."""
-        found_i, found_s = [], []
+    def route(self, values: np.ndarray, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(index, shard) of every shard that each value belongs to, boundary copies included. others: the other halves, where the tree has any."""
+        found_i, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if not len(self.points):
-            return np.arange(len(values)), np.zeros(len(values), np.int64)
-        index, node = np.arange(len(values)), np.zeros(len(values), np.int64)
+            found_i, found_s = [np.arange(len(values))], [np.zeros(len(values), np.int64)]
+        index, node = (np.arange(len(values)), np.zeros(len(values), np.int64)) if len(self.points) else (found_s[0][:0], found_s[0][:0])
         while len(index):
             d = np.bitwise_count(values[index] ^ self.points[node]).astype(np.int64)
             near, far = d <= self.cuts[node] + self.radius, d > self.cuts[node]
@@ -165,7 +173,12 @@ class VantageTree:
             leaf = node < 0
             found_i.append(index[leaf]), found_s.append(~node[leaf])
             index, node = index[~leaf], node[~leaf]
-        return np.concatenate(found_i), np.concatenate(found_s)
+        index, shard = np.concatenate(found_i), np.concatenate(found_s)
+        for first, nested in self.nested.items():
+            mine = shard == first
+            below, deeper = nested.route(others[index[mine]])
+            index, shard = np.concatenate((index[~mine], index[mine][below])), np.concatenate((shard[~mine], first + deeper))
+        return index, shard
 
 
 def halves(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,8 +196,8 @@ def linked_stars(fp: np.ndarray, ids: np.ndarray, half: int, bits: int, leaf: in
             x = parent[x]
         return x
 
-    tree = VantageTree(halves(fp)[half], bits // 2, leaf, 7)
-    index, shard = tree.route(halves(fp)[half])
+    own, other = halves(fp)[half], halves(fp)[1 - half]
+    index, shard = VantageTree(own, bits // 2, leaf, 7, other, bits).route(own, other)
     order = np.argsort(shard, kind="stable")
     index, cuts = index[order], np.flatnonzero(np.diff(shard[order])) + 1
     for part in np.split(index, cuts):
@@ -224,15 +237,17 @@ def near_links(classes: DataFrame, bits: int = 3, shard_rows: int = 1024, sample
     share = min(1.0, shards * sample_per_shard / max(1, n))
     picked = classes.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30))) if shards > 1 else classes.limit(0)
     sample = picked.select("fp").limit(2 * most_shards * sample_per_shard).toArrow().column("fp").to_numpy().astype(np.int64).view(np.uint64)
-    trees = [VantageTree(x, bits // 2, 2 * sample_per_shard, 11 + k) for k, x in enumerate(halves(sample))]
+    low, high = halves(sample)
+    trees = [VantageTree(x, bits // 2, 2 * sample_per_shard, 11 + k, y, bits) for k, (x, y) in enumerate(((low, high), (high, low)))]
     shared = spark.sparkContext.broadcast(trees)
     first = trees[0].shards
 
     def route(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for half, (tree, values) in enumerate(zip(shared.value, halves(fp))):
-                index, shard = tree.route(values)
+            values = halves(fp)
+            for half, tree in enumerate(shared.value):
+                index, shard = tree.route(values[half], values[1 - half])
                 yield pa.RecordBatch.from_arrays([pa.array(shard + half * first), pa.array(fp[index].view(np.int64)), batch.column(1).take(pa.array(index))], ["shard", "fp", "rep"])
 
     def search(key, table):

@@ -59,6 +59,48 @@ def test_vantage_trees_lose_no_pair():
     assert met == want
 
 
+@pytest.mark.parametrize("half", [0, 1])
+def test_shared_halves_are_split(half):
+    """Thousands of fingerprints with one half in common part by their other half, and no pair is lost."""
+    rng = np.random.default_rng(9)
+    centres = rng.integers(0, 2**32, 300, dtype=np.uint64)
+    mine = {int(c) for c in centres}
+    for c in centres.tolist():
+        for _ in range(8):
+            x = c
+            for _ in range(int(rng.integers(1, 4))):
+                x ^= 1 << int(rng.integers(32))
+            mine.add(x)
+    shift = 32 * (1 - half)
+    fp = np.array(sorted((0xABCD1234 << (32 - shift)) | (x << shift) for x in mine), np.uint64)
+    own, other = simhash.halves(fp)[half], simhash.halves(fp)[1 - half]
+    assert len(np.unique(own)) == 1
+    tree = simhash.VantageTree(own[::5], 1, 32, 5, other[::5], 3)
+    index, shard = tree.route(own, other)
+    assert tree.shards > 8 and np.bincount(shard).max() < len(fp) / 3
+    met, want = set(), set()
+    for s in range(tree.shards):
+        part = index[shard == s]
+        d = np.bitwise_count(fp[part][:, None] ^ fp[part][None, :])
+        met |= {(int(part[i]), int(part[j])) for i, j in zip(*np.nonzero(d <= 3)) if part[i] < part[j]}
+    d = np.bitwise_count(fp[:, None] ^ fp[None, :])
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(d <= 3)) if i < j}
+    assert met == want
+    a, b = simhash.linked_stars(fp, np.arange(len(fp)), half, 3)
+    label = list(range(len(fp)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, j in want:
+        x, y = sorted((root(i), root(j)))
+        label[y] = x
+    star = dict(zip(b.tolist(), a.tolist()))
+    assert [star.get(i, i) for i in range(len(fp))] == [root(i) for i in range(len(fp))]
+
+
 def test_shards_return_stars_not_pairs():
     base = 0x0123456789ABCDEF
     fp = np.array([base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)] + [base], np.uint64)
