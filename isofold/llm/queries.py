@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language, lattice, licenses, mixing, permutation, pseudonyms, simhash, substring, warc
+from . import alignment, decontamination, language, lattice, licenses, lines, mixing, permutation, phrases, pseudonyms, simhash, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": warc.op1_warc_zstd,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_winnowing": licenses.op8_license_winnowing,
     "op9_decontamination_winnowing": decontamination.op9_decontamination_winnowing,
     "op10_lattice_likelihood": lattice.op10_lattice_likelihood,
+    "op11_line_dedup": lines.op11_line_dedup,
+    "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
+    "op13_phrase_mining": phrases.op13_phrase_mining,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +29,6 @@ SQL: dict[str, str] = {
     "op3_substring_superkmer": substring.SQL,
     "op7_mixing_blocks": mixing.oracle(),
     "op9_decontamination_winnowing": decontamination.SQL,
+    "op11_line_dedup": lines.SQL,
+    "op13_phrase_mining": phrases.SQL,
 }
