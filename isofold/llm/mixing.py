@@ -18,7 +18,7 @@ on whole numbers below 2^63 and the same in any SQL engine, for up to 2^43 slots
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
@@ -121,10 +121,11 @@ def source_targets(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     return sizes.sparkSession.sql(_TARGETS.format(L=block_words, DIV="div", SOURCES="{sizes}"), sizes=sizes)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size, tie): one scan of the texts. tie is a number of 60 bits of the text, by which rows of one id and size are in order."""
+def measured(docs: DataFrame, told_by: Column | None = None) -> DataFrame:
+    """(row, doc_id, source, size, tie): one scan of the texts. tie is a number of 60 bits of the text, or of the string told_by, by which rows of one id and size are in order."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tie = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    told_by = text if told_by is None else F.coalesce(told_by, F.lit(""))
+    tie = F.conv(F.substring(F.md5(told_by.cast("binary")), 1, 15), 16, 10).cast("long")
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), tie.alias("tie"))
 
 
@@ -236,14 +237,15 @@ def mix_by_shard(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: i
     return counts.join(names, counts["s"] == names["of_s"]).select("shard", "source", "block", "times")
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, broadcast_sources: int = 10_000) -> DataFrame:
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, broadcast_sources: int = 10_000, told_by: Column | None = None) -> DataFrame:
     """(row, doc_id, size, source_size, target, taken): how many words of each document the mix takes, repeats counted.
 
     Each block is taken at most twice, so no document gives more than twice its words. Null, empty and blank texts have size 0 and give
     nothing; a null source is a source of its own, the last; null doc_ids come first in their source; rows that repeat a doc_id
-    are documents of their own. Without words all targets are 0. Other columns are ignored.
+    are documents of their own. Without words all targets are 0. Other columns are ignored. A document's place in its source comes from its id, its size and its
+    text, or the string `told_by` in the text's stead.
     """
-    base = written(measured(docs), "mixing")
+    base = written(measured(docs, told_by), "mixing")
     targets = written(source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), block_words), "targets")
     docs_ = _with_targets(base, targets, broadcast_sources)
     # what the shards take, summed

@@ -94,4 +94,15 @@ def test_run(spark, sf):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
+
+
+def test_another_key_gives_the_same_mixture(spark):
+    """What pseudonyms replace has no say in what the mix takes."""
+    rows = [(i % 150 if i % 3 else None, f"word{i % 7} " * (i % 40 + 1) + f"mail person{i}@example-mail{i % 5}.com or +1 (521) 555-{1000 + i} from 10.{i % 250}.3.4", f"s{i % 4}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    for key in (b"one key of this test", b"another key of this test"):
+        now = pseudonyms.pseudonymized(docs, key, counts=None)
+        seen.append((sorted(r["text"] for r in now.collect()), sorted((tuple(r) for r in corpus_pipeline.mix_sources(spark, now, "").select("doc_id", "size", "source_size", "target", "taken").collect()), key=repr)))
+    assert seen[0][0] != seen[1][0] and seen[0][1] == seen[1][1]
