@@ -242,7 +242,7 @@ def payload_of(record: Record) -> bytes:
 def classified(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """(page_id, digest, bytes, refers_to) for pages (page_id, html): refers_to is the response that a revisit repeats, else null.
 
-    Of equal payloads of at least `least_bytes` the smallest page_id is the response. Minima are combined before the
+    Of equal payloads of at least `least_bytes` the smallest page_id is the response, to which rows without an id refer as well; where none has an id all are responses. Minima are combined before the
     shuffle, so that a payload that most pages share costs a row a task.
     """
 
@@ -254,7 +254,7 @@ def classified(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(measure, "page_id long, digest string, bytes long")
     first = own.where(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("d"), F.col("bytes").alias("b")).agg(F.min("page_id").alias("response"), F.count("*").alias("n")).where("n > 1")
     out = own.join(first, (own["digest"] == first["d"]) & (own["bytes"] == first["b"]), "left")
-    return out.select("page_id", "digest", "bytes", F.when(F.col("response") != F.col("page_id"), F.col("response")).alias("refers_to"))
+    return out.select("page_id", "digest", "bytes", F.when(~F.col("response").eqNullSafe(F.col("page_id")), F.col("response")).alias("refers_to"))
 
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -266,7 +266,7 @@ def _base32(hexadecimal: Column) -> Column:
     return F.concat(*(F.substring(F.lit(_ALPHABET), F.shiftright(v, shift).bitwiseAND(31) + 1, F.lit(1)) for v in parts for shift in (15, 10, 5, 0)))
 
 
-def record_id(page_id: int) -> str:
+def record_id(page_id: int | str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
 
@@ -307,16 +307,16 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
             return pa.RecordBatch.from_arrays([pa.array([made[0]]), pa.array([made[1]], pa.int64())], ["path", "records"])
 
         for batch in batches:
-            for page, url, html, refers in zip(*(batch.column(i) for i in range(4))):
+            for row, (page, url, html, refers) in enumerate(zip(*(batch.column(i) for i in range(4)))):
                 page, payload, refers = page.as_py(), (html.as_py() or "").encode(), refers.as_py()
+                own = record_id(page) if page is not None else record_id(f"{attempt} {turn} {len(waiting)} {row}")
                 headers = [
                     ("WARC-Type", "response" if refers is None else "revisit"),
-                    ("WARC-Record-ID", record_id(page)),
+                    ("WARC-Record-ID", own),
                     ("WARC-Date", date),
                     ("WARC-Target-URI", "".join((url.as_py() or "urn:none").split())),
                     ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
-                    ("X-Page-ID", str(page)),
-                ]
+                ] + ([("X-Page-ID", str(page))] if page is not None else [])
                 if refers is None:
                     headers += [("WARC-Block-Digest", f"sha1:{digest(payload)}"), ("Content-Type", "text/html; charset=utf-8")]
                 else:
@@ -404,17 +404,17 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, least_bytes:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) as read back from archives of pages (page_id, url, html).
 
     A null html is an empty payload. Rows that repeat a page_id are records each, all of one type and reference as their payloads say;
-    rows with a null page_id have no record. An empty table makes no archive and gives an empty result. Other columns are ignored.
+    rows with a null page_id are records with an id of their own, read back with a null one. An empty table makes no archive and gives an empty result. Other columns are ignored.
     """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").where("page_id is not null")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     kinds = classified(own, least_bytes)
     # only revisits are looked up, by id and payload, as an id may come again with another
     revisits = written(kinds.where("refers_to is not null").select(F.col("page_id").alias("of_page"), "refers_to", F.col("digest").alias("of_digest")).distinct(), "revisits")
     few = revisits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     marked = own.withColumn("own_digest", _base32(F.sha1(F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8"))))
-    marked = marked.join(F.broadcast(revisits) if few else revisits, (F.col("page_id") == F.col("of_page")) & (F.col("own_digest") == F.col("of_digest")), "left")
+    marked = marked.join(F.broadcast(revisits) if few else revisits, F.col("page_id").eqNullSafe(F.col("of_page")) & (F.col("own_digest") == F.col("of_digest")), "left")
     made = written(write_archives(marked, folder), "archives")
     read = read_archives(spark, folder, paths=made.repartition(max(1, made.count()), "path"))
     own = written(read.select("page_id", F.octet_length("payload").cast("long").alias("n"), "payload_digest", "record_type", "refers_to"), "records")
@@ -428,9 +428,9 @@ def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS x FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS x FROM pages),
 d AS (SELECT page_id, CAST(octet_length(x) AS BIGINT) AS payload_bytes, sha1(x) AS h FROM p),
 e AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('{_ALPHABET}', CAST((CAST('0x' || substr(h, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS INTEGER) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest FROM d),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS response FROM e)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN response = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN response <> page_id THEN response END AS refers_to FROM f
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN response = page_id OR response IS NULL THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN response IS DISTINCT FROM page_id THEN response END AS refers_to FROM f
 """

@@ -40,8 +40,10 @@ def test_round_trip(pages, tmp_path):
 def test_pages_odd_rows(spark, pages):
     assert warc.archive_round_trip(pages.limit(0)).collect() == []
     odd = spark.createDataFrame([(None, "u", "x"), (1, "u", "x"), (1, "u", "x"), (1, "u", "y"), (2, "u", "y")], "page_id long, url string, html string")
-    out = sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(odd).collect())
-    assert [x[:3] for x in out] == [(1, 1, "response")] * 3 + [(2, 1, "revisit")] and out[-1][3] == 1
+    out = [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(odd).collect()]
+    assert sorted(out, key=repr) == [(1, 1, "response", None)] * 3 + [(2, 1, "revisit", 1), (None, 1, "revisit", 1)]
+    lone = spark.createDataFrame([(None, "u", "z"), (None, "v", "z"), (None, None, None)], "page_id long, url string, html string")
+    assert sorted((r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(lone).collect()) == [(0, "response", None), (1, "response", None), (1, "response", None)]
     longer = warc.archive_round_trip(odd, least_bytes=2).collect()
     assert {r["record_type"] for r in longer} == {"response"}
 
