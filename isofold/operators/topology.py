@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.order import cleaned
 from ..functions.storage import settled
-from . import graph, incidence, kernels
+from . import graph, incidence, kernels, trees
 
 
 def ordered(vertices: DataFrame, value: str = "value", offset: str | None = None) -> DataFrame:
@@ -223,13 +223,16 @@ def persistence_curve(pairs: DataFrame, digits: int = 6) -> DataFrame:
     return counts.select("ds", "curve", "Persistence", F.sum("n").over(w).alias("NumberOfPairs"))
 
 
-def merge_tree(vertices: DataFrame, cells: DataFrame, kind: str = "join", value: str = "value", offset: str | None = None) -> dict[str, DataFrame]:
+def merge_tree(vertices: DataFrame, cells: DataFrame, kind: str = "join", value: str = "value", offset: str | None = None, kernel_rows: int = 1_000_000) -> dict[str, DataFrame]:
     """The join, split or contour tree of each ds: nodes, arcs, and for join and split trees the segmentation of vertices.
 
-    Regular vertices belong to the arc that passes them, critical ones to the arc above them.
+    Regular vertices belong to the arc that passes them, critical ones to the arc above them. A ds of up to kernel_rows vertices is swept in one task; where one has
+    more, `trees.merge_tree` makes them all, with a segmentation of contour trees as well.
     """
     if kind not in ("join", "split", "contour"):
         raise ValueError(kind)
+    if vertices.limit(kernel_rows + 1).count() > kernel_rows and vertices.groupBy("ds").count().agg(F.max("count")).first()[0] > kernel_rows:
+        return trees.merge_tree(vertices, incidence.neighbours(cells), kind, value, offset, kernel_rows)
 
     def arcs_of(f):
         if kind == "contour":

@@ -129,3 +129,22 @@ SELECT p_brand, p_size, p_name, p_retailprice FROM l WHERE side = 1 UNION ALL SE
     "off_round_trip": f"WITH {_MESH} SELECT 'vertex' AS kind, vid AS id, [x, y, 0.0::DOUBLE] AS parts FROM v UNION ALL SELECT 'cell', 2 * (a % 24 + 23 * (a // 24)) + CASE b - a WHEN 1 THEN 0 ELSE 1 END, [a::DOUBLE, b::DOUBLE, c::DOUBLE] FROM t",
     "catalogue_round_trip": "SELECT n_regionkey AS region, n_nationkey AS nation, n_name AS name FROM nation",
 }
+
+
+def grid_tree(grid: str, rank: str) -> str:
+    """Arcs of the merge tree of the grid of `grid`, v (vid, value) and n (a, b), in the sense of `rank`: for each vertex what its lower neighbours reach below it.
+
+    An arc begins at the last node that is reached, and has the vertices reached at its end that weren't at its beginning.
+    """
+    return grid.replace("WITH m AS", "WITH RECURSIVE m AS", 1) + f""", o AS (SELECT vid, value, row_number() OVER (ORDER BY {rank}) AS r FROM v),
+e AS (SELECT p.r AS a, q.r AS b FROM n JOIN o p ON p.vid = n.a JOIN o q ON q.vid = n.b),
+t(v, s, x) AS (SELECT a, b, b FROM e WHERE b < a UNION SELECT t.v, t.s, e.b FROM t JOIN e ON e.a = t.x WHERE e.b < t.v),
+l AS (SELECT v, s, min(x) AS label FROM t GROUP BY v, s),
+c AS (SELECT v, count(DISTINCT label) AS parts FROM l GROUP BY v),
+k AS (SELECT o.r FROM o LEFT JOIN c ON c.v = o.r WHERE parts IS NULL OR parts > 1),
+d AS (SELECT DISTINCT t.v, l.label, t.x FROM t JOIN l ON l.v = t.v AND l.s = t.s WHERE t.v IN (SELECT r FROM k) OR t.v = (SELECT max(r) FROM o)),
+p AS (SELECT v, label, count(*) AS n, max(x) FILTER (x IN (SELECT r FROM k)) AS low FROM d GROUP BY v, label),
+b AS (SELECT v, sum(n) AS n FROM p GROUP BY v)
+SELECT 0::BIGINT AS ds, f.vid AS "SegmentationId", CASE WHEN (f.value, f.vid) < (g.value, g.vid) THEN f.vid ELSE g.vid END AS "downNodeId", CASE WHEN (f.value, f.vid) < (g.value, g.vid) THEN g.vid ELSE f.vid END AS "upNodeId",
+  CAST(p.n - coalesce(b.n, 0) + CASE WHEN p.v IN (SELECT r FROM k) THEN 0 ELSE 1 END AS BIGINT) AS "RegionSize", round(abs(f.value - g.value), 6) AS "RegionSpan"
+FROM p JOIN o f ON f.r = p.low JOIN o g ON g.r = p.v LEFT JOIN b ON b.v = p.low"""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import storage
-from ..operators import bivariate, columns, diagrams, fields, graph, incidence, mergetrees, meshing, sql, stats, topology, tracking
+from ..operators import bivariate, columns, diagrams, fields, graph, incidence, mergetrees, meshing, sql, stats, topology, tracking, trees
 from ..sources import catalogue, generators, meshes
 from . import oracles
 
@@ -340,6 +340,30 @@ def day_hour_grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, in
 _GRID = "WITH m AS (SELECT CAST(hour(ts) + 24 * (day(ts) - 1) AS BIGINT) AS vid, round(avg(value), 6) AS value FROM events GROUP BY 1), v AS (SELECT i AS vid, coalesce(value, 0) AS value FROM range(744) r(i) LEFT JOIN m ON i = vid), n AS (SELECT a.vid AS a, b.vid AS b FROM v a JOIN (VALUES (0, 1), (1, 0), (1, 1), (0, -1), (-1, 0), (-1, -1)) s(i, j) ON a.vid % 24 + i BETWEEN 0 AND 23 AND a.vid // 24 + j BETWEEN 0 AND 30 JOIN v b ON b.vid = a.vid + i + 24 * j) "
 
 
+for _kind, _rank in (("join", "value, vid"), ("split", "value DESC, vid DESC")):
+
+    def _run(spark, d, kind=_kind):
+        v, _, g = day_hour_grid(spark, d)
+        return rounded(trees.merge_tree(v, g.neighbours(v), kind)["arcs"], "RegionSpan")
+
+    QUERIES[f"grid_{_kind}_tree"] = _run
+    SQL[f"grid_{_kind}_tree"] = oracles.grid_tree(_GRID.rstrip(), _rank)
+
+
+@_add("grid_contour_tree")
+def _(spark, d):
+    v, _, g = day_hour_grid(spark, d)
+    return trees.merge_tree(v, g.neighbours(v), "contour")["arcs"].drop("SegmentationId")
+
+
+@_add("grid_contour_segments")
+def _(spark, d):
+    """Vertices with the ends of their arc."""
+    v, _, g = day_hour_grid(spark, d)
+    tree = trees.merge_tree(v, g.neighbours(v), "contour")
+    return tree["segmentation"].join(tree["arcs"].select("ds", "SegmentationId", "downNodeId", "upNodeId"), ["ds", "SegmentationId"]).select("ds", "vid", "downNodeId", "upNodeId")
+
+
 @_add("grid_extrema", _GRID + "SELECT 0::BIGINT AS ds, a.vid, a.value, CASE WHEN min((b.value, b.vid)) > (a.value, a.vid) THEN 0 ELSE 3 END AS \"CriticalType\" FROM n JOIN v a ON n.a = a.vid JOIN v b ON n.b = b.vid GROUP BY a.vid, a.value HAVING min((b.value, b.vid)) > (a.value, a.vid) OR max((b.value, b.vid)) < (a.value, a.vid)")
 def _(spark, d):
     v, _, g = day_hour_grid(spark, d)
