@@ -222,19 +222,22 @@ def grid_layout(vertices: DataFrame, columns: int = 0, rows: int = 0, gap: tuple
 def interpolate(targets: DataFrame, source_vertices: DataFrame, source_cells: DataFrame, fields: Sequence[str], cell_size: float) -> DataFrame:
     """Source fields at target points (id, x, y) within triangles of the source, by barycentric weights; null outside.
 
-    Points and triangles meet by the square of side cell_size that they share.
+    Points and triangles meet by the square of side cell_size that they share. Triangles have their corners in their own ds; if targets have a ds, a point meets those
+    of its ds, else those of all.
     """
-    v = source_vertices.select("vid", "x", "y", *fields)
-    corners = [v.select(*(F.col(c).alias(f"{c}{k}") for c in v.columns)) for k in range(3)]
-    tri = source_cells.where(F.size("verts") == 3).select("cid", *(F.col("verts")[k].alias(f"vid{k}") for k in range(3)))
+    of = ["ds"] if "ds" in source_cells.columns else []
+    own = [c for c in of if c in targets.columns]
+    v = source_vertices.select(*of, "vid", "x", "y", *fields)
+    corners = [v.select(*of, *(F.col(c).alias(f"{c}{k}") for c in v.columns[len(of) :])) for k in range(3)]
+    tri = source_cells.where(F.size("verts") == 3).select(*of, "cid", *(F.col("verts")[k].alias(f"vid{k}") for k in range(3)))
     for k in range(3):
-        tri = tri.join(corners[k], f"vid{k}")
+        tri = tri.join(corners[k], [*of, f"vid{k}"])
     box = {n: F.expr(f"sequence(cast(floor(least(x_0, x_1, x_2) / {cell_size}) as bigint), cast(floor(greatest(x_0, x_1, x_2) / {cell_size}) as bigint))".replace("x_", n)) for n in ("x", "y")}
     tri = tri.withColumn("bx", F.explode(box["x"])).withColumn("by", F.explode(box["y"]))
-    pts = targets.select(F.col("id"), F.col("x").alias("px"), F.col("y").alias("py")).withColumn("bx", F.floor(F.col("px") / cell_size)).withColumn("by", F.floor(F.col("py") / cell_size))
+    pts = targets.select(*own, F.col("id"), F.col("x").alias("px"), F.col("y").alias("py")).withColumn("bx", F.floor(F.col("px") / cell_size)).withColumn("by", F.floor(F.col("py") / cell_size))
     area = F.expr("(x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)")
     w1 = F.try_divide(F.expr("(px - x0) * (y2 - y0) - (x2 - x0) * (py - y0)"), area)
     w2 = F.try_divide(F.expr("(x1 - x0) * (py - y0) - (px - x0) * (y1 - y0)"), area)
-    met = pts.join(tri, ["bx", "by"]).withColumns({"w1": w1, "w2": w2}).where("w1 >= -1e-12 and w2 >= -1e-12 and w1 + w2 <= 1 + 1e-12")
-    first = met.groupBy("id").agg(F.min_by(F.struct(*((F.col(f"{c}0") * (1 - F.col("w1") - F.col("w2")) + F.col(f"{c}1") * F.col("w1") + F.col(f"{c}2") * F.col("w2")).alias(c) for c in fields)), "cid").alias("s"))
-    return targets.join(first, "id", "left").select(targets["*"], *(F.col(f"s.{c}").alias(c) for c in fields))
+    met = pts.join(tri, [*own, "bx", "by"]).withColumns({"w1": w1, "w2": w2}).where("w1 >= -1e-12 and w2 >= -1e-12 and w1 + w2 <= 1 + 1e-12")
+    first = met.groupBy(*own, "id").agg(F.min_by(F.struct(*((F.col(f"{c}0") * (1 - F.col("w1") - F.col("w2")) + F.col(f"{c}1") * F.col("w1") + F.col(f"{c}2") * F.col("w2")).alias(c) for c in fields)), "cid").alias("s"))
+    return targets.join(first, [*own, "id"], "left").select(*(targets[c] for c in targets.columns), *(F.col(f"s.{c}").alias(c) for c in fields))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,21 +151,23 @@ def _updated(centre: Diagram, members: list[Diagram]) -> Diagram:
     return out
 
 
-def barycenter_of(members: list[Diagram], rounds: int = 20, tolerance: float = 1e-3) -> tuple[Diagram, float]:
-    """(barycenter, energy): the mean of squared distances falls until it changes by less than the tolerance."""
+def barycenter_of(members: list[Diagram], rounds: int | None = None, tolerance: float = 1e-3) -> tuple[Diagram, float]:
+    """(barycenter, energy): the mean of squared distances falls until it changes by less than the tolerance; if `rounds` are given and are over before, a warning says so."""
     energy = [sum(wasserstein(m, x, rooted=False) for x in members) for m in members]
     start = int(np.argmin(energy))
     centre, last = members[start], energy[start] / len(members)
-    for _ in range(rounds):
+    for done in itertools.count():
+        if rounds is not None and done >= rounds:
+            warnings.warn(f"the energy still falls after {rounds} rounds: it is {last}", stacklevel=2)
+            return centre, last
         new = _updated(centre, members)
         now = sum(wasserstein(new, m, rooted=False) for m in members) / len(members)
         if now > last - tolerance * max(last, 1e-12):
             return (new, now) if now <= last else (centre, last)
         centre, last = new, now
-    return centre, last
 
 
-def barycenters(diagrams: DataFrame, group: str = "cluster", rounds: int = 20) -> DataFrame:
+def barycenters(diagrams: DataFrame, group: str = "cluster", rounds: int | None = None) -> DataFrame:
     """(group, pair_type, birth, death, energy) of each group's diagrams (ds); a group is one task's, so its diagrams should be filtered first."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -174,11 +178,12 @@ def barycenters(diagrams: DataFrame, group: str = "cluster", rounds: int = 20) -
     return diagrams.select(group, "ds", "birth", "death", "pair_type").groupBy(group).applyInPandas(run, f"{group} long, pair_type int, birth double, death double, energy double")
 
 
-def cluster(diagrams: DataFrame, k: int, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+def cluster(diagrams: DataFrame, k: int, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(assignment (ds, ClusterAssignment, distance), centroids (cluster, pair_type, birth, death)): k-means under squared Wasserstein distance.
 
     The first centroid is the diagram with the least ds, each further one the diagram farthest from those chosen. Centroids, k diagrams, live on the
-    driver and are broadcast; assignment runs over the diagrams' groups, barycenters over the clusters'.
+    driver and are broadcast; assignment runs over the diagrams' groups, barycenters over the clusters'. Rounds go on until the sum of distances falls
+    no more; if `rounds` are given and are over before, a warning says so.
     """
     from ..functions.storage import settled
 
@@ -209,8 +214,11 @@ def cluster(diagrams: DataFrame, k: int, rounds: int = 10) -> tuple[DataFrame, D
         centres.append(fetch(far["ds"]))
         now = assigned(centres)
     last = now.agg(F.sum("distance")).first()[0]
-    for _ in range(rounds):
-        rows = barycenters(own.join(now.select("ds", F.col("ClusterAssignment").alias("cluster")), "ds"), rounds=5).toPandas()
+    for done in itertools.count():
+        if rounds is not None and done >= rounds:
+            warnings.warn(f"the sum of distances still falls after {rounds} rounds: it is {last}", stacklevel=2)
+            break
+        rows = barycenters(own.join(now.select("ds", F.col("ClusterAssignment").alias("cluster")), "ds")).toPandas()
         made = {int(c): as_diagram(g) for c, g in rows.groupby("cluster")}
         new = [made.get(i, c) for i, c in enumerate(centres)]
         then = assigned(new)

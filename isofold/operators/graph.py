@@ -149,16 +149,26 @@ def merge_points(points: DataFrame, threshold: float, candidates: DataFrame | No
     """(vid, merged_to, VertexMergeCount, MinMergeDistance, MaxMergeDistance) for points (vid, x, y, z) strictly closer than the threshold.
 
     Points meet those of the 27 cubes around theirs, never all. A point follows its lowest close point, and that its own, to the end;
-    the distances are between a kept point and those merged into it, -1 if none. candidates (vid) limits what may merge, e.g. to a boundary.
+    the distances are between a kept point and those merged into it, -1 if none. candidates (vid) limits what may merge, e.g. to a boundary. If points have a ds,
+    those of one ds merge, and the result, like candidates, has it as well.
     """
-    own = points.select("vid", "x", "y", "z")
+    if "ds" in points.columns:
+        stride = (points.agg(F.max("vid")).first()[0] or 0) + 1
+        named = lambda t: t.withColumn("vid", F.col("ds") * stride + F.col("vid"))
+        out = _merged(named(points), threshold, named(candidates) if candidates is not None else None, ["ds"])
+        return out.select(F.expr(f"(vid - pmod(vid, {stride})) div {stride}").alias("ds"), *(F.expr(f"pmod({c}, {stride})").alias(c) for c in ("vid", "merged_to")), *out.columns[2:])
+    return _merged(points, threshold, candidates, [])
+
+
+def _merged(points: DataFrame, threshold: float, candidates: DataFrame | None, of: list[str]) -> DataFrame:
+    own = points.select(*of, "vid", "x", "y", "z")
     if candidates is not None:
         own = own.join(candidates.select("vid"), "vid", "left_semi")
     cube = {c: F.floor(F.col(c) / threshold).alias(f"c{c}") for c in "xyz"}
-    a = own.select("vid", "x", "y", "z", *cube.values())
+    a = own.select(*of, "vid", "x", "y", "z", *cube.values())
     near = F.array(*(F.array(F.lit(i), F.lit(j), F.lit(k)) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    b = a.withColumn("o", F.explode(near)).select(F.col("vid").alias("low"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), *((F.col(f"c{c}") + F.col("o")[i]).alias(f"c{c}") for i, c in enumerate("xyz")))
-    close = a.join(b, ["cx", "cy", "cz"]).where("low < vid").where(F.expr("(x - x2) * (x - x2) + (y - y2) * (y - y2) + (z - z2) * (z - z2)") < threshold * threshold)
+    b = a.withColumn("o", F.explode(near)).select(*of, F.col("vid").alias("low"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"), *((F.col(f"c{c}") + F.col("o")[i]).alias(f"c{c}") for i, c in enumerate("xyz")))
+    close = a.join(b, [*of, "cx", "cy", "cz"]).where("low < vid").where(F.expr("(x - x2) * (x - x2) + (y - y2) * (y - y2) + (z - z2) * (z - z2)") < threshold * threshold)
     lowest = close.groupBy(F.col("vid").alias("v")).agg(F.min("low").alias("nxt"))
     ends = roots(points.select(F.col("vid").alias("v")).join(lowest, "v", "left")).select(F.col("v").alias("vid"), F.col("root").alias("merged_to"))
     p, q = points.select("vid", "x", "y", "z"), points.select(F.col("vid").alias("merged_to"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("z").alias("z2"))

@@ -6,6 +6,7 @@ A tree is kept as its branch decomposition: branches with birth, death and the b
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -308,9 +309,21 @@ def _mean_step(centre: Tree, members: list[Tree], weights: np.ndarray, o: Option
     return _moved(centre, total, mass, fresh, o), energy
 
 
-def barycenter(trees: DataFrame, o: Options = Options(), rounds: int = 50) -> tuple[DataFrame, float]:
+def _goes_on(energies: list[float], rounds: int | None) -> bool:
+    """Whether another round is due: not once the energy has changed by a 125th or less, nor when ten rounds have found none lower, nor after `rounds`, if any, of which a warning tells."""
+    if len(energies) > 1 and abs(energies[-2] - energies[-1]) <= energies[-1] / 125:
+        return False
+    if len(energies) - 1 - int(np.argmin(energies)) >= 10:
+        return False
+    if rounds is not None and len(energies) >= rounds:
+        warnings.warn(f"the energy still changes after {rounds} rounds: it was {energies[-2:]}", stacklevel=3)
+        return False
+    return True
+
+
+def barycenter(trees: DataFrame, o: Options = Options(), rounds: int | None = None) -> tuple[DataFrame, float]:
     """(branches of the barycenter, energy) of all trees. It starts at the tree with the least sum of squared distances to the others. The centre, one tree, lives on the driver; each round matches all members to it in
-    parallel, sums partners by branch in Spark, and brings back those sums and the branches that are to be added.
+    parallel, sums partners by branch in Spark, and brings back those sums and the branches that are to be added. Rounds end as `_goes_on` says.
     """
     spark = trees.sparkSession
     own = settled(trees.select("ds", "branch", "parent", "birth", "death"), "trees")
@@ -320,8 +333,8 @@ def barycenter(trees: DataFrame, o: Options = Options(), rounds: int = 50) -> tu
     sums = distance_matrix(own, o).groupBy("i").agg(F.sum(F.col("dist") * F.col("dist")).alias("s"))
     start = sums.orderBy("s", "i").first()["i"]
     centre = preprocessed(Tree.of(own.where(F.col("ds") == start).toPandas()), o)
-    best, least, last = centre, np.inf, np.inf
-    for _ in range(rounds):
+    best, least, energies = centre, np.inf, []
+    while True:
         shared = spark.sparkContext.broadcast(centre)
 
         def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -333,9 +346,10 @@ def barycenter(trees: DataFrame, o: Options = Options(), rounds: int = 50) -> tu
 
         parts = settled(own.groupBy("ds").applyInPandas(match, "ds long, kind int, x long, matched boolean, parent long, b double, d double"), "matched")
         energy = parts.where("kind = 0").agg(F.sum("b")).first()[0] / n
+        energies.append(energy)
         if energy < least:
             best, least = centre, energy
-        if np.isfinite(last) and abs(last - energy) <= energy / 125:
+        if not _goes_on(energies, rounds):
             break
         sums = parts.where("kind = 1").groupBy("x").agg(F.sum("b").alias("b"), F.sum("d").alias("d"), F.count("*").alias("k")).toPandas()
         total, mass = np.zeros((len(centre.birth), 2)), np.zeros(len(centre.birth))
@@ -343,26 +357,27 @@ def barycenter(trees: DataFrame, o: Options = Options(), rounds: int = 50) -> tu
         mass[sums["x"]] = sums["k"].to_numpy() / n
         added = parts.where("kind = 2").orderBy("ds", "x").toPandas()
         fresh = [[(1 / n, bool(on), int(p), b, d) for on, p, b, d in g[["matched", "parent", "b", "d"]].itertuples(index=False)] for _, g in added.groupby("ds")]
-        centre, last = _moved(centre, total, mass, fresh, o), energy
+        centre = _moved(centre, total, mass, fresh, o)
     return spark.createDataFrame(best.rows(0), BRANCHES), float(least)
 
 
-def barycenter_of(trees: list[Tree], o: Options = Options(), weights: np.ndarray | None = None, rounds: int = 50) -> tuple[Tree, float]:
-    """(barycenter, energy). Starts at the tree with the least sum of distances; stops when the energy falls by less than a 125th or no longer."""
+def barycenter_of(trees: list[Tree], o: Options = Options(), weights: np.ndarray | None = None, rounds: int | None = None) -> tuple[Tree, float]:
+    """(barycenter, energy). Starts at the tree with the least sum of distances; rounds end as `_goes_on` says."""
     if o.normalized is None:
         raise ValueError("normalized is true or false")
     members = [preprocessed(t, o) for t in trees]
     w = np.full(len(members), 1 / len(members)) if weights is None else np.asarray(weights, float)
     sums = [sum(wj * tree_matching(a, b, o)[1] for b, wj in zip(members, w)) for a in members]
     centre = members[int(np.argmin(sums))]
-    best, least, last = centre, np.inf, np.inf
-    for _ in range(rounds):
+    best, least, energies = centre, np.inf, []
+    while True:
         new, energy = _mean_step(centre, members, w, o)
+        energies.append(energy)
         if energy < least:
             best, least = centre, energy
-        if np.isfinite(last) and abs(last - energy) <= energy / 125:
+        if not _goes_on(energies, rounds):
             break
-        centre, last = new, energy
+        centre = new
     return best, float(least)
 
 
@@ -387,11 +402,12 @@ def barycenters(trees: DataFrame, group: str | None = None, o: Options = Options
     return own.select(g, "ds", "branch", "parent", "birth", "death").groupBy(g).applyInPandas(run, f"{g} long, branch long, parent long, birth double, death double, energy double")
 
 
-def cluster(trees: DataFrame, k: int, o: Options = Options(), rounds: int = 10, second: DataFrame | None = None, mix: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def cluster(trees: DataFrame, k: int, o: Options = Options(), rounds: int | None = None, second: DataFrame | None = None, mix: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(assignment (ds, ClusterAssignment, distance), centroids): k-means of trees.
 
     With a second set of trees (e.g. split besides join) a squared distance is mix of the first and 1 - mix of the second. The first centroid is the
     tree with the most branches, the least ds on ties; each further one is the farthest tree, which also takes an empty cluster's place.
+    Rounds go on until the sum of distances falls no more; if `rounds` are given and are over before, a warning says so.
     """
     spark = trees.sparkSession
     own = settled(trees.select("ds", F.lit(0).alias("side"), "branch", "parent", "birth", "death"), "trees")
@@ -426,8 +442,12 @@ def cluster(trees: DataFrame, k: int, o: Options = Options(), rounds: int = 10,
             break
         centres.append(fetch(far["ds"]))
         now = assigned(centres)
-    last = now.agg(F.sum("distance")).first()[0]
-    for _ in range(rounds):
+    last, done = now.agg(F.sum("distance")).first()[0], 0
+    while True:
+        if rounds is not None and done >= rounds:
+            warnings.warn(f"the sum of distances still falls after {rounds} rounds: it is {last}", stacklevel=2)
+            break
+        done += 1
         labelled = own.join(now.select("ds", F.col("ClusterAssignment").alias("cluster")), "ds")
 
         def update(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -62,24 +62,24 @@ def uncertainty(fields: DataFrame, bins: int = 10, vid: str = "vid", value: str
 
 
 def continuous_scatter(vertices: DataFrame, cells: DataFrame, u: str, v: str, resolution: tuple[int, int], samples: int = 4, dummy: float | None = None) -> DataFrame:
-    """(px, py, density, hits): the volume of tetrahedra over a raster of two fields' ranges.
+    """(ds, px, py, density, hits): the volume of each ds's tetrahedra over a raster of its two fields' ranges.
 
     Each tetrahedron is split into equal parts at the points of a barycentric lattice of `samples` steps, and a part's volume goes to the pixel of
     its centre; finer lattices come nearer the continuous density. Corners with the dummy value leave a tetrahedron out.
     """
     w, h = resolution
-    own = vertices.select("vid", "x", "y", "z", F.col(u).cast("double").alias("u"), F.col(v).cast("double").alias("v"))
-    span = own.agg(F.min("u").alias("u_lo"), F.max("u").alias("u_hi"), F.min("v").alias("v_lo"), F.max("v").alias("v_hi"))
-    tets = cells.where(F.size("verts") == 4).select("cid", *(F.col("verts")[k].alias(f"vid{k}") for k in range(4)))
+    own = vertices.select("ds", "vid", "x", "y", "z", F.col(u).cast("double").alias("u"), F.col(v).cast("double").alias("v"))
+    span = own.groupBy("ds").agg(F.min("u").alias("u_lo"), F.max("u").alias("u_hi"), F.min("v").alias("v_lo"), F.max("v").alias("v_hi"))
+    tets = cells.where(F.size("verts") == 4).select("ds", "cid", *(F.col("verts")[k].alias(f"vid{k}") for k in range(4)))
     for k in range(4):
-        tets = tets.join(own.select(*(F.col(c).alias(f"{c}{k}") for c in own.columns)), f"vid{k}")
+        tets = tets.join(own.select("ds", *(F.col(c).alias(f"{c}{k}") for c in own.columns[1:])), ["ds", f"vid{k}"])
     if dummy is not None:
         tets = tets.where(" and ".join(f"u{k} <> {dummy} and v{k} <> {dummy}" for k in range(4)))
     a, b, c = ([f"({x}{k} - {x}0)" for x in "xyz"] for k in (1, 2, 3))
     volume = F.abs(F.expr(f"{a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]})")) / 6
     weights = [(i + 0.25, j + 0.25, k + 0.25, samples - 1 - i - j - k + 0.25) for i in range(samples) for j in range(samples - i) for k in range(samples - i - j)]
     lattice = F.array(*(F.array(*(F.lit(x / samples) for x in q)) for q in weights))
-    parts = tets.withColumn("volume", volume / len(weights)).withColumn("q", F.explode(lattice)).crossJoin(F.broadcast(span))  # one row
+    parts = tets.withColumn("volume", volume / len(weights)).join(span, "ds").withColumn("q", F.explode(lattice))
     at = {n: sum((F.col("q")[k] * F.col(f"{n}{k}") for k in range(4)), F.lit(0.0)) for n in "uv"}
     pixel = {n: F.coalesce(F.least(F.floor(F.try_divide((at[n] - F.col(f"{n}_lo")) * size, F.col(f"{n}_hi") - F.col(f"{n}_lo"))), F.lit(size - 1)), F.lit(0)) for n, size in (("u", w), ("v", h))}
-    return parts.select(pixel["u"].alias("px"), pixel["v"].alias("py"), "volume").groupBy("px", "py").agg(F.sum("volume").alias("density"), F.count(F.lit(1)).alias("hits"))
+    return parts.select("ds", pixel["u"].alias("px"), pixel["v"].alias("py"), "volume").groupBy("ds", "px", "py").agg(F.sum("volume").alias("density"), F.count(F.lit(1)).alias("hits"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,7 +45,7 @@ def read_products(catalogue: DataFrame, file_column: str = "FILE", reader: Calla
     """
     spark = catalogue.sparkSession
     numbered = dense_index(catalogue.select(file_column).distinct(), [file_column], "ds")
-    own = catalogue.join(numbered, file_column).withColumn("_name", F.element_at(F.split(F.col(file_column), "/"), -1))
+    own = catalogue.join(numbered, file_column).withColumn("_at", _plain(spark, F.col(file_column)))
     paths = [r[0] for r in catalogue.select(file_column).distinct().collect()]
     parts: list[DataFrame] = []
     kinds = {p: "parquet" if p.rsplit("/", 1)[-1].startswith(PRODUCT) else p.rsplit(".", 1)[-1].lower() for p in paths}
@@ -65,17 +65,31 @@ def read_products(catalogue: DataFrame, file_column: str = "FILE", reader: Calla
     data = parts[0]
     for p in parts[1:]:
         data = data.unionByName(p, allowMissingColumns=True)
-    # a product may be a file or a folder of part files: the name is that of the last part of its path that the catalogue knows
-    data = data.withColumn("_name", F.regexp_extract("_path", rf"({PRODUCT}[^/]+|[^/]+\.[A-Za-z0-9]+)(?:/part-[^/]*)?$", 1))
+    # a product is a file, or a folder of part files: records meet it by the whole path of either
+    at = _plain(spark, F.col("_path"))
+    data = data.withColumn("_at", F.explode(F.array_distinct(F.array(at, F.regexp_replace(at, "/[^/]*$", "")))))
     carried = [c for c in own.columns if c not in data.columns]
-    return data.drop("_path").join(own.select("_name", *carried), "_name").drop("_name")
+    return data.drop("_path").join(own.select("_at", *carried), "_at").drop("_at")
+
+
+def _plain(spark: SparkSession, path: Column) -> Column:
+    """A path without its store's name, with single slashes, in full, and as it reads without escapes."""
+    fs, here = _file(spark, ".")
+    root = fs.makeQualified(here).toUri().getPath().rstrip("/")
+    full = F.when(path.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|/)"), path).otherwise(F.concat(F.lit(root + "/"), path))
+    bare = F.regexp_replace(F.regexp_replace(full, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/+", "/")
+    return F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare)
 
 
 def product_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Adds _key, the keys' values joined by _ (those of an array by a bar), and FILE, the folder of that key under data/."""
+    """Adds _key, and FILE, the folder of that key under data/.
+
+    A key is the values joined by _ (those of an array by a bar), in signs that any store takes, and a digest of the values themselves, which keeps apart what reads alike.
+    """
     parts = [F.concat_ws("|", F.col(k).cast("array<string>")) if isinstance(df.schema[k].dataType, T.ArrayType) else F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    key = F.regexp_replace(F.concat_ws("_", *parts), "[^A-Za-z0-9_.|+-]", "-")
-    return df.withColumn("_key", F.when(key == "", "-").otherwise(key)).withColumn("FILE", F.concat(F.lit(f"data/{PRODUCT}"), "_key"))
+    told = F.to_json(F.struct(*(F.col(k) for k in keys)), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    key = F.concat_ws("-", F.regexp_replace(F.concat_ws("_", *parts), "[^A-Za-z0-9_.|-]", "-"), F.substring(F.sha2(told, 256), 1, 16))
+    return df.withColumn("_key", key).withColumn("FILE", F.concat(F.lit(f"data/{PRODUCT}"), "_key"))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -123,8 +137,11 @@ def _write_csv(rows: DataFrame, path: str) -> None:
     rows.orderBy(*rows.columns).coalesce(1).write.mode("overwrite").csv(path + ".new", header=True)
     fs, at = _file(spark, path)
     part = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(path + ".new/part-*"))[0].getPath()
-    fs.delete(at, True)
-    fs.rename(part, at)
+    # in one step: a reader, or a crash, finds the old file or the new one
+    how = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(how, 1)
+    over[0] = how.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(at), over)
     fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path + ".new"), True)
 
 

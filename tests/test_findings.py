@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from isofold.operators import bivariate, graph, kernels, mergetrees, topology
+from isofold.operators import bivariate, columns, diagrams, graph, incidence, kernels, mergetrees, stats, topology
 from isofold.sources import catalogue
 
 
@@ -269,3 +270,52 @@ def test_randomized_identifiers_are_a_bijection(spark, sf):
     new = {r["o_orderkey"]: r["o_custkey"] for r in QUERIES["randomize_identifiers"](spark, sf).collect()}
     to = {own[k]: new[k] for k in own}
     assert set(new) == set(own) and all(new[k] == to[own[k]] for k in own) and sorted(to.values()) == list(range(len(to))) and to != {c: i for i, c in enumerate(sorted(to))}
+
+
+def test_products_of_one_name_in_two_folders(spark, tmp_path):
+    root = tmp_path / "p.cdb"
+    for folder in ("a", "b"):
+        (root / "data" / folder).mkdir(parents=True)
+        (root / "data" / folder / "x.csv").write_text(f"u\n{folder}1\n{folder}2\n")
+    (root / "data.csv").write_text("k,FILE\n1,data/a/x.csv\n2,data/b/x.csv\n")
+    rows = catalogue.read_products(catalogue.read_catalogue(spark, str(root)))
+    assert sorted((r["k"], r["u"]) for r in rows.collect()) == [(1, "a1"), (1, "a2"), (2, "b1"), (2, "b2")]
+
+
+def test_keys_that_read_alike_stay_apart(spark, tmp_path):
+    path = f"{tmp_path}/q.cdb"
+    keys = [("a b", "c"), ("a-b", "c"), ("a_b", "c"), ("a", "b_c"), ("A b", "c"), ("a%20b", "c"), ("a+b", "é/ü"), ("", ""), ("x", None)]
+    catalogue.write_products(spark.createDataFrame([(*k, float(i)) for i, k in enumerate(keys)], "k string, l string, v double"), path, ["k", "l"])
+    files = {r["FILE"] for r in catalogue.read_catalogue(spark, path).collect()}
+    assert len(files) == len({f.lower() for f in files}) == len(keys)
+    assert sorted(r["v"] for r in catalogue.read_products(catalogue.read_catalogue(spark, path)).collect()) == [float(i) for i in range(len(keys))]
+
+
+def test_each_ds_has_its_own_scatter_plot(spark):
+    corner = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
+    v = spark.createDataFrame([(ds, i, *(c * (ds + 1) for c in p), p[0] * (ds + 1), p[1] - ds) for ds in (0, 1) for i, p in enumerate(corner)], "ds long, vid long, x double, y double, z double, u double, v double")
+    cells = spark.createDataFrame([(0, 0, [0, 1, 2, 3]), (1, 0, [0, 1, 2, 3])], "ds long, cid long, verts array<long>")
+    mass = {r["ds"]: r["m"] for r in stats.continuous_scatter(v, cells, "u", "v", (4, 4)).groupBy("ds").agg(F.sum("density").alias("m")).collect()}
+    assert abs(mass[0] - 1 / 6) < 1e-12 and abs(mass[1] - 8 / 6) < 1e-12
+
+
+def test_points_of_two_ds_neither_merge_nor_interpolate_each_other(spark):
+    pts = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (1, 0, 0.0, 0.0, 0.0), (1, 1, 0.01, 0.0, 0.0), (0, 1, 5.0, 0.0, 0.0)], "ds long, vid long, x double, y double, z double")
+    out = {(r["ds"], r["vid"]): (r["merged_to"], r["VertexMergeCount"]) for r in graph.merge_points(pts, 0.1).collect()}
+    assert out == {(0, 0): (0, 0), (0, 1): (1, 0), (1, 0): (0, 1), (1, 1): (0, 0)}
+    v = spark.createDataFrame([(ds, i, x, y, f) for ds in (0, 1) for i, (x, y, f) in enumerate([(0.0, 0.0, 1.0 + ds), (1.0, 0.0, 1.0 + ds), (0.0, 1.0, 1.0 + ds)])], "ds long, vid long, x double, y double, f double")
+    cells = spark.createDataFrame([(0, 0, [0, 1, 2]), (1, 0, [0, 1, 2])], "ds long, cid long, verts array<long>")
+    at = spark.createDataFrame([(0, 7, 0.2, 0.2), (1, 7, 0.2, 0.2), (1, 8, 3.0, 3.0)], "ds long, id long, x double, y double")
+    found = {(r["ds"], r["id"]): r["f"] for r in columns.interpolate(at, v, cells, ["f"], 1.0).collect()}
+    assert found[0, 7] == pytest.approx(1.0) and found[1, 7] == pytest.approx(2.0) and found[1, 8] is None
+
+
+def test_barycenters_say_when_rounds_do_not_do(spark):
+    fields = [[0, 5, 2, 6, 1, 4, 0.5], [0, 9, 3, 7, 1, 5, 2], [1, 4, 0, 8, 2, 3, 1]]
+    v = spark.createDataFrame([(ds, i, float(x)) for ds, f in enumerate(fields) for i, x in enumerate(f)], "ds long, vid long, value double")
+    trees = mergetrees.branch_trees(v, incidence.path_cells(v, "vid"))
+    with pytest.warns(UserWarning, match="still changes after 1 rounds"):
+        once = mergetrees.barycenter(trees, rounds=1)[1]
+    assert mergetrees.barycenter(trees)[1] <= once
+    with pytest.warns(UserWarning, match="still falls after 0 rounds"):
+        diagrams.barycenter_of([{0: np.array([[0.0, 2.0]])}, {0: np.array([[0.0, 4.0]])}], rounds=0)
