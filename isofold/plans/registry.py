@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import storage
-from ..operators import bivariate, columns, diagrams, fields, graph, incidence, mergetrees, meshing, sql, stats, topology, tracking, trees
+from ..operators import bivariate, columns, diagrams, fields, graph, incidence, mergetrees, meshing, separatrices, sql, stats, topology, tracking, trees
 from ..sources import catalogue, generators, meshes
 from . import oracles
 
@@ -493,6 +493,32 @@ def order_volume(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return v, g.cells(spark)
 
 
+@_add("grid_ascending_lines")
+def _(spark, d):
+    v, c, _ = day_hour_grid(spark, d)
+    return separatrices.ascending_lines(settled_gradient(v, c, "value"), c)
+
+
+def settled_gradient(v: DataFrame, c: DataFrame, value: str) -> DataFrame:
+    return storage.settled(topology.discrete_gradient(v, c, value), "gradient")
+
+
+@_add("volume_saddle_connectors")
+def _(spark, d):
+    return separatrices.saddle_connectors(settled_gradient(*order_volume(spark, d), "u"))
+
+
+@_add("volume_descending_walls")
+def _(spark, d):
+    return separatrices.descending_walls(settled_gradient(*order_volume(spark, d), "u"))
+
+
+@_add("volume_ascending_walls")
+def _(spark, d):
+    v, c = order_volume(spark, d)
+    return separatrices.ascending_walls(settled_gradient(v, c, "u"), c)
+
+
 @_add("jacobi_set")
 def _(spark, d):
     return bivariate.jacobi_set(*order_volume(spark, d))
