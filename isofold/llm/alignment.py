@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -110,20 +111,50 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - count - begin, count)
 
 
+def _same(texts: list[str], ia: list[list[int]], ib: list[list[int]], a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Whether the tokens' bytes, joined, are each text's own with a space before it."""
+    own = [b" " + t.encode() for t in texts]
+    found = [[b"".join(map(table.__getitem__, x)) for x in ids] for ids, table in ((ia, a), (ib, b))]
+    return np.fromiter((x == y == z for x, y, z in zip(own, *found)), bool, len(own))
+
+
+def _told(flat_a: np.ndarray, flat_b: np.ndarray, ga: np.ndarray, gb: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+    """Groups as text, a1,a2|b1;a3|b2,b3, of every chunk of so many tokens: digits and signs in a row of bytes for each token."""
+    n = len(flat_a) + len(flat_b)
+    if not n:
+        return [b""] * len(tokens)
+    # a group's A tokens, then its B tokens, group by group
+    at_a = np.arange(len(flat_a)) + (np.cumsum(in_b) - in_b)[ga]
+    at_b = np.arange(len(flat_b)) + np.cumsum(in_a)[gb]
+    ids, sign = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
+    ids[at_a], ids[at_b] = flat_a, flat_b
+    ends = np.cumsum(in_a + in_b)
+    sign[ends - in_b - 1], sign[ends - 1] = ord("|"), ord(";")
+    width = len(str(int(ids.max())))
+    size = np.ones(n, np.int64)
+    for k in range(1, width):
+        size += ids >= 10**k
+    text = np.zeros((n, width + 1), np.uint8)
+    for k in range(width):
+        # the digit of place k from the left
+        text[:, k] = 48 + ids // 10 ** np.maximum(size - 1 - k, 0) % 10
+    text[np.arange(n), size] = sign
+    raw = text[np.arange(width + 1) <= size[:, None]].tobytes()
+    last = np.concatenate(([0], np.cumsum(size + 1)))[np.concatenate(([0], np.cumsum(tokens)))].tolist()
+    return [raw[x : max(x, y - 1)] for x, y in zip(last[:-1], last[1:])]
+
+
 class Chunks:
     """Chunks encoded and aligned: numbers of each, its digest text, and its linked pairs of ids with how often each is linked."""
 
     def __init__(self, a: ByteLevel, b: Pieces, texts: list[str]):
         ia, ib = a.encode([" " + t for t in texts]), b.encode(texts)
+        self.fits = _same(texts, ia, ib, a.bytes, b.bytes)
+        if not self.fits.all():
+            # chunks that don't fit have no tokens, nor has any text with one
+            ia, ib = ([x if f else [] for x, f in zip(ids, self.fits)] for ids in (ia, ib))
         na, nb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ia, ib))
-        self.fits = np.zeros(len(texts), dtype=bool)
-        for i, (t, x, y) in enumerate(zip(texts, ia, ib)):
-            own = b" " + t.encode()
-            self.fits[i] = b"".join(map(a.bytes.__getitem__, x)) == own and b"".join(map(b.bytes.__getitem__, y)) == own
-        # chunks that don't fit have no tokens, nor has any text with one
-        ia, ib = ([x if f else [] for x, f in zip(ids, self.fits)] for ids in (ia, ib))
-        na, nb = na * self.fits, nb * self.fits
-        flat_a, flat_b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ia, na), (ib, nb)))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ia, na), (ib, nb)))
         long_a, long_b = (np.fromiter(map(len, t.bytes), np.int64, len(t.bytes)) for t in (a, b))
         ga, gb = groups(np.cumsum(long_a[flat_a]), np.cumsum(long_b[flat_b]))
         n_groups = int(ga[-1]) + 1 if len(ga) else 0
@@ -134,28 +165,9 @@ class Chunks:
         self.na, self.nb = na, nb
         self.groups = np.bincount(chunk, minlength=len(texts))
         self.links = np.bincount(chunk, weights=(pa_ * pb_).astype(float), minlength=len(texts)).astype(np.int64) if n_groups else np.zeros(len(texts), np.int64)
-        self.told = self._told(texts, ia, ib, ga, gb, na, nb)
+        self.told = _told(flat_a, flat_b, ga, gb, pa_, pb_, na + nb)
         self.first, self.pair, self.times = self._pairs(len(texts), chunk, flat_a, flat_b, pa_, pb_)
 
-    @staticmethod
-    def _told(texts, ia, ib, ga, gb, na, nb) -> list[bytes]:
-        """Groups of each chunk as text: a1,a2|b1;a3|b2,b3."""
-        out, i, j = [], 0, 0
-        ga, gb = ga.tolist(), gb.tolist()
-        for x, y in zip(ia, ib):
-            parts, q = [], 0
-            p = 0
-            while p < len(x):
-                g, p0, q0 = ga[i + p], p, q
-                while p < len(x) and ga[i + p] == g:
-                    p += 1
-                while q < len(y) and gb[j + q] == g:
-                    q += 1
-                parts.append(f"{','.join(map(str, x[p0:p]))}|{','.join(map(str, y[q0:q]))}")
-            i, j = i + len(x), j + len(y)
-            out.append(";".join(parts).encode())
-        return out
-
     @staticmethod
     def _pairs(n, chunk, flat_a, flat_b, pa_, pb_, most: int = 4_000_000):
         """(first, pair, times): chunk c has the pairs first[c] to first[c + 1], each so often."""
@@ -209,9 +221,9 @@ class Aligner:
     def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray, np.ndarray]:
         """([n_a, n_b, n_groups, n_links], digests, first, pairs, times): text i has the pairs first[i] to first[i + 1], each linked so many times."""
         cut = [(_CUT.split(t) if self.b.chunked else [t]) if t else [] for t in texts]
-        self._learn(dict.fromkeys(c for chunks in cut for c in chunks))
+        self._learn(dict.fromkeys(chain.from_iterable(cut)))
         s, n = self.store, np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter((self.known[c] for chunks in cut for c in chunks), np.int64, int(n.sum()))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
         text = np.repeat(np.arange(len(cut)), n)
         fits = n > 0
         fits[text[~s.fits[at]]] = False
