@@ -505,7 +505,13 @@ def settled_gradient(v: DataFrame, c: DataFrame, value: str) -> DataFrame:
 
 @_add("volume_saddle_connectors")
 def _(spark, d):
-    return separatrices.saddle_connectors(settled_gradient(*order_volume(spark, d), "u"))
+    return separatrices.saddle_connectors(settled_gradient(*order_volume(spark, d), "u")).select("ds", "saddle", "edge", "paths")
+
+
+@_add("volume_saddle_pairs")
+def _(spark, d):
+    v, c = order_volume(spark, d)
+    return separatrices.saddle_saddle_pairs(v, c, "u", gradient=settled_gradient(v, c, "u"))
 
 
 @_add("volume_descending_walls")

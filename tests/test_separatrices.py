@@ -123,3 +123,45 @@ def test_queries_equal_plain_walks(spark, sf):
     assert found == {k: n for k, n in reach.items() if k[1] in critical} and len(found) > 20
     walls = {(tuple(r["saddle"]), tuple(r["triangle"])) for r in registry.QUERIES["volume_descending_walls"](spark, sf).collect()}
     assert walls == {(s, up[e]) for s, e in reach if len(up.get(e, ())) == 3} | {(c, c) for c in critical if len(c) == 3}
+
+
+def dense_pairs(order, tops):
+    """(birth vertex, death vertex) of dimension 1 by reducing the whole boundary matrix over Z2, simplices in the order of their last vertex."""
+    cells = {f for t in tops for k in range(1, 5) for f in combinations(t, k)}
+    key = lambda s: (max(order[v] for v in s), len(s), sorted((order[v] for v in s), reverse=True))
+    cells = sorted(cells, key=key)
+    at = {s: i for i, s in enumerate(cells)}
+    owner, out = {}, Counter()
+    for i, s in enumerate(cells):
+        own = {at[f] for f in combinations(s, len(s) - 1)} if len(s) > 1 else set()
+        while own and max(own) in owner:
+            own ^= owner[max(own)]
+        if own:
+            owner[max(own)] = own
+            b, d = (max(cells[k], key=lambda v: order[v]) for k in (max(own), i))
+            if len(s) == 3 and b != d:
+                out[b, d] += 1
+    return out
+
+
+@pytest.mark.parametrize("kernel_rows", [100_000, 0])
+def test_saddle_saddle_pairs_equal_a_dense_reduction(spark, kernel_rows):
+    v, c = None, None
+    for ds, shape in enumerate([(5, 5, 4), (4, 5, 5)]):
+        own, cells = field(spark, shape, 9 + ds)
+        own, cells = own.withColumn("ds", own["ds"] + ds), cells.withColumn("ds", cells["ds"] + ds)
+        v, c = (own, cells) if v is None else (v.unionByName(own), c.unionByName(cells))
+    out = separatrices.saddle_saddle_pairs(v, c, kernel_rows=kernel_rows).collect()
+    for ds in (0, 1):
+        values = sorted((r["value"], r["vid"]) for r in v.where(f"ds = {ds}").collect())
+        order = {vid: i for i, (_, vid) in enumerate(values)}
+        want = dense_pairs(order, [tuple(sorted(r["verts"])) for r in c.where(f"ds = {ds}").collect()])
+        assert Counter((r["birth_vid"], r["death_vid"]) for r in out if r["ds"] == ds) == want and len(want) > 1
+
+
+def test_saddle_pairs_of_the_volume(spark, sf):
+    v, cells = registry.order_volume(spark, sf)
+    values = sorted((r["u"], r["vid"]) for r in v.collect())
+    want = dense_pairs({vid: i for i, (_, vid) in enumerate(values)}, [tuple(sorted(r["verts"])) for r in cells.collect()])
+    out = registry.QUERIES["volume_saddle_pairs"](spark, sf).collect()
+    assert Counter((r["birth_vid"], r["death_vid"]) for r in out) == want and len(out) > 20
