@@ -376,10 +376,23 @@ def _(spark, d):
     return topology.critical_points(v, c)
 
 
-@_add("grid_incidence", "SELECT 0::BIGINT AS ds, 0 AS dim, 744::BIGINT AS n UNION ALL SELECT 0, 1, 23 * 31 + 24 * 30 + 23 * 30 UNION ALL SELECT 0, 2, 2 * 23 * 30")
-def _(spark, d):
+#: From this mean value on an hour of a day belongs to the warm part of the grid, a mesh with a rim and holes.
+WARM = 45.0
+_WARM = _GRID.rstrip().replace(" ON i = vid), n AS", f" ON i = vid), w AS (SELECT vid FROM v WHERE value >= {WARM}), t AS (SELECT unnest([[i, i + 1, i + 25], [i, i + 24, i + 25]]) AS t FROM range(744) r(i) WHERE i % 24 < 23 AND i < 720), c AS (SELECT t FROM t WHERE t[1] IN (SELECT vid FROM w) AND t[2] IN (SELECT vid FROM w) AND t[3] IN (SELECT vid FROM w)), e AS (SELECT a, b, count(*) AS n FROM (SELECT unnest([t[1], t[1], t[2]]) AS a, unnest([t[2], t[3], t[3]]) AS b FROM c) GROUP BY a, b), n AS") + " "
+
+
+def warm_mesh(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The triangles of the grid of days and hours whose three values are WARM at least, and their vertices."""
     v, c, _ = day_hour_grid(spark, d)
-    return incidence.counts(v, c)
+    warm = v.where(F.col("value") >= WARM).select(F.col("vid").alias("w"))
+    corner = c.select("ds", "cid", "verts", F.explode("verts").alias("w")).join(warm, "w")
+    c = corner.groupBy("ds", "cid").agg(F.first("verts").alias("verts"), F.count("*").alias("n")).where("n = 3").drop("n")
+    return v.join(c.select(F.explode("verts").alias("vid")).distinct(), "vid", "left_semi"), c
+
+
+@_add("grid_incidence", _WARM + "SELECT 0::BIGINT AS ds, 0 AS dim, (SELECT count(*) FROM (SELECT a FROM e UNION SELECT b FROM e)) AS n UNION ALL SELECT 0, 1, count(*) FROM e UNION ALL SELECT 0, 2, count(*) FROM c")
+def _(spark, d):
+    return incidence.counts(*warm_mesh(spark, d))
 
 
 @_add("triangulation_request", "SELECT [x]::BIGINT[] AS face FROM (VALUES (31), (32), (55), (57), (80), (81)) t(x) WHERE false UNION ALL SELECT [least(a, b), greatest(a, b)] FROM (VALUES (31, 32), (32, 57), (57, 81), (80, 81), (55, 80), (31, 55)) t(a, b)")
@@ -388,16 +401,14 @@ def _(spark, d):
     return incidence.request(c, "link", [56])
 
 
-@_add("boundary_vertices", "SELECT 0::BIGINT AS ds, i AS vid FROM range(744) r(i) WHERE i % 24 IN (0, 23) OR i // 24 IN (0, 30)")
+@_add("boundary_vertices", _WARM + "SELECT DISTINCT 0::BIGINT AS ds, unnest([a, b]) AS vid FROM e WHERE n = 1")
 def _(spark, d):
-    _, c, _ = day_hour_grid(spark, d)
-    return incidence.boundary(c, 0).select("ds", F.col("face")[0].alias("vid"))
+    return incidence.boundary(warm_mesh(spark, d)[1], 0).select("ds", F.col("face")[0].alias("vid"))
 
 
-@_add("manifold_check", "SELECT 0::BIGINT AS ds, i AS vid, 1 AS components FROM range(744) r(i)")
+@_add("manifold_check", _WARM + "SELECT 0::BIGINT AS ds, k.vid, CAST(CASE WHEN edges = cells THEN 1 ELSE edges - cells END AS INTEGER) AS components FROM (SELECT vid, count(*) AS edges FROM (SELECT unnest([a, b]) AS vid FROM e) GROUP BY vid) k JOIN (SELECT vid, count(*) AS cells FROM (SELECT unnest(t) AS vid FROM c) GROUP BY vid) f ON f.vid = k.vid")
 def _(spark, d):
-    _, c, _ = day_hour_grid(spark, d)
-    return topology.manifold_check(c, 0).select("ds", F.col("face")[0].alias("vid"), "components")
+    return topology.manifold_check(warm_mesh(spark, d)[1], 0).select("ds", F.col("face")[0].alias("vid"), "components")
 
 
 @_add("discrete_gradient")
@@ -456,9 +467,9 @@ def _(spark, d):
     return meshing.barycentric_subdivision(v, c)[0].groupBy(F.col("parent_dim").alias("dim")).agg(F.count("*").alias("n"))
 
 
-@_add("mesh_subdivision", "SELECT 3 AS n, (3 * 2 * 23 * 30)::BIGINT AS cells")
+@_add("mesh_subdivision", _WARM + "SELECT 3 AS n, 3 * count(*) AS cells FROM c")
 def _(spark, d):
-    v, c, _ = day_hour_grid(spark, d)
+    v, c = warm_mesh(spark, d)
     return meshing.subdivide(v, c)[1].groupBy(F.lit(3).alias("n")).agg(F.count("*").alias("cells"))
 
 
@@ -476,11 +487,11 @@ def _(spark, d):
     return meshing.quadrangulation(topology.separatrices(g), topology.segmentation(v, incidence.neighbours(c)), g)
 
 
-@_add("interpolate_dataset", "SELECT i AS id, (i % 22 + 0.25)::DOUBLE AS x, (i // 22 + 0.5)::DOUBLE AS y, (2 * (i % 22 + 0.25) + 3 * (i // 22 + 0.5))::DOUBLE AS f FROM range(600) r(i)")
+@_add("interpolate_dataset", _GRID + "SELECT i AS id, (i % 22 + 0.25)::DOUBLE AS x, (i // 22 + 0.5)::DOUBLE AS y, round(0.5 * p.value + 0.25 * q.value + 0.25 * s.value, 9) AS f FROM range(600) r(i) JOIN v p ON p.vid = i % 22 + 24 * (i // 22) JOIN v q ON q.vid = p.vid + 24 JOIN v s ON s.vid = p.vid + 25")
 def _(spark, d):
     v, c, _ = day_hour_grid(spark, d)
     pts = spark.range(600).select("id", (F.col("id") % 22 + 0.25).alias("x"), (F.floor(F.col("id") / 22) + 0.5).alias("y"))
-    return rounded(columns.interpolate(pts, v.withColumn("f", 2 * F.col("x") + 3 * F.col("y")), c, ["f"], 2.0), "x", "y", "f")
+    return rounded(columns.interpolate(pts, v.withColumnRenamed("value", "f"), c, ["f"], 2.0), "x", "y", "f", digits=9)
 
 
 # ---------------------------------------------------------------- a volume with two fields
