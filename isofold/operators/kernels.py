@@ -28,6 +28,19 @@ class UnionFind:
         return a
 
 
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of each node's component under edges (a, b): roots meet the smaller of two, chains are halved."""
+    label = np.arange(n)
+    while len(a):
+        la, lb = label[a], label[b]
+        apart = la != lb
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(nxt := label[label], label):
+            label = nxt
+    return label
+
+
 def dense_order(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Rank of each vertex by (value, offset); NaN counts as 0."""
     order = np.lexsort((offsets, np.nan_to_num(values, nan=0.0)))
