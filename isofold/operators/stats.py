@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,25 +63,123 @@ def uncertainty(fields: DataFrame, bins: int = 10, vid: str = "vid", value: str
     return binned.withColumn("_bin", place).groupBy(vid).agg(F.min(v).alias("lower"), F.max(v).alias("upper"), F.avg(v).alias("mean"), *counts)
 
 
-def continuous_scatter(vertices: DataFrame, cells: DataFrame, u: str, v: str, resolution: tuple[int, int], samples: int = 4, dummy: float | None = None) -> DataFrame:
-    """(ds, px, py, density, hits): the volume of each ds's tetrahedra over a raster of its two fields' ranges.
+def continuous_scatter(vertices: DataFrame, cells: DataFrame, u: str, v: str, resolution: tuple[int, int], dummy: float | None = None) -> DataFrame:
+    """(ds, px, py, density, hits): the volume of each ds's tetrahedra over a raster of its two fields' ranges, and how many of them reach the pixel.
 
-    Each tetrahedron is split into equal parts at the points of a barycentric lattice of `samples` steps, and a part's volume goes to the pixel of
-    its centre; finer lattices come nearer the continuous density. Corners with the dummy value leave a tetrahedron out.
+    A tetrahedron's projection is a triangle or a quadrangle whose density is greatest where its longest fibre projects to, and falls linearly to nothing at the
+    rim: three or four triangles, clipped to each pixel of its box and integrated. One that projects to a line or a point is cut by its fields' values. All volume is
+    counted, once. Corners with the dummy value or without values leave a tetrahedron out.
     """
     w, h = resolution
     own = vertices.select("ds", "vid", "x", "y", "z", F.col(u).cast("double").alias("u"), F.col(v).cast("double").alias("v"))
     span = own.groupBy("ds").agg(F.min("u").alias("u_lo"), F.max("u").alias("u_hi"), F.min("v").alias("v_lo"), F.max("v").alias("v_hi"))
-    tets = cells.where(F.size("verts") == 4).select("ds", "cid", *(F.col("verts")[k].alias(f"vid{k}") for k in range(4)))
-    for k in range(4):
-        tets = tets.join(own.select("ds", *(F.col(c).alias(f"{c}{k}") for c in own.columns[1:])), ["ds", f"vid{k}"])
+    place = {n: F.coalesce(F.try_divide((F.col(n) - F.col(f"{n}_lo")) * size, F.col(f"{n}_hi") - F.col(f"{n}_lo")), F.when(F.col(n).isNotNull(), 0.0)) for n, size in (("u", w), ("v", h))}
+    at = own.join(span, "ds").select("ds", "vid", "x", "y", "z", F.col("u").alias("u0"), F.col("v").alias("v0"), place["u"].alias("u"), place["v"].alias("v"))
+    corner = cells.where(F.size("verts") == 4).select("ds", "cid", F.posexplode("verts").alias("p", "vid")).join(at, ["ds", "vid"])
+    held = F.col("u").isNotNull() & F.col("v").isNotNull()
     if dummy is not None:
-        tets = tets.where(" and ".join(f"u{k} <> {dummy} and v{k} <> {dummy}" for k in range(4)))
-    a, b, c = ([f"({x}{k} - {x}0)" for x in "xyz"] for k in (1, 2, 3))
-    volume = F.abs(F.expr(f"{a[0]} * ({b[1]} * {c[2]} - {b[2]} * {c[1]}) - {a[1]} * ({b[0]} * {c[2]} - {b[2]} * {c[0]}) + {a[2]} * ({b[0]} * {c[1]} - {b[1]} * {c[0]})")) / 6
-    weights = [(i + 0.25, j + 0.25, k + 0.25, samples - 1 - i - j - k + 0.25) for i in range(samples) for j in range(samples - i) for k in range(samples - i - j)]
-    lattice = F.array(*(F.array(*(F.lit(x / samples) for x in q)) for q in weights))
-    parts = tets.withColumn("volume", volume / len(weights)).join(span, "ds").withColumn("q", F.explode(lattice))
-    at = {n: sum((F.col("q")[k] * F.col(f"{n}{k}") for k in range(4)), F.lit(0.0)) for n in "uv"}
-    pixel = {n: F.coalesce(F.least(F.floor(F.try_divide((at[n] - F.col(f"{n}_lo")) * size, F.col(f"{n}_hi") - F.col(f"{n}_lo"))), F.lit(size - 1)), F.lit(0)) for n, size in (("u", w), ("v", h))}
-    return parts.select("ds", pixel["u"].alias("px"), pixel["v"].alias("py"), "volume").groupBy("ds", "px", "py").agg(F.sum("volume").alias("density"), F.count(F.lit(1)).alias("hits"))
+        held = held & (F.col("u0") != dummy) & (F.col("v0") != dummy)
+    c = F.array_sort(F.collect_list(F.struct("p", "x", "y", "z", "u", "v")))
+    tets = corner.groupBy("ds", "cid").agg(c.alias("c"), F.count(F.when(held, 1)).alias("n")).where("n = 4")
+    d = {(n, k): F.col("c")[k][n] - F.col("c")[0][n] for n in "xyz" for k in (1, 2, 3)}
+    volume = F.abs(d["x", 1] * (d["y", 2] * d["z", 3] - d["z", 2] * d["y", 3]) - d["y", 1] * (d["x", 2] * d["z", 3] - d["z", 2] * d["x", 3]) + d["z", 1] * (d["x", 2] * d["y", 3] - d["y", 2] * d["x", 3])) / 6
+
+    def pixels(n: str, size: int) -> Column:
+        values = F.transform("c", lambda k: k[n])
+        last = lambda x: F.least(F.floor(x), F.lit(size - 1))
+        return F.explode(F.sequence(last(F.array_min(values)), last(F.array_max(values))))
+
+    met = tets.select("ds", "c", volume.alias("volume"), pixels("u", w).alias("px")).select("*", pixels("v", h).alias("py"))
+    flat = met.select("ds", "px", "py", "volume", *(F.col("c")[k][n].alias(f"{n}{k}") for k in range(4) for n in "uv"))
+
+    def measured(batches):
+        for pdf in batches:
+            xy = pdf[[f"{n}{k}" for k in range(4) for n in "uv"]].to_numpy(float).reshape(-1, 4, 2)
+            pixel = pdf[["px", "py"]].to_numpy(float)
+            mass = np.concatenate([_pixel_volumes(xy[i : i + 8192], pixel[i : i + 8192], (w, h)) for i in range(0, len(pdf), 8192)] or [np.zeros(0)])
+            yield pd.DataFrame({"ds": pdf["ds"], "px": pdf["px"], "py": pdf["py"], "density": mass * pdf["volume"]})
+
+    parts = flat.mapInPandas(measured, "ds long, px long, py long, density double").where("density > 0")
+    return parts.groupBy("ds", "px", "py").agg(F.sum("density").alias("density"), F.count(F.lit(1)).alias("hits"))
+
+
+def _pixel_volumes(xy: np.ndarray, pixel: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """The share of each tetrahedron (n, 4 corners, 2 fields in pixels) that lies in its pixel (n, 2)."""
+    cross = lambda a, b: a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0]
+    # weights with sum 0 that balance the four projected corners: what has one sign meets what has the other at the peak
+    rest = ((1, 2, 3), (0, 2, 3), (0, 1, 3), (0, 1, 2))
+    weight = np.stack([(-1) ** i * cross(xy[:, b] - xy[:, a], xy[:, c] - xy[:, a]) for i, (a, b, c) in enumerate(rest)], 1)
+    scale = np.abs(weight).max(1)
+    extent = np.ptp(xy, axis=1)
+    thin = scale <= 1e-12 * np.maximum(extent.max(1) ** 2, 1e-300)
+    out = np.zeros(len(xy))
+    out[thin] = _thin_volumes(xy[thin], pixel[thin], size)
+    xy, pixel, weight = xy[~thin], pixel[~thin], weight[~thin]
+    plus = weight > 0
+    many = plus.sum(1)
+    share = np.where(plus, weight, 0)
+    peak = (share[:, :, None] * xy).sum(1) / share.sum(1)[:, None]
+    total, hull = np.zeros(len(xy)), np.zeros(len(xy))
+    for i in range(4):
+        for j in range(i + 1, 4):
+            # the rim runs between the signs if they are two and two, else among the three
+            rim = np.where(many == 2, plus[:, i] != plus[:, j], plus[:, i] == plus[:, j])
+            area = np.abs(cross(xy[:, i] - peak, xy[:, j] - peak)) / 2
+            hull += np.where(rim, area, 0)
+            used = np.flatnonzero(rim & (area > 0))
+            corners = np.stack((peak[used], xy[used, i], xy[used, j]), 1) - pixel[used, None, :]
+            height = np.broadcast_to(np.array([1.0, 0.0, 0.0])[None, :, None], (len(used), 3, 1))
+            total[used] += _clipped_mass(np.concatenate((corners, height), 2))
+    out[~thin] = 3 * total / hull
+    return out
+
+
+def _clipped_mass(poly: np.ndarray) -> np.ndarray:
+    """The integral of a linear height over each polygon's (n, k, (u, v, height)) part in the unit square."""
+    for axis, sign, bound in ((0, 1, 0.0), (0, -1, -1.0), (1, 1, 0.0), (1, -1, -1.0)):
+        nxt = np.roll(poly, -1, 1)
+        da, db = sign * poly[..., axis] - bound, sign * nxt[..., axis] - bound
+        crosses = (da < 0) != (db < 0)
+        on = poly + np.where(crosses, da / np.where(crosses, da - db, 1), 0)[..., None] * (nxt - poly)
+        slots = np.stack((on, nxt), 2).reshape(len(poly), 2 * poly.shape[1], 3)
+        there = np.stack((crosses, db >= 0), 2).reshape(len(poly), 2 * poly.shape[1])
+        # what isn't there repeats what comes before it, around the polygon
+        k = there.shape[1]
+        last = np.maximum.accumulate(np.where(there, np.arange(k), -1), 1)
+        last = np.where(last < 0, last[:, -1:], last)
+        poly = np.where(there.any(1)[:, None, None], np.take_along_axis(slots, np.maximum(last, 0)[..., None], 1), 0.0)
+    a, b, c = poly[:, :1], poly[:, 1:-1], poly[:, 2:]
+    area = np.abs((b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0])) / 2
+    return (area * (a[..., 2] + b[..., 2] + c[..., 2]) / 3).sum(1)
+
+
+def _below(t: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The share of a tetrahedron where a field is at most x; t (n, 4) are its sorted values at the corners."""
+    t0, t1, t2, t3 = t.T
+    s = lambda a, b: np.clip((x - a) / np.where(b > a, b - a, 1), 0, 1)
+    two = s(t1, t2) * s(t1, t3) + s(t0, t2) * s(t1, t3) * (1 - s(t1, t2)) + s(t0, t2) * s(t0, t3) * (1 - s(t1, t3))
+    one, three = s(t0, t1) * s(t0, t2) * s(t0, t3), 1 - (1 - s(t0, t3)) * (1 - s(t1, t3)) * (1 - s(t2, t3))
+    return np.select([x < t0, x < t1, x < t2, x < t3], [np.zeros_like(x), one, two, three], 1.0)
+
+
+def _thin_volumes(xy: np.ndarray, pixel: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """As `_pixel_volumes` where the corners project to a line or a point."""
+    n = np.arange(len(xy))
+    extent = np.ptp(xy, axis=1)
+    main = (extent[:, 1] > extent[:, 0]).astype(int)
+    t, other = xy[n, :, main], xy[n, :, 1 - main]
+    lo, hi = pixel[n, main], pixel[n, main] + 1
+    limit = np.array(size, float)
+    a, b = t.argmin(1), t.argmax(1)
+    flat = (extent[n, 1 - main] <= 1e-12 * extent[n, main]) | (extent[n, main] == 0)
+    slope = (other[n, b] - other[n, a]) / np.where(t[n, b] > t[n, a], t[n, b] - t[n, a], 1)
+    back = lambda y: t[n, a] + (y - other[n, a]) / np.where(flat, 1, slope)
+    e0, e1 = back(pixel[n, 1 - main]), back(pixel[n, 1 - main] + 1)
+    lo = np.where(flat, lo, np.maximum(lo, np.minimum(e0, e1)))
+    hi = np.where(flat, hi, np.minimum(hi, np.maximum(e0, e1)))
+    here = ~flat | (np.minimum(np.floor(other[n, a]), limit[1 - main] - 1) == pixel[n, 1 - main])
+    t = np.sort(t, 1)
+    share = np.where(hi > lo, _below(t, hi) - _below(t, lo), 0.0)
+    point = t[:, 0] == t[:, 3]
+    share = np.where(point, np.minimum(np.floor(t[:, 0]), limit[main] - 1) == pixel[n, main], share)
+    return np.where(here, share, 0.0)

@@ -78,6 +78,18 @@ s AS (SELECT 0::BIGINT AS ds, x.vid, x.lo, y.hi FROM (SELECT d.vid, min_by(v.vid
     "reeb_graph": f"""WITH RECURSIVE {_GRID}, h AS (SELECT vid, least(CAST(floor((value - (SELECT min(value) FROM v)) * 16 / ((SELECT max(value) FROM v) - (SELECT min(value) FROM v))) AS BIGINT), 15) AS slab FROM v),
 e AS (SELECT n.a, n.b FROM n JOIN h x ON x.vid = n.a JOIN h y ON y.vid = n.b WHERE x.slab = y.slab), c(vid, o) AS (SELECT vid, vid FROM h UNION SELECT e.b, c.o FROM c JOIN e ON e.a = c.vid),
 l AS (SELECT vid, min(o) AS component FROM c GROUP BY vid) SELECT 0::BIGINT AS ds, slab, component, count(*) AS n FROM h JOIN l ON h.vid = l.vid GROUP BY slab, component""",
+    "torus_reeb_nodes": """WITH RECURSIVE m AS (SELECT CAST(hour(ts) + 24 * dayofweek(ts) AS BIGINT) AS vid, round(avg(value), 6) AS value FROM events GROUP BY 1),
+v AS (SELECT i AS vid, coalesce(value, 0) AS value, row_number() OVER (ORDER BY coalesce(value, 0), i) - 1 AS r FROM range(168) g(i) LEFT JOIN m ON vid = i),
+q AS (SELECT i AS a, (i % 24 + 1) % 24 + 24 * (i // 24) AS b, (i % 24 + 1) % 24 + 24 * ((i // 24 + 1) % 7) AS c, i % 24 + 24 * ((i // 24 + 1) % 7) AS d FROM range(168) g(i)),
+f AS (SELECT list_sort([x.r, y.r, z.r]) AS p FROM (SELECT a, b, c FROM q UNION ALL SELECT a, d, c FROM q) t JOIN v x ON x.vid = t.a JOIN v y ON y.vid = t.b JOIN v z ON z.vid = t.c),
+e AS (SELECT DISTINCT unnest([{'lo': p[1], 'hi': p[2]}, {'lo': p[1], 'hi': p[3]}, {'lo': p[2], 'hi': p[3]}], recursive := true) FROM f),
+k AS (SELECT i AS r, lo * 168 + hi AS e FROM e JOIN range(168) g(i) ON lo <= i AND i < hi),
+l AS (SELECT i AS r, p[1] * 168 + p[3] AS x, CASE WHEN i < p[2] THEN p[1] * 168 + p[2] ELSE p[2] * 168 + p[3] END AS y FROM f JOIN range(168) g(i) ON p[1] <= i AND i < p[3]),
+b AS (SELECT r, x, y FROM l UNION SELECT r, y, x FROM l), w(r, e, o) AS (SELECT r, e, e FROM k UNION SELECT w.r, b.y, w.o FROM w JOIN b ON b.r = w.r AND b.x = w.e),
+c AS (SELECT r, e, min(o) AS part FROM w GROUP BY r, e),
+t AS (SELECT lo AS r, lo * 168 + hi AS e FROM e UNION SELECT hi, lo * 168 + hi FROM e UNION SELECT p[2], p[1] * 168 + p[3] FROM f),
+n AS (SELECT v.vid, v.value, count(DISTINCT x.part) AS down, count(DISTINCT y.part) AS up FROM v JOIN t ON t.r = v.r LEFT JOIN c x ON x.r = v.r - 1 AND x.e = t.e LEFT JOIN c y ON y.r = v.r AND y.e = t.e GROUP BY ALL)
+SELECT 0::BIGINT AS ds, vid AS "NodeId", vid AS "VertexId", CASE WHEN down = 0 THEN 0 WHEN up = 0 THEN 3 WHEN down > 1 AND up > 1 THEN 4 WHEN down > 1 THEN 1 ELSE 2 END AS "CriticalType", value AS "Scalar", down, up FROM n WHERE NOT (down = 1 AND up = 1)""",
     "smooth_geometry": f"""WITH {_GRID}, s0 AS (SELECT vid, (vid % 24)::DOUBLE AS x, (vid // 24)::DOUBLE AS y FROM v), s1 AS ({_MEANS.format("s0")}), s2 AS ({_MEANS.format("s1")})
 SELECT 0::BIGINT AS ds, vid, round(x, 6) AS x, round(y, 6) AS y, 0.0::DOUBLE AS z FROM s2""",
 }

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import storage
-from ..operators import bivariate, columns, diagrams, fields, graph, incidence, mergetrees, meshing, separatrices, sql, stats, topology, tracking, trees
+from ..operators import bivariate, columns, diagrams, fields, graph, incidence, mergetrees, meshing, reeb, separatrices, sql, stats, topology, tracking, trees
 from ..sources import catalogue, generators, meshes
 from . import oracles
 
@@ -435,6 +435,26 @@ def _(spark, d):
     return topology.reeb_graph(v, c, 16)["nodes"]
 
 
+def week_torus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Mean values of events by weekday and hour, both of which begin again: a torus of 24 by 7."""
+    m = table(spark, d, "events").groupBy((F.hour("ts") + 24 * (F.dayofweek("ts") - 1)).cast("long").alias("vid")).agg(F.round(F.avg("value"), 6).alias("value"))
+    v = spark.range(168).select(F.lit(0).cast("long").alias("ds"), F.col("id").alias("vid")).join(m, "vid", "left").select("ds", "vid", F.coalesce("value", F.lit(0.0)).alias("value"))
+    at = lambda i, j: (F.col("id") % 24 + i) % 24 + 24 * ((F.expr("id div 24") + j) % 7)
+    sides = F.array(*(F.array(at(0, 0), at(*k), at(1, 1)) for k in ((1, 0), (0, 1))))
+    c = spark.range(168).select(F.lit(0).cast("long").alias("ds"), "id", F.posexplode(sides).alias("k", "verts")).select("ds", (F.col("id") * 2 + F.col("k")).alias("cid"), "verts")
+    return v, c
+
+
+@_add("torus_reeb_nodes")
+def _(spark, d):
+    return reeb.reeb_graph(*week_torus(spark, d))["nodes"]
+
+
+@_add("torus_reeb_arcs")
+def _(spark, d):
+    return rounded(reeb.reeb_graph(*week_torus(spark, d))["arcs"].drop("SegmentationId"), "RegionSpan")
+
+
 @_add("mandatory_critical_points")
 def _(spark, d):
     _, c, g = day_hour_grid(spark, d)

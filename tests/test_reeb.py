@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from isofold.operators import kernels, reeb
+from isofold.plans import registry
 
 
 def torus(h, d):
@@ -124,3 +125,12 @@ def test_a_torus_has_one_loop(tables):
 def test_empty(spark, tables):
     v, c = (t.limit(0) for t in tables)
     assert all(t.count() == 0 for t in reeb.reeb_graph(v, c).values())
+
+
+def test_the_registered_torus(spark, sf):
+    v, c = registry.week_torus(spark, sf)
+    values = [r["value"] for r in v.orderBy("vid").collect()]
+    arcs, nodes = plain(values, [tuple(r["verts"]) for r in c.collect()])
+    got = registry.QUERIES["torus_reeb_arcs"](spark, sf).collect()
+    assert sorted((r["downNodeId"], r["upNodeId"], r["RegionSize"]) for r in got) == sorted((lo, hi, len(inner)) for lo, hi, inner in arcs)
+    assert len(got) - len(nodes) == 0 and all(abs(r["RegionSpan"] - (values[r["upNodeId"]] - values[r["downNodeId"]])) < 1e-5 for r in got)
