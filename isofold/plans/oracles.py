@@ -82,7 +82,7 @@ l AS (SELECT vid, min(o) AS component FROM c GROUP BY vid) SELECT 0::BIGINT AS d
 v AS (SELECT i AS vid, coalesce(value, 0) AS value, row_number() OVER (ORDER BY coalesce(value, 0), i) - 1 AS r FROM range(168) g(i) LEFT JOIN m ON vid = i),
 q AS (SELECT i AS a, (i % 24 + 1) % 24 + 24 * (i // 24) AS b, (i % 24 + 1) % 24 + 24 * ((i // 24 + 1) % 7) AS c, i % 24 + 24 * ((i // 24 + 1) % 7) AS d FROM range(168) g(i)),
 f AS (SELECT list_sort([x.r, y.r, z.r]) AS p FROM (SELECT a, b, c FROM q UNION ALL SELECT a, d, c FROM q) t JOIN v x ON x.vid = t.a JOIN v y ON y.vid = t.b JOIN v z ON z.vid = t.c),
-e AS (SELECT DISTINCT unnest([{'lo': p[1], 'hi': p[2]}, {'lo': p[1], 'hi': p[3]}, {'lo': p[2], 'hi': p[3]}], recursive := true) FROM f),
+e AS (SELECT p[1] AS lo, p[2] AS hi FROM f UNION SELECT p[1], p[3] FROM f UNION SELECT p[2], p[3] FROM f),
 k AS (SELECT i AS r, lo * 168 + hi AS e FROM e JOIN range(168) g(i) ON lo <= i AND i < hi),
 l AS (SELECT i AS r, p[1] * 168 + p[3] AS x, CASE WHEN i < p[2] THEN p[1] * 168 + p[2] ELSE p[2] * 168 + p[3] END AS y FROM f JOIN range(168) g(i) ON p[1] <= i AND i < p[3]),
 b AS (SELECT r, x, y FROM l UNION SELECT r, y, x FROM l), w(r, e, o) AS (SELECT r, e, e FROM k UNION SELECT w.r, b.y, w.o FROM w JOIN b ON b.r = w.r AND b.x = w.e),
