@@ -11,6 +11,7 @@ nothing keeps: values are then linked within that session alone.
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import ipaddress
 import math
@@ -20,6 +21,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,10 +91,17 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
+#: Spaces that part groups of a number.
+_SPACE = " \u00a0\u2009\u202f"
+
+
 def _card(s: str, permute) -> str | None:
+    """One line end may stand in a number. With it or with dots the first digit is that of a bank card: such groups of four are often years or amounts."""
     d = _digits(s)
     if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or len(set(d)) == 1:
         return None
+    if s.count("\n") > 1 or ("\n" in s or "." in s) and d[0] not in "3456":
+        return None
     # the first digit, the issuer's industry, stays
     n = len(d) - 2
     body = d[0] + str(permute("card", int(d[1:-1]), 10**n)).zfill(n)
@@ -108,6 +117,8 @@ NATIONAL = {
 
 
 def _phone(s: str, permute) -> str | None:
+    """A zero in brackets, dialled within the country only, isn't part of the number and stays."""
+    s = s.replace("(0)", "(\0)")
     d = _digits(s)
     keep = 0
     if s.startswith("+"):
@@ -115,17 +126,17 @@ def _phone(s: str, permute) -> str | None:
         if code is None and not 8 <= len(d) <= 15 or code is not None and len(d) - len(code) not in NATIONAL[code]:
             return None
         keep = len(code or "0")
-    elif len(d) != 10:
+    elif len(d) != 10 and not (len(d) == 11 and d[0] == "1"):
         return None
     keep = max(keep, len(d) - 10)
     n = len(d) - keep
-    # a code that is known stays known, and one that isn't stays so: walk on until the number reads as it did
+    # a code that is known stays known, and one that isn't stays so, and a number that may be written with spaces alone stays one: walk on until it reads as it did
     shape, x = d[:keep], int(d[keep:])
     while True:
         x = permute("phone", x, 10**n)
         new = shape + str(x).zfill(n)
-        if not s.startswith("+") or next((new[:k] for k in (1, 2, 3) if new[:k] in NATIONAL), None) == code:
-            return _refilled(s, new)
+        if (new[keep] > "1") == (d[keep] > "1") and (not s.startswith("+") or next((new[:k] for k in (1, 2, 3) if new[:k] in NATIONAL), None) == code):
+            return _refilled(s, new).replace("(\0)", "(0)")
 
 
 def _ip(s: str, permute) -> str | None:
@@ -179,21 +190,37 @@ def _iban_check(country: str, body: str) -> str:
 
 
 def _iban(s: str, permute) -> str | None:
-    flat = s.replace(" ", "")
+    """Capital and small forms are one value; small ones are of countries with a known length."""
+    flat = re.sub(f"[{_SPACE}]", "", s).upper()
     country, body = flat[:2], flat[4:]
+    if country not in IBAN_LENGTHS and s[:2] != country:
+        return None
     if len(flat) != IBAN_LENGTHS.get(country, len(flat)) or not 15 <= len(flat) <= 34 or _iban_check(country, body) != flat[2:4]:
         return None
     body = _by_class("iban", body, permute)
     it = iter(country + _iban_check(country, body) + body)
-    return "".join(c if c == " " else next(it) for c in s)
+    return "".join(c if c in _SPACE else next(it).lower() if c != c.upper() else next(it) for c in s)
 
 
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+@functools.lru_cache(1024)
+def _letters(block: int) -> str:
+    """The small letters, or letters without case, among 128 code points; those without a capital that leads back to them are left out."""
+    chars = map(chr, range(block * 128, block * 128 + 128))
+    return "".join(c for c in chars if c.isalpha() and c.lower() == c and len(c.upper()) == 1 and c.upper().lower() == c)
+
+
+def _class(c: str) -> str:
+    if ord(c) > 127:
+        return found if c in (found := _letters(ord(c) // 128)) else ""
+    return next((x for x in _CLASSES if c in x), "")
+
+
 def _by_class(tweak: str, s: str, permute) -> str:
-    """Digits to digits, small letters to small, capitals to capitals, all at once; other characters stay."""
-    sets = [next((c for c in _CLASSES if x in c), "") for x in s]
+    """Digits to digits, small letters to small, capitals to capitals, others of 128 neighbours to one another, all at once; what isn't a letter stays."""
+    sets = [_class(x) for x in s]
     n, x = 1, 0
     for c, alphabet in zip(s, sets):
         if alphabet:
@@ -221,10 +248,15 @@ def _public(domain: str) -> bool:
     return any(".".join(parts[i:]) in PUBLIC_DOMAINS for i in range(len(parts)))
 
 
+def _small(c: str) -> str:
+    """The small form of a letter whose capital leads back to it."""
+    return low if len(low := c.lower()) == 1 and low.upper() == c else c
+
+
 def _email(s: str, permute) -> str | None:
-    """Capital and small forms of an address are one value: the small one is permuted, and capitals stand where they stood."""
-    local, _, domain = s.lower().rpartition("@")
-    new = _by_class("email", local, permute)
+    """Capital and small forms of an address are one value: the small one is permuted, and capitals stand where they stood. Parts of any length, by 64 characters."""
+    local, _, domain = "".join(map(_small, s)).rpartition("@")
+    new = "".join(_by_class("email", local[i : i + 64], permute) for i in range(0, len(local), 64))
     if not _public(domain):
         name, _, last = domain.rpartition(".")
         while True:
@@ -232,7 +264,7 @@ def _email(s: str, permute) -> str | None:
             if not _public(f"{name}.{last}"):
                 break
         domain = f"{name}.{last}"
-    return "".join(c.upper() if was != was.lower() else c for c, was in zip(f"{new}@{domain}", s))
+    return "".join(c.upper() if was != _small(was) else c for c, was in zip(f"{new}@{domain}", s))
 
 
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -263,7 +295,30 @@ def _date(s: str, permute) -> str | None:
     return values[order[0]] + seps[0] + values[order[1]] + seps[1] + values[order[2]]
 
 
+#: How access tokens of known services begin, and what follows.
+TOKENS = (
+    ("AKIA", "[0-9A-Z]{16}"),
+    ("ASIA", "[0-9A-Z]{16}"),
+    ("ghp_", "[0-9A-Za-z]{36,255}"),
+    ("gho_", "[0-9A-Za-z]{36,255}"),
+    ("ghu_", "[0-9A-Za-z]{36,255}"),
+    ("ghs_", "[0-9A-Za-z]{36,255}"),
+    ("ghr_", "[0-9A-Za-z]{36,255}"),
+    ("github_pat_", "[0-9A-Za-z_]{22,255}"),
+    ("glpat-", "[0-9A-Za-z_-]{20,255}"),
+    ("xoxb-", "[0-9A-Za-z-]{10,255}"),
+    ("xoxp-", "[0-9A-Za-z-]{10,255}"),
+    ("AIza", "[0-9A-Za-z_-]{35}"),
+    ("sk-", "[0-9A-Za-z_-]{20,255}"),
+    ("sk_live_", "[0-9A-Za-z]{16,255}"),
+)
+
+
 def _secret(s: str, permute) -> str | None:
+    head = next((head for head, _ in TOKENS if s.startswith(head)), None)
+    if head is not None:
+        # words with a hyphen may begin as tokens do, but hold no digits
+        return head + _by_class("token", s[len(head) :], permute) if head.isupper() or any(c in "0123456789" for c in s) else None
     if len(set(s)) < 6:
         return None
     alphabet = "0123456789abcdef" if s == s.lower() else "0123456789ABCDEF"
@@ -271,25 +326,38 @@ def _secret(s: str, permute) -> str | None:
     return f"{x:0{len(s)}x}".translate(str.maketrans("abcdef", alphabet[10:]))
 
 
+#: What the local part of an address is made of; it begins where none of these stands before.
+_LOCAL = r"[\w.%+'\u0300-\u036f-]"
+_TOKEN = "|".join(head + body for head, body in TOKENS)
+#: What parts groups: of a phone number, and of a card's.
+_PART, _SPLIT = f"[{_SPACE}.-]", f"(?:[{_SPACE}.-]|[{_SPACE}.-]?\\r?\\n)"
 #: (kind, pattern, how it is validated and replaced), in order of precedence at one place.
 KINDS: list[tuple[str, str, Callable]] = [
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])", _email),
-    ("secret", r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])", _secret),
-    ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])", _iban),
+    ("email", rf"(?<!{_LOCAL}){_LOCAL}+@(?:[\w-]{{1,63}}\.){{1,8}}(?:[^\W\d_]{{2,24}}|xn--[0-9a-z-]{{2,59}})(?![^\W_])", _email),
+    ("secret", rf"(?<![0-9A-Za-z])(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}|{_TOKEN})(?![0-9A-Za-z])", _secret),
+    ("iban", rf"(?<![0-9A-Za-z])(?:[A-Z]{{2}}[0-9]{{2}}(?:[{_SPACE}]?[A-Z0-9]{{4}}){{2,7}}(?:[{_SPACE}]?[A-Z0-9]{{1,3}})?|[a-z]{{2}}[0-9]{{2}}(?:[{_SPACE}]?[a-z0-9]{{4}}){{2,7}}(?:[{_SPACE}]?[a-z0-9]{{1,3}})?)(?![0-9A-Za-z])", _iban),
     ("ipv6", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9])", _ipv6),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", _ip),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}(?P<sep1>[-/.])[0-9]{2}(?P=sep1)[0-9]{2}|[0-9]{2}(?P<sep2>[-/.])[0-9]{2}(?P=sep2)[0-9]{4})(?![0-9]|[./-][0-9])", _date),
-    ("ssn", r"(?<![0-9-])[0-9]{3}(?P<sep3>[- ])[0-9]{2}(?P=sep3)[0-9]{4}(?![0-9]|-[0-9])", _ssn),
-    ("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])", _phone),
-    ("card", r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])", _card),
+    ("ssn", rf"(?<![0-9-])[0-9]{{3}}(?P<sep3>[-{_SPACE}])[0-9]{{2}}(?P=sep3)[0-9]{{4}}(?![0-9]|-[0-9])", _ssn),
+    (
+        "phone",
+        rf"(?<![0-9A-Za-z+])(?:\+[0-9]{{1,3}}{_PART}?)?(?:\([0-9]{{3}}\)[{_SPACE}]?|[0-9]{{3}}[.-])[0-9]{{3}}{_PART}[0-9]{{4}}(?![0-9])"
+        rf"|(?<![0-9A-Za-z+])\+[0-9]{{1,3}}(?:{_PART}?\(0\))?(?:{_PART}?[0-9]{{2,4}}){{2,5}}(?![0-9])"
+        rf"|(?<![0-9A-Za-z+])(?<![0-9][{_SPACE}])(?:1[{_SPACE}])?[2-9][0-9]{{2}}[{_SPACE}][0-9]{{3}}[{_SPACE}][0-9]{{4}}(?![0-9A-Za-z]|[{_SPACE}][0-9])",
+        _phone,
+    ),
+    ("card", rf"(?<![0-9])(?:[0-9]{{13,19}}|[0-9]{{4}}(?:{_SPLIT}[0-9]{{4}}){{2,3}}(?:{_SPLIT}[0-9]{{1,4}})?|[0-9]{{4}}{_SPLIT}[0-9]{{6}}{_SPLIT}[0-9]{{5}})(?![0-9])", _card),
 ]
 _KINDS = [(k, re.compile(p), f) for k, p, f in KINDS]
 #: Where a value of any kind may begin.
-_BEGIN = re.compile(r"(?<![0-9A-Za-z])[0-9A-Za-z+(]|(?<=[A-Za-z])[0-9]|(?<![0-9A-Za-z:.])::")
+_BEGIN = re.compile(rf"(?<![0-9A-Za-z])[0-9A-Za-z+(]|(?<=[A-Za-z])[0-9]|(?<![0-9A-Za-z:.])::|(?<!{_LOCAL}){_LOCAL}")
 #: Where a value of groups may end earlier than its pattern took it.
-_GROUP = re.compile(r"[ .-]+(?=[0-9A-Z])")
+_GROUP = re.compile(rf"[{_SPACE}.\r\n-]+(?=[0-9A-Za-z])")
 _GROUPED = {"card", "phone", "iban"}
-_RUN = re.compile(r"(?<!\S)\S*[0-9@]\S*(?: (?:\S*[0-9@]\S*|[A-Z]{4}(?!\S)))*")
+#: A text without any of these holds no value.
+_HINT = "[0-9@]|" + "|".join(head for head, _ in TOKENS)
+_RUN = re.compile(rf"(?<!\S)\S*(?:{_HINT})\S*(?:(?:[{_SPACE}]|\r?\n)(?:\S*(?:{_HINT})\S*|[A-Za-z]{{4}}(?!\S)))*")
 
 
 class Pseudonymizer:
@@ -338,16 +406,17 @@ class Pseudonymizer:
                 done = at = end
             return "".join([*out, run[done:]]) if out else run
 
-        # words with a digit or at sign, and such words in a row, are all that can hold a value
+        # words with a hint, and such words in a row, are all that can hold a value
         return _RUN.sub(values, text), counts
 
 
 def pseudonymized(docs: DataFrame, key: bytes | None = None, back: bool = False, counts: str | None = "pii_counts") -> DataFrame:
     """docs with its text pseudonymised, and in a column of the name `counts`, if any, a map from kind to the number of values replaced.
 
-    Emails, hexadecimal secrets, IBANs, IPv4 and IPv6 addresses, dates, social security, phone and card numbers that are valid in their kind. Of
+    Emails (letters of any script), hexadecimal secrets and access tokens of known services, IBANs, IPv4 and IPv6 addresses, dates, social security, phone and card numbers that are valid in their kind. Of
     what a place may hold the first kind with a valid form wins, by its longest form; what fails validation stays as it is, and so do
-    social security numbers without separators, which any nine digits look like. Mail domains of the public stay. Null texts stay null; other
+    social security numbers without separators, which any nine digits look like, and phone numbers with spaces alone (555 123 4567) that begin with 0 or 1
+    or stand among other numbers. Letters may touch a card's digits. Mail domains of the public stay. Null texts stay null; other
     columns, ids and repeated rows are as they were, but a column of docs of the name `counts` is replaced. One pass, no shuffle.
     """
     key = session_key(docs.sparkSession) if key is None else key
@@ -355,9 +424,6 @@ def pseudonymized(docs: DataFrame, key: bytes | None = None, back: bool = False,
     place = docs.columns.index("text")
     names = [f"c{i}" for i in range(len(docs.columns))]
     own = docs.toDF(*names).withColumn(names[place], F.col(names[place]).cast("string"))
-    marks = np.zeros(256, np.int32)
-    marks[0x30:0x3A] = 1
-    marks[0x40] = 1
     last = [] if counts is None else [T.StructField("counts", T.MapType(T.StringType(), T.LongType()))]
 
     def run(batches):
@@ -367,11 +433,7 @@ def pseudonymized(docs: DataFrame, key: bytes | None = None, back: bool = False,
             for lo, hi in slices(bytes_, 4_000_000):
                 batch = whole.slice(lo, hi - lo)
                 column = batch.column(place)
-                buf, offsets = text_buffer(column)
-                has = np.zeros(batch.num_rows, bool)
-                filled = np.flatnonzero(np.diff(offsets))
-                if len(filled):
-                    has[filled] = np.add.reduceat(marks[buf], offsets[filled]) > 0
+                has = pc.fill_null(pc.match_substring_regex(column, _HINT), False).to_numpy(zero_copy_only=False)
                 texts = column.to_pylist() if has.any() else None
                 found: list = [{}] * batch.num_rows
                 if texts:

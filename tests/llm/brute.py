@@ -98,7 +98,8 @@ def pseudonymized(text, key, kinds):
                 continue
             ends = [m.end()]
             if kind in ("card", "iban") or kind == "phone" and text[at] == "+":
-                ends += [e for e in range(m.end() - 1, at, -1) if text[e] in " .-" and text[e - 1] not in " .-" and re.match("[0-9A-Z]", text[e:].lstrip(" .-"))]
+                parts = " \u00a0\u2009\u202f.-\r\n"
+                ends += [e for e in range(m.end() - 1, at, -1) if text[e] in parts and text[e - 1] not in parts and re.match("[0-9A-Za-z]", text[e:].lstrip(parts))]
             for end in ends:
                 new = become(text[at:end], lambda tweak, x, n: feistel(key, tweak, x, n))
                 if new is not None and not found:

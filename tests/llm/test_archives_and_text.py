@@ -224,6 +224,18 @@ def test_pseudonyms_table(odd_docs, no_docs, spark):
         ("ssn 078 05 1120 but 000 05 1120", {"ssn": 1}),
         ("192.168.100.1.", {"ip": 1}),
         ("mail <jo@own-domain.fr>; JO@OWN-DOMAIN.FR", {"email": 2}),
+        ("call 555 123 4567 or 1 555 123 4567, not 12 555 123 4567", {"phone": 2}),
+        ("tel +49 (0)30 1234567 and +44 (0)20 7946 0958", {"phone": 2}),
+        ("4111\u00a01111\u00a01111\u00a01111 4111.1111.1111.1111 4111 1111\n1111 1111", {"card": 3}),
+        ("years 2001.2002.2003.2000 and 4111\n1111\n1111\n1111 or 2221\n0000 0000 0009", {}),
+        ("de89370400440532013000 and gb82 west 1234 5698 7654 32 that", {"iban": 2}),
+        ("de89\u00a03704\u00a00044\u00a00532\u00a00130\u00a000", {"iban": 1}),
+        ("user@bücher.de josé.garcia@acme.com jose\u0301@acme.com o'neil@acme.com", {"email": 4}),
+        ("иван.петров@почта.рф Straße@x.de İx@firm.com.tr", {"email": 3}),
+        ("a" * 300 + "." + "b7" * 40 + "@mail.acme.com", {"email": 1}),
+        ("id AKIA" + "QWERTYUIOPASDFGH and ghp_" + "a1B2c3" * 6 + " sk-" + "abc123" * 5, {"secret": 3}),
+        ("sk-learn-and-other-words-here, AKIASHORT, ghp_short1", {}),
+        ("x4111111111111111x", {"card": 1}),
     ],
 )
 def test_longest_valid_forms(text, kinds):
@@ -240,6 +252,11 @@ def test_equal_values_stay_linked():
     assert new("Jo.Doe@Firm.org").lower() == new("jo.doe@firm.org") and "firm" not in new("jo.doe@firm.org")
     assert new("jo@gmail.com").endswith("@gmail.com")
     assert new("2001:DB8:0:0:1:0:0:1") == new("2001:db8::1:0:0:1")
+    assert new("+49 (0)30 1234567").replace("(0)", "") == new("+49 30 1234567") and "1234567" not in new("+49 (0)30 1234567")
+    assert new("(555) 123-4567")[1:] == new("555 123 4567")[:3] + ") " + new("555 123 4567")[4:7] + "-" + new("555 123 4567")[8:]
+    assert new("de89 3704 0044 0532 0130 00").upper().replace(" ", "") == new("DE89370400440532013000")
+    assert not any(part in new("josé.garcia@bücher.de") for part in ("josé", "garcia", "bücher", "é", "ü"))
+    assert new("JOSÉ@ACME.COM").lower() == new("josé@acme.com")
     assert new("(555) 123-4567")[1:4] == new("+1 555 123 4567")[3:6]
 
 
@@ -268,6 +285,14 @@ def test_pseudonyms_query_equals_plain(spark, sf):
     assert some > 3
 
 
+def test_tokens_without_digits_and_long_texts(spark):
+    """A text without digits or at signs is looked at for tokens; long words are read once."""
+    docs = spark.createDataFrame([(1, "key AKIA" + "ABCDEFGH" * 2), (2, "a." * 500_000 + "1"), (3, "no value")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pseudonyms.pseudonymized(docs, b"k").collect()}
+    assert got[1]["pii_counts"] == {"secret": 1} and got[1]["text"].startswith("key AKIA") and "ABCDEFGH" not in got[1]["text"]
+    assert got[2]["pii_counts"] == {} == got[3]["pii_counts"] and got[2]["text"] == "a." * 500_000 + "1"
+
+
 def test_pseudonyms_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a@b.fr", 5, "x")], "doc_id long, text string, pii_counts int, `c1.d` string")
     assert pseudonyms.pseudonymized(docs, b"k").columns == ["doc_id", "text", "c1.d", "pii_counts"]
