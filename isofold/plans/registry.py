@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import storage
-from ..operators import bivariate, columns, diagrams, fields, graph, incidence, mergetrees, meshing, reeb, separatrices, sql, stats, topology, tracking, trees
+from ..operators import bivariate, columns, diagrams, fields, graph, incidence, lifted, mergetrees, meshing, reeb, separatrices, sql, stats, topology, tracking, trees
 from ..sources import catalogue, generators, meshes
 from . import oracles
 
@@ -698,6 +698,47 @@ def _(spark, d):
     return rounded(diagrams.distance_matrix(diagrams.constrained(topology.persistence_diagram(*_daily(spark, d))), kind="bottleneck"), "dist")
 
 
+def hourly_grids(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Mean values of each day by hour and ten minutes, on grids of 24 by 6; no events is 0."""
+    g = incidence.Grid(24, 6)
+    day, at = F.dayofmonth("ts").cast("long").alias("ds"), (F.hour("ts") + 24 * F.floor(F.minute("ts") / 10)).cast("long").alias("vid")
+    m = storage.settled(table(spark, d, "events").groupBy(day, at).agg(F.round(F.avg("value"), 6).alias("value")), "slots")
+    days = m.select(F.col("ds").alias("_ds")).distinct().agg(F.sort_array(F.collect_list("_ds")).alias("days")).first()["days"]  # 31 at most
+    each = F.explode(F.array(*(F.lit(x) for x in days)) if days else F.expr("array_repeat(0L, 0)")).alias("ds")
+    v = g.vertices(spark).select(each, "vid", "x", "y", "z").join(m, ["ds", "vid"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return v, g.cells(spark).select(each, "cid", "verts")
+
+
+#: Places count a twentieth an hour or slot.
+PLACES = lifted.Weights(1.0, 0.5, 0.05, 0.05, 0.0)
+
+
+def daily_pairs(spark: SparkSession, d: str) -> DataFrame:
+    v, c = hourly_grids(spark, d)
+    v = storage.settled(v, "grids")
+    return storage.settled(lifted.lifted(diagrams.constrained(topology.persistence_diagram(v, c, dim=2)), v), "pairs")
+
+
+@_add("lifted_wasserstein")
+def _(spark, d):
+    return rounded(lifted.distance_matrix(daily_pairs(spark, d), PLACES), "dist")
+
+
+@_add("lifted_bottleneck")
+def _(spark, d):
+    return rounded(lifted.distance_matrix(daily_pairs(spark, d), PLACES, float("inf")), "dist")
+
+
+@_add("tracking_lifted")
+def _(spark, d):
+    return lifted.merged(storage.settled(lifted.tracks(daily_pairs(spark, d), PLACES), "tracks"), 1.5)
+
+
+@_add("tracking_meetings")
+def _(spark, d):
+    return rounded(lifted.meetings(storage.settled(lifted.tracks(daily_pairs(spark, d), PLACES), "tracks"), 1.5), "distance")
+
+
 @_add("diagram_clusters")
 def _(spark, d):
     return rounded(diagrams.cluster(diagrams.constrained(topology.persistence_diagram(*_daily(spark, d))), 3)[0], "distance")
