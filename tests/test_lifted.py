@@ -126,6 +126,11 @@ def test_queries(spark, sf):
     assert len(rows) == len(members) * (len(members) - 1) // 2 > 0
     for (i, j), dist in list(rows.items())[:200]:
         assert dist == pytest.approx(math.sqrt(lifted.partners(members[i], members[j], registry.PLACES, 2.0)[1]), abs=1e-5)
+    for r in registry.QUERIES["lifted_bottleneck"](spark, sf).limit(200).collect():
+        assert r["dist"] == pytest.approx(lifted.partners(members[r["i"]], members[r["j"]], registry.PLACES, math.inf)[1], abs=1e-5)
     tracked = registry.QUERIES["tracking_lifted"](spark, sf).toPandas()
     assert len(tracked) == len(pairs) and (tracked.groupby(["track", "t"]).size() == 1).all()
     assert (tracked["component"] <= tracked["track"]).all()
+    of = dict(zip(tracked["track"], tracked["component"]))
+    met = registry.QUERIES["tracking_meetings"](spark, sf).collect()
+    assert met and all(r["distance"] < 1.5 and of[r["track"]] == of[r["other"]] for r in met)
