@@ -231,9 +231,8 @@ def paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def path_edges(v: DataFrame) -> DataFrame:
-    """Ids along a path are successive: its edges need no sort."""
-    last = v.groupBy("ds").agg(F.max("vid").alias("n"))
-    return last.where("n > 0").select("ds", F.explode(F.expr("sequence(0L, n - 1)")).alias("cid")).select("ds", "cid", F.array(F.col("cid"), F.col("cid") + 1).alias("verts"))
+    """Ids along a path are successive: each vertex but the first ends an edge. Edges come row by row of the vertices, not from a count for each ds, so that Spark's sizes are theirs: joins don't broadcast them."""
+    return v.where("vid > 0").select("ds", (F.col("vid") - 1).alias("cid"), F.array(F.col("vid") - 1, F.col("vid")).alias("verts"))
 
 
 _PATH = "WITH p AS (SELECT user_id AS ds, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS vid, value FROM events), q AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM p WINDOW w AS (PARTITION BY ds ORDER BY vid)) "
