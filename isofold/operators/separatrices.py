@@ -56,11 +56,12 @@ def _followed(starts: DataFrame, steps: DataFrame) -> DataFrame:
     seen = None
     rounds: list[DataFrame] = []
     while not front.isEmpty():
+        nxt = front.join(steps, ["ds", "x"]).groupBy("ds", "saddle", F.col("y").alias("x")).agg(F.least(F.sum("paths"), F.lit(MOST_PATHS)).alias("paths"), (F.sum("odd") % 2).alias("odd"))
+        nxt = settled(nxt, "front")
         rounds.append(front)
-        if len(rounds) == 16:
+        if len(rounds) == 16:  # their files go: nothing reads them from here on
             seen, rounds = _summed(seen, rounds), []
-        nxt = front.join(steps, ["ds", "x"]).groupBy("ds", "saddle", F.col("y").alias("x")).agg(F.least(F.sum("paths"), F.lit(MOST_PATHS)).alias("paths"), (F.sum("odd") % 2).alias("odd"))
-        front = settled(nxt, "front")
+        front = nxt
     return _summed(seen, rounds) if rounds or seen is None else seen
 
 
