@@ -6,7 +6,7 @@ are a kernel for each ds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -82,25 +82,51 @@ class Field:
 
     def __init__(self, v: pd.DataFrame, e: pd.DataFrame):
         v = v.sort_values("vid")
-        self.ids = v["vid"].to_numpy()
-        self.values = np.nan_to_num(v["value"].to_numpy(float), nan=0.0)
-        self.order = kernels.dense_order(self.values, v["offset"].to_numpy())
-        a, b = (np.searchsorted(self.ids, e[c].to_numpy()) for c in ("a", "b"))
-        self.starts, self.nbrs = kernels.adjacency(len(v), a, b)
+        self._fill(*(v[c].to_numpy() for c in ("vid", "value", "offset")), *(e[c].to_numpy() for c in ("a", "b")))
 
+    def _fill(self, ids: np.ndarray, values: np.ndarray, offset: np.ndarray, a: np.ndarray, b: np.ndarray) -> Field:
+        self.ids = ids
+        self.values = np.nan_to_num(values.astype(float), nan=0.0)
+        self.order = kernels.dense_order(self.values, offset)
+        self.starts, self.nbrs = kernels.adjacency(len(ids), np.searchsorted(ids, a), np.searchsorted(ids, b))
+        return self
 
-def per_field(vertices: DataFrame, cells: DataFrame, kernel: Callable[[int, Field, pd.DataFrame], pd.DataFrame], schema: str, value: str = "value", offset: str | None = None) -> DataFrame:
-    """kernel(ds, field, edges) for each ds; its result's columns are the schema's."""
-    v = vertices.select("ds", "vid", cleaned(value).alias("value"), F.col(offset or "vid").cast("long").alias("offset"))
-    e = _edges_apart(cells)
+
+#: Small fields go to Python so many vertices at a time: a call for each of very many fields takes longer than their sweeps.
+CALL_ROWS = 4096
+
+
+def _fields_of(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[tuple[int, Field, pd.DataFrame, pd.DataFrame]]:
+    """(ds, field, its vertices by id, its edges) of all ds in vertices left and edges right."""
+    left, right = left.sort_values(["ds", "vid"]), right.sort_values("e_ds", kind="stable")
+    ds, first = np.unique(left["ds"].to_numpy(), return_index=True)
+    ends = np.append(first[1:], len(left))
+    of = right["e_ds"].to_numpy()
+    lo, hi = np.searchsorted(of, ds, "left"), np.searchsorted(of, ds, "right")
+    cols = [left[c].to_numpy() for c in ("vid", "value", "offset")]
+    sides = [right[c].to_numpy() for c in ("a", "b")]
+    for d, i, j, k, m in zip(ds.tolist(), first.tolist(), ends.tolist(), lo.tolist(), hi.tolist()):
+        yield d, Field.__new__(Field)._fill(*(c[i:j] for c in cols), *(c[k:m] for c in sides)), left.iloc[i:j], right.iloc[k:m]
+
+
+def _with_fields(v: DataFrame, cells: DataFrame, run: Callable[[int, Field, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, rows: int) -> DataFrame:
+    """run(ds, field, vertices, edges) for each ds of v (ds, vid, value, offset, ...), which has so many rows, a group of whole fields in a call."""
+    groups = max(rows // CALL_ROWS, 1)
+    dealt = lambda t, c: t.withColumn(f"{c}_call", F.pmod(F.hash(c), F.lit(groups))).groupBy(f"{c}_call")
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({n: [] for n in names})
-        return kernel(int(left["ds"].iloc[0]), Field(left, right), right)[names]
+    def call(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = [run(*f)[names] for f in _fields_of(left, right)]
+        parts = [p for p in parts if len(p)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({n: [] for n in names})
+
+    return dealt(v, "ds").cogroup(dealt(_edges_apart(cells), "e_ds")).applyInPandas(call, schema)
+
 
-    return v.groupBy("ds").cogroup(e.groupBy("e_ds")).applyInPandas(run, schema)
+def per_field(vertices: DataFrame, cells: DataFrame, kernel: Callable[[int, Field, pd.DataFrame], pd.DataFrame], schema: str, value: str = "value", offset: str | None = None) -> DataFrame:
+    """kernel(ds, field, edges) for each ds; its result's columns are the schema's."""
+    v = vertices.select("ds", "vid", cleaned(value).alias("value"), F.col(offset or "vid").cast("long").alias("offset"))
+    return _with_fields(v, cells, lambda ds, f, _, e: kernel(ds, f, e), schema, vertices.count())
 
 
 def _edges_apart(cells: DataFrame) -> DataFrame:
@@ -296,17 +322,13 @@ def simplified(vertices: DataFrame, cells: DataFrame, keep: DataFrame, value: st
     """(ds, vid, value, offset) in which only the extrema in keep (ds, vid) remain. offset is the vertex's place in the new order."""
     marked = vertices.join(keep.select("ds", "vid", F.lit(1).alias("_keep")), ["ds", "vid"], "left")
     v = marked.select("ds", "vid", cleaned(value).alias("value"), F.col(offset or "vid").cast("long").alias("offset"), F.coalesce("_keep", F.lit(0)).alias("keep"))
-    e = _edges_apart(cells)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"ds": [], "vid": [], "value": [], "offset": []})
-        f = Field(left, right)
-        wanted = set(np.flatnonzero(left.sort_values("vid")["keep"].to_numpy() > 0).tolist())
+    def run(ds: int, f: Field, own: pd.DataFrame, _: pd.DataFrame) -> pd.DataFrame:
+        wanted = set(np.flatnonzero(own["keep"].to_numpy() > 0).tolist())
         values, order = kernels.simplify(f.values, f.order, f.starts, f.nbrs, wanted)
-        return pd.DataFrame({"ds": int(left["ds"].iloc[0]), "vid": f.ids, "value": values, "offset": order})
+        return pd.DataFrame({"ds": ds, "vid": f.ids, "value": values, "offset": order})
 
-    return v.groupBy("ds").cogroup(e.groupBy("e_ds")).applyInPandas(run, "ds long, vid long, value double, offset long")
+    return _with_fields(v, cells, run, "ds long, vid long, value double, offset long", vertices.count())
 
 
 def discrete_gradient(vertices: DataFrame, cells: DataFrame, value: str = "value", offset: str | None = None) -> DataFrame:
