@@ -109,21 +109,34 @@ def walked(pointers: DataFrame, starts: DataFrame, weight: str | None = None) ->
     return way
 
 
-def distance_field(edges: DataFrame, sources: DataFrame, vertices: DataFrame, weight: str | None = "w", bound: float | None = None) -> DataFrame:
-    """(vid, distance, source, source_index): graph distance to the nearest of sources (vid, index), ties to the smallest index.
-
-    edges: (a, b, w) in both directions or one, w not negative. Relaxation from the frontier only: a round joins what changed in the last, until nothing does;
-    vertices farther than `bound`, if any, stay null. What is known is the rounds' own offers, put together every 16 rounds.
-    """
-    both = edges.select("a", "b", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
-    both = settled(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
-    front = settled(sources.groupBy(F.col("vid").alias("v")).agg(F.min(F.struct(F.lit(0.0).alias("d"), F.col("index").cast("long").alias("i"), F.col("vid").cast("long").alias("s"))).alias("k")), "front")
+def _offers(front: DataFrame, edges: DataFrame, bound: float | None) -> DataFrame:
+    """(v, n): the least that the front offers to each vertex over an edge."""
+    offers = front.join(edges, front["v"] == edges["a"]).select(F.col("b").alias("v"), F.struct((F.col("k.d") + F.col("w")).alias("d"), F.col("k.i").alias("i"), F.col("k.s").alias("s")).alias("k"))
+    if bound is not None:
+        offers = offers.where(F.col("k.d") <= bound)
+    return offers.groupBy("v").agg(F.min("k").alias("n"))
+
+
+def _layers(edges: DataFrame, front: DataFrame, bound: float | None) -> list[DataFrame]:
+    """The fronts (v, k), each vertex in one, over edges (a, b, w) of one weight above 0: a round has only the edges to what no front has reached."""
+    fronts = [front]
+    rest, was = edges, None
+    while not front.isEmpty():
+        # what leads to the front goes: sizes fall with what is left to reach
+        fewer = settled(rest.join(front.select(F.col("v").alias("b")), "b", "left_anti").select("a", "b", "w"), "edges")
+        if was is not None:
+            dropped(was)
+        rest = was = fewer
+        front = settled(_offers(front, rest, bound).select("v", F.col("n").alias("k")), "front")
+        fronts.append(front)
+    return fronts
+
+
+def _relaxed(edges: DataFrame, front: DataFrame, bound: float | None) -> tuple[DataFrame | None, list[DataFrame]]:
+    """(known, fronts), whose least k of each v is final, over edges (a, b, w) of any weights."""
     known, fronts = None, [front]
     while not front.isEmpty():
-        offers = front.join(both, front["v"] == both["a"]).select(F.col("b").alias("v"), F.struct((F.col("k.d") + F.col("w")).alias("d"), F.col("k.i").alias("i"), F.col("k.s").alias("s")).alias("k"))
-        if bound is not None:
-            offers = offers.where(F.col("k.d") <= bound)
-        offers = offers.groupBy("v").agg(F.min("k").alias("n"))
+        offers = _offers(front, edges, bound)
         best = fronts[0]
         for t in fronts[1:]:
             best = best.unionByName(t)
@@ -137,6 +150,24 @@ def distance_field(edges: DataFrame, sources: DataFrame, vertices: DataFrame, we
             fronts = []
         fronts.append(better)
         front = better
+    return known, fronts
+
+
+def distance_field(edges: DataFrame, sources: DataFrame, vertices: DataFrame, weight: str | None = "w", bound: float | None = None) -> DataFrame:
+    """(vid, distance, source, source_index): graph distance to the nearest of sources (vid, index), ties to the smallest index.
+
+    edges: (a, b, w) in both directions or one, w not negative. Relaxation from the frontier only: a round joins what changed in the last, until nothing does;
+    vertices farther than `bound`, if any, stay null. What is known is the rounds' own offers, put together every 16 rounds. Where all edges weigh the same,
+    a vertex is final once reached, and the edges that lead to it are left out of the rounds that follow.
+    """
+    both = edges.select("a", "b", (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"))
+    both = settled(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
+    front = settled(sources.groupBy(F.col("vid").alias("v")).agg(F.min(F.struct(F.lit(0.0).alias("d"), F.col("index").cast("long").alias("i"), F.col("vid").cast("long").alias("s"))).alias("k")), "front")
+    least, most = both.agg(F.min("w"), F.max("w")).first()
+    if least is not None and least == most and least > 0:
+        known, fronts = None, _layers(both, front, bound)
+    else:
+        known, fronts = _relaxed(both, front, bound)
     best = fronts[0]
     for t in fronts[1:]:
         best = best.unionByName(t)
