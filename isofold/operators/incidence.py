@@ -37,13 +37,13 @@ def simplices(cells: DataFrame, dim: int) -> DataFrame:
 
 def edges(cells: DataFrame) -> DataFrame:
     """(ds, a, b) with a < b."""
-    return simplices(cells, 1).select("ds", F.col("face")[0].alias("a"), F.col("face")[1].alias("b"))
+    return cell_faces(cells, 1).select("ds", F.col("face")[0].alias("a"), F.col("face")[1].alias("b")).distinct()
 
 
 def neighbours(cells: DataFrame) -> DataFrame:
     """(ds, a, b) in both directions."""
-    e = edges(cells)
-    return e.union(e.select("ds", F.col("b").alias("a"), F.col("a").alias("b")))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges(cells).select("ds", F.inline(both))
 
 
 def star(cells: DataFrame, dim: int) -> DataFrame:

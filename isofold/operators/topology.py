@@ -18,25 +18,34 @@ from ..functions.storage import settled
 from . import graph, incidence, kernels, trees
 
 
-def ordered(vertices: DataFrame, value: str = "value", offset: str | None = None) -> DataFrame:
-    """(ds, vid, value, key): key compares as (value, offset) does, offset being vid by default."""
+def ordered(vertices: DataFrame, value: str = "value", offset: str | None = None, *more: str) -> DataFrame:
+    """(ds, vid, value, key, more): key compares as (value, offset) does, offset being vid by default."""
     o = F.col(offset or "vid").cast("long")
-    return vertices.select("ds", "vid", cleaned(value).alias("value"), F.struct(cleaned(value).alias("v"), o.alias("o")).alias("key"))
+    return vertices.select("ds", "vid", cleaned(value).alias("value"), F.struct(cleaned(value).alias("v"), o.alias("o")).alias("key"), *more)
 
 
-def _with_keys(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(ds, a, b, ka, kb) for adjacency (ds, a, b)."""
-    ka = keyed.select("ds", F.col("vid").alias("a"), F.col("key").alias("ka"))
-    kb = keyed.select("ds", F.col("vid").alias("b"), F.col("key").alias("kb"))
-    return pairs.join(ka, ["ds", "a"]).join(kb, ["ds", "b"])
+def _end(keyed: DataFrame, side: str, n: int, *more: str) -> DataFrame:
+    """(ds, a, ka, more) of vertices as an edge's end, more with the end's number. There are as many as vertices and Spark takes sizes from files, which are several times smaller: it is told to merge, not to broadcast."""
+    return keyed.select("ds", F.col("vid").alias(side), F.col("key").alias(f"k{side}"), *(F.col(c).alias(f"{c}{n}") for c in more)).hint("merge")
+
+
+def _with_keys(pairs: DataFrame, keyed: DataFrame, *more: str) -> DataFrame:
+    """(ds, a, b, ka, kb) for adjacency (ds, a, b), and what more the vertices have as c1 and c2."""
+    return pairs.join(_end(keyed, "a", 1, *more), ["ds", "a"]).join(_end(keyed, "b", 2, *more), ["ds", "b"])
+
+
+def _around(vertices: DataFrame, neighbours: DataFrame, value: str, offset: str | None) -> DataFrame:
+    """(ds, a, ka, lo, hi): of each vertex with neighbours, the lowest and the highest of them as (kb, b)."""
+    keyed = ordered(vertices, value, offset)
+    near = F.struct("kb", "b")
+    ends = neighbours.join(_end(keyed, "b", 2), ["ds", "b"]).groupBy("ds", "a").agg(F.min(near).alias("lo"), F.max(near).alias("hi"))
+    return ends.join(_end(keyed, "a", 1), ["ds", "a"])
 
 
 def extrema(vertices: DataFrame, neighbours: DataFrame, value: str = "value", offset: str | None = None) -> DataFrame:
     """(ds, vid, value, CriticalType) of minima and maxima: an aggregate over neighbours, with no Python."""
-    met = _with_keys(neighbours, ordered(vertices, value, offset))
-    ends = met.groupBy("ds", F.col("a").alias("vid")).agg(F.min("kb").alias("lo"), F.max("kb").alias("hi"), F.first("ka").alias("k"))
-    kind = F.when(F.col("k") < F.col("lo"), kernels.MINIMUM).when(F.col("k") > F.col("hi"), kernels.MAXIMUM)
-    return ends.select("ds", "vid", F.col("k.v").alias("value"), kind.cast("int").alias("CriticalType")).where("CriticalType is not null")
+    kind = F.when(F.col("ka") < F.col("lo.kb"), kernels.MINIMUM).when(F.col("ka") > F.col("hi.kb"), kernels.MAXIMUM)
+    return _around(vertices, neighbours, value, offset).select("ds", F.col("a").alias("vid"), F.col("ka.v").alias("value"), kind.cast("int").alias("CriticalType")).where("CriticalType is not null")
 
 
 def critical_points(vertices: DataFrame, cells: DataFrame, value: str = "value", offset: str | None = None, with_regular: bool = False) -> DataFrame:
