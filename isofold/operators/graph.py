@@ -72,14 +72,15 @@ def cell_components(cells: DataFrame, vertices: DataFrame) -> tuple[DataFrame, D
 def roots(pointers: DataFrame, weight: str | None = None) -> DataFrame:
     """(v, root, steps, length) of pointers (v, nxt): where following them ends, by doubling. A root points to itself or to null.
 
-    length sums the weight column, or counts steps. Rounds are the logarithm of the longest path.
+    length sums the weight column, or counts steps. Rounds are the logarithm of the longest path. Files of pointers are several times smaller than their rows
+    in memory, and Spark broadcasts by files' sizes: joins are told to merge.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     own = pointers.select(F.col("v"), F.coalesce("nxt", "v").alias("p"), F.when(F.coalesce("nxt", "v") == F.col("v"), 0.0).otherwise(w).alias("length"), F.when(F.coalesce("nxt", "v") == F.col("v"), 0).otherwise(1).cast("long").alias("steps"))
     now = settled(own, "pointers")
     while True:
         far = now.select(F.col("v").alias("p"), F.col("p").alias("q"), F.col("length").alias("l2"), F.col("steps").alias("s2"))
-        nxt = settled(now.join(far, "p").select("v", F.col("q").alias("p"), (F.col("length") + F.col("l2")).alias("length"), (F.col("steps") + F.col("s2")).alias("steps")), "pointers")
+        nxt = settled(now.join(far.hint("merge"), "p").select("v", F.col("q").alias("p"), (F.col("length") + F.col("l2")).alias("length"), (F.col("steps") + F.col("s2")).alias("steps")), "pointers")
         moved = nxt.agg(F.sum("steps")).first()[0] != now.agg(F.sum("steps")).first()[0]
         dropped(now)
         now = nxt
@@ -95,17 +96,17 @@ def walked(pointers: DataFrame, starts: DataFrame, weight: str | None = None) ->
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     jump = settled(pointers.where("nxt is not null and nxt <> v").select(F.col("v").alias("from"), F.col("nxt").alias("to"), w.alias("w")), "jump")
     # what is only pointed to is an end
-    lone = jump.select(F.col("to").alias("v")).distinct().join(pointers.select("v"), "v", "left_anti").select("v", F.lit(None).cast("long").alias("nxt"))
+    lone = jump.select(F.col("to").alias("v")).distinct().join(pointers.select("v").hint("merge"), "v", "left_anti").select("v", F.lit(None).cast("long").alias("nxt"))
     ends = roots(pointers.select("v", "nxt").unionByName(lone)).select(F.col("v").alias("start"), "steps")
-    way = settled(starts.select("start").join(ends, "start", "left").select("start", F.explode(F.expr("sequence(0L, coalesce(steps, 0L))")).alias("step"), F.col("start").alias("at"), F.lit(0.0).alias("length")), "way")
+    way = settled(starts.select("start").join(ends.hint("merge"), "start", "left").select("start", F.explode(F.expr("sequence(0L, coalesce(steps, 0L))")).alias("step"), F.col("start").alias("at"), F.lit(0.0).alias("length")), "way")
     longest = way.agg(F.max("step")).first()[0] or 0
     for k in range(int(longest).bit_length()):
         takes = F.col("step").bitwiseAND(F.lit(1 << k)) != 0
-        way = way.join(jump, takes & (F.col("at") == F.col("from")), "left").select("start", "step", F.coalesce("to", "at").alias("at"), (F.col("length") + F.coalesce("w", F.lit(0.0))).alias("length"))
+        way = way.join(jump.hint("merge"), takes & (F.col("at") == F.col("from")), "left").select("start", "step", F.coalesce("to", "at").alias("at"), (F.col("length") + F.coalesce("w", F.lit(0.0))).alias("length"))
         if k % 4 == 3:
             way = settled(way, "way")
         far = jump.select(F.col("from").alias("to"), F.col("to").alias("end"), F.col("w").alias("w2"))
-        jump = settled(jump.join(far, "to").select("from", F.col("end").alias("to"), (F.col("w") + F.col("w2")).alias("w")), "jump")
+        jump = settled(jump.join(far.hint("merge"), "to").select("from", F.col("end").alias("to"), (F.col("w") + F.col("w2")).alias("w")), "jump")
     return way
 
 

@@ -424,10 +424,7 @@ def integral_lines(vertices: DataFrame, neighbours: DataFrame, seeds: DataFrame,
 
     All lines are walked at once, by jumps of doubled length; backward goes down. vertices need x, y, z.
     """
-    keyed = ordered(vertices, value, offset)
-    at = vertices.select("ds", "vid", "x", "y", "z")
-    a, b = at.select("ds", *(F.col(c).alias(f"{c}1") for c in ("vid", "x", "y", "z"))), at.select("ds", *(F.col(c).alias(f"{c}2") for c in ("vid", "x", "y", "z")))
-    met = _with_keys(neighbours, keyed).join(a.withColumnRenamed("vid1", "a"), ["ds", "a"]).join(b.withColumnRenamed("vid2", "b"), ["ds", "b"])
+    met = _with_keys(neighbours, ordered(vertices, value, offset, "x", "y", "z"), "x", "y", "z")
     length = F.sqrt(F.expr("(x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2) + (z1 - z2) * (z1 - z2)"))
     met = met.where(F.col("kb") < F.col("ka") if backward else F.col("kb") > F.col("ka")).withColumn("w", length)
     slope = F.try_divide(F.abs(F.col("kb.v") - F.col("ka.v")), F.col("w"))
@@ -436,7 +433,7 @@ def integral_lines(vertices: DataFrame, neighbours: DataFrame, seeds: DataFrame,
     stride = (vertices.agg(F.max("vid")).first()[0] or 0) + 1
     key = lambda c: F.col("ds") * stride + F.col(c)
     # a vertex without a step is a pointer's end as well
-    steps = vertices.select(key("vid").alias("v")).join(best.select(key("v").alias("v"), (F.col("ds") * stride + F.col("n.b")).alias("nxt"), F.col("n.w").alias("w")), "v", "left")
+    steps = vertices.select(key("vid").alias("v")).hint("merge").join(best.select(key("v").alias("v"), (F.col("ds") * stride + F.col("n.b")).alias("nxt"), F.col("n.w").alias("w")), "v", "left")
     ways = graph.walked(settled(steps, "steepest"), seeds.select(key("vid").alias("start")).distinct(), "w")
     back = lambda c: F.expr(f"pmod({c}, {stride})")
     return ways.select(F.expr(f"(start - pmod(start, {stride})) div {stride}").alias("ds"), back("start").alias("seed"), F.col("step").cast("int").alias("step"), back("at").alias("vid"), F.col("length").alias("DistanceFromSeed"))
