@@ -382,11 +382,13 @@ def discrete_gradient(vertices: DataFrame, cells: DataFrame, value: str = "value
 
 def steepest(vertices: DataFrame, neighbours: DataFrame, descending: bool = True, value: str = "value", offset: str | None = None) -> DataFrame:
     """(ds, v, nxt): each vertex's lowest (highest) neighbour if that is lower (higher), else null."""
-    met = _with_keys(neighbours, ordered(vertices, value, offset))
-    best = F.min(F.struct("kb", "b")) if descending else F.max(F.struct("kb", "b"))
-    ends = met.groupBy("ds", F.col("a").alias("v")).agg(best.alias("n"), F.first("ka").alias("ka"))
-    goes = F.col("n.kb") < F.col("ka") if descending else F.col("n.kb") > F.col("ka")
-    return ends.select("ds", "v", F.when(goes, F.col("n.b")).alias("nxt"))
+    return _steps(vertices, neighbours, value, offset).select("ds", "v", F.col("down" if descending else "up").alias("nxt"))
+
+
+def _steps(vertices: DataFrame, neighbours: DataFrame, value: str, offset: str | None) -> DataFrame:
+    """(ds, v, down, up): the steps of steepest descent and ascent, null where there is none."""
+    down, up = F.when(F.col("lo.kb") < F.col("ka"), F.col("lo.b")), F.when(F.col("hi.kb") > F.col("ka"), F.col("hi.b"))
+    return _around(vertices, neighbours, value, offset).select("ds", F.col("a").alias("v"), down.alias("down"), up.alias("up"))
 
 
 def _global(df: DataFrame, columns: list[str], stride: int) -> DataFrame:
@@ -399,13 +401,13 @@ def segmentation(vertices: DataFrame, neighbours: DataFrame, value: str = "value
     The Morse-Smale id numbers the pairs that occur, in the order of the least vertex with each.
     """
     stride = (vertices.agg(F.max("vid")).first()[0] or 0) + 1
-    down = graph.roots(_global(steepest(vertices, neighbours, True, value, offset), ["v", "nxt"], stride).select("v", "nxt"))
-    up = graph.roots(_global(steepest(vertices, neighbours, False, value, offset), ["v", "nxt"], stride).select("v", "nxt"))
-    both = vertices.select("ds", "vid", (F.col("ds") * stride + F.col("vid")).alias("v")).join(down.select("v", F.col("root").alias("lo")), "v", "left").join(up.select("v", F.col("root").alias("hi")), "v", "left")
+    steps = settled(_global(_steps(vertices, neighbours, value, offset), ["v", "down", "up"], stride).select("v", "down", "up"), "steps")
+    ends = lambda way, to: graph.roots(steps.select("v", F.col(way).alias("nxt"))).select("v", F.col("root").alias(to)).hint("merge")
+    both = vertices.select("ds", "vid", (F.col("ds") * stride + F.col("vid")).alias("v")).join(ends("down", "lo"), "v", "left").join(ends("up", "hi"), "v", "left")
     both = both.select("ds", "vid", F.coalesce(F.col("lo") % stride, F.col("vid")).alias("AscendingManifold"), F.coalesce(F.col("hi") % stride, F.col("vid")).alias("DescendingManifold"))
     pairs = both.groupBy("ds", "AscendingManifold", "DescendingManifold").agg(F.min("vid").alias("first"))
     ids = pairs.withColumn("MorseSmaleManifold", F.row_number().over(Window.partitionBy("ds").orderBy("first")) - 1).drop("first")
-    return both.join(ids, ["ds", "AscendingManifold", "DescendingManifold"]).select("ds", "vid", "DescendingManifold", "AscendingManifold", "MorseSmaleManifold")
+    return both.join(ids.hint("merge"), ["ds", "AscendingManifold", "DescendingManifold"]).select("ds", "vid", "DescendingManifold", "AscendingManifold", "MorseSmaleManifold")
 
 
 def separatrices(gradient: DataFrame, critical: DataFrame | None = None) -> DataFrame:
