@@ -144,7 +144,10 @@ def saddle_saddle_pairs(vertices: DataFrame, cells: DataFrame, value: str = "val
     It is reduced by rounds of joins: of columns with one last row the first is added to the others, whose last rows so go down, until no two agree. What has no more
     than kernel_rows entries is reduced in a task for each ds. A pair whose simplices enter with one vertex isn't listed.
     """
-    gradient = settled(topology.discrete_gradient(vertices, cells, value, offset), "gradient") if gradient is None else gradient
+    if gradient is None:
+        # written first: values worked out again, as means of doubles, may differ in their last digit, and ranks then order vertices otherwise than the gradient
+        vertices = settled(vertices.select(*dict.fromkeys(["ds", "vid", value, offset or "vid"])), "vertices")
+        gradient = settled(topology.discrete_gradient(vertices, cells, value, offset), "gradient")
     ranks = dense_index(topology.ordered(vertices, value, offset), ["ds", "key"], "r")
     ranks = settled(ranks.select("ds", "vid", "value", F.col("r").cast("long").alias("r")), "ranks")
     found = saddle_connectors(gradient).where("odd = 1").select("ds", "saddle", "edge")

@@ -540,8 +540,7 @@ def _(spark, d):
 
 @_add("volume_saddle_pairs")
 def _(spark, d):
-    v, c = order_volume(spark, d)
-    return separatrices.saddle_saddle_pairs(v, c, "u", gradient=settled_gradient(v, c, "u"))
+    return separatrices.saddle_saddle_pairs(*order_volume(spark, d), "u")
 
 
 @_add("volume_descending_walls")
